@@ -210,13 +210,13 @@ def transitions(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("user_id") % 25).alias("state"),
         F.col("event_id").alias("seq"),
         (F.col("event_id") % 9).alias("action"),
-        (F.col("value") / 500.0).alias("reward"),
+        (F.col("value") / 517.0).alias("reward"),
     )
 
 
 table(
     "tr",
-    """SELECT user_id % 25 AS state, event_id AS seq, event_id % 9 AS action, value / 500.0 AS reward,
+    """SELECT user_id % 25 AS state, event_id AS seq, event_id % 9 AS action, value / 517.0 AS reward,
   row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) AS step FROM events""",
 )
 table(
@@ -268,7 +268,7 @@ def event_visits(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("user_id") % 25).alias("state"),
         (e % 7).alias("action"),
         ((e + F.col("user_id")) % 4 == 0).alias("explored"),
-        (F.col("value") / 500.0).alias("reward"),
+        (F.col("value") / 517.0).alias("reward"),
     )
 
 
@@ -276,7 +276,7 @@ table(
     "ev",
     """SELECT CASE WHEN user_id % 3 < 2 THEN 1 ELSE 2 END::BIGINT AS phase, event_id // 14 AS iteration,
   event_id % 14 AS rank, user_id % 25 AS state, event_id % 7 AS action,
-  (event_id + user_id) % 4 = 0 AS explored, value / 500.0 AS reward FROM events""",
+  (event_id + user_id) % 4 = 0 AS explored, value / 517.0 AS reward FROM events""",
 )
 EPS = "greatest(CAST(0.05 AS DOUBLE), CAST(0.3 AS DOUBLE) * power(CAST(0.995 AS DOUBLE), {t}))"
 table(

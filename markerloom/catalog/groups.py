@@ -244,7 +244,7 @@ def confusion_matrix(spark, sf):
 
 
 @query(
-    """SELECT sum(y) AS n_pos, sum(1 - y) AS n_neg,
+    """SELECT CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg,
   round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) + 0.0 AS auc
 FROM (SELECT y, avg(rn) OVER (PARTITION BY s) AS r FROM (
   SELECT quality::BIGINT AS y, n_chars % 50 + 0.5 * (doc_id % 3) AS s,

@@ -186,7 +186,7 @@ def td_error(spark, sf):
 
 @query(
     """SELECT t.state, t.action, round(coalesce(m.q, 0) + 0.1 * (reward + 0.9 * coalesce(v.v, 0) - coalesce(m.q, 0)), 6) + 0.0 AS q
-FROM (SELECT user_id % 10 AS state, event_id % 9 AS action, 10 + min(event_id) % 10 AS next_state, avg(value) / 500 AS reward
+FROM (SELECT user_id % 10 AS state, event_id % 9 AS action, 10 + min(event_id) % 10 AS next_state, avg(value) / 517 AS reward
   FROM events GROUP BY 1, 2) t
 LEFT JOIN mq m ON m.state = t.state AND m.action = t.action
 LEFT JOIN (SELECT state, max(q) AS v FROM mqrow GROUP BY 1) v ON v.state = t.next_state
@@ -196,7 +196,7 @@ UNION ALL SELECT state, action, round(q, 6) + 0.0 FROM mq WHERE state >= 10""",
 def q_sweep(spark, sf):
     ev = T.parquet(spark, sf, "events")
     moves = ev.groupBy((F.col("user_id") % 10).alias("state"), (F.col("event_id") % 9).alias("action")).agg(
-        (F.min("event_id") % 10 + 10).alias("next_state"), (F.avg("value") / 500).alias("reward")
+        (F.min("event_id") % 10 + 10).alias("next_state"), (F.avg("value") / 517).alias("reward")
     )
     return rounded(Q.q_sweep(moves, X.mean_q(spark, sf)), "q")
 

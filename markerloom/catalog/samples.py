@@ -44,7 +44,7 @@ def _file_rows(spark, sf):
 
     def encode(key, pdf):
         sample, part = key
-        pdf = pdf.sort_values(["ord", "line"])
+        pdf = pdf.sort_values(["ord", "line", "tnfa"])
         content = encode_fcs(names, pdf[M].to_numpy())
         whole = len(content)
         if (sample + part) % 10 == 0:
@@ -60,20 +60,21 @@ table(
     "filed",
     """SELECT *, '/cells/' || sample_id || '/' || (ord // 5000) || '.fcs' AS path,
   (sample_id + ord // 5000) % 10 = 0 AS bad,
-  row_number() OVER (PARTITION BY sample_id, ord // 5000 ORDER BY ord, line) - 1 AS event FROM cells""",
+  row_number() OVER (PARTITION BY sample_id, ord // 5000 ORDER BY ord, line, tnfa) - 1 AS event FROM cells""",
     ("cells",),
 )
 
 
 def _f32(names=M) -> str:
     return ", ".join(
-        f"CASE WHEN isfinite({c}) THEN round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 6) + 0.0 END AS {c}" for c in names
+        f"CASE WHEN isfinite({c}) THEN CAST(CAST({c} AS FLOAT) AS DOUBLE) + 0.0 END AS {c}" for c in names
     )
 
 
 @query(f"SELECT path, event, {_f32()} FROM filed WHERE NOT bad", ("filed",))
 def scan_measurements(spark, sf):
-    return shown(FCS.decode_measurements(_file_rows(spark, sf), M), ["path", "event"])
+    cells = FCS.decode_measurements(_file_rows(spark, sf), M)
+    return cells.select("path", "event", *[(finite(F.col(c)) + 0.0).alias(c) for c in M])
 
 
 @query(

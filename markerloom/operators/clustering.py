@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.scalars import squared_distance
+from markerloom.operators.kmeans import MAX_ITERATIONS, RESTARTS, SEED, centers_table, fit_runs
 
-# Seed, iteration limits and restarts of the fits.
-SEED = 42
-KMEANS_ITERATIONS = 300
-KMEANS_RESTARTS = 10
+# Fixed value: iteration limit of the mixture fit.
 GMM_ITERATIONS = 100
 
 # Rows of a centers table that may be broadcast.
@@ -44,7 +42,7 @@ def nearest_centroid(points: DataFrame, centers: DataFrame, key: str) -> DataFra
         )
     )
     return (
-        points.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(ks)])))
+        points.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in sorted(ks)])))
         .join(_bounded(per_k), "k")
         .withColumn("best", best)
         .select("k", key, F.col("best.cluster").alias("cluster"), F.col("best.distance2").alias("distance2"))
@@ -109,31 +107,30 @@ def kmeans(
     k: int,
     key: str,
     seed: int = SEED,
-    max_iter: int = KMEANS_ITERATIONS,
-    restarts: int = KMEANS_RESTARTS,
+    max_iter: int = MAX_ITERATIONS,
+    restarts: int = RESTARTS,
     rows: int | None = None,
-) -> tuple[DataFrame, float, list[list[float]]]:
+) -> tuple[DataFrame, float, DataFrame]:
     """(clusters(k, key, cluster), inertia, centers) of the best of `restarts` fits."""
     rows = points.count() if rows is None else rows
     if k > rows:
         raise ValueError(f"{k} clusters from {rows} samples")
-    ready = ordered_points(points, key, rows).persist()
-    try:
+    cost, best = fit_runs(points, key, [k], rows, seed, max_iter, restarts)[k]
+    centers = centers_table(points.sparkSession, {k: best})
+    return nearest_centroid(points, centers, key).select("k", key, "cluster"), cost, centers
 
-        def fit(r: int):
-            model = KMeans(
-                featuresCol="vector", predictionCol="p", k=k, seed=seed + r, maxIter=max_iter
-            ).fit(ready)
-            return model.summary.trainingCost, r, model
 
-        with ThreadPoolExecutor(max_workers=min(4, restarts)) as pool:
-            cost, _, model = min(pool.map(fit, range(restarts)), key=lambda m: m[:2])
-    finally:
-        ready.unpersist()
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    out = model.transform(points.withColumn("vector", array_to_vector("features")))
-    out = out.select(F.lit(k).alias("k"), key, _renumber(F.col("p"), centers).alias("cluster"))
-    return out, float(cost), sorted(centers)
+def kmeans_sweep(
+    points: DataFrame, key: str, ks: Sequence[int], seed: int = SEED, restarts: int = RESTARTS
+) -> DataFrame:
+    """clusters(k, key, cluster) for every k that has enough samples."""
+    rows = points.count()
+    possible = [k for k in ks if k <= rows]
+    if not possible:
+        raise ValueError(f"{rows} samples are too few for any of {list(ks)}")
+    fits = fit_runs(points, key, possible, rows, seed, restarts=restarts)
+    centers = centers_table(points.sparkSession, {k: c for k, (_, c) in fits.items()})
+    return nearest_centroid(points, centers, key).select("k", key, "cluster")
 
 
 def gaussian_mixture(
@@ -158,19 +155,13 @@ def gaussian_mixture(
     finally:
         ready.unpersist()
     free = k * dims + k * dims * (dims + 1) // 2 + k - 1
-    bic = -2.0 * likelihood + free * _log(rows)
+    bic = -2.0 * likelihood + free * math.log(rows)
     means = [list(map(float, g.mean)) for g in model.gaussians]
     out = model.transform(points.withColumn("vector", array_to_vector("features")))
-    out = out.select(F.lit(k).alias("k"), key, _renumber(F.col("p"), means).alias("cluster"))
+    out = out.select(F.lit(k).cast("bigint").alias("k"), key, _renumber(F.col("p"), means).alias("cluster"))
     return out, float(bic)
 
 
-def _log(n: int) -> float:
-    import math
-
-    return math.log(n)
-
-
 def cluster_label_join(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     """Adds the label a (k, cluster) was mapped to."""
     return clusters.join(mapping.select("k", "cluster", "label"), ["k", "cluster"])

@@ -60,7 +60,7 @@ def feature_histogram(values: DataFrame, bars: int = BARS) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bars))
     bar = F.least(F.lit(bars - 1), F.floor((F.col("x") - F.col("lo")) / width)).cast("bigint")
     counts = clean.join(span, "marker").groupBy("marker", bar.alias("bar")).agg(F.count(F.lit(1)).alias("n"))
-    grid = span.withColumn("bar", F.explode(F.sequence(F.lit(0), F.lit(bars - 1))).cast("bigint"))
+    grid = span.withColumn("bar", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bars - 1).cast("bigint"))))
     return grid.join(counts, ["marker", "bar"], "left").select(
         "marker",
         "bar",

@@ -49,7 +49,7 @@ class _Sweep:
         self.key = key
         number = {(k, c): g for g, (k, c, _) in enumerate(self.sizes)}
         at = F.create_map(*[F.lit(x) for (k, c), g in number.items() for x in (f"{k}/{c}", g)])
-        own = F.get(at, F.lit(0)) if not number else at[F.concat_ws("/", "k", "cluster")]
+        own = at[F.concat_ws("/", "k", "cluster")]
         self.labels = (
             clusters.withColumn("own", own)
             .groupBy(key)
@@ -71,33 +71,30 @@ def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFra
         "own",
         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"),
     )
-    left = tagged.withColumn("i", F.col("b")).withColumn(
-        "j", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))
-    )
-    right = tagged.withColumn("j", F.col("b")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.col("b")))
+    # A row goes to every pair its block is in; pairs are unordered.
+    other = tagged.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paired = other.select(
+        "id", "features", "own", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
     )
     names = [f"s{g}" for g in range(groups)]
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="object"), **{s: pd.Series(dtype="float64") for s in names}})
-        if a.empty or b.empty:
-            return empty
-        d = _block_distances(np.stack(a["features"].to_list()), np.stack(b["features"].to_list()))
-        same = a["i"].iloc[0] == a["j"].iloc[0]
-        parts = [pd.DataFrame(d @ _members(b["own"], groups), columns=names).assign(id=a["id"].to_numpy())]
-        if not same:
-            parts.append(
-                pd.DataFrame(d.T @ _members(a["own"], groups), columns=names).assign(id=b["id"].to_numpy())
-            )
+    def sums_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        sides = [pdf[pdf["b"] == i], pdf[pdf["b"] == j]]
+        if sides[0].empty or sides[1].empty:
+            return pd.DataFrame({"id": pdf["id"].iloc[:0], **{s: np.zeros(0) for s in names}})
+        x, y = (np.stack(s["features"].to_list()) for s in sides)
+        hot = [_members(s["own"], groups) for s in sides]
+        d = _block_distances(x, y)
+        found = [(sides[0], d @ hot[1])] if i == j else [(sides[0], d @ hot[1]), (sides[1], d.T @ hot[0])]
+        parts = [pd.DataFrame(t, columns=names).assign(id=s["id"].to_numpy()) for s, t in found]
         return pd.concat(parts)[["id", *names]]
 
     id_type = points.schema[key].dataType.simpleString()
     schema = f"id {id_type}, " + ", ".join(f"{s} double" for s in names)
     sums = (
-        left.groupBy("i", "j")
-        .cogroup(right.groupBy("i", "j"))
-        .applyInPandas(pair, schema)
+        paired.groupBy("i", "j")
+        .applyInPandas(sums_of, schema)
         .groupBy("id")
         .agg(*[F.sum(s).alias(s) for s in names])
         .withColumnRenamed("id", key)

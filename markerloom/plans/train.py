@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +23,10 @@ INERTIA_SCALE = 10_000.0
 QUALITIES = ("silhouette", "inertia")
 
 
-def fit_sweep(
-    points: DataFrame, key: str, ks: Sequence[int], restarts: int = C.KMEANS_RESTARTS
-) -> DataFrame:
+def fit_sweep(points: DataFrame, key: str, ks: Sequence[int], restarts: int = C.RESTARTS) -> DataFrame:
     """clusters(k, key, cluster) for every k that has enough samples. The rewards
     depend on k only, so each k is fitted once for a whole training run."""
-    rows = points.count()
-    fitted = [C.kmeans(points, k, key, rows=rows, restarts=restarts)[0] for k in ks if k <= rows]
-    if not fitted:
-        raise ValueError(f"{rows} samples are too few for any of {list(ks)}")
-    return checkpointed(reduce(DataFrame.unionByName, fitted))
+    return checkpointed(C.kmeans_sweep(points, key, ks, restarts=restarts))
 
 
 def _filled(rewards: DataFrame, ks: Sequence[int], missing: float) -> DataFrame:
