@@ -104,7 +104,7 @@ table("samples", "SELECT *, (ifna_bin * 5 + il6_bin) * 5 + cd14_bin AS state FRO
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """(sample_id, filename, markers, label, bins, state), one row per supplier."""
-    return profile_samples(cells(spark, sf), ["sample_id", "filename"], MARKERS, BINS, FEATURES)
+    return profile_samples(cells(spark, sf), ["sample_id"], MARKERS, BINS, FEATURES)
 
 
 # ---- matrix and fixed clusterings of the samples ----------------------------

@@ -175,13 +175,13 @@ def q_update(spark, sf):
 
 @query("SELECT state, action, round(q, 6) + 0.0 AS q FROM trlast", ("trlast",))
 def q_update_chunked(spark, sf):
-    """The same with every state's log in chunks of a few hundred event numbers."""
-    return rounded(Q.q_update(X.transitions(spark, sf), span=700), "q")
+    """The same with the log of a state in chunks, as for states too large for one task."""
+    return rounded(Q.q_update(X.transitions(spark, sf), chunk_rows=200), "q")
 
 
 @query("SELECT state, seq, round(td, 6) + 0.0 AS td_error FROM trq WHERE step > 0", ("trq",))
 def td_error(spark, sf):
-    return rounded(Q.td_error(X.transitions(spark, sf), span=4000), "td_error")
+    return rounded(Q.td_error(X.transitions(spark, sf)), "td_error")
 
 
 @query(

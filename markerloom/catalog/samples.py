@@ -37,9 +37,9 @@ def shown(df, keep, names=M):
 
 
 def _file_rows(spark, sf):
-    """(path, length, content): the cells of a supplier as files of 5000 orders each,
+    """(path, length, content): the cells of a supplier as files of 100,000 orders each,
     every tenth file cut short."""
-    cells = X.cells(spark, sf).withColumn("part", F.floor(F.col("ord") / 5000).cast("bigint"))
+    cells = X.cells(spark, sf).withColumn("part", F.floor(F.col("ord") / 100_000).cast("bigint"))
     names = ["IFNa-PE", "IL6", "cd14 APC", "tnfa"]
 
     def encode(key, pdf):
@@ -58,9 +58,9 @@ def _file_rows(spark, sf):
 
 table(
     "filed",
-    """SELECT *, '/cells/' || sample_id || '/' || (ord // 5000) || '.fcs' AS path,
-  (sample_id + ord // 5000) % 10 = 0 AS bad,
-  row_number() OVER (PARTITION BY sample_id, ord // 5000 ORDER BY ord, line, tnfa) - 1 AS event FROM cells""",
+    """SELECT *, '/cells/' || sample_id || '/' || (ord // 100000) || '.fcs' AS path,
+  (sample_id + ord // 100000) % 10 = 0 AS bad,
+  row_number() OVER (PARTITION BY sample_id, ord // 100000 ORDER BY ord, line, tnfa) - 1 AS event FROM cells""",
     ("cells",),
 )
 
@@ -493,14 +493,14 @@ SUMMARY_SQL = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in M)
 @query(f"SELECT sample_id, filename, {SUMMARY_SQL}, label FROM summary", ("summary",))
 def summarize_median(spark, sf):
     raw = CL.asinh_transform(X.cells(spark, sf), M)
-    return rounded(S.summarize(raw, ["sample_id", "filename"], M), *M)
+    return rounded(S.summarize(raw, ["sample_id"], M, name="filename"), *M)
 
 
 @query(f"SELECT sample_id, filename, {SUMMARY_SQL}, label FROM summary", ("summary",))
 def summarize_median_hot(spark, sf):
     """The same medians by counting passes, as for samples too large for one task."""
     raw = CL.asinh_transform(X.cells(spark, sf), M)
-    return rounded(S.summarize(raw, ["sample_id", "filename"], M, direct_limit=50), *M)
+    return rounded(S.summarize(raw, ["sample_id"], M, name="filename", direct_limit=50), *M)
 
 
 @query(
@@ -509,7 +509,7 @@ def summarize_median_hot(spark, sf):
 )
 def summarize_mean(spark, sf):
     raw = CL.asinh_transform(X.cells(spark, sf), M)
-    return rounded(S.summarize(raw, ["sample_id", "filename"], M, "mean"), *M)
+    return rounded(S.summarize(raw, ["sample_id"], M, "mean", "filename"), *M)
 
 
 @query(

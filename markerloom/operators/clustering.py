@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,39 +14,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.scalars import squared_distance
-from markerloom.operators.kmeans import MAX_ITERATIONS, RESTARTS, SEED, centers_table, fit_runs
+from markerloom.operators.kmeans import (
+    MAX_ITERATIONS,
+    RESTARTS,
+    SEED,
+    centers_table,
+    feature_rows,
+    fit_runs,
+    squared_distances,
+)
 
 # Fixed value: iteration limit of the mixture fit.
 GMM_ITERATIONS = 100
 
-# Rows of a centers table that may be broadcast.
-BROADCAST_ROWS = 100_000
+# Centers that are sent to the tasks; larger tables are joined instead.
+CENTERS_IN_TASKS = 20_000
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the table has at most `rows` rows, else no hint."""
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
-
-
-def nearest_centroid(points: DataFrame, centers: DataFrame, key: str) -> DataFrame:
+def nearest_centroid(
+    points: DataFrame, centers: DataFrame, key: str, limit: int = CENTERS_IN_TASKS
+) -> DataFrame:
     """(k, key, cluster, distance2) from points(key, features) and
     centers(k, cluster, center). Ties go to the lower cluster number."""
-    per_k = centers.groupBy("k").agg(F.collect_list(F.struct("cluster", "center")).alias("cs"))
-    ks = [r["k"] for r in centers.select("k").distinct().collect()]
-    best = F.array_min(
-        F.transform(
-            "cs",
-            lambda c: F.struct(
-                squared_distance(F.col("features"), c["center"]).alias("distance2"),
-                c["cluster"].alias("cluster"),
-            ),
-        )
+    rows = centers.select("k", "cluster", "center").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return _nearest_by_join(points, centers, key)
+    rows.sort(key=lambda r: (r["k"], r["cluster"]))
+    ks = sorted({r["k"] for r in rows})
+    spans = [(k, [i for i, r in enumerate(rows) if r["k"] == k]) for k in ks]
+    numbers = np.array([r["cluster"] for r in rows], dtype="int64")
+    stacked = np.array([r["center"] for r in rows], dtype="float64")
+    mid = stacked.mean(axis=0)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = squared_distances(feature_rows(batch) - mid, stacked - mid)
+            for k, at in spans:
+                own = d[:, at].argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(own), k, dtype="int64")),
+                        batch.column(key),
+                        pa.array(numbers[at][own]),
+                        pa.array(d[np.arange(len(own)), np.array(at)[own]]),
+                    ],
+                    ["k", key, "cluster", "distance2"],
+                )
+
+    key_type = points.schema[key].dataType.simpleString()
+    return points.select(key, "features").mapInArrow(
+        assign, f"k bigint, `{key}` {key_type}, cluster bigint, distance2 double"
     )
+
+
+def _nearest_by_join(points: DataFrame, centers: DataFrame, key: str) -> DataFrame:
+    """`nearest_centroid` for more centers than a task should hold: distances to each
+    center as rows, the least kept."""
+    ks = F.array_sort(F.collect_set(F.col("k").cast("bigint")))
+    asked = points.select(key, "features").withColumn("k", F.explode(centers.agg(ks).scalar()))
+    d = squared_distance(F.col("features"), F.col("center"))
+    best = F.min(F.struct(d.alias("distance2"), "cluster"))
     return (
-        points.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in sorted(ks)])))
-        .join(_bounded(per_k), "k")
-        .withColumn("best", best)
+        asked.join(centers.select("k", "cluster", "center"), "k")
+        .groupBy("k", key)
+        .agg(best.alias("best"))
         .select("k", key, F.col("best.cluster").alias("cluster"), F.col("best.distance2").alias("distance2"))
     )
 
@@ -70,17 +103,21 @@ def kmeans_step(points: DataFrame, centers: DataFrame, key: str) -> DataFrame:
 def inertia(
     points: DataFrame, clusters: DataFrame, key: str, centers: DataFrame | None = None
 ) -> DataFrame:
-    """(k, inertia): squared distances to the given or the mean centers, summed.
-    Centers are matched by (k, cluster), so cluster numbers may have gaps."""
-    if centers is None:
-        centers = cluster_means(points, clusters, key)
-    return (
-        clusters.select("k", key, "cluster")
-        .join(points, key)
-        .join(_bounded(centers.select("k", "cluster", "center")), ["k", "cluster"])
-        .groupBy("k")
-        .agg(F.sum(squared_distance(F.col("features"), F.col("center"))).alias("inertia"))
-    )
+    """(k, inertia): squared distances to the mean or the given centers, summed.
+
+    One aggregation per cluster: around its mean a cluster has (n - 1) times its
+    variance, around any other center n times the squared offset more. Centers are
+    matched by (k, cluster), so cluster numbers may have gaps.
+    """
+    member = clusters.select("k", key, "cluster").join(points, key)
+    stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features"))
+    per = member.groupBy("k", "cluster").agg(stats.alias("s"))
+    spread = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, v: a + v)
+    total = spread * (F.col("s.count") - 1)
+    if centers is not None:
+        per = per.join(centers.select("k", "cluster", "center"), ["k", "cluster"])
+        total = total + F.col("s.count") * squared_distance(vector_to_array("s.mean"), F.col("center"))
+    return per.groupBy("k").agg(F.sum(total).alias("inertia"))
 
 
 def ordered_points(points: DataFrame, key: str, rows: int) -> DataFrame:

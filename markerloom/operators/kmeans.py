@@ -32,12 +32,12 @@ FEW_PARTITIONS = 16
 Run = tuple[int, int]  # (k, restart)
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+def feature_rows(batch: pa.RecordBatch) -> np.ndarray:
     rows = batch.column("features")
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
-def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
     return np.maximum(d, 0.0)
 
@@ -67,11 +67,11 @@ def spread_centers(
         def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple[float, np.ndarray]] = {}
             for batch in batches:
-                x = _matrix(batch) - mean
+                x = feature_rows(batch) - mean
                 keys = batch.column("h").to_numpy(zero_copy_only=False).view("uint64")
                 for i, (run, c) in enumerate(open_.items()):
                     u = _uniform(keys, seed * 1_000_003 + run[0] * 10_007 + run[1] * 101 + turn)
-                    rate = np.ones(len(x)) if turn == 0 else _squared(x, c).min(axis=1)
+                    rate = np.ones(len(x)) if turn == 0 else squared_distances(x, c).min(axis=1)
                     # Rows at distance 0 come last, in order of their draw.
                     time = np.where(rate > 1e-12, -np.log(u) / np.maximum(rate, 1e-12), 1e300 * (1.0 + u))
                     j = int(time.argmin())
@@ -134,8 +134,8 @@ def lloyd(
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size, cost, total = np.zeros(len(stacked), "int64"), np.zeros(len(stacked)), np.zeros(stacked.shape)
             for batch in batches:
-                x = _matrix(batch) - mean
-                d = _squared(x, stacked)
+                x = feature_rows(batch) - mean
+                d = squared_distances(x, stacked)
                 for a, b in spans:
                     own = d[:, a:b].argmin(axis=1)
                     near = d[np.arange(len(x)), a + own]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from markerloom.functions.ordered import dense_index
+from markerloom.functions.ordered import dense_index, largest_group
 from markerloom.functions.scalars import clip_index, draw, first_max_index
 from markerloom.session import checkpointed
 
@@ -34,8 +34,10 @@ class Learning:
         return self.max_k - self.min_k + 1
 
 
-# Order values per chunk of a transition log; a state has at most one row each.
-CHUNK_SPAN = 65_536
+# Transitions of one state that are folded in one go.
+CHUNK_ROWS = 65_536
+# Entries a fold writes its story in at a time.
+STORY_BLOCK = 64
 # Visits that one state can collect in one fold.
 FOLD_VISITS = 20_000
 # Draws that may be broadcast to the samples.
@@ -171,19 +173,51 @@ def _step(q: Column, action: Column, reward: Column, alpha: float, gamma: float)
     return F.transform(q, lambda x, i: F.when(i == action, target(x)).otherwise(x))
 
 
-def _chunk_logs(transitions: DataFrame, order: str, n_actions: int, span: int) -> DataFrame:
-    """(state, chunk, log): the ordered transitions of a state per range of `order`.
-    Orders are unique per state, so a log has at most `span` entries."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fold_and_tell(log: str, start: Column, step: Callable, fields: str) -> Column:
+    """Struct of the final q and what every step told, in blocks t. A list that grows
+    by one entry is copied each time, so entries are gathered per block first."""
+    none = F.expr(f"cast(array() as array<struct<{fields}>>)")
+    nothing = F.expr(f"cast(array() as array<array<struct<{fields}>>>)")
+    last = F.floor((F.size(log) - 1) / F.lit(STORY_BLOCK)).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda b: F.slice(F.col(log), b * F.lit(STORY_BLOCK) + 1, F.lit(STORY_BLOCK)),
+    )
+
+    def block(acc: Column, entries: Column) -> Column:
+        inner = F.aggregate(entries, F.struct(acc["q"].alias("q"), none.alias("t")), step)
+        return _once(
+            inner, lambda r: F.struct(r["q"].alias("q"), F.array_append(acc["t"], r["t"]).alias("t"))
+        )
+
+    return F.aggregate(blocks, F.struct(start.alias("q"), nothing.alias("t")), block)
+
+
+def _chunk_logs(transitions: DataFrame, order: str, n_actions: int, chunk_rows: int) -> DataFrame:
+    """(state, chunk, log): the ordered transitions of a state, about `chunk_rows` at a
+    time. Chunks are whole ranges of the order, which is unique within a state, so
+    their sizes follow from counts per range."""
     entry = F.struct(
         F.col(order).alias("o"),
         clip_index(F.col("action"), n_actions).alias("a"),
         F.col("reward").cast("double").alias("r"),
     )
-    return (
-        transitions.withColumn("chunk", F.floor(F.col(order) / F.lit(span)).cast("bigint"))
-        .groupBy("state", "chunk")
-        .agg(F.array_sort(F.collect_list(entry)).alias("log"))
-    )
+    rows = transitions.select("state", F.col(order).cast("bigint").alias(order), entry.alias("e"))
+    if largest_group(rows, ["state"]) <= chunk_rows:
+        tagged = rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    else:
+        width = max(1, chunk_rows // 4)
+        ranged = rows.withColumn("range", F.floor(F.col(order) / F.lit(width)))
+        sizes = ranged.groupBy("state", "range").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(W.partitionBy("state").orderBy("range")) - F.col("n")
+        chunk = F.floor(before / F.lit(chunk_rows)).cast("bigint").alias("chunk")
+        tagged = ranged.join(sizes.select("state", "range", chunk), ["state", "range"])
+    return tagged.groupBy("state", "chunk").agg(F.array_sort(F.collect_list("e")).alias("log"))
 
 
 def _solve_chunks(
@@ -243,14 +277,14 @@ def q_update(
     n_actions: int = 9,
     q0: DataFrame | None = None,
     order: str = "seq",
-    span: int = CHUNK_SPAN,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(state, action, q) after the self-loop transitions(state, order, action, reward)
     were applied in order, starting from q0 or zeros. Dense for the states present.
 
     `order` is an integer, unique within a state.
     """
-    done = _solve_chunks(_chunk_logs(transitions, order, n_actions, span), q0, alpha, gamma, n_actions)
+    done = _solve_chunks(_chunk_logs(transitions, order, n_actions, chunk_rows), q0, alpha, gamma, n_actions)
     cells = done.select("state", "chunk", "seen", "q0", F.posexplode("q_end").alias("action", "q"))
     cells = cells.withColumn("action", F.col("action").cast("bigint"))
     hit = F.array_contains("seen", F.col("action"))
@@ -273,23 +307,23 @@ def td_error(
     n_actions: int = 9,
     q0: DataFrame | None = None,
     order: str = "seq",
-    span: int = CHUNK_SPAN,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(state, order, td_error) of every transition."""
-    done = _solve_chunks(_chunk_logs(transitions, order, n_actions, span), q0, alpha, gamma, n_actions)
-    empty = F.expr(f"cast(array() as array<struct<{order}: bigint, td_error: double>>)")
+    done = _solve_chunks(_chunk_logs(transitions, order, n_actions, chunk_rows), q0, alpha, gamma, n_actions)
+    fields = f"{order}: bigint, td_error: double"
 
     def step(acc: Column, e: Column) -> Column:
         q = acc["q"]
         error = e["r"] + F.lit(gamma) * F.array_max(q) - F.get(q, e["a"].cast("int"))
-        told = F.struct(e["o"].cast("bigint").alias(order), error.alias("td_error"))
+        told = F.struct(e["o"].alias(order), error.alias("td_error"))
         return F.struct(
             _step(q, e["a"], e["r"], alpha, gamma).alias("q"),
             F.array_append(acc["t"], told).alias("t"),
         )
 
-    story = F.aggregate("log", F.struct(F.col("start").alias("q"), empty.alias("t")), step)
-    return done.select("state", F.inline(story["t"]))
+    story = done.withColumn("r", _fold_and_tell("log", F.col("start"), step, fields))
+    return story.select("state", F.inline(F.flatten("r.t")))
 
 
 def q_sweep(
@@ -405,15 +439,14 @@ def fold_visits(
             told = F.struct(e["iteration"].alias("iteration"), e["rank"].alias("rank"), a.alias("action"))
             return F.struct(
                 _step(acc["q"], a, F.get(pay, a.cast("int")), p.alpha, p.gamma).alias("q"),
-                F.array_append(acc["log"], told).alias("log"),
+                F.array_append(acc["t"], told).alias("t"),
             )
 
-        # A one-element transform names the action, so it is worked out once.
-        return F.get(F.transform(F.array(action), act), F.lit(0))
+        return _once(action, act)
 
-    empty = F.expr("cast(array() as array<struct<iteration: bigint, rank: bigint, action: bigint>>)")
-    start = F.struct(F.col("q0").alias("q"), empty.alias("log"))
-    return grouped.select("state", F.aggregate("visits", start, step).alias("r")).select("state", "r.q", "r.log")
+    fields = "iteration: bigint, rank: bigint, action: bigint"
+    folded = grouped.select("state", _fold_and_tell("visits", F.col("q0"), step, fields).alias("r"))
+    return folded.select("state", "r.q", F.flatten("r.t").alias("log"))
 
 
 def learn(

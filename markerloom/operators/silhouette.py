@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,29 +41,33 @@ def _members(labels: pd.Series, groups: int) -> np.ndarray:
 
 
 class _Sweep:
-    """Clusterings with their (k, cluster) pairs numbered 0..groups-1."""
+    """Clusterings with their (k, cluster) pairs numbered 0..groups-1, k ascending."""
 
     def __init__(self, clusters: DataFrame, key: str):
         # At most the sum of all k, a few dozen rows.
         rows = clusters.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()
+        if not rows:
+            raise ValueError("no clusterings to score")
+        self.key = key
         self.sizes = sorted((r["k"], r["cluster"], r["n"]) for r in rows)
         self.ks = sorted({k for k, _, _ in self.sizes})
-        self.key = key
-        number = {(k, c): g for g, (k, c, _) in enumerate(self.sizes)}
-        at = F.create_map(*[F.lit(x) for (k, c), g in number.items() for x in (f"{k}/{c}", g)])
-        own = at[F.concat_ws("/", "k", "cluster")]
+        number = [x for g, (k, c, _) in enumerate(self.sizes) for x in (F.lit(f"{k}/{c}"), F.lit(g))]
+        own = F.create_map(*number)[F.concat_ws("/", "k", "cluster")]
         self.labels = (
-            clusters.withColumn("own", own)
+            clusters.select(key, own.alias("own"))
             .groupBy(key)
             .agg(F.sort_array(F.collect_list("own")).alias("own"))
         )
 
-    def groups_of(self, k) -> list[tuple[int, int]]:
-        return [(g, n) for g, (kk, _, n) in enumerate(self.sizes) if kk == k]
+    def groups_of(self, k) -> list[int]:
+        return [g for g, (kk, _, _) in enumerate(self.sizes) if kk == k]
+
+    def size_column(self) -> Column:
+        return F.array(*[F.lit(float(n)) for _, _, n in self.sizes])
 
 
 def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFrame:
-    """(key, own, s0..sG): summed distances of each row to each group."""
+    """(key, own, s): the groups of each row and its summed distances to all groups."""
     key, groups = sweep.key, len(sweep.sizes)
     rows = sum(n for k, _, n in sweep.sizes if k == sweep.ks[0])
     blocks = max(1, -(-rows // block_rows))
@@ -76,30 +82,29 @@ def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFra
     paired = other.select(
         "id", "features", "own", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
     )
-    names = [f"s{g}" for g in range(groups)]
 
     def sums_of(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         sides = [pdf[pdf["b"] == i], pdf[pdf["b"] == j]]
         if sides[0].empty or sides[1].empty:
-            return pd.DataFrame({"id": pdf["id"].iloc[:0], **{s: np.zeros(0) for s in names}})
-        x, y = (np.stack(s["features"].to_list()) for s in sides)
-        hot = [_members(s["own"], groups) for s in sides]
+            return pd.DataFrame({"id": pdf["id"].iloc[:0], "own": [], "s": []})
+        x, y = (np.stack(side["features"].to_list()) for side in sides)
+        hot = [_members(side["own"], groups) for side in sides]
         d = _block_distances(x, y)
         found = [(sides[0], d @ hot[1])] if i == j else [(sides[0], d @ hot[1]), (sides[1], d.T @ hot[0])]
-        parts = [pd.DataFrame(t, columns=names).assign(id=s["id"].to_numpy()) for s, t in found]
-        return pd.concat(parts)[["id", *names]]
+        return pd.concat([side[["id", "own"]].assign(s=list(s)) for side, s in found])
 
     id_type = points.schema[key].dataType.simpleString()
-    schema = f"id {id_type}, " + ", ".join(f"{s} double" for s in names)
-    sums = (
+    return (
         paired.groupBy("i", "j")
-        .applyInPandas(sums_of, schema)
-        .groupBy("id")
-        .agg(*[F.sum(s).alias(s) for s in names])
-        .withColumnRenamed("id", key)
+        .applyInPandas(sums_of, f"id {id_type}, own array<int>, s array<double>")
+        .groupBy(F.col("id").alias(key))
+        .agg(
+            F.first("own").alias("own"),
+            vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"),
+        )
+        .withColumn("n", sweep.size_column())
     )
-    return sums.join(sweep.labels, key)
 
 
 def cluster_distances(
@@ -108,19 +113,24 @@ def cluster_distances(
     """(k, key, cluster, n, mean_distance): mean distance of each row to the members
     of each cluster; the row itself does not count in its own cluster."""
     sweep = _Sweep(clusters, key)
-    sums = _distance_sums(points, sweep, block_rows)
-    cells = []
-    for g, (k, c, n) in enumerate(sweep.sizes):
-        others = F.lit(n) - F.when(F.array_contains("own", F.lit(g)), 1).otherwise(0)
-        cells.append(
-            F.struct(
-                F.lit(k).cast("bigint").alias("k"),
-                F.lit(c).cast("bigint").alias("cluster"),
-                others.cast("bigint").alias("n"),
-                F.when(others > 0, F.col(f"s{g}") / others).alias("mean_distance"),
-            )
+    groups = F.array(
+        *[
+            F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(c).cast("bigint").alias("cluster"))
+            for k, c, _ in sweep.sizes
+        ]
+    )
+
+    def cell(group: Column, g: Column) -> Column:
+        others = F.get("n", g) - F.when(F.array_contains("own", g), 1.0).otherwise(0.0)
+        return F.struct(
+            group["k"].alias("k"),
+            group["cluster"].alias("cluster"),
+            others.cast("bigint").alias("n"),
+            F.when(others > 0, F.get("s", g) / others).alias("mean_distance"),
         )
-    return sums.select(key, F.inline(F.array(*cells)))
+
+    sums = _distance_sums(points, sweep, block_rows)
+    return sums.select(key, F.inline(F.transform(groups, cell)))
 
 
 def silhouette(
@@ -129,28 +139,33 @@ def silhouette(
     """(k, silhouette): mean over all rows; 0 with fewer than two clusters or no
     more rows than clusters. Rows alone in their cluster score 0."""
     sweep = _Sweep(clusters, key)
+    rows = sum(n for k, _, n in sweep.sizes if k == sweep.ks[0])
+    runs = F.array(
+        *[
+            F.struct(
+                F.lit(k).cast("bigint").alias("k"),
+                F.array(*[F.lit(g) for g in groups]).alias("groups"),
+                F.lit(1 < len(groups) < rows).alias("defined"),
+            )
+            for k, groups in ((k, sweep.groups_of(k)) for k in sweep.ks)
+        ]
+    )
+
+    def pair(run: Column, i: Column) -> Column:
+        own = F.get("own", i)
+        n = F.get("n", own)
+        inside = F.when(n > 1, F.get("s", own) / (n - 1))
+        others = F.filter(run["groups"], lambda g: g != own)
+        near = F.array_min(F.transform(others, lambda g: F.get("s", g) / F.get("n", g)))
+        return F.struct(
+            run["k"].alias("k"), run["defined"].alias("defined"), inside.alias("a"), near.alias("b")
+        )
 
-    def width(k) -> Column:
-        groups = sweep.groups_of(k)
-        if len(groups) < 2 or sum(n for _, n in groups) <= len(groups):
-            return F.lit(0.0)
-        own = F.lit(None).cast("double")
-        others = []
-        for g, n in groups:
-            inside = F.array_contains("own", F.lit(g))
-            if n > 1:
-                own = F.when(inside, F.col(f"s{g}") / F.lit(float(n - 1))).otherwise(own)
-            others.append(F.when(~inside, F.col(f"s{g}") / F.lit(float(n))))
-        near = F.array_min(F.array(*others))
-        top = F.greatest(own, near)
-        return F.when(own.isNull() | (top == 0), 0.0).otherwise((near - own) / top)
-
-    if not sweep.ks:
-        raise ValueError("no clusterings to score")
     sums = _distance_sums(points, sweep, block_rows)
-    means = sums.agg(*[F.avg(width(k)).alias(f"k{i}") for i, k in enumerate(sweep.ks)])
-    cells = [
-        F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"k{i}").alias("silhouette"))
-        for i, k in enumerate(sweep.ks)
-    ]
-    return means.select(F.inline(F.array(*cells)))
+    top = F.greatest("a", "b")
+    width = F.when(F.col("a").isNull() | F.col("b").isNull() | ~F.col("defined") | (top == 0), 0.0)
+    return (
+        sums.select(F.inline(F.transform(runs, pair)))
+        .groupBy("k")
+        .agg(F.avg(width.otherwise((F.col("b") - F.col("a")) / top)).alias("silhouette"))
+    )

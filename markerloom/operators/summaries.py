@@ -22,13 +22,16 @@ def group_medians(
     columns: Sequence[str],
     direct_limit: int = DIRECT_LIMIT,
     biggest: int | None = None,
+    names: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, medians): exact medians of the finite values, null where there is none."""
-    clean = df.select(*keys, *[finite(F.col(c)).alias(c) for c in columns])
+    """(keys, names, medians): exact medians of the finite values, null where there is
+    none. `names` are columns that follow from the keys."""
+    carried = [F.first(n).alias(n) for n in names]
+    clean = df.select(*keys, *names, *[finite(F.col(c)).alias(c) for c in columns])
     if biggest is None:
         biggest = largest_group(df, keys)
     if biggest * len(columns) <= direct_limit:
-        return clean.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
+        return clean.groupBy(*keys).agg(*carried, *[F.median(c).alias(c) for c in columns])
     long = to_long(clean, keys, columns)
     found = exact_quantiles(
         long, [*keys, "marker"], "value", [0.5], direct_limit, biggest
@@ -37,12 +40,13 @@ def group_medians(
         *[F.max(F.when(F.col("marker") == c, F.col("m"))).alias(c) for c in columns]
     )
     # Keys without any finite value have no quantile but keep their row.
-    every = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n").alias("a")
+    every = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *carried).drop("__n").alias("a")
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     return every.join(wide.alias("b"), cond, "left").select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], *[F.col(f"b.{c}").alias(c) for c in columns]
+        *[F.col(f"a.{k}").alias(k) for k in [*keys, *names]],
+        *[F.col(f"b.{c}").alias(c) for c in columns],
     )
 
 
@@ -51,27 +55,30 @@ def summarize(
     keys: Sequence[str],
     columns: Sequence[str],
     method: str = "median",
-    name: str | None = "filename",
+    name: str | None = None,
     direct_limit: int = DIRECT_LIMIT,
     biggest: int | None = None,
 ) -> DataFrame:
-    """Per-sample medians, means or all rows of cleaned cells, plus the label.
+    """Per-sample medians, means or all rows of the cells, with the label the `name`
+    column gives. The name follows from the keys and is not grouped by.
 
     Cleaning fills a sample's gaps with its own median, or 0 if it has none. A
     median does not move when copies of it are added, and a mean moves by a known
     amount, so both come from the finite values without filling row by row.
     """
     if method == "all":
-        return df.select(*keys, *columns)
+        return df.select(*keys, *([name] if name else []), *columns)
     if method not in ("median", "mean"):
         raise ValueError(f"unknown aggregation: {method}")
-    out = group_medians(df, keys, columns, direct_limit, biggest).na.fill(0.0, list(columns))
+    names = [name] if name else []
+    out = group_medians(df, keys, columns, direct_limit, biggest, names).na.fill(0.0, list(columns))
     if method == "mean":
         sums = [F.sum(finite(F.col(c))).alias(f"s_{c}") for c in columns]
         gaps = [F.count_if(finite(F.col(c)).isNull()).alias(f"g_{c}") for c in columns]
         parts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *gaps)
         out = out.join(parts, list(keys)).select(
             *keys,
+            *names,
             *[
                 ((F.coalesce(f"s_{c}", F.lit(0.0)) + F.col(f"g_{c}") * F.col(c)) / F.col("n")).alias(c)
                 for c in columns

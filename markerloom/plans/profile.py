@@ -23,7 +23,7 @@ def profile_samples(
     direct_limit: int = DIRECT_LIMIT,
     biggest: int | None = None,
 ) -> DataFrame:
-    """(keys, markers, label, <feature>_bin, state): transformed, cleaned,
+    """(keys, name, markers, label, <feature>_bin, state): transformed, cleaned,
     summarized and binned. Cleaning is part of the summary, so the cells are
     aggregated without being joined to anything."""
     transformed = asinh_transform(cells, markers)

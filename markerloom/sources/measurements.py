@@ -214,4 +214,4 @@ def load_batch(
     cells = decode_measurements(files, markers)
     if transform:
         cells = asinh_transform(cells, markers)
-    return summarize(cells, ["path", "filename"], markers, method, biggest=biggest)
+    return summarize(cells, ["path"], markers, method, "filename", biggest=biggest)
