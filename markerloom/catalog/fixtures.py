@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.catalog.base import big, table
-from markerloom.functions.scalars import INF, NAN, zfill
+from markerloom.functions.scalars import INF, NAN, label_from_name, zfill
 from markerloom.operators.clustering import nearest_centroid
 from markerloom.operators.qtable import Learning
 from markerloom.plans.profile import profile_samples
@@ -23,13 +23,17 @@ KS = list(range(LEARNING.min_k, LEARNING.max_k + 1))
 # ---- cells: one sample per supplier, one cell per order line ----------------
 
 
+def sample_name(s: Column) -> Column:
+    suffix = F.when(s % 3 == 0, "_Positive").when(s % 3 == 1, "_neg").otherwise("")
+    return F.concat(F.lit("patient"), F.lpad(s.cast("string"), 5, "0"), suffix, F.lit(".fcs"))
+
+
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     li = parquet(spark, sf, "lineitem")
     s, spot = F.col("l_suppkey"), F.col("l_orderkey") + F.col("l_linenumber")
-    suffix = F.when(s % 3 == 0, "_Positive").when(s % 3 == 1, "_neg").otherwise("")
     return li.select(
         s.alias("sample_id"),
-        F.concat(F.lit("patient"), F.lpad(s.cast("string"), 5, "0"), suffix, F.lit(".fcs")).alias("filename"),
+        sample_name(s).alias("filename"),
         F.col("l_orderkey").alias("ord"),
         big("l_linenumber").alias("line"),
         F.when(spot % 101 == 0, F.lit(NAN))
@@ -103,8 +107,10 @@ table("samples", "SELECT *, (ifna_bin * 5 + il6_bin) * 5 + cd14_bin AS state FRO
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """(sample_id, filename, markers, label, bins, state), one row per supplier."""
-    return profile_samples(cells(spark, sf), ["sample_id"], MARKERS, BINS, FEATURES)
+    """(sample_id, markers, bins, state, filename, label), one row per supplier."""
+    rows = profile_samples(cells(spark, sf), ["sample_id"], MARKERS, BINS, FEATURES)
+    named = rows.withColumn("filename", sample_name(F.col("sample_id")))
+    return named.withColumn("label", label_from_name(F.col("filename")))
 
 
 # ---- matrix and fixed clusterings of the samples ----------------------------
