@@ -156,13 +156,14 @@ def _phase1(spark, sf):
 
 @query("SELECT iteration, rank, sample_id FROM onebatch", ("onebatch",))
 def minibatch(spark, sf):
-    return Q.minibatch(X.samples(spark, sf), S, P).select("iteration", "rank", S)
+    return Q.minibatch(checkpointed(X.samples(spark, sf)), S, P).select("iteration", "rank", S)
 
 
 @query("SELECT iteration, rank, state, explore FROM onevis", ("onevis",))
 def epsilon_greedy(spark, sf):
     """The exploring visits with their action, -1 where the greedy one is taken."""
-    return Q.explored_visits(Q.minibatch(X.samples(spark, sf), S, P), P).select("iteration", "rank", "state", "explore")
+    batches = Q.minibatch(checkpointed(X.samples(spark, sf)), S, P)
+    return Q.explored_visits(batches, P).select("iteration", "rank", "state", "explore")
 
 
 # ---- update rule -------------------------------------------------------------------

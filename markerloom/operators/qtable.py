@@ -378,7 +378,8 @@ def minibatch(samples: DataFrame, key: str, p: Learning = Learning()) -> DataFra
 
     Floyd's method draws the indices of an iteration in `batch` steps, every subset
     being equally likely, so the draws are iterations x batch rows however many
-    samples there are, and meet them by index.
+    samples there are, and meet them by index. The samples are read three times: pass
+    a stored table.
     """
     indexed = dense_index(samples, key)
     n = samples.agg(F.count(F.lit(1))).scalar()

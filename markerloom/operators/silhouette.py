@@ -15,8 +15,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows per block: a pair of blocks is a 2048 x 2048 matrix of 32 MB.
+# Rows per block. Every row is sent to as many pairs as there are blocks, so blocks
+# grow with the matrix once there are enough pairs to keep a cluster busy.
 BLOCK_ROWS = 2048
+BUSY_BLOCKS = 128
+LARGEST_BLOCK = 65_536
+# Distances held at a time: 32 MB.
+STRIP_CELLS = 4_194_304
+
+
+def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    blocks = min(-(-rows // block_rows), BUSY_BLOCKS)
+    return max(1, blocks, -(-rows // LARGEST_BLOCK))
 
 
 def _block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,7 +80,7 @@ def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFra
     """(key, own, s): the groups of each row and its summed distances to all groups."""
     key, groups = sweep.key, len(sweep.sizes)
     rows = sum(n for k, _, n in sweep.sizes if k == sweep.ks[0])
-    blocks = max(1, -(-rows // block_rows))
+    blocks = block_count(rows, block_rows)
     tagged = points.join(sweep.labels, key).select(
         F.col(key).alias("id"),
         "features",
@@ -90,8 +100,14 @@ def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFra
             return pd.DataFrame({"id": pdf["id"].iloc[:0], "own": [], "s": []})
         x, y = (np.stack(side["features"].to_list()) for side in sides)
         hot = [_members(side["own"], groups) for side in sides]
-        d = _block_distances(x, y)
-        found = [(sides[0], d @ hot[1])] if i == j else [(sides[0], d @ hot[1]), (sides[1], d.T @ hot[0])]
+        sums = [np.zeros((len(x), groups)), np.zeros((len(y), groups))]
+        strip = max(1, STRIP_CELLS // len(y))
+        for a in range(0, len(x), strip):
+            d = _block_distances(x[a : a + strip], y)
+            sums[0][a : a + strip] = d @ hot[1]
+            if i != j:
+                sums[1] += d.T @ hot[0][a : a + strip]
+        found = list(zip(sides, sums))[: 1 if i == j else 2]
         return pd.concat([side[["id", "own"]].assign(s=list(s)) for side, s in found])
 
     id_type = points.schema[key].dataType.simpleString()

@@ -16,7 +16,7 @@ def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
     return df.unpivot(list(keys), list(columns), "marker", "value")
 
 
-def group_medians(
+def sample_medians(
     df: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
@@ -24,30 +24,36 @@ def group_medians(
     biggest: int | None = None,
     names: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, names, medians): exact medians of the finite values, null where there is
-    none. `names` are columns that follow from the keys."""
-    carried = [F.first(n).alias(n) for n in names]
-    clean = df.select(*keys, *names, *[finite(F.col(c)).alias(c) for c in columns])
+    """(keys, names, medians): per key the exact median of the finite values; 0 if there
+    are values but none is finite; null if the column holds nulls only, as for a
+    marker the sample does not have. `names` are columns that follow from the keys."""
+    good = df.select(
+        *keys,
+        *names,
+        *[finite(F.col(c)).alias(c) for c in columns],
+        *[F.col(c).isNotNull().alias(f"__{c}") for c in columns],
+    )
     if biggest is None:
         biggest = largest_group(df, keys)
+    seen = [F.max(f"__{c}").alias(f"__{c}") for c in columns]
+    carried = [F.first(n).alias(n) for n in names]
     if biggest * len(columns) <= direct_limit:
-        return clean.groupBy(*keys).agg(*carried, *[F.median(c).alias(c) for c in columns])
-    long = to_long(clean, keys, columns)
-    found = exact_quantiles(
-        long, [*keys, "marker"], "value", [0.5], direct_limit, biggest
-    ).withColumn("m", F.col("q")[0])
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("marker") == c, F.col("m"))).alias(c) for c in columns]
-    )
-    # Keys without any finite value have no quantile but keep their row.
-    every = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *carried).drop("__n").alias("a")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return every.join(wide.alias("b"), cond, "left").select(
-        *[F.col(f"a.{k}").alias(k) for k in [*keys, *names]],
-        *[F.col(f"b.{c}").alias(c) for c in columns],
-    )
+        out = good.groupBy(*keys).agg(*carried, *seen, *[F.median(c).alias(c) for c in columns])
+    else:
+        long = to_long(good.select(*keys, *columns), keys, columns)
+        found = exact_quantiles(long, [*keys, "marker"], "value", [0.5], direct_limit, biggest)
+        middle = F.col("q")[0]
+        wide = found.groupBy(*keys).agg(
+            *[F.max(F.when(F.col("marker") == c, middle)).alias(c) for c in columns]
+        )
+        # Keys without any finite value have no quantile but keep their row.
+        every = good.groupBy(*keys).agg(*carried, *seen).alias("a")
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        out = every.join(wide.alias("b"), cond, "left").select("a.*", *[f"b.{c}" for c in columns])
+    filled = [F.when(F.col(f"__{c}"), F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
+    return out.select(*keys, *names, *filled)
 
 
 def summarize(
@@ -62,8 +68,8 @@ def summarize(
     """Per-sample medians, means or all rows of the cells, with the label the `name`
     column gives. The name follows from the keys and is not grouped by.
 
-    Cleaning fills a sample's gaps with its own median, or 0 if it has none. A
-    median does not move when copies of it are added, and a mean moves by a known
+    Cleaning fills a sample's gaps with its own median, or 0 if it has none, and
+    leaves markers the sample does not have null. A median does not move when copies of it are added, and a mean moves by a known
     amount, so both come from the finite values without filling row by row.
     """
     if method == "all":
@@ -71,7 +77,7 @@ def summarize(
     if method not in ("median", "mean"):
         raise ValueError(f"unknown aggregation: {method}")
     names = [name] if name else []
-    out = group_medians(df, keys, columns, direct_limit, biggest, names).na.fill(0.0, list(columns))
+    out = sample_medians(df, keys, columns, direct_limit, biggest, names)
     if method == "mean":
         sums = [F.sum(finite(F.col(c))).alias(f"s_{c}") for c in columns]
         gaps = [F.count_if(finite(F.col(c)).isNull()).alias(f"g_{c}") for c in columns]

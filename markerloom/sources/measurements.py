@@ -11,13 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markerloom.functions.scalars import basename
+from markerloom.functions.scalars import COFACTOR, basename, label_from_name
+from markerloom.operators.cleaning import asinh_transform, clean_values
 from markerloom.operators.markers import resolved_name
-from markerloom.operators.summaries import summarize
-from markerloom.operators.cleaning import asinh_transform
 
 SLICE_BYTES = 256 * 1024
 
@@ -171,17 +171,23 @@ def decode_measurements(
     names, null where a file lacks a marker. Unreadable files have no rows."""
     markers = list(markers)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
+    names = ["path", "filename", "event", *markers]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pandas().itertuples(index=False):
                 event, values = _columns(row)
-                out = {"path": row.path, "filename": row.filename, "event": event}
-                for m, i in zip(markers, row.picks):
-                    out[m] = values[i] if i >= 0 else np.full(len(event), np.nan)
-                yield pd.DataFrame(out)
+                n = len(event)
+                # NaN is a value of the file, null a marker it does not have.
+                picked = [
+                    pa.array(values[i], from_pandas=False) if i >= 0 else pa.nulls(n, pa.float64())
+                    for i in row.picks
+                ]
+                same = [pa.array([x] * n, pa.string()) for x in (row.path, row.filename)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(event), *picked], names)
 
     schema = "path string, filename string, event bigint, " + ", ".join(f"`{m}` double" for m in markers)
-    return _slices(files, markers, slice_bytes).mapInPandas(decode, schema)
+    return _slices(files, markers, slice_bytes).mapInArrow(decode, schema)
 
 
 def decode_long(files: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -207,11 +213,59 @@ def channels(files: DataFrame) -> DataFrame:
 
 
 def load_batch(
-    files: DataFrame, markers: Sequence[str], method: str = "median", transform: bool = True
+    files: DataFrame,
+    markers: Sequence[str],
+    method: str = "median",
+    transform: bool = True,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Scan and summarize in one call: one row per path, the file name for display."""
-    biggest = scan_manifest(files, markers).agg(F.max("n_events")).first()[0] or 0
-    cells = decode_measurements(files, markers)
-    if transform:
-        cells = asinh_transform(cells, markers)
-    return summarize(cells, ["path"], markers, method, "filename", biggest=biggest)
+    """(path, filename, <marker>..., label): scan, transform, clean and summarize.
+
+    The slices of a file follow each other in one task, so each file is summarized
+    where it is read and no cell is shuffled. A task holds the requested markers of
+    one file, which binaryFile keeps below 2 GB. With "all" the cells are returned.
+    """
+    markers = list(markers)
+    if method == "all":
+        cells = decode_measurements(files, markers, slice_bytes)
+        cells = asinh_transform(cells, markers) if transform else cells
+        return clean_values(cells, ["path"], markers).drop("event")
+    if method not in ("median", "mean"):
+        raise ValueError(f"unknown aggregation: {method}")
+
+    def summary(parts: list[list[np.ndarray | None]]) -> dict:
+        row: dict = {}
+        for m, arrays in zip(markers, zip(*parts)):
+            if arrays[0] is None:
+                row[m] = None
+                continue
+            x = np.concatenate(arrays)
+            x = np.arcsinh(x / COFACTOR) if transform else x
+            good = x[np.isfinite(x)]
+            middle = float(np.median(good)) if len(good) else 0.0
+            filled = (good.sum() + (len(x) - len(good)) * middle) / len(x)
+            row[m] = middle if method == "median" else filled
+        return row
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: tuple | None = None
+        parts: list = []
+
+        def one() -> pd.DataFrame:
+            row = {"path": current[0], "filename": current[1], **summary(parts)}
+            return pd.DataFrame([row]).astype(dict.fromkeys(markers, "float64"))
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if (row.path, row.filename) != current:
+                    if parts:
+                        yield one()
+                    current, parts = (row.path, row.filename), []
+                values = _columns(row)[1]
+                parts.append([values[i] if i >= 0 else None for i in row.picks])
+        if parts:
+            yield one()
+
+    schema = "path string, filename string, " + ", ".join(f"`{m}` double" for m in markers)
+    out = _slices(files, markers, slice_bytes).mapInPandas(reduce, schema)
+    return out.withColumn("label", label_from_name(F.col("filename")))
