@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from markerloom.session import checkpointed, stored_small
+
 # Values of one key that `percentile` may hold in the memory of one task.
 DIRECT_LIMIT = 100_000
 
@@ -57,7 +59,8 @@ def _narrow(counts: DataFrame, group: list[str], by: str) -> DataFrame:
 
 
 def _select_ranks(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """(keys, n, rank, v) for the ranks the probabilities need."""
+    """(keys, n, rank, v) for the ranks the probabilities need. Reads the rows twice;
+    what is left after that, one rounded value per rank, is stored."""
     every = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
     pos = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     ranks = F.array_distinct(
@@ -70,14 +73,15 @@ def _select_ranks(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> D
         .withColumn("before", F.lit(0).cast("bigint"))
         .withColumn("ranks", ranks)
     )
-    hit1 = _narrow(level1, keys, "b8")
+    # A few rows per key; the rows are read once for them and once for `values`.
+    hit1 = stored_small(_narrow(level1, keys, "b8"))
 
     tagged = rows.withColumn("b8", coarse(F.col("v"), 8)).alias("r")
     wanted = hit1.alias("h")
     cond = F.col("r.b8").eqNullSafe(F.col("h.b8"))
     for k in keys:
         cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}"))
-    values = (
+    values = checkpointed(
         tagged.join(wanted, cond, "left_semi")
         .groupBy(*keys, "b8", "v")
         .agg(F.count(F.lit(1)).alias("c"))

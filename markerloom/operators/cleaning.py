@@ -12,6 +12,7 @@ from markerloom.functions.ordered import DIRECT_LIMIT, exact_quantiles
 from markerloom.functions.scalars import finite, scaled_asinh, zfill
 from markerloom.operators.markers import located_name
 from markerloom.operators.summaries import sample_medians, to_long
+from markerloom.session import stored_small
 
 NOT_FEATURES = {"filename", "label", "diagnosis"}
 
@@ -30,11 +31,11 @@ def clean_values(
     """NaN, null and infinities become the sample's median, or 0 if none of its values is
     finite. A marker that a sample has nulls for only is absent and stays null.
 
-    The medians are one row per sample. The join is left to AQE: broadcast when
-    they turn out small, else a sort-merge join whose hot samples it splits.
+    The medians are one row per sample, stored and broadcast if they are few. Beyond
+    that it is a sort-merge join, whose hot samples AQE splits.
     """
     medians = sample_medians(df, keys, columns, direct_limit, biggest)
-    medians = medians.withColumnsRenamed({c: f"__{c}" for c in columns})
+    medians = stored_small(medians.withColumnsRenamed({c: f"__{c}" for c in columns}))
     filled = {c: F.coalesce(finite(F.col(c)), F.col(f"__{c}")) for c in columns}
     out = df.join(medians, list(keys)).withColumns(filled)
     return out.select(*df.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.ordered import dense_index, largest_group
 from markerloom.functions.scalars import clip_index, draw, first_max_index
-from markerloom.session import checkpointed
+from markerloom.session import checkpointed, stored_small
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def action_space(ks: DataFrame) -> DataFrame:
 
 def action_of_k(ks: DataFrame, actions: DataFrame) -> DataFrame:
     """Adds the action of each k, null where k is no action."""
-    return ks.join(F.broadcast(actions), "k", "left")
+    return ks.join(actions, "k", "left")
 
 
 def require_actions(ks: DataFrame, actions: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def _chunk_logs(transitions: DataFrame, order: str, n_actions: int, chunk_rows:
         sizes = ranged.groupBy("state", "range").agg(F.count(F.lit(1)).alias("n"))
         before = F.sum("n").over(W.partitionBy("state").orderBy("range")) - F.col("n")
         chunk = F.floor(before / F.lit(chunk_rows)).cast("bigint").alias("chunk")
-        tagged = ranged.join(sizes.select("state", "range", chunk), ["state", "range"])
+        tagged = ranged.join(stored_small(sizes.select("state", "range", chunk)), ["state", "range"])
     return tagged.groupBy("state", "chunk").agg(F.array_sort(F.collect_list("e")).alias("log"))
 
 

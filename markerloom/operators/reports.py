@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.scalars import finite
 from markerloom.operators.markers import located_name
+from markerloom.session import stored_small
 
 # Widest averaging window and bars of a histogram.
 MAX_WINDOW = 50
@@ -52,10 +53,12 @@ def feature_histogram(values: DataFrame, bars: int = BARS) -> DataFrame:
     clean = values.select("marker", finite(F.col("value").cast("double")).alias("x")).dropna()
     span = clean.groupBy("marker").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
-    span = span.select(
-        "marker",
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    span = stored_small(
+        span.select(
+            "marker",
+            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        )
     )
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bars))
     bar = F.least(F.lit(bars - 1), F.floor((F.col("x") - F.col("lo")) / width)).cast("bigint")

@@ -6,9 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DIR = "spark.checkpoint.dir"
 
+# Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 500_000
+
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the benchmark; a cluster brings its own."""
@@ -53,3 +57,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table written once, marked for broadcast if it has at most max_rows rows.
+
+    Joining a large table to a small derived one would else shuffle the large one
+    before its partner's size is known. A bigger partner gets the ordinary join.
+    """
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
