@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _with_requests(channels: DataFrame, markers: Sequence[str]) -> DataFrame:
-    asked = F.array(*[F.struct(F.lit(i).alias("nr"), F.lit(m).alias("marker")) for i, m in enumerate(markers)])
-    return channels.withColumn("ask", F.explode(asked)).select("*", "ask.*").drop("ask")
+def _per_request(channels: DataFrame, markers: Sequence[str]) -> DataFrame:
+    """(file, channels, marker): the channels of a file in file order, as one short
+    array, once per requested marker."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "channel")))
+    files = channels.groupBy("file").agg(F.transform(listed, lambda c: c["channel"]).alias("channels"))
+    return files.withColumn("marker", F.explode(F.array(*[F.lit(m) for m in markers])))
+
+
+def _first(test: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter("channels", test), F.lit(0))
 
 
 def resolve_markers(channels: DataFrame, markers: Sequence[str]) -> DataFrame:
@@ -19,31 +26,21 @@ def resolve_markers(channels: DataFrame, markers: Sequence[str]) -> DataFrame:
     Exact name, else equal ignoring case, else the first channel containing the
     marker. Unmatched markers have no row; two markers may share a channel.
     """
-    low = F.lower("channel")
-    rank = (
-        F.when(F.col("channel") == F.col("marker"), 0)
-        .when(low == F.lower("marker"), 1)
-        .when(low.contains(F.lower("marker")), 2)
-    )
-    return (
-        _with_requests(channels, markers)
-        .withColumn("rank", rank)
-        .where(F.col("rank").isNotNull())
-        .groupBy("file", "marker")
-        .agg(F.min(F.struct("rank", "pos", "channel")).alias("best"))
-        .select("file", "marker", F.col("best.channel").alias("channel"))
+    marker = F.col("marker")
+    best = F.coalesce(
+        _first(lambda c: c == marker),
+        _first(lambda c: F.lower(c) == F.lower(marker)),
+        _first(lambda c: F.lower(c).contains(F.lower(marker))),
     )
+    found = _per_request(channels, markers).select("file", "marker", best.alias("channel"))
+    return found.where(F.col("channel").isNotNull())
 
 
 def locate_marker(channels: DataFrame, markers: Sequence[str]) -> DataFrame:
     """(file, marker, channel): first channel containing the marker, else its name."""
-    hit = F.when(F.lower("channel").contains(F.lower("marker")), F.struct("pos", "channel"))
-    return (
-        _with_requests(channels, markers)
-        .groupBy("file", "marker")
-        .agg(F.min(hit).alias("best"))
-        .select("file", "marker", F.coalesce("best.channel", "marker").alias("channel"))
-    )
+    marker = F.col("marker")
+    hit = _first(lambda c: F.lower(c).contains(F.lower(marker)))
+    return _per_request(channels, markers).select("file", "marker", F.coalesce(hit, marker).alias("channel"))
 
 
 def resolved_name(columns: Sequence[str], marker: str) -> str | None:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.ordered import running_totals
+from markerloom.session import checkpointed
 
 POSITIVE, NEGATIVE = "positive", "negative"
 MEASURES = ("f1", "mcc", "accuracy")
@@ -90,8 +91,10 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(n_pos, n_neg, auc): share of (positive, negative) pairs in the right order,
     ties half. Works on counts per distinct score; null where a class is absent."""
-    per_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("m")
+    per_score = checkpointed(
+        df.groupBy(F.col(score).cast("double").alias("s")).agg(
+            F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("m")
+        )
     )
     ranked = running_totals(per_score, "s", ["m"])
     wins = F.sum(F.col("p") * (F.col("m_before") + F.col("m") / 2.0))

@@ -531,24 +531,26 @@ def last_n_mean(episodes: DataFrame, order: Sequence[str] = ("phase", "iteration
 
 def agent_statistics(visits: DataFrame, p: Learning = Learning()) -> DataFrame:
     """One row: epsilon, episode rewards, exploration."""
-    episodes = record_episode(visits)
+    episodes = visits.groupBy("phase", "iteration").agg(
+        F.sum("reward").alias("total"),
+        F.count_if("explored").alias("explored"),
+        F.count_if(~F.col("explored")).alias("greedy"),
+    )
     over = episodes.agg(
         F.count(F.lit(1)).alias("n_episodes"),
         F.coalesce(F.avg("total"), F.lit(0.0)).alias("mean_reward"),
         F.coalesce(F.stddev_pop("total"), F.lit(0.0)).alias("std_reward"),
         F.min("total").alias("min_reward"),
         F.max("total").alias("max_reward"),
+        F.coalesce(F.sum("explored"), F.lit(0)).alias("total_exploration"),
+        F.coalesce(F.sum("greedy"), F.lit(0)).alias("total_exploitation"),
     )
-    explored = visits.agg(F.count_if("explored")).scalar()
-    greedy = visits.agg(F.count_if(~F.col("explored"))).scalar()
     both = F.col("total_exploration") + F.col("total_exploitation")
-    return (
-        over.withColumn("epsilon", epsilon(F.col("n_episodes"), p))
-        .withColumn("last_10_mean_reward", last_n_mean(episodes).scalar())
-        .withColumn("total_exploration", explored)
-        .withColumn("total_exploitation", greedy)
-        .withColumn(
-            "exploration_rate",
-            F.when(both > 0, F.col("total_exploration") / both).otherwise(0.0),
-        )
+    rate = F.when(both > 0, F.col("total_exploration") / both).otherwise(0.0)
+    return over.withColumns(
+        {
+            "epsilon": epsilon(F.col("n_episodes"), p),
+            "last_10_mean_reward": last_n_mean(episodes).scalar(),
+            "exploration_rate": rate,
+        }
     )
