@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
@@ -9,6 +10,7 @@ from markerloom.catalog.base import big, query, r6, rounded, table
 from markerloom.operators import clustering as C
 from markerloom.operators import metrics as ME
 from markerloom.operators.cleaning import normalize_label_rows
+from markerloom.operators.kmeans import centered, centers_table, lloyd, prepared
 from markerloom.operators.silhouette import cluster_distances
 from markerloom.operators.silhouette import silhouette as silhouette_of
 from markerloom.plans.discover import discover_bins
@@ -86,6 +88,44 @@ def quality_reward(spark, sf):
     )
 
 
+STEPS, K_STEPS = 3, 5
+table("l0ctr", f"SELECT cluster, center FROM vctr WHERE k = {K_STEPS}", ("vctr",))
+for _n in range(1, STEPS + 2):
+    table(
+        f"l{_n}asg",
+        f"""SELECT vec_id, features, cluster, d * d AS d2 FROM (
+  SELECT p.vec_id, p.features, c.cluster, list_distance(p.features, c.center) AS d FROM vec p, l{_n - 1}ctr c)
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1""",
+        ("vec", f"l{_n - 1}ctr"),
+    )
+    table(
+        f"l{_n}ctr",
+        f"""SELECT cluster, list(m ORDER BY i) AS center FROM (
+  SELECT cluster, i, avg(features[i]) AS m FROM l{_n}asg, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1""",
+        (f"l{_n}asg",),
+    )
+
+
+@query(
+    f"""SELECT cluster, i - 1 AS dim, round(center[i], 6) + 0.0 AS center,
+  (SELECT round(sum(d2), 6) + 0.0 FROM l{STEPS + 1}asg) AS inertia
+FROM l{STEPS}ctr, range(1, 65) t(i)""",
+    (f"l{STEPS}ctr", f"l{STEPS + 1}asg"),
+)
+def kmeans_iterations(spark, sf):
+    """Three iterations of the sweep's fit from given centers."""
+    points = X.vectors(spark, sf).select(V, "features")
+    first = X.first_centers(points, V, [K_STEPS]).orderBy("cluster").collect()
+    start = np.array([r["center"] for r in first])
+    ready = prepared(points, V, points.count()).persist()
+    mean, _ = centered(ready)
+    run = (K_STEPS, 0)
+    centers, cost = lloyd(ready, {run: start - mean}, STEPS, 0.0, mean)[run]
+    ready.unpersist()
+    rows = centers_table(spark, {K_STEPS: centers + mean}).select("cluster", F.posexplode("center").alias("dim", "center"))
+    return rows.select("cluster", big("dim").alias("dim"), r6("center").alias("center"), r6(F.lit(cost)).alias("inertia"))
+
+
 # ---- fits (their result has no SQL form) ----------------------------------------
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
 from markerloom.catalog.base import big, query, r6, rounded, table
-from markerloom.functions.scalars import NAN, clip_index, finite, label_from_name
+from markerloom.functions.scalars import NAN, finite, label_from_name
+from markerloom.functions.scalars import clip_index as clipped
 from markerloom.operators import binning as B
 from markerloom.operators import cleaning as CL
 from markerloom.operators import markers as MK
@@ -354,11 +355,11 @@ def label_to_binary(spark, sf):
 @query(
     """SELECT event_id, greatest(0, least(24, event_id % 40 - 5)) AS state, greatest(0, least(8, user_id % 14 - 2)) AS action FROM events""",
 )
-def clip_state_action(spark, sf):
+def clip_index(spark, sf):
     return T.parquet(spark, sf, "events").select(
         "event_id",
-        clip_index(F.col("event_id") % 40 - 5, 25).alias("state"),
-        clip_index(F.col("user_id") % 14 - 2, 9).alias("action"),
+        clipped(F.col("event_id") % 40 - 5, 25).alias("state"),
+        clipped(F.col("user_id") % 14 - 2, 9).alias("action"),
     )
 
 
