@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from markerloom.operators.kmeans import (
 # Fixed value: iteration limit of the mixture fit.
 GMM_ITERATIONS = 100
 
-# Centers that are sent to the tasks; larger tables are joined instead.
+# Centers that are sent to the tasks at a time.
 CENTERS_IN_TASKS = 20_000
 
 
@@ -35,11 +36,29 @@ def nearest_centroid(
     points: DataFrame, centers: DataFrame, key: str, limit: int = CENTERS_IN_TASKS
 ) -> DataFrame:
     """(k, key, cluster, distance2) from points(key, features) and
-    centers(k, cluster, center). Ties go to the lower cluster number."""
-    rows = centers.select("k", "cluster", "center").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return _nearest_by_join(points, centers, key)
-    rows.sort(key=lambda r: (r["k"], r["cluster"]))
+    centers(k, cluster, center). Ties go to the lower cluster number. More than about
+    `limit` centers are sent in parts, and the best of all parts is kept."""
+    table = centers.select(F.col("k").cast("bigint"), F.col("cluster").cast("bigint"), "center")
+    parts = max(1, -(-table.count() // max(limit, 1)))
+    if parts == 1:
+        return _nearest_of(points, table.collect(), key)
+    hashed = table.withColumn("part", F.pmod(F.xxhash64("k", "cluster"), F.lit(parts)))
+    found = [
+        _nearest_of(points, rows, key)
+        for rows in (hashed.where(F.col("part") == i).drop("part").collect() for i in range(parts))
+        if rows
+    ]
+    best = F.min(F.struct("distance2", "cluster")).alias("best")
+    return (
+        reduce(DataFrame.unionByName, found)
+        .groupBy("k", key)
+        .agg(best)
+        .select("k", key, F.col("best.cluster").alias("cluster"), F.col("best.distance2").alias("distance2"))
+    )
+
+
+def _nearest_of(points: DataFrame, rows: Sequence, key: str) -> DataFrame:
+    rows = sorted(rows, key=lambda r: (r["k"], r["cluster"]))
     ks = sorted({r["k"] for r in rows})
     spans = [(k, [i for i, r in enumerate(rows) if r["k"] == k]) for k in ks]
     numbers = np.array([r["cluster"] for r in rows], dtype="int64")
@@ -67,21 +86,6 @@ def nearest_centroid(
     )
 
 
-def _nearest_by_join(points: DataFrame, centers: DataFrame, key: str) -> DataFrame:
-    """`nearest_centroid` for more centers than a task should hold: distances to each
-    center as rows, the least kept."""
-    ks = F.array_sort(F.collect_set(F.col("k").cast("bigint")))
-    asked = points.select(key, "features").withColumn("k", F.explode(centers.agg(ks).scalar()))
-    d = squared_distance(F.col("features"), F.col("center"))
-    best = F.min(F.struct(d.alias("distance2"), "cluster"))
-    return (
-        asked.join(centers.select("k", "cluster", "center"), "k")
-        .groupBy("k", key)
-        .agg(best.alias("best"))
-        .select("k", key, F.col("best.cluster").alias("cluster"), F.col("best.distance2").alias("distance2"))
-    )
-
-
 def cluster_means(points: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
     """(k, cluster, center, n): mean of the members, combined on the map side."""
     member = clusters.select("k", key, "cluster").join(points, key)

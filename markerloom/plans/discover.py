@@ -11,6 +11,7 @@ from markerloom.operators import metrics as M
 from markerloom.operators.binning import quantile_bins
 from markerloom.operators.cleaning import join_labels, label_to_binary, numeric_coerce
 from markerloom.operators.summaries import to_long
+from markerloom.session import checkpointed
 
 
 def discover_bins(
@@ -24,7 +25,7 @@ def discover_bins(
     merged = join_labels(summary.drop("label"), labels)
     if merged.isEmpty():
         raise ValueError("no labeled summaries")
-    clean = label_to_binary(numeric_coerce(merged, markers)).select("filename", *markers, "y").persist()
+    clean = checkpointed(label_to_binary(numeric_coerce(merged, markers)).select("filename", *markers, "y"))
     bins = quantile_bins(to_long(clean, [], markers).select("marker", "value"))
     points = clean.select("filename", "y", F.array(*markers).alias("features"))
     try:

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame
 from markerloom.operators.binning import Edges, discretize, state_count, state_from_bins
 from markerloom.operators.qtable import Learning, policy, policy_lookup
 
-# Files per micro-batch of a file source.
-FILES_PER_TRIGGER = 64
-
-
-def read_parts(spark, schema, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """Stream of the parquet files that arrive below a path."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
-    )
+# Size of a micro-batch of a file source.
+BYTES_PER_TRIGGER = 128 * 1024 * 1024
+
+
+def read_parts(spark, schema, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the parquet files that arrive below a path, in micro-batches of
+    bounded size, or of a number of files if given."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is None:
+        reader = reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER)
+    else:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
 def stream_score(

@@ -73,7 +73,7 @@ def test_blocks_stay_bounded():
     assert [block_count(n) for n in (1, 2048, 2049, 10**6, 10**8)] == [1, 1, 2, 128, 1526]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
+@pytest.mark.parametrize("limit", [10_000, 2])
 def test_nearest_centroid(spark, limit):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 3))

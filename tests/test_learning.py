@@ -47,8 +47,7 @@ def test_single_updates(spark):
     assert got[0][2] == pytest.approx(0.1)
 
 
-@pytest.mark.parametrize("chunk_rows", [100_000, 400, 37])
-@pytest.mark.parametrize("low", [-1.0, -5.0])
+@pytest.mark.parametrize("chunk_rows, low", [(100_000, -1.0), (400, -1.0), (150, -5.0)])
 def test_update_equals_loop(spark, chunk_rows, low):
     rows = log(low=low)
     start = {0: np.linspace(-2, 3, 9), 7: np.ones(9)}
