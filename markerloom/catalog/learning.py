@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
-from markerloom.catalog.base import big, query, r6, rounded, table
+from markerloom.catalog.base import big, query, rounded, table
 from markerloom.operators import qtable as Q
 from markerloom.operators import reports as R
 from markerloom.operators.binning import quantile_bins
@@ -207,7 +207,12 @@ def policy(spark, sf):
     return Q.policy(X.mean_q(spark, sf), 9)
 
 
-@query("SELECT s AS state, coalesce(action, 0) AS action, round(coalesce(v, 0), 6) + 0.0 AS value FROM range(30) t(s) LEFT JOIN mqpol ON state = s LEFT JOIN (SELECT state AS x, max(q) AS v FROM mqrow GROUP BY 1) ON x = s", ("mqpol", "mqrow"))
+@query(
+    """SELECT s AS state, coalesce(action, 0) AS action, round(coalesce(v, 0), 6) + 0.0 AS value
+FROM range(30) t(s) LEFT JOIN mqpol ON state = s
+LEFT JOIN (SELECT state AS x, max(q) AS v FROM mqrow GROUP BY 1) ON x = s""",
+    ("mqpol", "mqrow"),
+)
 def state_values(spark, sf):
     """Value and first best action of all 30 states, ten of them never visited."""
     q = checkpointed(X.mean_q(spark, sf))
