@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from markerloom.llm import quality, simhash, url_filter
+from pyspark.sql import functions as F
+
+from markerloom.llm import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from markerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +115,96 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, _ = url_filter.url_parts(F.col("url"))
+    return line_dedup.drop_boilerplate(
+        table(spark, sf_dir, "pages"), "page_id", host, line_dedup.html_text(F.col("html"))
+    )
+
+
+def _html_sql(text: str) -> str:
+    for pattern, replacement in line_dedup.HTML_STEPS:
+        new = "chr(10)" if replacement == "\n" else "'" + replacement + "'"
+        text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
+    return text
+
+
+SQL["op4_line_dedup"] = rf"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    list_filter(list_transform(string_split(coalesce({_html_sql("html")}, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM cut),
+totals AS (SELECT host, count(*) AS pages FROM split GROUP BY host),
+counts AS (
+  SELECT host, line, count(*) AS n
+  FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM split) GROUP BY host, line),
+common AS (
+  SELECT host, list(line) AS boilerplate FROM counts JOIN totals USING (host)
+  WHERE pages >= {line_dedup.MIN_PAGES} AND n >= {line_dedup.MIN_RATIO}::DOUBLE * pages GROUP BY host),
+kept AS (
+  SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(boilerplate, []), x)) AS kept
+  FROM split LEFT JOIN common USING (host))
+SELECT page_id, host, array_to_string(kept, chr(10)) AS text, len(lines)::BIGINT AS n_lines,
+  (len(lines) - len(kept))::BIGINT AS n_dropped
+FROM kept
+"""
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+# Share of the words by language; sources and kinds of text are flattened.
+LANGUAGE_TARGETS = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
+SOURCE_POWER, KIND_POWER = 0.8, 0.9
+
+
+def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.text_kind(F.col("text"))}
+    shares = {m: mixing.observed_shares(docs, margins[m]) for m in ("source", "topic")}
+    targets = {
+        "source": mixing.tempered(shares["source"], SOURCE_POWER),
+        "lang": LANGUAGE_TARGETS,
+        "topic": mixing.tempered(shares["topic"], KIND_POWER),
+    }
+    return mixing.mix(docs, margins, targets)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample, _ = mixed(table(spark, sf_dir, "documents"))
+    words = mixing.word_count(F.col("text")).alias("n_words")
+    return sample.select("doc_id", "source", "lang", mixing.text_kind(F.col("text")).alias("topic"), words)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
