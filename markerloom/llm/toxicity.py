@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding makes disguised spellings equal: lower case, homoglyphs of other scripts to Latin letters, accents off, digits
-and signs inside words to the letters they stand for, and i, l, 1 to one letter. The lexicon holds whole words and word
+Folding makes disguised spellings equal: lower case, homoglyphs of other scripts to Latin letters, digits
+and signs inside words to the letters they stand for, and i, l, 1 to one letter. Entries without accents are also
+sought in the text with its accents taken off. The lexicon holds whole words and word
 beginnings; its weights are log odds learned from labelled documents, or given. Phrases that are harmless although they hold an
 entry are patterns of their own, and a match inside one doesn't count: given ones, and learned ones, in which an entry
 stands in clean documents. The weights found are set against the number of words; a logistic curve fitted on the same
@@ -31,7 +32,7 @@ from markerloom.llm.common import appended, crc_fold, slices, strings
 # Labelled documents that the lexicon is learned from: so many toxic and so many clean ones, lowest hashes first.
 MAX_PER_CLASS = 10_000
 # Lengths of word beginnings, documents an entry must be in, least log odds, and most entries.
-PREFIXES = range(4, 9)
+PREFIXES = range(3, 9)
 MIN_DOCS, MIN_ODDS, MAX_TERMS = 4, 3.0, 4000
 THRESHOLD = 0.7
 
@@ -44,23 +45,26 @@ _FOREIGN = re.compile(r"[ɐ-ʯͰ-ԯ∂ø]")
 _SIGNS = re.compile(rb"[@$!|+](?=[a-z0-9])")
 _SIGN_LETTERS = bytes.maketrans(b"@$!|+", b"asiit")
 # 0 o, 1 i, 2 z, 3 e, 4 a, 5 s, 6 b, 7 t, 8 b, 9 g; l as i.
-_LETTERS = bytearray(b" " * 256)
+_LETTERS = bytearray(b" " * 128 + bytes(range(128, 256)))
 for _a, _b in zip(b"abcdefghijklmnopqrstuvwxyz0123456789", b"abcdefghijkimnopqrstuvwxyzoizeasbtbg"):
     _LETTERS[_a] = _b
 _LETTERS = bytes(_LETTERS)
 
 
 def fold(text: str) -> str:
-    """The words of the text in folded letters, one blank around each."""
+    """The words of the text in folded letters, one blank around each; accented letters stay."""
     text = text.lower()
     if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
         if _FOREIGN.search(text):
             text = text.translate(HOMOGLYPHS)
-        text = unicodedata.normalize("NFKD", text)
-    raw = text.encode("ascii", "ignore").replace(b"'", b"")
+    raw = text.encode().replace(b"'", b"")
     raw = _SIGNS.sub(lambda m: m.group().translate(_SIGN_LETTERS), raw)
-    words = raw.translate(_LETTERS).split()
-    return f" {b' '.join(words).decode()} "
+    return f" {b' '.join(raw.translate(_LETTERS).split()).decode()} "
+
+
+def without_accents(folded: str) -> str:
+    return unicodedata.normalize("NFKD", folded).encode("ascii", "ignore").decode()
 
 
 @dataclass
@@ -106,7 +110,11 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
 
 
 def features(folded: str, automaton) -> tuple[float, float, float]:
-    total = sum(w for _, _, w in matches(folded, automaton)) if len(automaton) else 0.0
+    total = sum(w for _, _, w in matches(folded, automaton))
+    if not folded.isascii():
+        plain = without_accents(folded)
+        whole = (w for a, b, w in matches(plain, automaton) if plain[a:b].endswith(" "))
+        total = max(total, sum(whole))
     words = max(folded.count(" ") - 1, 0)
     return 1.0, float(np.log1p(total)), float(np.log1p(100.0 * total / max(words, 20)))
 
