@@ -29,7 +29,7 @@ from markerloom.llm.common import fresh, slices, stored, strings
 MASKS = ("1111011", "11011011", "110110011", "1010111001", "11001010101")
 # Words that an item must have; equal words that a run must hold, or this share of a shorter item; share of equal
 # words in a run.
-MIN_ITEM, MIN_EQUAL, ITEM_SHARE, RUN_SHARE = 5, 13, 0.8, 0.8
+MIN_ITEM, MIN_EQUAL, ITEM_SHARE, RUN_SHARE = 5, 13, 0.8, 0.7
 # Words kept on either side of a hit.
 PAD = 32
 # Bits of the filter as a power of two: 8 MB on the driver and in each task, whatever the benchmark's size.
@@ -69,17 +69,13 @@ def best_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     if end <= start:
         return 0, 0
     same = doc[start + diagonal : end + diagonal] == item[start:end]
-    total = np.r_[0.0, np.cumsum(np.where(same, 1 - RUN_SHARE, -RUN_SHARE))]
-    # The run with the largest sum; at RUN_SHARE equal words a run's sum is 0.
-    low = np.minimum.accumulate(total)
-    last = int(np.argmax(total - low))
-    first = int(np.argmin(total[: last + 1]))
-    # Extend over what stays at RUN_SHARE or above.
-    while last < len(same) and np.count_nonzero(same[first : last + 1]) >= RUN_SHARE * (last + 1 - first):
-        last += 1
-    while first > 0 and np.count_nonzero(same[first - 1 : last]) >= RUN_SHARE * (last + 1 - first):
-        first -= 1
-    return int(np.count_nonzero(same[first:last])), last - first
+    equal = np.r_[0, np.cumsum(same)]
+    total = equal - RUN_SHARE * np.arange(len(equal))
+    # From each start, the last end that the share still holds at; nothing longer has more equal words.
+    ahead = np.maximum.accumulate(total[::-1])[::-1]
+    last = np.searchsorted(-ahead, -total + 1e-9, "right") - 1
+    first = int(np.argmax(equal[last] - equal))
+    return int(equal[last[first]] - equal[first]), int(last[first] - first)
 
 
 def needed(words: int) -> int:
@@ -249,8 +245,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = find_contamination(docs, benchmark, key, text).select("key", "digest").distinct()
     digest = fresh("digest", docs.columns)
+    its_key, its_digest = fresh("found_key", docs.columns), fresh("found_digest", docs.columns)
+    found = find_contamination(docs, benchmark, key, text).select(
+        F.col("key").alias(its_key), F.col("digest").alias(its_digest)
+    )
     whole = docs.withColumn(digest, F.xxhash64(F.col(text)))
-    same = F.col(key).eqNullSafe(F.col("found.key")) & (F.col(digest) == F.col("found.digest"))
-    return whole.join(found.alias("found"), same, "left_anti").drop(digest)
+    same = F.col(key).eqNullSafe(F.col(its_key)) & (F.col(digest) == F.col(its_digest))
+    return whole.join(found.distinct(), same, "left_anti").drop(digest)

@@ -94,7 +94,7 @@ total AS MATERIALIZED (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS
 r0 AS ({_rho_sql("tops", "total", "true")}),
 r1 AS ({_rho_sql("domains", "tops", "p.suffix = c.suffix")}),
 r2 AS ({_rho_sql("hosts", "domains", "p.suffix = c.suffix AND p.domain = c.domain")}),
-m0 AS (SELECT c.suffix, {_mean_sql("((total.bad + 0.5::DOUBLE) / (total.n + 1.0::DOUBLE))", "r0.rho")} AS mean FROM tops c, total, r0),
+m0 AS (SELECT c.suffix, {_mean_sql(f"((total.bad + {url_filter.PRIOR_BAD}::DOUBLE) / (total.n + {url_filter.PRIOR}::DOUBLE))", "r0.rho")} AS mean FROM tops c, total, r0),
 m1 AS (SELECT c.domain, c.suffix, {_mean_sql("m0.mean", "r1.rho")} AS mean FROM domains c JOIN m0 ON m0.suffix = c.suffix, r1),
 m2 AS (
   SELECT c.host, c.n, c.bad, {_mean_sql("m1.mean", "r2.rho")} AS rate, (1.0::DOUBLE - r2.rho) / r2.rho + c.n AS size

@@ -32,6 +32,9 @@ SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "com.br", "co.jp", "
 # correlation within a level.
 MAX_BAD, Z, LOW_RHO, HIGH_RHO = 0.2, 1.645, 0.001, 0.5
 
+# Outcomes that all pages are taken to have before any label: bad ones, and in all.
+PRIOR_BAD, PRIOR = 1.0, 10.0
+
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -74,16 +77,18 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _rho(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
-    """One row: the correlation of outcomes within a child, by moments around the parents' rates, clipped."""
-    p = F.col("p_bad") / F.col("p_n")
-    both = children.where("n > 0").join(parents.select(*on, F.col("n").alias("p_n"), F.col("bad").alias("p_bad")), on)
-    spread = F.col("n") * (F.col("bad") / F.col("n") - p) ** 2 / (p * (1 - p))
-    sums = both.where("p_bad > 0 AND p_bad < p_n").agg(
+def _rho(children: DataFrame) -> float:
+    """The correlation of outcomes within a child, by moments around the parent's rate, clipped. `children` has n and bad, and the
+    parent's p_n and p_bad."""
+    p = F.try_divide("p_bad", "p_n")
+    spread = F.try_divide(F.col("n") * (F.try_divide("bad", "n") - p) ** 2, p * (1 - p))
+    sums = children.where("n > 0 AND p_bad > 0 AND p_bad < p_n").agg(
         F.sum(spread).alias("s"), F.count("*").alias("k"), F.sum("n").alias("n")
     )
-    raw = F.when(F.col("n") > F.col("k"), (F.col("s") - F.col("k")) / (F.col("n") - F.col("k")))
-    return sums.select(F.greatest(F.lit(LOW_RHO), F.least(F.lit(HIGH_RHO), F.coalesce(raw, F.lit(LOW_RHO)))).alias("rho"))
+    row = sums.first()
+    if not row.k or row.n <= row.k:
+        return LOW_RHO
+    return max(LOW_RHO, min(HIGH_RHO, (row.s - row.k) / (row.n - row.k)))
 
 
 def _posterior(mean: Column, rho: float) -> tuple[Column, Column]:
@@ -111,14 +116,14 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     tops = stored(domains.groupBy("suffix").agg(*sums), "url-suffixes")
     total = tops.agg(*sums).first()
     n, bad = (total.n or 0), (total.bad or 0)
-    everything = tops.sparkSession.createDataFrame([(n, bad)], "n long, bad long")
-    one = F.lit(1).alias("one")
+    whole = [F.lit(n).alias("p_n"), F.lit(bad).alias("p_bad")]
+    above = [F.col("n").alias("p_n"), F.col("bad").alias("p_bad")]
     rhos = [
-        _rho(tops.select("*", one), everything.select("*", one), ["one"]).first().rho,
-        _rho(domains, tops, ["suffix"]).first().rho,
-        _rho(hosts, domains, ["domain", "suffix"]).first().rho,
+        _rho(tops.select("n", "bad", *whole)),
+        _rho(domains.join(tops.select("suffix", *above), "suffix")),
+        _rho(hosts.join(domains.select("domain", "suffix", *above), ["domain", "suffix"])),
     ]
-    start = F.lit((bad + 0.5) / (n + 1.0))
+    start = F.lit((bad + PRIOR_BAD) / (n + PRIOR))
     mean, _ = _posterior(start, rhos[0])
     tops = tops.select("suffix", mean.alias("top_mean"))
     mean, _ = _posterior(F.col("top_mean"), rhos[1])

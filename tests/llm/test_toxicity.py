@@ -45,7 +45,7 @@ def rows(n):
             out.append((i, f"{calm} you clown {'cl0wn' if i % 8 else 'clown'}", 1))
         elif i % 4 == 1:
             out.append((i, f"{calm} grubba{'abcdefgh'[i % 8]}{i}", 1))
-        elif i % 4 == 2:
+        elif i % 100 == 2:
             out.append((i, f"{calm} the clown fish swims", 0))
         else:
             out.append((i, calm, 0))
@@ -53,7 +53,7 @@ def rows(n):
 
 
 def test_learned_entries_and_phrases(spark):
-    data = rows(600)
+    data = rows(1200)
     docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
     found = {r.doc_id: r for r in judge_toxicity(docs, labels).collect()}
