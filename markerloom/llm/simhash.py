@@ -33,8 +33,8 @@ BITS, BLOCKS, DISTANCE = 64, 4, 2
 SHINGLE = 3
 # Fingerprints that share a key and are still compared pair by pair; larger groups are linked by cleared bits.
 PAIRWISE = 256
-# Hashes summed at a time; bounds the memory for a very long text.
-CHUNK = 1 << 16
+# Hashes summed at a time.
+CHUNK = 255
 
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _hash = partial(xxh64_intdigest, seed=SEED)
@@ -50,12 +50,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     hashes = np.fromiter(map(_hash, shingles), np.uint64, max(1, len(words) - width + 1))
-    ones = np.zeros(BITS, np.int64)
+    return int(majority(hashes.reshape(-1, 1)).view(">i8")[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that over half of the rows of a (rows, words) array of 64-bit hashes have, as big-endian bytes."""
+    ones = np.zeros(hashes.shape[1] * 64, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes))
-    return int(bits.view(">i8")[0])
+        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8)
+        # A chunk has fewer rows than a byte can count.
+        ones += np.add.reduce(np.unpackbits(part, axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes))
 
 
 def with_fingerprints(docs: DataFrame, text: str, name: str, width: int = SHINGLE) -> DataFrame:
@@ -138,19 +143,3 @@ def component_ids(prints: DataFrame) -> DataFrame:
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return stored(placed.join(least, "root").select("fp", "component_id"), "simhash-classes")
-
-
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """The documents without their near-duplicates: of each component the row with the smallest key stays, one row
-    even if the key is repeated; all columns as they came."""
-    fp, row = fresh("fp", docs.columns), fresh("row", docs.columns)
-    whole = stored(
-        with_fingerprints(docs, text, fp, width).withColumn(row, F.monotonically_increasing_id()), "simhash-docs"
-    )
-    rows = whole.select(F.col(row).alias("row"), F.col(key).alias("id"), F.col(fp).alias("fp"))
-    order = F.struct(F.col("id").isNull(), "id", "row")
-    # The first row of each fingerprint, then of each component.
-    firsts = rows.groupBy("fp").agg(F.min(order).alias("least"))
-    components = component_ids(firsts)
-    kept = components.select(F.col("component_id.row").alias(row)).distinct()
-    return whole.join(kept, row, "left_semi").drop(fp, row)
