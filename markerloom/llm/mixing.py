@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markerloom.llm.common import stored
+
 MAX_CELLS = 1_000_000
 ROUNDS, TOLERANCE = 1000, 1e-10
 OTHER = "\0other"
@@ -34,11 +36,13 @@ def word_count(text: Column) -> Column:
 
 
 def text_kind(text: Column) -> Column:
-    """A topic by form: tables, pages with links or addresses, notices, and prose."""
+    """A topic by form: tables, pages with links or addresses, notices, and prose. Plain searches, no patterns."""
+    size = F.octet_length(text)
+    bars = size - F.octet_length(F.replace(text, F.lit("|"), F.lit("")))
     return (
-        F.when(F.regexp_count(text, F.lit(r"\|")) * 12 >= word_count(text), "table")
-        .when(text.rlike(r"https?://|[A-Za-z0-9]@[A-Za-z0-9]"), "contact")
-        .when(text.rlike(r"(?i)licen[sc]e|rights reserved"), "notice")
+        F.when(bars * 60 >= F.greatest(size, F.lit(60)), "table")
+        .when(text.contains("http://") | text.contains("https://") | text.contains("@"), "contact")
+        .when(text.contains("icense") | text.contains("icence") | text.contains("ights reserved"), "notice")
         .otherwise("prose")
     )
 
@@ -77,6 +81,13 @@ def rake(words: np.ndarray, codes: np.ndarray, targets: Sequence[np.ndarray]) ->
     return factors
 
 
+def cell_words(docs: DataFrame, margins: Mapping[str, Column], text: str = "text") -> DataFrame:
+    """The words of every combination of the margins' values, null as empty, summed in one pass over the texts and stored."""
+    values = [F.coalesce(m.cast("string"), F.lit("")).alias(f"v{i}") for i, m in enumerate(margins.values())]
+    cells = docs.select(*values, word_count(F.col(text)).alias("w")).groupBy(*(f"v{i}" for i in range(len(values))))
+    return stored(cells.agg(F.sum("w").alias("w")).withColumnsRenamed({f"v{i}": m for i, m in enumerate(margins)}), "cells")
+
+
 def mix(
     docs: DataFrame,
     margins: Mapping[str, Column],
@@ -85,22 +96,25 @@ def mix(
     text: str = "text",
     seed: int = 42,
     rate: float = 1.0,
+    cells: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The sampled documents with all their columns, and the cells: margins, words, factor, probability.
 
-    `margins` maps each margin of `targets` to its expression over `docs`. `rate` scales all probabilities down.
+    `margins` maps each margin of `targets` to its expression over `docs`. `rate` scales all probabilities down. `cells` is
+    cell_words of the same documents and margins, if it is there already.
     """
     names = list(targets)
     limit = int(np.prod([len(targets[m]) + 1 for m in names]))
     if limit > MAX_CELLS:
         raise ValueError(f"the targets allow {limit} cells, at most {MAX_CELLS} are raked")
 
-    def category(m: str) -> Column:
-        value = F.coalesce(margins[m].cast("string"), F.lit(""))
+    def category(m: str, value: Column) -> Column:
+        value = F.coalesce(value.cast("string"), F.lit(""))
         return F.when(value.isin(*targets[m]), value).otherwise(OTHER)
 
-    cells = [category(m).alias(f"c{i}") for i, m in enumerate(names)]
-    sums = docs.select(*cells, word_count(F.col(text)).alias("w")).groupBy(*(f"c{i}" for i in range(len(names))))
+    words_of = cell_words(docs, {m: margins[m] for m in names}, text) if cells is None else cells
+    sums = words_of.select(*(category(m, F.col(m)).alias(f"c{i}") for i, m in enumerate(names)), "w")
+    sums = sums.groupBy(*(f"c{i}" for i in range(len(names))))
     found = sums.agg(F.sum("w").alias("w")).orderBy(*(f"c{i}" for i in range(len(names)))).collect()  # at most `limit` rows
     words = np.array([float(r.w) for r in found])
     codes, goals = [], []
@@ -122,17 +136,17 @@ def mix(
     known = F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(seed), F.col(key)))
     known = known.otherwise(F.xxhash64(F.lit(seed), F.col(text)))
     draw = F.shiftrightunsigned(known, 11).cast("double") * F.lit(2.0**-53)
-    whole = docs.select(F.struct("*").alias("row"), draw.alias("draw"), *cells)
+    own = [category(m, margins[m]).alias(f"c{i}") for i, m in enumerate(names)]
+    whole = docs.select(F.struct("*").alias("row"), draw.alias("draw"), *own)
     joined = whole.join(F.broadcast(table.drop("words", "factor")), [f"c{i}" for i in range(len(names))])
     sample = joined.where(F.col("draw") < F.col("probability")).select("row.*")
     named = table.select(*(F.col(f"c{i}").alias(m) for i, m in enumerate(names)), "words", "factor", "probability")
     return sample, named
 
 
-def observed_shares(docs: DataFrame, margin: Column, text: str = "text", limit: int = 1000) -> dict[str, float]:
-    """Share of the words of each of a margin's `limit` largest categories (a report: the others are not named)."""
-    value = F.coalesce(margin.cast("string"), F.lit(""))
-    sums = docs.select(value.alias("c"), word_count(F.col(text)).alias("w")).groupBy("c").agg(F.sum("w").alias("w"))
+def observed_shares(cells: DataFrame, margin: str, limit: int = 1000) -> dict[str, float]:
+    """Share of the words of each of a margin's `limit` largest categories (the others are not named), from cell_words."""
+    sums = cells.groupBy(F.col(margin).alias("c")).agg(F.sum("w").alias("w"))
     rows = sums.orderBy(F.desc("w"), "c").limit(limit).collect()
     total = sum(r.w for r in rows)
     return {r.c: r.w / total for r in rows if total and r.w}
