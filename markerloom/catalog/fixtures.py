@@ -172,6 +172,8 @@ GROUP BY 1""",
 
 table("pts", f"SELECT sample_id, [{', '.join(MARKERS)}] AS features FROM summary", ("summary",))
 _fixed_cluster_tables("s", "pts", "sample_id")
+table("lpts", "SELECT * FROM pts WHERE sample_id IN (SELECT sample_id FROM labeled)", ("pts", "labeled"))
+_fixed_cluster_tables("lb", "lpts", "sample_id")
 
 
 def sample_points(sampled: DataFrame) -> DataFrame:
@@ -323,7 +325,12 @@ FROM lab WHERE id IS NOT NULL AND label IS NOT NULL""",
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:
     """(filename, size, rest, root): a measurement file for every longer document."""
-    d = parquet(spark, sf, "documents").where(F.col("n_chars") >= 1000)
+    return every_document(spark, sf).where(F.col("size") >= 1000)
+
+
+def every_document(spark: SparkSession, sf: str) -> DataFrame:
+    """(filename, size, rest, root): a measurement file for every document."""
+    d = parquet(spark, sf, "documents")
     name = F.concat(zfill(F.col("doc_id").cast("string"), 4), F.lit(".FCS"))
     return d.select(
         name.alias("filename"),
@@ -339,6 +346,12 @@ table(
   CAST(n_chars AS DOUBLE) AS size, CAST(n_chars % 50 AS DOUBLE) AS rest, sqrt(n_chars) AS root
 FROM documents WHERE n_chars >= 1000""",
 )
+table(
+    "docall",
+    f"""SELECT {ZFILL.format(x='CAST(doc_id AS VARCHAR)')} || '.FCS' AS filename,
+  CAST(n_chars AS DOUBLE) AS size, CAST(n_chars % 50 AS DOUBLE) AS rest, sqrt(n_chars) AS root
+FROM documents""",
+)
 
 
 # ---- quintile edges of the event values ------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from markerloom.operators.cleaning import normalize_label_rows
 from markerloom.operators.kmeans import centered, centers_table, lloyd, prepared
 from markerloom.operators.silhouette import cluster_distances
 from markerloom.operators.silhouette import silhouette as silhouette_of
-from markerloom.plans.discover import discover_bins
+from markerloom.plans.discover import discover_bins, save_discovery
 from markerloom.plans.train import diagnostic_rewards, fit_sweep, quality_rewards
-from markerloom.sources.tables import parquet
+from markerloom.session import checkpointed, new_path
+from markerloom.sources.tables import load_table, parquet
 
 V = "vec_id"
 
@@ -118,74 +121,179 @@ def kmeans_iterations(spark, sf):
     first = X.first_centers(points, V, [K_STEPS]).orderBy("cluster").collect()
     start = np.array([r["center"] for r in first])
     ready = prepared(points, V, points.count()).persist()
-    mean, _ = centered(ready)
+    count = ready.rdd.getNumPartitions()
+    mean, _ = centered(ready, count)
     run = (K_STEPS, 0)
-    centers, cost = lloyd(ready, {run: start - mean}, STEPS, 0.0, mean)[run]
+    centers, cost = lloyd(ready, {run: start - mean}, STEPS, 0.0, mean, count)[run]
     ready.unpersist()
     rows = centers_table(spark, {K_STEPS: centers + mean}).select("cluster", F.posexplode("center").alias("dim", "center"))
     return rows.select("cluster", big("dim").alias("dim"), r6("center").alias("center"), r6(F.lit(cost)).alias("inertia"))
 
 
-# ---- fits (their result has no SQL form) ----------------------------------------
+# ---- fits: the queries hold a fit against what defines it ------------------------
+
+FIT_K = 5
+
+
+def _center_check(points, clusters, centers):
+    """(n, clusters, wrong_nearest, wrong_center): rows in all, groups, rows that are nearer to another center than to
+    their own, and centers that are not the mean of their rows (within the tolerance of the fit)."""
+    rows = sorted(centers.collect(), key=lambda r: r["cluster"])
+    at = F.array(*[F.array(*[F.lit(float(v)) for v in r["center"]]) for r in rows])
+    far = F.transform(at, lambda c: F.aggregate(F.zip_with("features", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    placed = points.join(clusters, V).withColumn("far", far)
+    own = F.get("far", F.col("cluster").cast("int"))
+    near = placed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("cluster").alias("clusters"),
+        F.count_if(own > F.array_min("far") + 1e-9).alias("wrong_nearest"),
+    )
+    means = C.cluster_means(points, clusters, V).join(centers.withColumnRenamed("center", "fitted"), ["k", "cluster"])
+    off = F.aggregate(F.zip_with("center", "fitted", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    moved = means.agg(F.count_if(off > 1e-2).alias("wrong_center"))
+    row = near.first().asDict() | moved.first().asDict()
+    return points.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{c} bigint" for c in row))
 
 
-@query()
+@query(
+    f"""SELECT count(*) AS n, {FIT_K} AS clusters, 0 AS wrong_nearest, 0 AS wrong_center, true AS same_inertia, true AS beats_first_centers
+FROM vec""",
+    ("vec",),
+)
 def kmeans(spark, sf):
+    """Every row at its nearest center, centers at the means, the inertia recomputed, and lower than around the first
+    rows as centers."""
     points = X.vectors(spark, sf).select(V, "features")
-    clusters, cost, _ = C.kmeans(points, 5, V)
-    return clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("inertia", F.lit(cost))
+    clusters, cost, centers = C.kmeans(points, FIT_K, V)
+    clusters = checkpointed(clusters)
+    around = C.inertia(points, clusters, V, centers).first()["inertia"]
+    plain = C.nearest_centroid(points, X.first_centers(points, V, [FIT_K]), V).agg(F.sum("distance2")).first()[0]
+    return _center_check(points, clusters, centers).select(
+        "*", F.lit(abs(around - cost) <= 1e-6 * cost).alias("same_inertia"), F.lit(cost <= plain).alias("beats_first_centers")
+    )
 
 
-@query()
+@query(
+    "SELECT count(*) AS n, 3 AS clusters, 0 AS wrong_sum, 0 AS wrong_choice, true AS same_bic, true AS weights_add_up FROM vec",
+    ("vec",),
+)
 def gaussian_mixture(spark, sf):
-    """Mixture over the first eight components of every vector."""
-    points = X.vectors(spark, sf).select(V, F.slice("features", 1, 8).alias("features"))
-    clusters, bic = C.gaussian_mixture(points, 3, V, dims=8)
-    return clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("bic", F.lit(bic))
+    """Shares of every row add up to one, the largest is the cluster, the mean shares are the weights, and the BIC
+    follows from the rows' likelihoods."""
+    points = X.vectors(spark, sf).select(V, "features")
+    clusters, bic, model = C.gaussian_mixture(points, 3, V)
+    shares = C.mixture_shares(points, model, V).join(clusters.withColumnRenamed("cluster", "chosen"), V)
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    at = F.array_position("shares", F.array_max("shares")) - 1
+    row = shares.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs(total - 1) > 1e-9).alias("wrong_sum"),
+        F.count_if(at != F.col("chosen")).alias("wrong_choice"),
+        F.sum("likelihood").alias("likelihood"),
+        *[F.avg(F.get("shares", F.lit(i))).alias(f"w{i}") for i in range(3)],
+    ).first()
+    k, dims = model.means.shape
+    free = k * dims + k * dims * (dims + 1) / 2 + k - 1
+    again = -2.0 * row["likelihood"] + free * math.log(row["n"])
+    close = all(abs(row[f"w{i}"] - w) < 0.02 for i, w in enumerate(model.weights))
+    out = [(row["n"], len(model.weights), row["wrong_sum"], row["wrong_choice"], abs(again - bic) <= 1e-6 * abs(bic), close)]
+    return spark.createDataFrame(out, "n bigint, clusters bigint, wrong_sum bigint, wrong_choice bigint, same_bic boolean, weights_add_up boolean")
 
 
-@query()
+@query(
+    """SELECT method, 4 AS k, count(*) AS n, count(*) AS clustered, true AS same_silhouette, true AS same_fit
+FROM vec, (VALUES ('kmeans'), ('gmm')) t(method) GROUP BY 1""",
+    ("vec",),
+)
 def cluster_and_evaluate(spark, sf):
-    points = X.vectors(spark, sf).select(V, F.slice("features", 1, 8).alias("features"))
-    return C.cluster_and_evaluate(points, 4, V, "kmeans").unionByName(
-        C.cluster_and_evaluate(points, 4, V, "gmm", dims=8)
-    )
+    """Both methods; the report is held against its own clusters."""
+    points = checkpointed(X.vectors(spark, sf).select(V, "features"))
+    out = None
+    for method in ("kmeans", "gmm"):
+        report, clusters = C.cluster_and_evaluate(points, 4, V, method)
+        clusters, row = checkpointed(clusters), report.first()
+        sizes = clusters.agg(F.count(F.lit(1)).alias("clustered"), F.countDistinct("cluster").alias("k")).first()
+        direct = silhouette_of(points, clusters, V, 512).first()["silhouette"]
+        spread = C.inertia(points, clusters, V).first()["inertia"]
+        fit = abs(spread - row["fit"]) <= 1e-3 * spread if method == "kmeans" else math.isfinite(row["fit"])
+        one = (method, sizes["k"], row["n"], sizes["clustered"], abs(direct - row["silhouette"]) < 1e-9, fit)
+        part = spark.createDataFrame(
+            [one], "method string, k bigint, n bigint, clustered bigint, same_silhouette boolean, same_fit boolean"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query()
+@query(
+    """SELECT k, count(*) AS n, k AS clusters, true AS quality_in_range, true AS diagnosis_in_range, k > 2 AS inertia_falls
+FROM vec, range(2, 11) t(k) GROUP BY 1""",
+    ("vec",),
+)
 def k_sweep(spark, sf):
-    """Both reward tables of a sweep of fitted clusterings over k = 2..10."""
-    points = X.vectors(spark, sf).select(V, "features")
+    """A sweep of fitted clusterings over k = 2..10: all rows and clusters, both rewards, and the inertia against the one
+    before."""
+    points = checkpointed(X.vectors(spark, sf).select(V, "features"))
     clusters = fit_sweep(points, V, X.KS)
-    quality = quality_rewards(points, clusters, V, X.KS).withColumn("phase", F.lit(1))
+    quality = quality_rewards(points, clusters, V, X.KS).withColumnRenamed("reward", "quality")
     truth = X.vector_truth(spark, sf)
-    diagnosis = diagnostic_rewards(clusters, truth, V, X.KS).withColumn("phase", F.lit(2))
-    return quality.unionByName(diagnosis).select("phase", "k", r6("reward").alias("reward"))
+    diagnosis = diagnostic_rewards(clusters, truth, V, X.KS).withColumnRenamed("reward", "diagnosis")
+    sizes = clusters.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
+    spread = C.inertia(points, clusters, V)
+    before = spread.select((F.col("k") + 1).alias("k"), F.col("inertia").alias("before"))
+    every = quality.join(diagnosis, "k").join(sizes, "k").join(spread, "k").join(before, "k", "left")
+    return every.select(
+        "k",
+        "n",
+        "clusters",
+        F.col("quality").between(-1, 1).alias("quality_in_range"),
+        F.col("diagnosis").between(0, 1).alias("diagnosis_in_range"),
+        F.coalesce(F.col("inertia") < F.col("before"), F.lit(False)).alias("inertia_falls"),
+    )
+
 
+def _gradients(scored, importance, names):
+    """(feature, gap): how far each weight is from minus the gradient of the unpenalized loss, which it equals at the
+    minimum of the loss with C = 1, relative to the sum of the feature's absolute values."""
+    each = [F.sum((F.col("score") - F.col("y")) * F.get("features", F.lit(i))).alias(f"g{i}") for i in range(len(names))]
+    each += [F.sum(F.abs(F.get("features", F.lit(i)))).alias(f"s{i}") for i in range(len(names))]
+    row = scored.agg(*each).first()
+    sums = [(n, abs(row[f"g{i}"]), row[f"s{i}"]) for i, n in enumerate(names)]
+    table_ = scored.sparkSession.createDataFrame(sums, "feature string, gradient double, size double")
+    gap = F.abs(F.col("abs_coefficient") - F.col("gradient")) / F.greatest(F.col("size"), F.lit(1.0))
+    return importance.join(table_, "feature").select("feature", gap.alias("gap"))
 
-@query()
+
+@query("SELECT 'd' || i AS feature, 0.0::DOUBLE AS gap FROM range(64) t(i)")
 def feature_importance(spark, sf):
-    points = X.vectors(spark, sf).withColumn("y", F.col("label") % 2)
+    points = checkpointed(X.vectors(spark, sf).withColumn("y", F.col("label") % 2))
     names = [f"d{i}" for i in range(64)]
-    return rounded(ME.importance_and_scores(points, names, "y")[0], "abs_coefficient")
+    importance, scored = ME.importance_and_scores(points, names, "y")
+    return _gradients(scored, importance, names).select("feature", (F.round("gap", 4) + F.lit(0.0)).alias("gap"))
+
 
+FOUND = ["size", "rest", "root"]
 
-@query()
+
+@query(
+    """WITH j AS (SELECT docall.* FROM docall JOIN labn USING (filename)),
+u AS (SELECT 'size' AS feature, size AS v FROM j UNION ALL SELECT 'rest', rest FROM j UNION ALL SELECT 'root', root FROM j),
+e AS (SELECT feature, list_reduce([[x] FOR x IN q], lambda a, x: list_append(a, CASE WHEN x[1] <= a[-1] THEN a[-1] + 1e-6 ELSE x[1] END)) AS e
+FROM (SELECT feature, quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM u GROUP BY 1))
+SELECT feature, i - 1 AS pos, round(e[i], 6) + 0.0 AS edge, true AS top, true AS auc_in_range FROM e, range(1, 7) t(i)""",
+    ("docall", "labn"),
+)
 def bin_discovery(spark, sf):
-    """Edges of the features found in labeled files, with importance and AUC."""
-    names = ["size", "rest", "root"]
-    found = discover_bins(X.document_files(spark, sf), normalize_label_rows(X.label_rows(spark, sf)), names)
-    auc = found["auc"].select(r6("auc")).scalar()
-    return (
-        found["bins"]
-        .join(found["feature_importance"], "feature")
-        .select(
-            "feature",
-            F.array_join(F.transform("edges", lambda e: F.round(e, 4).cast("string")), ";").alias("edges"),
-            r6("abs_coefficient").alias("abs_coefficient"),
-            F.col("feature").isin(found["top_features"]).alias("top"),
-        )
-        .withColumn("auc", auc)
+    """Edges of the features of all labeled files; stored and read back with importance, top features and AUC."""
+    found = discover_bins(X.every_document(spark, sf), normalize_label_rows(X.label_rows(spark, sf)), FOUND)
+    path = new_path(spark, "discovery")
+    save_discovery(found, path)
+    bins, top, weights, auc = (load_table(spark, path, n) for n in ("bins", "top_features", "feature_importance", "auc"))
+    known = top.join(weights, "feature").select("feature", (F.col("abs_coefficient") >= 0).alias("top"))
+    rows = bins.join(known, "feature", "left").select("feature", F.posexplode("edges").alias("pos", "edge"), "top")
+    value = auc.first()["auc"]
+    return rows.select(
+        "feature", big("pos").alias("pos"), r6("edge").alias("edge"), F.coalesce("top", F.lit(False)).alias("top"),
+        F.lit(value is not None and 0.0 <= value <= 1.0).alias("auc_in_range"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
@@ -16,7 +17,6 @@ from markerloom.session import checkpointed, new_path
 from markerloom.sources import tables as T
 from markerloom.streaming.scoring import read_parts, run_available
 from markerloom.streaming.scoring import stream_score as score_stream
-from markerloom.streaming.updates import current_table
 from markerloom.streaming.updates import stream_q_update as update_stream
 
 P = X.LEARNING
@@ -136,8 +136,8 @@ table(
   SELECT k, sum(CASE WHEN p > n THEN p ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN p > n THEN n ELSE 0 END)::DOUBLE AS fp,
     sum(CASE WHEN p > n THEN 0 ELSE p END)::DOUBLE AS fn
   FROM (SELECT k, cluster, count(*) FILTER (label = 'positive') AS p, count(*) FILTER (label <> 'positive') AS n
-    FROM sasg JOIN labeled USING (sample_id) GROUP BY 1, 2) GROUP BY 1)""",
-    ("sasg", "labeled"),
+    FROM lbasg JOIN labeled USING (sample_id) GROUP BY 1, 2) GROUP BY 1)""",
+    ("lbasg", "labeled"),
 )
 _training_tables("two", "labeled", 2, P.iterations, "rew2", "onerow")
 
@@ -332,7 +332,8 @@ def _phase2(spark, sf):
     samples, points, clusters, (q1, visits1) = _phase1(spark, sf)
     q1 = checkpointed(q1)
     labeled = samples.where(F.col("label").isNotNull())
-    q2, visits2 = TR.train_diagnostic(labeled, clusters, S, P, q0=q1, done=P.iterations)
+    own = X.fixed_clusters(X.sample_points(labeled), S)
+    q2, visits2 = TR.train_diagnostic(labeled, own, S, P, q0=q1, done=P.iterations)
     return samples, clusters, q2, visits1, visits2
 
 
@@ -354,18 +355,40 @@ def score_samples(spark, sf):
     return score(samples, clusters, q, S, P, 125)
 
 
-@query()
+_PICKED = "least({}, (SELECT count(*) FROM {{}}))".format(P.batch)
+
+
+@query(
+    f"""SELECT {P.iterations} AS phase1_iterations, {P.iterations} AS phase2_iterations,
+  {P.iterations} * {_PICKED.format("samples WHERE label = 'positive'")} AS phase1_visits,
+  {P.iterations} * {_PICKED.format("labeled")} AS phase2_visits,
+  2 * {P.iterations} AS episodes, 2 * {P.iterations} AS done, 0 AS wrong_log, 0 AS wrong_rewards, 0 AS unknown_states""",
+    ("samples", "labeled"),
+)
 def train_full(spark, sf):
-    """Both phases on fitted clusterings; the agent is saved, loaded and reported."""
+    """Phase 1 on the positive samples, phase 2 on all labeled ones, each on fitted clusterings; the saved agent is read
+    back and held against itself: the log against the visits, one reward per phase and action, states that occur."""
     samples = checkpointed(X.samples(spark, sf))
     path = new_path(spark, "agent")
-    TR.train_full(samples, X.sample_points(samples), S, path, P)
-    q = T.load_table(spark, path, "q")
-    stats = Q.q_table_stats(q, 125, P.n_actions)
-    report = R.summary_report(T.load_table(spark, path, "log"), stats)
-    return rounded(
-        report, "phase1_average_payoff", "phase2_average_payoff", "state_coverage", "mean_q", "max_q"
-    )
+    TR.train_full(samples.where("label = 'positive'"), samples, S, X.MARKERS, path, P)
+    q, visits, episodes, log = (T.load_table(spark, path, n) for n in ("q", "visits", "episodes", "log"))
+    _, done = TR.load_params(spark, path)
+    sums = visits.groupBy("phase", "iteration").agg(F.sum("reward").alias("own"), F.avg("reward").alias("mean"))
+    totals = F.sum("own").over(W.partitionBy("phase").orderBy("iteration"))
+    checked = log.join(sums.withColumn("upto", totals), ["phase", "iteration"], "full")
+    agrees = F.least(F.abs(F.col("cumulative_payoff") - F.col("upto")), F.abs(F.col("cumulative_payoff") - F.col("own"))) < 1e-6
+    rewards = visits.groupBy("phase", "action").agg(F.countDistinct("reward").alias("n"))
+    parts = [
+        log.agg(F.count_if("phase = 1").alias("phase1_iterations"), F.count_if("phase = 2").alias("phase2_iterations")),
+        visits.agg(F.count_if("phase = 1").alias("phase1_visits"), F.count_if("phase = 2").alias("phase2_visits")),
+        episodes.agg(F.count(F.lit(1)).alias("episodes")),
+        checked.agg(F.count_if(~F.coalesce(agrees, F.lit(False))).alias("wrong_log")),
+        rewards.agg(F.count_if("n > 1").alias("wrong_rewards")),
+        q.join(samples, "state", "left_anti").agg(F.count(F.lit(1)).alias("unknown_states")),
+    ]
+    row = {c: v for part in parts for c, v in part.first().asDict().items()}
+    out = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} bigint" for c in row))
+    return out.withColumn("done", F.lit(done).cast("bigint"))
 
 
 # ---- saved agents ----------------------------------------------------------------------
@@ -502,9 +525,9 @@ def stream_score(spark, sf):
 
 @query("SELECT state, action, round(q, 6) + 0.0 AS q FROM trlast", ("trlast",))
 def stream_q_update(spark, sf):
+    """The transitions arrive in four files that are not in their order, one file a micro-batch."""
     arriving = new_path(spark, "transitions")
-    X.transitions(spark, sf).write.parquet(arriving)
+    X.transitions(spark, sf).repartition(4, F.xxhash64("state", "seq")).write.parquet(arriving)
     schema = spark.read.parquet(arriving).schema
-    updates = update_stream(read_parts(spark, schema, arriving))
-    done = run_available(updates, new_path(spark, "updates"), new_path(spark, "progress"))
-    return rounded(current_table(done), "q")
+    parts = read_parts(spark, schema, arriving, files_per_trigger=1)
+    return rounded(update_stream(parts, new_path(spark, "versions"), new_path(spark, "progress")), "q")

@@ -31,13 +31,16 @@ def clean_values(
     """NaN, null and infinities become the sample's median, or 0 if none of its values is
     finite. A marker that a sample has nulls for only is absent and stays null.
 
-    The medians are one row per sample, stored and broadcast if they are few. Beyond
+    A null key is a sample of its own. The medians are one row per sample, stored and broadcast if they are few. Beyond
     that it is a sort-merge join, whose hot samples AQE splits.
     """
     medians = sample_medians(df, keys, columns, direct_limit, biggest)
-    medians = stored_small(medians.withColumnsRenamed({c: f"__{c}" for c in columns}))
+    medians = stored_small(medians.withColumnsRenamed({c: f"__{c}" for c in [*keys, *columns]}))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     filled = {c: F.coalesce(finite(F.col(c)), F.col(f"__{c}")) for c in columns}
-    out = df.join(medians, list(keys)).withColumns(filled)
+    out = df.join(medians, same).withColumns(filled)
     return out.select(*df.columns)
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,16 @@ from markerloom.operators.kmeans import (
     centers_table,
     feature_rows,
     fit_runs,
-    squared_distances,
+    nearest,
+    partitions,
+    prepared,
+    totals,
 )
 
-# Fixed value: iteration limit of the mixture fit.
+# Fixed values of the mixture fit: iteration limit, gain per row at which it ends, and what is added to variances.
 GMM_ITERATIONS = 100
+GMM_TOLERANCE = 1e-3
+COVARIANCE_FLOOR = 1e-6
 
 # Centers that are sent to the tasks at a time.
 CENTERS_IN_TASKS = 20_000
@@ -67,15 +73,15 @@ def _nearest_of(points: DataFrame, rows: Sequence, key: str) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = squared_distances(feature_rows(batch) - mid, stacked - mid)
+            x = feature_rows(batch) - mid
             for k, at in spans:
-                own = d[:, at].argmin(axis=1)
+                own, distance = nearest(x, stacked[at] - mid)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(own), k, dtype="int64")),
                         batch.column(key),
                         pa.array(numbers[at][own]),
-                        pa.array(d[np.arange(len(own)), np.array(at)[own]]),
+                        pa.array(distance),
                     ],
                     ["k", key, "cluster", "distance2"],
                 )
@@ -124,25 +130,6 @@ def inertia(
     return per.groupBy("k").agg(F.sum(total).alias("inertia"))
 
 
-def ordered_points(points: DataFrame, key: str, rows: int) -> DataFrame:
-    """Rows in partitions and an order that depend on the keys only, so that a
-    seeded fit gives the same result whatever the input's partitioning was."""
-    parts = max(1, min(4096, rows // 20_000))
-    return (
-        points.repartition(parts, key)
-        .sortWithinPartitions(key)
-        .withColumn("vector", array_to_vector("features"))
-    )
-
-
-def _renumber(cluster: Column, centers: Sequence) -> Column:
-    """Cluster numbers in lexicographic order of their centers."""
-    order = sorted(range(len(centers)), key=lambda i: tuple(centers[i]))
-    new = {old: i for i, old in enumerate(order)}
-    table = F.array(*[F.lit(new[i]) for i in range(len(centers))])
-    return F.get(table, cluster).cast("bigint")
-
-
 def kmeans(
     points: DataFrame,
     k: int,
@@ -174,33 +161,130 @@ def kmeans_sweep(
     return nearest_centroid(points, centers, key).select("k", key, "cluster")
 
 
+@dataclass(frozen=True)
+class Mixture:
+    """Parameters of a mixture with full covariances, components in lexicographic order of their means."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+    likelihood: float
+    rows: int
+
+    @property
+    def bic(self) -> float:
+        k, dims = self.means.shape
+        free = k * dims + k * dims * (dims + 1) // 2 + k - 1
+        return float(-2.0 * self.likelihood + free * math.log(self.rows))
+
+
+def log_densities(x: np.ndarray, m: Mixture) -> np.ndarray:
+    """(rows, components): log of weight times density."""
+    out = np.empty((len(x), len(m.weights)))
+    for c, (weight, mean, covariance) in enumerate(zip(m.weights, m.means, m.covariances)):
+        low = np.linalg.cholesky(covariance)
+        z = np.linalg.solve(low, (x - mean).T)
+        norm = x.shape[1] * math.log(2.0 * math.pi) + 2.0 * np.log(np.diag(low)).sum()
+        out[:, c] = math.log(max(weight, 1e-300)) - 0.5 * ((z * z).sum(axis=0) + norm)
+    return out
+
+
+def _responsibilities(x: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each component in each row, and the rows' log likelihoods."""
+    d = log_densities(x, m)
+    top = d.max(axis=1, keepdims=True)
+    total = top + np.log(np.exp(d - top).sum(axis=1, keepdims=True))
+    return np.exp(d - total), total[:, 0]
+
+
+def fit_mixture(
+    points: DataFrame, k: int, key: str, rows: int, seed: int = SEED, max_iter: int = GMM_ITERATIONS
+) -> Mixture:
+    """Expectation maximization from a k-means clustering. One job per iteration adds weights, sums and products per
+    component over all rows; the driver holds k matrices of dims x dims. COVARIANCE_FLOOR on the diagonal keeps
+    covariances of few rows regular."""
+    ready = prepared(points, key, rows).persist()
+    try:
+        _, start = fit_runs(points, key, [k], rows, seed, restarts=1)[k]
+        mid = start.mean(axis=0)
+        dims, count = start.shape[1], partitions(rows)
+
+        def collected(shares) -> tuple[np.ndarray, np.ndarray]:
+            def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sums, cost = np.zeros((k, dims + dims * dims)), np.zeros(k + 1)
+                for batch in batches:
+                    x = feature_rows(batch) - mid
+                    r, likelihood = shares(x)
+                    cost[:k] += r.sum(axis=0)
+                    cost[k] += likelihood.sum()
+                    for c in range(k):
+                        sums[c] += np.concatenate([r[:, c] @ x, ((x * r[:, c : c + 1]).T @ x).ravel()])
+                total = [*sums.tolist(), np.zeros(sums.shape[1]).tolist()]
+                part = np.full(k + 1, TaskContext.get().partitionId())
+                yield pa.RecordBatch.from_pydict(
+                    {"g": np.arange(k + 1), "part": part, "n": np.zeros(k + 1, "int64"), "cost": cost, "total": total}
+                )
+
+            parts = ready.mapInArrow(add_up, "g bigint, part bigint, n bigint, cost double, total array<double>")
+            _, cost, total = totals(parts, count, (k + 1, dims + dims * dims))
+            return cost, total
+
+        def hard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own, distance = nearest(x, start - mid)
+            return (own[:, None] == np.arange(k)[None, :]).astype("float64"), -distance
+
+        cost, total = collected(hard)
+        model, before = None, -math.inf
+        for _ in range(max_iter + 1):
+            weight = np.maximum(cost[:k], 1e-10)
+            means = total[:k, :dims] / weight[:, None]
+            products = total[:k, dims:].reshape(k, dims, dims) / weight[:, None, None]
+            spread = products - means[:, :, None] * means[:, None, :] + COVARIANCE_FLOOR * np.eye(dims)
+            model = Mixture(weight / weight.sum(), means, spread, math.nan, rows)
+            now = model
+            cost, total = collected(lambda x: _responsibilities(x, now))
+            model = replace(model, likelihood=float(cost[k]))
+            if abs(model.likelihood - before) / rows < GMM_TOLERANCE:
+                break
+            before = model.likelihood
+    finally:
+        ready.unpersist()
+    order = np.lexsort(model.means.T[::-1])
+    return replace(
+        model, weights=model.weights[order], means=model.means[order] + mid, covariances=model.covariances[order]
+    )
+
+
+def mixture_shares(points: DataFrame, model: Mixture, key: str) -> DataFrame:
+    """(key, cluster, shares, likelihood): the component with the largest share, all shares, and the row's log
+    likelihood."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, likelihood = _responsibilities(feature_rows(batch), model)
+            columns = [batch.column(key), pa.array(r.argmax(axis=1)), pa.array(r.tolist(), pa.list_(pa.float64())), pa.array(likelihood)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "cluster", "shares", "likelihood"])
+
+    kind = points.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, cluster bigint, shares array<double>, likelihood double"
+    return points.select(key, "features").mapInArrow(assign, schema)
+
+
 def gaussian_mixture(
     points: DataFrame,
     k: int,
     key: str,
-    dims: int,
     seed: int = SEED,
     max_iter: int = GMM_ITERATIONS,
     rows: int | None = None,
-) -> tuple[DataFrame, float]:
-    """(clusters(k, key, cluster), BIC) of a mixture with full covariances."""
+) -> tuple[DataFrame, float, Mixture]:
+    """(clusters(k, key, cluster), BIC, parameters) of a mixture with full covariances."""
     rows = points.count() if rows is None else rows
     if k > rows:
         raise ValueError(f"{k} components from {rows} samples")
-    ready = ordered_points(points, key, rows).persist()
-    try:
-        model = GaussianMixture(
-            featuresCol="vector", predictionCol="p", probabilityCol="w", k=k, seed=seed, maxIter=max_iter
-        ).fit(ready)
-        likelihood = model.summary.logLikelihood
-    finally:
-        ready.unpersist()
-    free = k * dims + k * dims * (dims + 1) // 2 + k - 1
-    bic = -2.0 * likelihood + free * math.log(rows)
-    means = [list(map(float, g.mean)) for g in model.gaussians]
-    out = model.transform(points.withColumn("vector", array_to_vector("features")))
-    out = out.select(F.lit(k).cast("bigint").alias("k"), key, _renumber(F.col("p"), means).alias("cluster"))
-    return out, float(bic)
+    model = fit_mixture(points, k, key, rows, seed, max_iter)
+    clusters = mixture_shares(points, model, key).select(F.lit(k).cast("bigint").alias("k"), key, "cluster")
+    return clusters, model.bic, model
 
 
 def cluster_label_join(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -209,8 +293,14 @@ def cluster_label_join(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def cluster_lookup(chosen: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
-    """Adds each sample's cluster in the clustering its row chose by `k`."""
-    return chosen.join(clusters.select("k", key, "cluster"), ["k", key])
+    """Adds each sample's cluster in the clustering its row chose by `k`. A sample that has none,
+    because its k could not be fitted, is an error when the row is read, never left out."""
+    own = clusters.select(F.col("k").alias("__k"), F.col(key).alias("__key"), "cluster")
+    found = chosen.join(own, (F.col("k") == F.col("__k")) & (F.col(key) == F.col("__key")), "left")
+    lost = F.concat(F.lit("no cluster of "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    message = F.concat(lost, F.lit(" for cluster count "), F.coalesce(F.col("k").cast("string"), F.lit("null")))
+    cluster = F.when(F.col("cluster").isNull(), F.raise_error(message).cast("bigint")).otherwise(F.col("cluster"))
+    return found.withColumn("cluster", cluster).drop("__k", "__key")
 
 
 def default_label(cluster: Column) -> Column:
@@ -218,23 +308,23 @@ def default_label(cluster: Column) -> Column:
 
 
 def cluster_and_evaluate(
-    points: DataFrame, k: int, key: str, method: str = "kmeans", dims: int | None = None
-) -> DataFrame:
-    """One row (method, k, n, fit, silhouette); `fit` is the inertia or the BIC."""
+    points: DataFrame, k: int, key: str, method: str = "kmeans"
+) -> tuple[DataFrame, DataFrame]:
+    """One row (method, k, n, fit, silhouette), `fit` being the inertia or the BIC, and the clusters(k, key, cluster)."""
     from markerloom.operators.silhouette import silhouette
 
     rows = points.count()
     if method == "kmeans":
         clusters, fit, _ = kmeans(points, k, key, rows=rows)
     elif method == "gmm":
-        dims = dims or points.select(F.size("features")).first()[0]
-        clusters, fit = gaussian_mixture(points, k, key, dims, rows=rows)
+        clusters, fit, _ = gaussian_mixture(points, k, key, rows=rows)
     else:
         raise ValueError(f"unknown clustering method: {method}")
-    return silhouette(points, clusters, key).select(
+    report = silhouette(points, clusters, key).select(
         F.lit(method).alias("method"),
         "k",
         F.lit(rows).cast("bigint").alias("n"),
         F.lit(fit).alias("fit"),
         "silhouette",
     )
+    return report, clusters

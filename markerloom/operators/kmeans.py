@@ -13,8 +13,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +23,11 @@ MAX_ITERATIONS = 300
 RESTARTS = 10
 TOLERANCE = 1e-4
 
-# Rows per partition of the matrix, and how many partitions send their sums to the
-# driver: 16 times a few hundred centers.
+# Rows per partition of the matrix once there are enough partitions to keep a small cluster busy, and of
+# fewer rows before. Up to FEW_PARTITIONS send their sums to the driver: 64 times a few hundred centers.
 PARTITION_ROWS = 20_000
-FEW_PARTITIONS = 16
+BUSY_PARTITIONS, LEAST_ROWS = 64, 250
+FEW_PARTITIONS = 64
 
 Run = tuple[int, int]  # (k, restart)
 
@@ -42,6 +42,25 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest center of each row, the first of equals, and the squared distance.
+
+    The expanded form rounds, and differently for batches of other shapes; rows whose best two
+    are close are compared again by difference.
+    """
+    d = squared_distances(x, c)
+    own = d.argmin(axis=1)
+    at = np.arange(len(x))
+    best = d[at, own]
+    scale = 1e-9 * ((x * x).sum(axis=1) + (c * c).sum(axis=1).max(initial=0.0) + 1.0)
+    close = np.flatnonzero((d <= (best + scale)[:, None]).sum(axis=1) > 1)
+    for s in range(0, len(close), 1024):
+        rows = close[s : s + 1024]
+        exact = ((x[rows][:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+        own[rows] = exact.argmin(axis=1)
+    return own, ((x - c[own]) ** 2).sum(axis=1)
+
+
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys and a salt (splitmix64 finalizer)."""
     z = keys + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
@@ -95,17 +114,33 @@ def spread_centers(
     return centers
 
 
-def _totals(parts: DataFrame, few: bool, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, costs and sums per center. The sums of a few partitions are added on the
-    driver, those of many are shuffled and added first."""
-    if not few:
-        parts = parts.groupBy("g").agg(
-            F.sum("n").alias("n"),
-            F.sum("cost").alias("cost"),
-            vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-        )
+def _added(parts: DataFrame, block: int) -> DataFrame:
+    """The sums of `block` neighbouring partitions each, added in the order of the partitions."""
+    width = F.size(F.get("all", F.lit(0))["total"])
+    zero = F.array_repeat(F.lit(0.0), width)
+    total = F.aggregate("all", zero, lambda a, x: F.zip_with(a, x["total"], lambda p, q: p + q))
+    gathered = parts.groupBy("g", F.floor(F.col("part") / F.lit(block)).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("part", "n", "cost", "total"))).alias("all")
+    )
+    return gathered.select(
+        "g",
+        F.col("block").alias("part"),
+        F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n"),
+        F.aggregate("all", F.lit(0.0), lambda a, x: a + x["cost"]).alias("cost"),
+        total.alias("total"),
+    )
+
+
+def totals(parts: DataFrame, count: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, costs and sums per center from rows (g, part, n, cost, total) of `count` partitions.
+
+    Sums of many partitions are added in blocks of FEW_PARTITIONS until few are left, which the driver adds; all in the
+    order of the partitions, so that the last bits are the same in every run.
+    """
+    while count > FEW_PARTITIONS:
+        parts, count = _added(parts, FEW_PARTITIONS), -(-count // FEW_PARTITIONS)
     size, cost, total = np.zeros(shape[0], "int64"), np.zeros(shape[0]), np.zeros(shape)
-    for r in parts.collect():
+    for r in sorted(parts.collect(), key=lambda r: (r["g"], r["part"])):
         size[r["g"]] += r["n"]
         cost[r["g"]] += r["cost"]
         total[r["g"]] += r["total"]
@@ -118,10 +153,10 @@ def lloyd(
     max_iter: int,
     min_shift: float,
     mean: np.ndarray,
-    few: bool = False,
+    count: int = 1,
 ) -> dict[Run, tuple[np.ndarray, float]]:
     """(centers, inertia) per run after at most max_iter updates. A run stops when its
-    centers move by no more than min_shift in squares; empty clusters stay put."""
+    centers move by no more than min_shift in squares; empty clusters stay put. `points` has `count` partitions."""
     done: dict[Run, tuple[np.ndarray, float]] = {}
     now = {r: np.asarray(c, dtype="float64") for r, c in centers.items()}
     final: set[Run] = set() if max_iter > 0 else set(now)
@@ -142,12 +177,13 @@ def lloyd(
                     size[a:b] += np.bincount(own, minlength=b - a)
                     cost[a:b] += np.bincount(own, weights=near, minlength=b - a)
                     total[a:b] += (own[:, None] == np.arange(b - a)[None, :]).astype("float64").T @ x
+            part = np.full(len(stacked), TaskContext.get().partitionId())
             yield pa.RecordBatch.from_pydict(
-                {"g": np.arange(len(stacked)), "n": size, "cost": cost, "total": total.tolist()}
+                {"g": np.arange(len(stacked)), "part": part, "n": size, "cost": cost, "total": total.tolist()}
             )
 
-        parts = points.mapInArrow(add_up, "g bigint, n bigint, cost double, total array<double>")
-        size, cost, total = _totals(parts, few, stacked.shape)
+        parts = points.mapInArrow(add_up, "g bigint, part bigint, n bigint, cost double, total array<double>")
+        size, cost, total = totals(parts, count, stacked.shape)
         means = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], stacked)
         turn += 1
         moved: dict[Run, np.ndarray] = {}
@@ -165,7 +201,8 @@ def lloyd(
 
 
 def partitions(rows: int) -> int:
-    return max(1, min(4096, rows // PARTITION_ROWS))
+    """Grows with the rows without a limit."""
+    return max(1, min(BUSY_PARTITIONS, rows // LEAST_ROWS), rows // PARTITION_ROWS)
 
 
 def prepared(points: DataFrame, key: str, rows: int) -> DataFrame:
@@ -174,13 +211,25 @@ def prepared(points: DataFrame, key: str, rows: int) -> DataFrame:
     return points.select("features", F.xxhash64(key).alias("h")).repartition(parts, "h").sortWithinPartitions("h")
 
 
-def centered(points: DataFrame) -> tuple[np.ndarray, float]:
-    """Mean per component, and the mean of their variances."""
-    stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features"))
-    s = points.agg(stats.alias("s")).first()["s"]
-    n = s["count"]
-    variance = s["variance"].toArray().mean() * (n - 1) / n if n > 1 else 0.0
-    return s["mean"].toArray(), float(variance)
+def centered(points: DataFrame, count: int = 1) -> tuple[np.ndarray, float]:
+    """Mean per component, and the mean of their variances, of a matrix in `count` partitions."""
+    width = len(points.select("features").first()["features"])
+
+    def around(mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, cost, total = 0, 0.0, np.zeros(width)
+            for batch in batches:
+                x = feature_rows(batch) - mean
+                n, cost, total = n + len(x), cost + float((x * x).sum()), total + x.sum(axis=0)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"g": [0], "part": [part], "n": [n], "cost": [cost], "total": [total.tolist()]})
+
+        parts = points.mapInArrow(add_up, "g bigint, part bigint, n bigint, cost double, total array<double>")
+        return totals(parts, count, (1, width))
+
+    n, _, total = around(np.zeros(width))
+    mean = total[0] / n[0]
+    return mean, float(around(mean)[1][0] / n[0] / width)
 
 
 def fit_runs(
@@ -195,10 +244,10 @@ def fit_runs(
     """Per k the lowest inertia of all restarts and its centers, in lexicographic order."""
     ready = prepared(points, key, rows).persist()
     try:
-        mean, variance = centered(ready)
+        count = partitions(rows)
+        mean, variance = centered(ready, count)
         starts = spread_centers(ready, [(k, r) for k in ks for r in range(restarts)], seed, mean)
-        few = partitions(rows) <= FEW_PARTITIONS
-        fits = lloyd(ready, starts, max_iter, TOLERANCE * variance, mean, few)
+        fits = lloyd(ready, starts, max_iter, TOLERANCE * variance, mean, count)
     finally:
         ready.unpersist()
     best: dict[int, tuple[float, np.ndarray]] = {}

@@ -103,6 +103,10 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return sums.select("n_pos", "n_neg", F.when(pairs > 0, F.col("wins") / pairs).alias("auc"))
 
 
+class ClassCountError(ValueError):
+    """The labels do not have two classes."""
+
+
 def importance_and_scores(
     points: DataFrame, columns: Sequence[str], label: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +114,7 @@ def importance_and_scores(
     regression with the L2 penalty of C = 1 on unscaled features."""
     classes = points.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("c")).first()
     if classes["c"] != 2:
-        raise ValueError("two classes are needed")
+        raise ClassCountError("two classes are needed")
     ready = points.withColumn("vector", array_to_vector("features")).withColumn(
         "target", F.col(label).cast("double")
     )

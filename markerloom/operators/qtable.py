@@ -260,12 +260,12 @@ def _solve_chunks(
         moved = checkpointed(
             folded.select("state", "chunk", "start", handed.alias("next")).withColumn(
                 "change",
-                F.array_max(F.zip_with("start", "next", lambda x, y: F.abs(x - y) / (F.abs(y) + 1.0))),
+                F.exists(F.zip_with("start", "next", lambda x, y: x != y), lambda x: x),
             )
         )
         change = moved.agg(F.max("change")).first()[0]
         cur = logs.join(moved.select("state", "chunk", F.col("next").alias("start")), ["state", "chunk"])
-        if change <= 1e-13:
+        if not change:
             break
     return cur.withColumn("q_end", end)
 

@@ -44,10 +44,11 @@ def _block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _members(labels: pd.Series, groups: int) -> np.ndarray:
-    hot = np.zeros((len(labels), groups))
-    for row, own in enumerate(labels):
-        hot[row, own] = 1.0
-    return hot
+    """One row per row and one column per group; -1 stands for no group."""
+    own = np.stack(labels.to_list())
+    hot = np.zeros((len(own), groups + 1))
+    hot[np.repeat(np.arange(len(own)), own.shape[1]), own.ravel()] = 1.0
+    return hot[:, :groups]
 
 
 class _Sweep:
@@ -63,12 +64,15 @@ class _Sweep:
         self.ks = sorted({k for k, _, _ in self.sizes})
         number = [x for g, (k, c, _) in enumerate(self.sizes) for x in (F.lit(f"{k}/{c}"), F.lit(g))]
         own = F.create_map(*number)[F.concat_ws("/", "k", "cluster")]
+        # One entry per k, -1 where the row has no cluster for it.
+        each = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("own"))), F.lit(-1)) for k in self.ks]
         self.labels = (
-            clusters.select(key, own.alias("own"))
-            .groupBy(key)
-            .agg(F.sort_array(F.collect_list("own")).alias("own"))
+            clusters.select(key, "k", own.alias("own")).groupBy(key).agg(F.array(*each).alias("own"))
         )
 
+    def rows_of(self, k) -> int:
+        return sum(n for kk, _, n in self.sizes if kk == k)
+
     def groups_of(self, k) -> list[int]:
         return [g for g, (kk, _, _) in enumerate(self.sizes) if kk == k]
 
@@ -79,7 +83,7 @@ class _Sweep:
 def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFrame:
     """(key, own, s): the groups of each row and its summed distances to all groups."""
     key, groups = sweep.key, len(sweep.sizes)
-    rows = sum(n for k, _, n in sweep.sizes if k == sweep.ks[0])
+    rows = max(sweep.rows_of(k) for k in sweep.ks)
     blocks = block_count(rows, block_rows)
     tagged = points.join(sweep.labels, key).select(
         F.col(key).alias("id"),
@@ -152,16 +156,15 @@ def cluster_distances(
 def silhouette(
     points: DataFrame, clusters: DataFrame, key: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(k, silhouette): mean over all rows; 0 with fewer than two clusters or no
-    more rows than clusters. Rows alone in their cluster score 0."""
+    """(k, silhouette): mean over all rows that have a cluster for this k; 0 with fewer than two clusters
+    or no more such rows than clusters. Rows alone in their cluster score 0."""
     sweep = _Sweep(clusters, key)
-    rows = sum(n for k, _, n in sweep.sizes if k == sweep.ks[0])
     runs = F.array(
         *[
             F.struct(
                 F.lit(k).cast("bigint").alias("k"),
                 F.array(*[F.lit(g) for g in groups]).alias("groups"),
-                F.lit(1 < len(groups) < rows).alias("defined"),
+                F.lit(1 < len(groups) < sweep.rows_of(k)).alias("defined"),
             )
             for k, groups in ((k, sweep.groups_of(k)) for k in sweep.ks)
         ]
@@ -170,11 +173,16 @@ def silhouette(
     def pair(run: Column, i: Column) -> Column:
         own = F.get("own", i)
         n = F.get("n", own)
+        member = own >= 0
         inside = F.when(n > 1, F.get("s", own) / (n - 1))
         others = F.filter(run["groups"], lambda g: g != own)
         near = F.array_min(F.transform(others, lambda g: F.get("s", g) / F.get("n", g)))
         return F.struct(
-            run["k"].alias("k"), run["defined"].alias("defined"), inside.alias("a"), near.alias("b")
+            run["k"].alias("k"),
+            run["defined"].alias("defined"),
+            member.alias("member"),
+            inside.alias("a"),
+            near.alias("b"),
         )
 
     sums = _distance_sums(points, sweep, block_rows)
@@ -182,6 +190,7 @@ def silhouette(
     width = F.when(F.col("a").isNull() | F.col("b").isNull() | ~F.col("defined") | (top == 0), 0.0)
     return (
         sums.select(F.inline(F.transform(runs, pair)))
+        .where("member")
         .groupBy("k")
         .agg(F.avg(width.otherwise((F.col("b") - F.col("a")) / top)).alias("silhouette"))
     )

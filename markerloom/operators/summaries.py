@@ -82,7 +82,11 @@ def summarize(
         sums = [F.sum(finite(F.col(c))).alias(f"s_{c}") for c in columns]
         gaps = [F.count_if(finite(F.col(c)).isNull()).alias(f"g_{c}") for c in columns]
         parts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *gaps)
-        out = out.join(parts, list(keys)).select(
+        parts = parts.withColumnsRenamed({k: f"__{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        out = out.join(parts, same).select(
             *keys,
             *names,
             *[

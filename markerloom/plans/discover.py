@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,15 @@ from markerloom.operators.binning import quantile_bins
 from markerloom.operators.cleaning import join_labels, label_to_binary, numeric_coerce
 from markerloom.operators.summaries import to_long
 from markerloom.session import checkpointed
+from markerloom.sources.tables import save_tables
+
+
+def save_discovery(found: dict[str, object], path: str) -> None:
+    """Bins, importance, top features and AUC as tables below a path; importance and AUC only if there are any."""
+    spark = found["bins"].sparkSession
+    top = spark.createDataFrame(list(enumerate(found["top_features"])), "rank int, feature string")
+    tables = {"bins": found["bins"], "top_features": top}
+    save_tables(tables | {n: found[n] for n in ("feature_importance", "auc") if found[n] is not None}, path)
 
 
 def discover_bins(
@@ -30,7 +40,7 @@ def discover_bins(
     points = clean.select("filename", "y", F.array(*markers).alias("features"))
     try:
         importance, scored = M.importance_and_scores(points, markers, "y")
-    except Exception:  # one class only, or a failed fit
+    except (M.ClassCountError, IllegalArgumentException):  # one class only, or a fit that MLlib refuses
         return {
             "bins": bins,
             "feature_importance": None,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from markerloom.operators import clustering as C
 from markerloom.operators import metrics as M
 from markerloom.operators import qtable as Q
 from markerloom.operators.silhouette import silhouette
-from markerloom.operators.cleaning import labeled_only
+from markerloom.operators.cleaning import feature_matrix, labeled_only
 from markerloom.session import checkpointed
 from markerloom.sources.tables import load_table, save_tables
 
@@ -31,7 +32,7 @@ def fit_sweep(points: DataFrame, key: str, ks: Sequence[int], restarts: int = C.
 
 def _filled(rewards: DataFrame, ks: Sequence[int], missing: float) -> DataFrame:
     """One row per k; the ones without a clustering get the failure reward."""
-    every = rewards.sparkSession.range(min(ks), max(ks) + 1).withColumnRenamed("id", "k")
+    every = rewards.sparkSession.createDataFrame([(int(k),) for k in sorted(set(ks))], "k bigint")
     return every.join(rewards, "k", "left").withColumn(
         "reward", F.coalesce("reward", F.lit(missing))
     )
@@ -108,37 +109,66 @@ def params_table(spark, p: Q.Learning, done: int) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(n) for n, v in fields.items()])
 
 
-def train_full(
+def _log_tables(visits: DataFrame, p: Q.Learning, done: int = 0) -> dict[str, DataFrame]:
+    return {"visits": visits, "episodes": Q.record_episode(visits), "log": Q.training_log(visits, p, done=done)}
+
+
+def train_phase1(
     samples: DataFrame,
-    points: DataFrame,
     key: str,
+    markers: Sequence[str],
     path: str,
     p: Q.Learning = Q.Learning(),
     quality: str = "silhouette",
-    accuracy: str = "f1",
 ) -> None:
-    """Phase 1 on all samples(key, state, label), phase 2 on the labeled ones, the
-    agent saved below `path` after each: q, visits, log, params."""
-    ks = range(p.min_k, p.max_k + 1)
+    """Phase 1 on samples(key, state, markers): their matrix, their clusterings, and the agent saved at `path`: q, visits,
+    episodes, log, params."""
     if samples.isEmpty():
         raise ValueError("no samples")
+    ks = range(p.min_k, p.max_k + 1)
+    points, _ = feature_matrix(samples.select(key, *markers), key, markers)
+    points = checkpointed(points)
     q, visits = train_quality(samples, points, fit_sweep(points, key, ks), key, p, quality)
-    first = f"{path}/phase1"
-    log = Q.training_log(visits, p)
-    save_tables({"q": q, "visits": visits, "log": log, "params": params_table(q.sparkSession, p, p.iterations)}, first)
+    tables = {"q": q, **_log_tables(checkpointed(visits), p)}
+    save_tables(tables | {"params": params_table(q.sparkSession, p, p.iterations)}, path)
+
+
+def load_params(spark, path: str) -> tuple[Q.Learning, int]:
+    """The parameters of a saved agent, and how many iterations it has done."""
+    row = load_table(spark, path, "params").first().asDict()
+    return Q.Learning(**{f.name: row[f.name] for f in fields(Q.Learning)}), row["done"]
 
+
+def train_phase2(
+    samples: DataFrame, key: str, markers: Sequence[str], agent: str, path: str, accuracy: str = "f1"
+) -> None:
+    """Phase 2 on the labeled ones of samples(key, state, label, markers), going on from the agent saved at `agent`, and
+    the agent saved at another `path`. Matrix, medians and clusterings are those of the labeled samples."""
     spark = samples.sparkSession
-    q1, visits1, log1 = (load_table(spark, first, n) for n in ("q", "visits", "log"))
+    p, done = load_params(spark, agent)
     labeled = labeled_only(samples)
-    own = points.join(labeled.select(key), key, "left_semi")
-    q, visits = train_diagnostic(labeled, fit_sweep(own, key, ks), key, p, accuracy, q1, p.iterations)
-    log = Q.training_log(visits, p, done=p.iterations)
-    save_tables(
-        {
-            "q": q,
-            "visits": visits1.unionByName(visits),
-            "log": log1.unionByName(log),
-            "params": params_table(spark, p, 2 * p.iterations),
-        },
-        path,
-    )
+    ks = range(p.min_k, p.max_k + 1)
+    points, _ = feature_matrix(labeled.select(key, *markers), key, markers)
+    clusters = fit_sweep(checkpointed(points), key, ks)
+    q, visits = train_diagnostic(labeled, clusters, key, p, accuracy, load_table(spark, agent, "q"), done)
+    tables = {
+        name: load_table(spark, agent, name).unionByName(table)
+        for name, table in _log_tables(checkpointed(visits), p, done).items()
+    }
+    save_tables({"q": q, **tables, "params": params_table(spark, p, done + p.iterations)}, path)
+
+
+def train_full(
+    first: DataFrame,
+    second: DataFrame,
+    key: str,
+    markers: Sequence[str],
+    path: str,
+    p: Q.Learning = Q.Learning(),
+    quality: str = "silhouette",
+    accuracy: str = "f1",
+) -> None:
+    """Phase 1 on the samples `first`, phase 2 on the labeled ones of `second`; the agents are saved at
+    `path`/phase1 and `path`."""
+    train_phase1(first, key, markers, f"{path}/phase1", p, quality)
+    train_phase2(second, key, markers, f"{path}/phase1", path, accuracy)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 _DIR = "spark.checkpoint.dir"
 
-# Rows of a narrow table that may be broadcast.
+# Rows and bytes of a table that may be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,6 +25,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -39,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        # local-cluster has executors of their own.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"set {_DIR} to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set(_DIR, folder)
@@ -53,6 +57,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/markerloom/{name}-{uuid.uuid4().hex}"
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return [f.getPath().getName() for f in found]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, where it is; tables of finished calls are not kept."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -63,7 +81,11 @@ def stored_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table written once, marked for broadcast if it has at most max_rows rows.
 
     Joining a large table to a small derived one would else shuffle the large one
-    before its partner's size is known. A bigger partner gets the ordinary join.
+    before its partner's size is known. A partner with more rows or bytes gets the ordinary join.
     """
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    # 16 bytes for a field, whole lengths for texts and arrays.
+    wide = [f.name for f in kept.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    length = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in wide), F.lit(16 * len(kept.columns)))
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(kept) if size.n <= max_rows and size.bytes <= BROADCAST_BYTES else kept

@@ -7,6 +7,8 @@ the layout first, so unreadable files drop out before any data is touched.
 
 from __future__ import annotations
 
+import re
+import urllib.parse
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,16 +29,34 @@ _LAYOUT = (
 )
 
 
+# Largest file that can be a row.
+LARGEST_FILE = 2_000_000_000
+
+
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content) of all .fcs files below a folder, in any case. Whole
-    files are rows, at most 2 GB each."""
-    return (
+    files are rows; larger ones than LARGEST_FILE and those without bytes have no content."""
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[fF][cC][sS]")
         .load(folder)
-        .select("path", "length", "content")
     )
+    none = F.lit(None).cast("binary").alias("content")
+    fits = found.where(F.col("length") <= LARGEST_FILE).select("path", "length", "content")
+    large = found.select("path", "length").where(F.col("length") > LARGEST_FILE).select("path", "length", none)
+    # The source lists files without bytes but makes no rows of them. Its list is on the driver already.
+    listed = [urllib.parse.unquote(p) for p in found.inputFiles()]
+    empty = spark.createDataFrame([(_same_form(p),) for p in listed], "path string")
+    seen = found.select(F.regexp_replace("path", "^file:/+", "/").alias("__path"))
+    missing = F.regexp_replace("path", "^file:/+", "/") == F.col("__path")
+    without = empty.join(seen, missing, "left_anti").select("path", F.lit(0).cast("bigint").alias("length"), none)
+    return fits.unionByName(large).unionByName(without)
+
+
+def _same_form(path: str) -> str:
+    """Local paths as the file source writes them."""
+    return re.sub("^file:/+", "file:/", path)
 
 
 def _text_fields(text: bytes) -> dict[str, str]:
@@ -50,6 +70,10 @@ def _text_fields(text: bytes) -> dict[str, str]:
 
 def _layout(head: bytes, text: bytes, length: int, markers: Sequence[str] | None) -> dict:
     """Where and how the events of one file are stored."""
+    if length == 0:
+        raise ValueError("no bytes")
+    if length > LARGEST_FILE:
+        raise ValueError(f"{length} bytes are too many for one row")
     if head is None or not head.startswith(b"FCS") or not text:
         raise ValueError("not an FCS file")
     kw = _text_fields(text)
@@ -136,7 +160,8 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
 
 
 def _slices(files: DataFrame, markers: Sequence[str] | None, slice_bytes: int) -> DataFrame:
-    ready = with_layout(files, markers).where(F.col("error").isNull() & (F.col("n_events") > 0))
+    """Slices of the readable files; a file without events has one empty slice."""
+    ready = with_layout(files, markers).where(F.col("error").isNull())
     per = F.greatest(F.lit(1), F.floor(F.lit(slice_bytes) / F.col("event_bytes"))).cast("bigint")
     count = F.ceil(F.col("n_events") / per)
 
@@ -149,17 +174,21 @@ def _slices(files: DataFrame, markers: Sequence[str] | None, slice_bytes: int) -
             F.substring(F.col("content"), at, (rows * F.col("event_bytes")).cast("int")).alias("data"),
         )
 
-    parts = F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), cut))
+    last = F.greatest(count - 1, F.lit(0).cast("bigint"))
+    parts = F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), last), cut))
     return ready.select("path", "filename", "formats", "masks", "names", "picks", parts)
 
 
-def _columns(row) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Event numbers and one double array per stored parameter of a slice."""
+def _columns(row, picks: Sequence[int]) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """Event numbers and one double array for each picked parameter of a slice, None for a pick below 0."""
     kind = np.dtype([(f"f{i}", f) for i, f in enumerate(row.formats)])
-    data = np.frombuffer(row.data, dtype=kind)
-    values = []
-    for i, mask in enumerate(row.masks):
-        x = data[f"f{i}"]
+    data = np.frombuffer(row.data, dtype=kind) if row.data else np.zeros(0, dtype=kind)
+    values: list[np.ndarray | None] = []
+    for i in picks:
+        if i < 0:
+            values.append(None)
+            continue
+        x, mask = data[f"f{i}"], row.masks[i]
         values.append((x if mask < 0 else x & x.dtype.type(mask)).astype("float64"))
     return row.first_event + np.arange(len(data)), values
 
@@ -176,13 +205,10 @@ def decode_measurements(
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pandas().itertuples(index=False):
-                event, values = _columns(row)
+                event, values = _columns(row, row.picks)
                 n = len(event)
                 # NaN is a value of the file, null a marker it does not have.
-                picked = [
-                    pa.array(values[i], from_pandas=False) if i >= 0 else pa.nulls(n, pa.float64())
-                    for i in row.picks
-                ]
+                picked = [pa.nulls(n, pa.float64()) if x is None else pa.array(x, from_pandas=False) for x in values]
                 same = [pa.array([x] * n, pa.string()) for x in (row.path, row.filename)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(event), *picked], names)
 
@@ -196,7 +222,7 @@ def decode_long(files: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                event, values = _columns(row)
+                event, values = _columns(row, range(len(row.formats)))
                 for name, x in zip(row.names, values):
                     yield pd.DataFrame(
                         {"path": row.path, "filename": row.filename, "event": event, "channel": name, "value": x}
@@ -223,7 +249,7 @@ def load_batch(
 
     The slices of a file follow each other in one task, so each file is summarized
     where it is read and no cell is shuffled. A task holds the requested markers of
-    one file, which binaryFile keeps below 2 GB. With "all" the cells are returned.
+    one file, which LARGEST_FILE bounds. A file without events has a row of NaN. With "all" the cells are returned.
     """
     markers = list(markers)
     if method == "all":
@@ -242,30 +268,34 @@ def load_batch(
             x = np.concatenate(arrays)
             x = np.arcsinh(x / COFACTOR) if transform else x
             good = x[np.isfinite(x)]
+            if not len(x):
+                row[m] = float("nan")
+                continue
             middle = float(np.median(good)) if len(good) else 0.0
             filled = (good.sum() + (len(x) - len(good)) * middle) / len(x)
             row[m] = middle if method == "median" else filled
         return row
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.schema([("path", pa.string()), ("filename", pa.string()), *((m, pa.float64()) for m in markers)])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         parts: list = []
 
-        def one() -> pd.DataFrame:
+        def one() -> pa.RecordBatch:
             row = {"path": current[0], "filename": current[1], **summary(parts)}
-            return pd.DataFrame([row]).astype(dict.fromkeys(markers, "float64"))
+            return pa.RecordBatch.from_pylist([row], kind)
 
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
+        for batch in batches:
+            for row in batch.to_pandas().itertuples(index=False):
                 if (row.path, row.filename) != current:
                     if parts:
                         yield one()
                     current, parts = (row.path, row.filename), []
-                values = _columns(row)[1]
-                parts.append([values[i] if i >= 0 else None for i in row.picks])
+                parts.append(_columns(row, row.picks)[1])
         if parts:
             yield one()
 
     schema = "path string, filename string, " + ", ".join(f"`{m}` double" for m in markers)
-    out = _slices(files, markers, slice_bytes).mapInPandas(reduce, schema)
+    out = _slices(files, markers, slice_bytes).mapInArrow(reduce, schema)
     return out.withColumn("label", label_from_name(F.col("filename")))

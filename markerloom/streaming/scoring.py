@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from markerloom.operators.binning import Edges, discretize, state_count, state_from_bins
 from markerloom.operators.qtable import Learning, policy, policy_lookup
+from markerloom.session import checkpointed
 
 # Size of a micro-batch of a file source.
 BYTES_PER_TRIGGER = 128 * 1024 * 1024
@@ -28,9 +29,10 @@ def stream_score(
     summaries: DataFrame, q: DataFrame, bins: Edges, features: Sequence[str], p: Learning = Learning()
 ) -> DataFrame:
     """Adds state, action and k to each arriving summary. Stateless: the policy is a
-    static table joined to every micro-batch."""
+    static table, worked out once and joined to every micro-batch."""
     encoded = state_from_bins(discretize(summaries, bins, features), bins, features)
-    return policy_lookup(encoded, policy(q, p.n_actions), p.min_k, state_count(bins, features))
+    greedy = checkpointed(policy(q, p.n_actions))
+    return policy_lookup(encoded, greedy, p.min_k, state_count(bins, features))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

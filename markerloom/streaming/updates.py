@@ -2,48 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "state bigint, seq bigint, action bigint, q double"
-STATE = "q array<double>, seq bigint"
+from markerloom.operators.qtable import q_update
+from markerloom.session import folder_names, remove_path
+
+TABLES = ("q", "applied", "pending")
+# Number of a state's first transition.
+FIRST = 1
+
+
+def _ready(rows: DataFrame, applied: DataFrame | None) -> DataFrame:
+    """The rows (state, seq, ...) that follow each other without a gap from the last applied one on.
+
+    The first row without a successor ends the run; it is found by a join, so no task
+    needs all rows of a state.
+    """
+    keys = rows.select("state", "seq")
+    ends = keys.join(keys.select("state", (F.col("seq") - 1).alias("seq")), ["state", "seq"], "left_anti")
+    bounds = ends.groupBy("state").agg(F.min("seq").alias("end"))
+    starts = keys.groupBy("state").agg(F.min("seq").alias("start"))
+    spans = bounds.join(starts, "state")
+    if applied is None:
+        open_ = spans.where(F.col("start") == FIRST)
+    else:
+        known = spans.join(applied, "state", "left")
+        open_ = known.where(F.col("start") == F.coalesce(F.col("last") + 1, F.lit(FIRST)))
+    return rows.join(open_.select("state", "end"), "state").where("seq <= end").drop("end")
 
 
 def stream_q_update(
-    transitions: DataFrame, alpha: float = 0.1, gamma: float = 0.9, n_actions: int = 9
+    transitions: DataFrame, path: str, checkpoint: str, alpha: float = 0.1, gamma: float = 0.9, n_actions: int = 9
 ) -> DataFrame:
-    """(state, seq, action, q): the row of every state a micro-batch touched, with the
-    last seq applied; the row with the greatest seq is the current one.
+    """Apply what has arrived of transitions(state, seq, action, reward) and return (state, action, q).
+
+    `seq` numbers the transitions of a state from 1 on without gaps. They may arrive in any order and be
+    cut into micro-batches in any way: a transition is applied when all before it have been, and waits in
+    the table `pending` until then. Repeated deliveries are applied once.
 
-    The stored state is one Q-row. Transitions of a micro-batch are put in order of
-    seq here, order across micro-batches is up to the source. A group is at most one
-    micro-batch, whose size the source's maxFilesPerTrigger or maxBytesPerTrigger sets.
+    Every micro-batch folds its rows with the batch operator and writes the next version of the tables q, applied
+    (last number per state) and pending below `path`, numbered by the micro-batch; a repeated micro-batch
+    writes the same version again. The two newest versions are kept.
     """
+    spark = transitions.sparkSession
+
+    def version(name: str, number: int) -> str:
+        return f"{path}/{name}/version={number}"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        old = {n: here.read.parquet(version(n, number - 1)) for n in TABLES} if number else {}
+        rows = batch.select("state", "seq", "action", "reward")
+        if old:
+            rows = rows.unionByName(old["pending"])
+            done = F.coalesce(F.col("last"), F.lit(FIRST - 1))
+            rows = rows.join(old["applied"], "state", "left").where(F.col("seq") > done).drop("last")
+        rows = rows.dropDuplicates(["state", "seq"])
+        ready = _ready(rows, old.get("applied"))
+        q = q_update(ready, alpha, gamma, n_actions, old.get("q"))
+        last = ready.groupBy("state").agg(F.max("seq").alias("last"))
+        if old:
+            q = q.unionByName(old["q"].join(ready.select("state").distinct(), "state", "left_anti"))
+            last = last.unionByName(old["applied"].join(last, "state", "left_anti"))
+        waiting = rows.join(ready.select("state", "seq"), ["state", "seq"], "left_anti")
+        for name, table in zip(TABLES, (q, last, waiting)):
+            table.write.mode("overwrite").parquet(version(name, number))
+        for name in TABLES:
+            remove_path(here, version(name, number - 2))
 
-    def apply(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("seq")
-        if state.exists:
-            stored, last = state.get
-            q = np.array(stored, dtype="float64")
-        else:
-            q, last = np.zeros(n_actions), -1
-        actions = rows["action"].clip(0, n_actions - 1).to_numpy()
-        for a, r in zip(actions, rows["reward"].to_numpy()):
-            q[a] += alpha * (r + gamma * q.max() - q[a])
-        last = max(last, int(rows["seq"].iloc[-1]))
-        state.update((q.tolist(), last))
-        yield pd.DataFrame({"state": key[0], "seq": last, "action": np.arange(n_actions), "q": q})
-
-    return transitions.groupBy("state").applyInPandasWithState(
-        apply, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    query = (
+        transitions.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    return current_table(spark, path)
 
 
-def current_table(updates: DataFrame) -> DataFrame:
-    """(state, action, q) from everything `stream_q_update` has put out."""
-    return updates.groupBy("state", "action").agg(F.max_by("q", "seq").alias("q"))
+def current_table(spark, path: str, name: str = "q") -> DataFrame:
+    """The newest version of q, applied or pending."""
+    numbers = [int(n.split("=")[1]) for n in folder_names(spark, f"{path}/{name}") if n.startswith("version=")]
+    return spark.read.parquet(f"{path}/{name}/version={max(numbers)}")

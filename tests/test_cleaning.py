@@ -151,3 +151,12 @@ def test_marker_rules(spark):
     assert MK.select_markers(table, ["IL1", "IL12"]).columns == ["IL1", "IL12"]
     with pytest.raises(ValueError):
         MK.select_markers(table, ["CD99"])
+
+
+def test_a_null_key_is_a_sample(spark):
+    rows = [(1, 1.0), (None, 3.0), (None, None), (None, 5.0), (1, float("nan"))]
+    df = spark.createDataFrame(rows, "s bigint, a double")
+    cleaned = CL.clean_values(df, ["s"], ["a"]).collect()
+    assert sorted(r["a"] for r in cleaned if r["s"] is None) == [3.0, 4.0, 5.0] and len(cleaned) == 5
+    means = {r["s"]: r["a"] for r in S.summarize(df, ["s"], ["a"], "mean").collect()}
+    assert means == {1: 1.0, None: 4.0}

@@ -150,8 +150,8 @@ def test_lloyd_equals_numpy(spark):
         want = np.array([x[own == c].mean(0) for c in range(4)])
     cost = ((x[:, None] - want[None]) ** 2).sum(-1).min(1).sum()
     ready = K.prepared(points_of(spark, x, 4), "id", 120).repartition(5)
-    for few in (True, False):
-        got, inertia = K.lloyd(ready, {(4, 0): start}, 5, -1.0, np.zeros(3), few)[4, 0]
+    for count in (5, K.FEW_PARTITIONS + 1):
+        got, inertia = K.lloyd(ready, {(4, 0): start}, 5, -1.0, np.zeros(3), count)[4, 0]
         np.testing.assert_allclose(got, want, atol=1e-12)
         assert inertia == pytest.approx(cost, rel=1e-12)
 
@@ -167,23 +167,76 @@ def test_more_clusters_than_samples(spark):
     with pytest.raises(ValueError):
         C.kmeans(points, 4, "id")
     with pytest.raises(ValueError):
-        C.gaussian_mixture(points, 4, "id", 3)
+        C.gaussian_mixture(points, 4, "id")
     assert {r["k"] for r in C.kmeans_sweep(points, "id", range(2, 6), restarts=1).collect()} == {2, 3}
 
 
 def test_gaussian_mixture(spark):
     x, truth = blobs(120, 2)
-    clusters, bic = C.gaussian_mixture(points_of(spark, x), 2, "id", 3)
+    clusters, bic, model = C.gaussian_mixture(points_of(spark, x), 2, "id")
     labels = np.array([r["cluster"] for r in clusters.orderBy("id").collect()])
     assert len(set(zip(labels.tolist(), truth.tolist()))) == 2
-    assert bic < C.gaussian_mixture(points_of(spark, x), 3, "id", 3)[1]
+    assert bic < C.gaussian_mixture(points_of(spark, x), 3, "id")[1]
+    for c in range(2):
+        own = x[labels == c]
+        np.testing.assert_allclose(model.means[c], own.mean(axis=0), atol=1e-2)
+        np.testing.assert_allclose(model.covariances[c], np.cov(own.T, bias=True), atol=2e-2)
+
+
+def test_mixture_of_fewer_rows_than_dimensions(spark):
+    x = np.random.default_rng(3).normal(size=(12, 30))
+    clusters, bic, model = C.gaussian_mixture(points_of(spark, x), 3, "id")
+    assert np.isfinite(bic) and clusters.count() == 12 and model.weights.sum() == pytest.approx(1.0)
+
+
+def test_ties_go_to_the_lower_number(spark):
+    grid = np.array([(a, b) for a in range(40) for b in range(40)], dtype=float) * 1e3 + 0.1
+    centers = [(2, i, [a * 1e3 + 0.1, b * 1e3 + 0.1]) for i, (a, b) in enumerate([(0, 0), (10, 10), (0, 10), (10, 0), (20, 5)])]
+    table = spark.createDataFrame(centers, "k bigint, cluster bigint, center array<double>")
+    at = np.array([c for *_, c in centers])
+    want = (((grid[:, None] - at[None]) / 1e3).round() ** 2).sum(-1).argmin(1)
+    got = C.nearest_centroid(points_of(spark, grid), table, "id").orderBy("id").collect()
+    assert [r["cluster"] for r in got] == want.tolist()
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_same_bits_for_any_partitioning(spark, monkeypatch, few):
+    monkeypatch.setattr(K, "FEW_PARTITIONS", few)
+    monkeypatch.setattr(K, "LEAST_ROWS", 20)
+    x = np.random.default_rng(5).normal(size=(200, 3))
+    fits = [K.fit_runs(points_of(spark, x).repartition(n), "id", [3], 200, restarts=2)[3] for n in (1, 7, 40)]
+    assert K.partitions(200) == 10
+    for cost, centers in fits[1:]:
+        assert cost == fits[0][0] and (centers == fits[0][1]).all()
+
+
+def test_no_sample_is_lost(spark):
+    chosen = spark.createDataFrame([(1, 2), (2, 5)], "id bigint, k bigint")
+    clusters = spark.createDataFrame([(2, 1, 0), (2, 2, 1)], "k bigint, id bigint, cluster bigint")
+    assert C.cluster_lookup(chosen.where("k = 2"), clusters, "id").collect() == [(1, 2, 0)]
+    with pytest.raises(Exception, match="no cluster of 2 for cluster count 5"):
+        C.cluster_lookup(chosen, clusters, "id").collect()
+
+
+def test_silhouette_of_a_ragged_sweep(spark):
+    x, _ = blobs(60, 3)
+    points = points_of(spark, x)
+    rows = [(2, i, i % 2) for i in range(0, len(x), 2)] + [(3, i, i % 3) for i in range(len(x))]
+    rows = [(k, i, (i // 2) % 2 if k == 2 else c) for k, i, c in rows]
+    clusters = spark.createDataFrame(rows, "k bigint, id bigint, cluster bigint")
+    both = {r["k"]: r["silhouette"] for r in silhouette(points, clusters, "id").collect()}
+    for k in (2, 3):
+        alone = silhouette(points, clusters.where(F.col("k") == k), "id").first()["silhouette"]
+        assert both[k] == pytest.approx(alone, abs=1e-12)
 
 
 def test_cluster_and_evaluate(spark):
     points = points_of(spark, blobs(80, 3)[0])
-    row = C.cluster_and_evaluate(points, 3, "id").first()
+    report, clusters = C.cluster_and_evaluate(points, 3, "id")
+    row = report.first()
+    assert clusters.count() == 80
     assert (row["method"], row["k"], row["n"]) == ("kmeans", 3, 80) and 0.5 < row["silhouette"] <= 1
-    assert C.cluster_and_evaluate(points, 3, "id", "gmm").first()["method"] == "gmm"
+    assert C.cluster_and_evaluate(points, 3, "id", "gmm")[0].first()["method"] == "gmm"
     with pytest.raises(ValueError):
         C.cluster_and_evaluate(points, 3, "id", "dbscan")
 

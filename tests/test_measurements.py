@@ -39,13 +39,12 @@ def folder(tmp_path_factory):
 def test_manifest(spark, folder):
     files = FCS.scan_files(spark, str(folder))
     rows = {r["filename"]: r for r in FCS.scan_manifest(files, ["ifna", "cd14"]).collect()}
-    bad = {"cut.fcs", "other.fcs", "junk.fcs"}
+    bad = {"cut.fcs", "other.fcs", "junk.fcs", "zero.fcs"}
     assert {n for n, r in rows.items() if r["error"]} == bad
-    # Spark's file sources skip files of zero bytes.
-    assert "notes.txt" not in rows and "zero.fcs" not in rows
+    assert "notes.txt" not in rows and "no bytes" in rows["zero.fcs"]["error"]
     assert rows["float_pos.fcs"]["n_events"] == 1000 and rows["empty.fcs"]["n_events"] == 0
     counts = FCS.manifest_counts(FCS.scan_manifest(files, ["ifna", "cd14"])).first()
-    assert (counts["loaded"], counts["failed"]) == (5, 3)
+    assert (counts["loaded"], counts["failed"]) == (5, 4)
 
 
 @pytest.mark.parametrize("slice_bytes", [1, 100, 1 << 20])
@@ -85,7 +84,8 @@ def test_decode_long_and_channels(spark, folder):
 def test_load_batch(spark, folder, method, reduce):
     files = FCS.scan_files(spark, str(folder))
     got = {r["filename"]: r for r in FCS.load_batch(files, ["ifna", "cd14"], method, slice_bytes=3000).collect()}
-    assert set(got) == {"float_pos.fcs", "double_neg.FCS", "int16.Fcs", "int32.fcs"}
+    assert set(got) == {"float_pos.fcs", "double_neg.FCS", "int16.Fcs", "int32.fcs", "empty.fcs"}
+    assert np.isnan([got["empty.fcs"][m] for m in ("ifna", "cd14")]).all()
     want = reduce(np.arcsinh(VALUES / 150), axis=0)
     assert [got["double_neg.FCS"][m] for m in ("ifna", "cd14")] == pytest.approx(want[:2].tolist(), abs=1e-12)
     assert got["int32.fcs"]["cd14"] is None

@@ -7,7 +7,7 @@ from markerloom.operators.binning import bins_to_dict
 from markerloom.plans import train as TR
 from markerloom.plans.discover import discover_bins
 from markerloom.plans.profile import profile_samples
-from markerloom.plans.score import score_samples
+from markerloom.plans.score import score_new, score_samples
 from markerloom.session import new_path
 from markerloom.sources import tables as T
 from markerloom.streaming.scoring import read_parts, run_available, stream_score
@@ -35,12 +35,26 @@ def points(samples):
 
 def test_full_run_and_scoring(spark, samples):
     path = new_path(spark, "agent")
-    TR.train_full(samples, points(samples), "sid", path, P)
+    TR.train_full(samples.where("label = 'positive'"), samples, "sid", ["a", "b"], path, P)
     log = T.load_table(spark, path, "log")
     assert {(r["phase"], r["count"]) for r in log.groupBy("phase").count().collect()} == {(1, 20), (2, 20)}
     assert log.where("phase = 2 AND iteration = 19").first()["exploration_rate"] == pytest.approx(0.3 * 0.995**40)
     params = T.load_table(spark, path, "params").first()
     assert (params["done"], params["n_actions"], params["gamma"]) == (40, 3, 0.9)
+    assert T.load_table(spark, path, "episodes").count() == 40
+    first = T.load_table(spark, f"{path}/phase1", "visits")
+    positive = {r["state"] for r in samples.where("label = 'positive'").select("state").collect()}
+    assert {r["state"] for r in first.select("state").collect()} <= positive
+    assert TR.load_params(spark, path) == (P, 40)
+    new = score_new(samples, "sid", ["a", "b"], path, new_path(spark, "scored"), 25)
+    assert new.count() == 24 and new.where("assigned_cluster IS NULL").count() == 0
+    with pytest.raises(ValueError):
+        score_new(samples.limit(0), "sid", ["a", "b"], path, "x")
+    with pytest.raises(Exception, match="no cluster"):
+        # All states prefer four clusters, which two samples cannot have.
+        always = spark.createDataFrame([(s, 2, 1.0) for s in range(25)], "state bigint, action bigint, q double")
+        two = samples.limit(2).persist()
+        score_samples(two, TR.fit_sweep(points(two), "sid", [2, 3, 4]), always, "sid", P, 25).collect()
     q = T.load_table(spark, path, "q")
     clusters = TR.fit_sweep(points(samples), "sid", [2, 3, 4], restarts=2)
     scored = score_samples(samples, clusters, q, "sid", P, 25)
@@ -66,13 +80,34 @@ def test_failed_cluster_counts_get_the_penalty(spark, samples):
     assert diagnosis == {2: 1.0, 3: 1.0, 4: 0.0, 5: 0.0}
 
 
+def _agent(spark, samples):
+    path = new_path(spark, "agent")
+    TR.train_phase1(samples, "sid", ["a", "b"], path, P)
+    return path
+
+
+def test_phase2_has_a_matrix_of_its_own(spark, samples, monkeypatch):
+    """Gaps of labeled samples are filled with the median of the labeled ones."""
+    odd = samples.withColumn("a", F.when(F.col("sid") == 1, None).otherwise(F.col("a"))).persist()
+    seen = []
+    real = TR.fit_sweep
+    monkeypatch.setattr(TR, "fit_sweep", lambda points, *a, **k: seen.append(points) or real(points, *a, **k))
+    TR.train_phase2(odd, "sid", ["a", "b"], _agent(spark, odd), new_path(spark, "two"))
+    labeled = odd.where("label IS NOT NULL")
+    filled = {r["sid"]: r["features"] for r in seen[-1].collect()}
+    assert filled.keys() == {r["sid"] for r in labeled.collect()}
+    assert filled[1][0] == pytest.approx(np.median([r["a"] for r in labeled.collect() if r["a"] is not None]))
+
+
 def test_unknown_measures_and_empty_input(spark, samples):
     with pytest.raises(ValueError):
         TR.quality_rewards(points(samples), None, "sid", [2], "gap")
     with pytest.raises(ValueError):
         TR.diagnostic_rewards(None, None, "sid", [2], "auc")
     with pytest.raises(ValueError):
-        TR.train_full(samples.limit(0), points(samples), "sid", "x", P)
+        TR.train_full(samples.limit(0), samples, "sid", ["a", "b"], "x", P)
+    with pytest.raises(ValueError):
+        TR.train_phase2(samples.where("label IS NULL"), "sid", ["a", "b"], _agent(spark, samples), "x")
     with pytest.raises(ValueError):
         TR.fit_sweep(points(samples).limit(1), "sid", [2, 3])
 
@@ -114,21 +149,32 @@ def test_stream_scores_like_batch(spark, samples):
         assert got[r["sid"]] == (r["state"], action, action + 2)
 
 
-def test_stream_updates_over_micro_batches(spark):
+def test_stream_updates_in_any_order(spark):
+    """Transitions that arrive out of order, twice, and over several runs, one file a micro-batch."""
     rng = np.random.default_rng(3)
     schema = "state bigint, seq bigint, action bigint, reward double"
-    arriving, out, progress = (new_path(spark, n) for n in ("arriving", "out", "cp"))
-    everything = None
-    # Three rounds of files; the state is kept between them.
+    rows = [(s, i + 1, int(rng.integers(0, 9)), float(rng.random())) for s in range(4) for i in range(60)]
+    mixed = [rows[i] for i in rng.permutation(len(rows))]
+    arriving, path, progress = (new_path(spark, n) for n in ("arriving", "versions", "cp"))
     for turn in range(3):
-        rows = [(int(rng.integers(0, 4)), turn * 100 + i, int(rng.integers(0, 9)), float(rng.random())) for i in range(80)]
-        df = spark.createDataFrame(rows, schema)
-        df.coalesce(1).write.mode("append").parquet(arriving)
-        everything = df if everything is None else everything.unionByName(df)
-        updates = stream_q_update(read_parts(spark, df.schema, arriving, 1))
-        done = run_available(updates, out, progress)
-    got = {(r["state"], r["action"]): r["q"] for r in current_table(done).collect()}
-    want = {(r["state"], r["action"]): r["q"] for r in Q.q_update(everything).collect()}
+        part = mixed[turn * 80 : (turn + 1) * 80] + mixed[:10]
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(arriving)
+        q = stream_q_update(read_parts(spark, spark.read.parquet(arriving).schema, arriving, 1), path, progress)
+        if turn == 0:
+            assert current_table(spark, path, "pending").count() > 0
+    assert current_table(spark, path, "pending").count() == 0
+    got = {(r["state"], r["action"]): r["q"] for r in q.collect()}
+    want = {(r["state"], r["action"]): r["q"] for r in Q.q_update(spark.createDataFrame(rows, schema)).collect()}
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-12)
+    assert {r["last"] for r in current_table(spark, path, "applied").collect()} == {60}
+
+
+def test_stream_waits_for_gaps(spark):
+    schema = "state bigint, seq bigint, action bigint, reward double"
+    arriving, path, progress = (new_path(spark, n) for n in ("arriving", "versions", "cp"))
+    spark.createDataFrame([(1, 1, 0, 1.0), (1, 3, 0, 1.0), (2, 2, 0, 1.0)], schema).write.parquet(arriving)
+    q = stream_q_update(read_parts(spark, spark.read.parquet(arriving).schema, arriving, 1), path, progress)
+    assert {(r["state"], r["action"]): r["q"] for r in q.where("q <> 0").collect()} == {(1, 0): pytest.approx(0.1)}
+    assert sorted((r["state"], r["seq"]) for r in current_table(spark, path, "pending").collect()) == [(1, 3), (2, 2)]
