@@ -17,7 +17,7 @@ from zlib import crc32
 import numpy as np
 from pyspark import SparkContext
 
-# Chunks that a Python worker remembers; beyond that it starts anew.
+# Chunks that a Python worker remembers; beyond that it forgets the longer half, the rarer words.
 MEMO = 400_000
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -59,7 +59,8 @@ class Encoder:
         """Encode the chunks. Those that begin with white space and end without form one text, whose ids are cut at
         the chunks' ends by their lengths in bytes."""
         if len(self._known) > MEMO:
-            self._known.clear()
+            middle = sorted(map(len, self._known))[len(self._known) // 2]
+            self._known = {c: ids for c, ids in self._known.items() if len(c) < middle}
         joined = [c for c in chunks if c[0] in _SPACE and c[-1] not in _SPACE]
         if joined:
             ids = np.array(self._whole(["".join(joined)])[0].ids, np.int64)
