@@ -275,11 +275,11 @@ FOUND = ["size", "rest", "root"]
 
 
 @query(
-    """WITH j AS (SELECT docall.* FROM docall JOIN labn USING (filename)),
-u AS (SELECT 'size' AS feature, size AS v FROM j UNION ALL SELECT 'rest', rest FROM j UNION ALL SELECT 'root', root FROM j),
-e AS (SELECT feature, list_reduce([[x] FOR x IN q], lambda a, x: list_append(a, CASE WHEN x[1] <= a[-1] THEN a[-1] + 1e-6 ELSE x[1] END)) AS e
-FROM (SELECT feature, quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM u GROUP BY 1))
-SELECT feature, i - 1 AS pos, round(e[i], 6) + 0.0 AS edge, true AS top, true AS auc_in_range FROM e, range(1, 7) t(i)""",
+    """SELECT feature, i - 1 AS pos, round(e[i], 6) + 0.0 AS edge, true AS top, true AS auc_in_range FROM (
+SELECT feature, list_reduce([[x] FOR x IN q], lambda a, x: list_append(a, CASE WHEN x[1] <= a[-1] THEN a[-1] + 1e-6 ELSE x[1] END)) AS e
+FROM (SELECT feature, quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q
+  FROM (SELECT unnest(['size', 'rest', 'root']) AS feature, unnest([size, rest, root]) AS v FROM docall JOIN labn USING (filename)) GROUP BY 1)),
+range(1, 7) t(i)""",
     ("docall", "labn"),
 )
 def bin_discovery(spark, sf):

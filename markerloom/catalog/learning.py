@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
 from markerloom.catalog.base import big, query, rounded, table
+from markerloom.functions.ordered import numbered
 from markerloom.operators import qtable as Q
 from markerloom.operators import reports as R
 from markerloom.operators.binning import quantile_bins
@@ -379,11 +380,11 @@ def train_full(spark, sf):
     agrees = F.least(F.abs(F.col("cumulative_payoff") - F.col("upto")), F.abs(F.col("cumulative_payoff") - F.col("own"))) < 1e-6
     rewards = visits.groupBy("phase", "action").agg(F.countDistinct("reward").alias("n"))
     parts = [
-        log.agg(F.count_if("phase = 1").alias("phase1_iterations"), F.count_if("phase = 2").alias("phase2_iterations")),
-        visits.agg(F.count_if("phase = 1").alias("phase1_visits"), F.count_if("phase = 2").alias("phase2_visits")),
+        log.agg(*[F.count_if(F.col("phase") == i).alias(f"phase{i}_iterations") for i in (1, 2)]),
+        visits.agg(*[F.count_if(F.col("phase") == i).alias(f"phase{i}_visits") for i in (1, 2)]),
         episodes.agg(F.count(F.lit(1)).alias("episodes")),
         checked.agg(F.count_if(~F.coalesce(agrees, F.lit(False))).alias("wrong_log")),
-        rewards.agg(F.count_if("n > 1").alias("wrong_rewards")),
+        rewards.agg(F.count_if(F.col("n") > 1).alias("wrong_rewards")),
         q.join(samples, "state", "left_anti").agg(F.count(F.lit(1)).alias("unknown_states")),
     ]
     row = {c: v for part in parts for c, v in part.first().asDict().items()}
@@ -527,7 +528,9 @@ def stream_score(spark, sf):
 def stream_q_update(spark, sf):
     """The transitions arrive in four files that are not in their order, one file a micro-batch."""
     arriving = new_path(spark, "transitions")
-    X.transitions(spark, sf).repartition(4, F.xxhash64("state", "seq")).write.parquet(arriving)
+    moves = numbered(X.transitions(spark, sf), "state", "seq", "number")
+    moves = moves.select("state", F.col("number").alias("seq"), "action", "reward")
+    moves.repartition(4, F.xxhash64("state", "seq")).write.parquet(arriving)
     schema = spark.read.parquet(arriving).schema
     parts = read_parts(spark, schema, arriving, files_per_trigger=1)
     return rounded(update_stream(parts, new_path(spark, "versions"), new_path(spark, "progress")), "q")

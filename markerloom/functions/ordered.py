@@ -86,6 +86,7 @@ def _select_ranks(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> D
         .groupBy(*keys, "b8", "v")
         .agg(F.count(F.lit(1)).alias("c"))
         .withColumn("b24", coarse(F.col("v"), 24))
+        .withColumn("b40", coarse(F.col("v"), 40))
     )
 
     def attach(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -97,9 +98,12 @@ def _select_ranks(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> D
 
     level2 = values.groupBy(*keys, "b8", "b24").agg(F.sum("c").alias("c"))
     hit2 = _narrow(attach(level2, hit1, [*keys, "b8"]), [*keys, "b8"], "b24")
-    level3 = attach(values, hit2, [*keys, "b8", "b24"])
-    hit3 = _narrow(level3, [*keys, "b8", "b24"], "v")
-    return hit3.select(*keys, "n", F.explode("ranks").alias("rank"), "v")
+    # Each level orders at most 2**16 rounded values, and the last the 2**13 that share 40 bits.
+    level3 = values.groupBy(*keys, "b8", "b24", "b40").agg(F.sum("c").alias("c"))
+    hit3 = _narrow(attach(level3, hit2, [*keys, "b8", "b24"]), [*keys, "b8", "b24"], "b40")
+    level4 = attach(values, hit3, [*keys, "b8", "b24", "b40"])
+    hit4 = _narrow(level4, [*keys, "b8", "b24", "b40"], "v")
+    return hit4.select(*keys, "n", F.explode("ranks").alias("rank"), "v")
 
 
 def exact_quantiles(
@@ -144,23 +148,40 @@ def exact_quantiles(
 def running_totals(df: DataFrame, order: str, amounts: Sequence[str]) -> DataFrame:
     """Adds `<amount>_before`: the sum over all rows with a smaller `order`.
 
-    `order` must be unique. Sums per rounded value come first, so neither window
-    sees the whole table: one runs over the rounded values, the other inside one.
+    `order` must be unique. The rows are dealt to ranges of equal size by their own quantiles, added up inside each
+    range, and shifted by the sums of the ranges before, one row per range.
     """
-    tagged = df.withColumn("b16", coarse(F.col(order).cast("double"), 16))
-    w = W.orderBy("b16")
-    sums = tagged.groupBy("b16").agg(*[F.sum(a).alias(f"__{a}") for a in amounts])
+    tagged = checkpointed(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    w = W.orderBy("__range")
+    sums = tagged.groupBy("__range").agg(*[F.sum(a).alias(f"__{a}") for a in amounts])
     offsets = sums.select(
-        "b16", *[(F.sum(f"__{a}").over(w) - F.col(f"__{a}")).alias(f"__{a}") for a in amounts]
+        "__range", *[(F.sum(f"__{a}").over(w) - F.col(f"__{a}")).alias(f"__{a}") for a in amounts]
     )
-    inside = W.partitionBy("b16").orderBy(order)
+    inside = W.partitionBy("__range").orderBy(order)
     return (
         tagged.select(
             "*", *[(F.sum(a).over(inside) - F.col(a)).alias(f"{a}_before") for a in amounts]
         )
-        .join(offsets, "b16")
+        .join(stored_small(offsets), "__range")
         .withColumns({f"{a}_before": F.col(f"{a}_before") + F.col(f"__{a}") for a in amounts})
-        .drop("b16", *[f"__{a}" for a in amounts])
+        .drop("__range", *[f"__{a}" for a in amounts])
+    )
+
+
+def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds 1, 2, ... per key in the order of an integer that is unique within the key. Ranges of `width` numbers are
+    counted first, so that no task orders all rows of a key."""
+    tagged = df.withColumn("__range", F.floor(F.col(order) / F.lit(width)))
+    sizes = tagged.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(key).orderBy("__range")) - F.col("__n")
+    shift = stored_small(sizes.select(F.col(key).alias("__key"), F.col("__range").alias("__same"), before.alias("__before")))
+    inside = F.row_number().over(W.partitionBy(key, "__range").orderBy(order))
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__range").eqNullSafe(F.col("__same"))
+    return (
+        tagged.withColumn("__at", inside)
+        .join(shift, same)
+        .withColumn(name, (F.col("__at") + F.col("__before")).cast("bigint"))
+        .drop("__range", "__at", "__key", "__same", "__before")
     )
 
 

@@ -12,7 +12,7 @@ from markerloom.functions.ordered import DIRECT_LIMIT, exact_quantiles
 from markerloom.functions.scalars import finite, scaled_asinh, zfill
 from markerloom.operators.markers import located_name
 from markerloom.operators.summaries import sample_medians, to_long
-from markerloom.session import stored_small
+from markerloom.session import checkpointed, stored_small
 
 NOT_FEATURES = {"filename", "label", "diagnosis"}
 
@@ -78,6 +78,8 @@ def feature_matrix(
     columns = columns or numeric_columns(df, [key])
     if not columns:
         raise ValueError(f"no feature columns among {df.columns}")
+    # Read several times from here on.
+    df = checkpointed(df.select(key, *dict.fromkeys(columns)))
     medians = corpus_medians(df, list(dict.fromkeys(columns)))
     columns = [c for c in columns if c in medians]
     if not columns:
@@ -88,7 +90,7 @@ def feature_matrix(
 
 def numeric_coerce(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text that is no finite number becomes the corpus median of its column."""
-    cast = df.withColumns({c: finite(F.col(c).try_cast("double")) for c in columns})
+    cast = checkpointed(df.withColumns({c: finite(F.col(c).try_cast("double")) for c in columns}))
     medians = corpus_medians(cast, columns)
     return cast.withColumns(
         {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns if c in medians}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from markerloom.functions.ordered import numbered
 from markerloom.functions.scalars import finite
 from markerloom.operators.markers import located_name
 from markerloom.session import stored_small
@@ -13,24 +14,32 @@ from markerloom.session import stored_small
 # Widest averaging window and bars of a histogram.
 MAX_WINDOW = 50
 BARS = 50
+# Rows of a log that one task averages.
+STRETCH = 4096
 
 
 def moving_average(log: DataFrame, value: str, by: str = "phase", order: str = "iteration") -> DataFrame:
     """Adds moving_average over min(50, n // 10) rows of a training log, null on the
-    first rows and for windows of one.
+    first rows and for windows of one. `order` is an integer, unique within `by`.
 
-    A log has one row per training iteration: its windows are as long as the run,
-    whatever the size of the data, and its row counts are one number per phase.
+    The rows of a group are numbered and cut into stretches; each stretch also gets the last rows of the one before,
+    so the windows of a long log run in as many tasks as it has stretches.
     """
+    rows = numbered(log, by, order, "position")
+    stretch = F.floor((F.col("position") - 1) / F.lit(STRETCH))
+    ends = (F.col("position") - 1) % STRETCH >= STRETCH - MAX_WINDOW
+    copies = F.when(ends, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    dealt = rows.withColumn("__own", stretch).withColumn("__stretch", F.explode(copies))
+    inside = W.partitionBy(by, "__stretch").orderBy("position")
     out = F.lit(None).cast("double")
-    inside = W.partitionBy(by).orderBy(order)
+    # One number per group.
     for r in log.groupBy(by).count().collect():
         w = min(MAX_WINDOW, r["count"] // 10)
         if w > 1:
             mean = F.avg(value).over(inside.rowsBetween(1 - w, 0))
-            full = F.row_number().over(inside) >= w
-            out = F.when((F.col(by) == r[by]) & full, mean).otherwise(out)
-    return log.withColumn("moving_average", out)
+            out = F.when(F.col(by).eqNullSafe(F.lit(r[by])) & (F.col("position") >= w), mean).otherwise(out)
+    averaged = dealt.withColumn("moving_average", out).where("__own = __stretch")
+    return averaged.drop("position", "__own", "__stretch")
 
 
 def learning_curve(log: DataFrame) -> DataFrame:
@@ -102,6 +111,7 @@ def summary_report(log: DataFrame, stats: DataFrame) -> DataFrame:
         F.count_if(F.col("phase") == 2).alias("phase2_iterations"),
         _last("average_payoff", 2).alias("phase2_average_payoff"),
     )
-    return phases.withColumns(
-        {c: stats.select(c).scalar() for c in ("state_coverage", "mean_q", "max_q")}
+    one = stats.select(F.struct("state_coverage", "mean_q", "max_q")).scalar()
+    return phases.withColumn("__stats", one).select(
+        *phases.columns, *[F.col(f"__stats.{c}").alias(c) for c in ("state_coverage", "mean_q", "max_q")]
     )

@@ -23,8 +23,9 @@ def sample_medians(
     direct_limit: int = DIRECT_LIMIT,
     biggest: int | None = None,
     names: Sequence[str] = (),
+    sums: bool = False,
 ) -> DataFrame:
-    """(keys, names, medians): per key the exact median of the finite values; 0 if there
+    """(keys, names, medians, and with `sums` n, s_<column> and g_<column>, the finite values' sum and the number of gaps): per key the exact median of the finite values; 0 if there
     are values but none is finite; null if the column holds nulls only, as for a
     marker the sample does not have. `names` are columns that follow from the keys."""
     good = df.select(
@@ -37,6 +38,13 @@ def sample_medians(
         biggest = largest_group(df, keys)
     seen = [F.max(f"__{c}").alias(f"__{c}") for c in columns]
     carried = [F.first(n).alias(n) for n in names]
+    more = []
+    if sums:
+        carried.append(F.count(F.lit(1)).alias("n"))
+        for c in columns:
+            carried += [F.sum(c).alias(f"s_{c}"), F.count_if(F.col(c).isNull()).alias(f"g_{c}")]
+            more += [f"s_{c}", f"g_{c}"]
+        more.append("n")
     if biggest * len(columns) <= direct_limit:
         out = good.groupBy(*keys).agg(*carried, *seen, *[F.median(c).alias(c) for c in columns])
     else:
@@ -53,7 +61,7 @@ def sample_medians(
             cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
         out = every.join(wide.alias("b"), cond, "left").select("a.*", *[f"b.{c}" for c in columns])
     filled = [F.when(F.col(f"__{c}"), F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
-    return out.select(*keys, *names, *filled)
+    return out.select(*keys, *names, *more, *filled)
 
 
 def summarize(
@@ -77,23 +85,12 @@ def summarize(
     if method not in ("median", "mean"):
         raise ValueError(f"unknown aggregation: {method}")
     names = [name] if name else []
-    out = sample_medians(df, keys, columns, direct_limit, biggest, names)
+    out = sample_medians(df, keys, columns, direct_limit, biggest, names, method == "mean")
     if method == "mean":
-        sums = [F.sum(finite(F.col(c))).alias(f"s_{c}") for c in columns]
-        gaps = [F.count_if(finite(F.col(c)).isNull()).alias(f"g_{c}") for c in columns]
-        parts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *gaps)
-        parts = parts.withColumnsRenamed({k: f"__{k}" for k in keys})
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        out = out.join(parts, same).select(
-            *keys,
-            *names,
-            *[
-                ((F.coalesce(f"s_{c}", F.lit(0.0)) + F.col(f"g_{c}") * F.col(c)) / F.col("n")).alias(c)
-                for c in columns
-            ],
-        )
+        means = [
+            ((F.coalesce(f"s_{c}", F.lit(0.0)) + F.col(f"g_{c}") * F.col(c)) / F.col("n")).alias(c) for c in columns
+        ]
+        out = out.select(*keys, *names, *means)
     if name is not None:
         out = out.withColumn("label", label_from_name(F.col(name)))
     return out
