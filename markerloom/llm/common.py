@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -73,6 +72,3 @@ def appended(
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
-
-def run_id() -> str:
-    return uuid.uuid4().hex

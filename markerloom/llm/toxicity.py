@@ -212,9 +212,9 @@ def learn_lexicon(
             )
 
     # Two numbers and a label for each training row, of which there is a bounded number.
-    points = rows.mapInArrow(measure, "a double, b double, y int").orderBy("a", "b", "y").collect()
-    x = np.array([(1.0, p.a, p.b) for p in points])
-    model.curve = fit_curve(x, np.array([float(p.y) for p in points]))
+    points = sorted(tuple(p) for p in rows.mapInArrow(measure, "a double, b double, y int").collect())
+    x = np.array([(1.0, a, b) for a, b, _ in points])
+    model.curve = fit_curve(x, np.array([float(y) for *_, y in points]))
     return model
 
 
