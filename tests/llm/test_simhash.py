@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markerloom.llm import simhash
 from markerloom.llm.components import connected_components
-from markerloom.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates
+from markerloom.llm.simhash import fingerprint, near_duplicates
 
 
 def slow_fingerprint(text, width=3):
@@ -100,19 +100,9 @@ def test_odd_rows(odd, clashing, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
-def test_drop_keeps_one_row_of_each_group(odd, clashing, nothing):
-    kept = drop_near_duplicates(odd).collect()
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept if r.doc_id is not None) == [(False, i) for i in (1, 4, 5, 6, 7, 8)]
-    assert [r.text for r in kept if r.doc_id is None] == ["A text without an id, which is long enough to hold some words."]
-    wide = drop_near_duplicates(clashing)
-    assert wide.columns == clashing.columns and wide.count() == len(kept)
-    assert drop_near_duplicates(nothing).count() == 0
-
-
 def test_many_copies_are_one_node(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text that everybody copies " * 5).alias("text"))
     assert near_duplicates(docs).select("component_id").distinct().collect()[0][0] == 0
-    assert drop_near_duplicates(docs).count() == 1
 
 
 def test_block_masks_leave_one_untouched():
