@@ -40,7 +40,8 @@ _BUILT: dict[int, Parser] = {}
 
 def letters_of(text: str) -> str:
     """Lower-case words with single blanks; empty if there is no letter."""
-    return _GAPS.sub(" ", text.lower()).strip()
+    body = _GAPS.sub(" ", text.lower()).strip()
+    return body if any(map(str.isalpha, body)) else ""
 
 
 def training_texts(

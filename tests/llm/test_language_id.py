@@ -50,6 +50,10 @@ def test_held_out_rows_teach_nothing(given):
     assert training_texts(docs) == training_texts(other)
 
 
+def test_what_has_a_letter():
+    assert letters_of("² ½ 12 _ !") == "" and letters_of("² a_B1c") == "² a b c"
+
+
 def test_bounds(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LETTERS", 300)
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('some words ', id, ' here') AS text", "if(id % 3 = 0, 'a', 'b') AS lang")
