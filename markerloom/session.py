@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DIR = "spark.checkpoint.dir"
+_RUN = uuid.uuid4().hex
+_FOLDERS: set[str] = set()
 
 # Rows and bytes of a table that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -53,8 +56,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/markerloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this process that goes when the process ends in order."""
+    folder = f"{shared_dir(spark).rstrip('/')}/markerloom/{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_clean, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _clean(folder: str) -> None:
+    spark = SparkSession.getActiveSession()
+    # After the session was stopped nothing can be reached any more.
+    if spark is not None and spark.sparkContext._jsc is not None:
+        remove_path(spark, folder)
 
 
 def folder_names(spark: SparkSession, path: str) -> list[str]:
