@@ -156,7 +156,7 @@ def _center_check(points, clusters, centers):
 
 
 @query(
-    f"""SELECT count(*) AS n, {FIT_K} AS clusters, 0 AS wrong_nearest, 0 AS wrong_center, true AS same_inertia, true AS beats_first_centers
+    f"""SELECT count(*) AS n, {FIT_K}::BIGINT AS clusters, 0::BIGINT AS wrong_nearest, 0::BIGINT AS wrong_center, true AS same_inertia, true AS beats_first_centers
 FROM vec""",
     ("vec",),
 )
@@ -174,7 +174,7 @@ def kmeans(spark, sf):
 
 
 @query(
-    "SELECT count(*) AS n, 3 AS clusters, 0 AS wrong_sum, 0 AS wrong_choice, true AS same_bic, true AS weights_add_up FROM vec",
+    "SELECT count(*) AS n, 3::BIGINT AS clusters, 0::BIGINT AS wrong_sum, 0::BIGINT AS wrong_choice, true AS same_bic, true AS weights_add_up FROM vec",
     ("vec",),
 )
 def gaussian_mixture(spark, sf):
@@ -201,7 +201,7 @@ def gaussian_mixture(spark, sf):
 
 
 @query(
-    """SELECT method, 4 AS k, count(*) AS n, count(*) AS clustered, true AS same_silhouette, true AS same_fit
+    """SELECT method, 4::BIGINT AS k, count(*) AS n, count(*) AS clustered, true AS same_silhouette, true AS same_fit
 FROM vec, (VALUES ('kmeans'), ('gmm')) t(method) GROUP BY 1""",
     ("vec",),
 )

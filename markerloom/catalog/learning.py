@@ -360,10 +360,11 @@ _PICKED = "least({}, (SELECT count(*) FROM {{}}))".format(P.batch)
 
 
 @query(
-    f"""SELECT {P.iterations} AS phase1_iterations, {P.iterations} AS phase2_iterations,
+    f"""SELECT {P.iterations}::BIGINT AS phase1_iterations, {P.iterations}::BIGINT AS phase2_iterations,
   {P.iterations} * {_PICKED.format("samples WHERE label = 'positive'")} AS phase1_visits,
   {P.iterations} * {_PICKED.format("labeled")} AS phase2_visits,
-  2 * {P.iterations} AS episodes, 2 * {P.iterations} AS done, 0 AS wrong_log, 0 AS wrong_rewards, 0 AS unknown_states""",
+  2 * {P.iterations}::BIGINT AS episodes, 2 * {P.iterations}::BIGINT AS done, 0::BIGINT AS wrong_log,
+  0::BIGINT AS wrong_rewards, 0::BIGINT AS unknown_states""",
     ("samples", "labeled"),
 )
 def train_full(spark, sf):
