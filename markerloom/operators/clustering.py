@@ -105,9 +105,41 @@ def cluster_means(points: DataFrame, clusters: DataFrame, key: str) -> DataFrame
     )
 
 
-def kmeans_step(points: DataFrame, centers: DataFrame, key: str) -> DataFrame:
-    """One assignment and recomputation: the new centers(k, cluster, center, n)."""
-    return cluster_means(points, nearest_centroid(points, centers, key), key)
+def kmeans_step(points: DataFrame, centers: DataFrame, key: str, limit: int = CENTERS_IN_TASKS) -> DataFrame:
+    """One assignment and recomputation: the new centers(k, cluster, center, n). The tasks that assign the rows add
+    them up as well; only sums are shuffled. More than about `limit` centers go through nearest_centroid."""
+    table = centers.select(F.col("k").cast("bigint"), F.col("cluster").cast("bigint"), "center")
+    rows = sorted(table.limit(limit + 1).collect(), key=lambda r: (r["k"], r["cluster"]))
+    if len(rows) > limit or not rows:
+        return cluster_means(points, nearest_centroid(points, centers, key, limit), key)
+    stacked = np.array([r["center"] for r in rows], dtype="float64")
+    mid = stacked.mean(axis=0)
+    spans = [[i for i, r in enumerate(rows) if r["k"] == k] for k in sorted({r["k"] for r in rows})]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = np.zeros(len(rows), "int64"), np.zeros(stacked.shape)
+        for batch in batches:
+            x = feature_rows(batch)
+            for at in spans:
+                own, _ = nearest(x - mid, stacked[at] - mid)
+                size[at] += np.bincount(own, minlength=len(at))
+                total[at] += (own[:, None] == np.arange(len(at))[None, :]).astype("float64").T @ x
+        used = np.flatnonzero(size)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "k": [rows[i]["k"] for i in used],
+                "cluster": [rows[i]["cluster"] for i in used],
+                "n": size[used],
+                "total": total[used].tolist(),
+            },
+            pa.schema([("k", pa.int64()), ("cluster", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]),
+        )
+
+    sums = points.select("features").mapInArrow(add_up, "k bigint, cluster bigint, n bigint, total array<double>")
+    added = vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
+    counted = sums.groupBy("k", "cluster").agg(added, F.sum("n").alias("n"))
+    center = F.transform("total", lambda x: x / F.col("n")).alias("center")
+    return counted.select("k", "cluster", center, "n")
 
 
 def inertia(
