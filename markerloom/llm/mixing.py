@@ -2,8 +2,10 @@
 
 Every document weighs its number of words. The words per cell (source, language, topic) are summed in one pass; the
 cell weights are raked to the target shares of the three margins in turn until all fit; a document stays with the
-probability of its cell, and the draw is a hash of its key and the seed. The probabilities are scaled so that the
-largest is one: the expected words of the sample have the raked margins exactly.
+probability of its cell, and the draw is a hash of its key and the seed. The expected words of the sample are a stated share
+of all, whatever cells there are: a cell whose probability would be above one stays whole and the rest is raked
+again, a category with fewer words than its target stays whole and the others of its margin share what it lacks. Else the
+expected words have the target margins exactly.
 
 Targets name categories; all others of a margin form one more category, which keeps its own share of the words. The
 cell table is thus bounded by the targets (MAX_CELLS), however many sources there are, and is raked on the driver.
@@ -26,6 +28,8 @@ from markerloom.llm.common import stored
 
 MAX_CELLS = 1_000_000
 ROUNDS, TOLERANCE = 1000, 1e-10
+# Expected words of the sample for a word of the table.
+KEEP = 0.5
 OTHER = "\0other"
 
 Targets = Mapping[str, Mapping[str, float]]
@@ -81,6 +85,70 @@ def rake(words: np.ndarray, codes: np.ndarray, targets: Sequence[np.ndarray]) ->
     return factors
 
 
+def goal_words(have: np.ndarray, goal: np.ndarray, total: float) -> np.ndarray:
+    """`total` words dealt by the shares `goal`, no category getting more than it has."""
+    out = np.zeros(len(have))
+    free = (goal > 0) & (have > 0)
+    while free.any():
+        dealt = np.where(free, goal, 0.0) * ((total - out[~free].sum()) / goal[free].sum())
+        full = free & (dealt >= have)
+        if not full.any():
+            return np.where(free, dealt, out)
+        out[full] = have[full]
+        free &= ~full
+    return out
+
+
+def _scales(words: np.ndarray, factors: np.ndarray, code: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Per category the scale at which the words times min(1, factor * scale) sum to its goal."""
+    order = np.lexsort((-factors, code))
+    order = order[(words[order] > 0) & (factors[order] > 0)]
+    w, f, c = words[order], factors[order], code[order]
+    scales = np.zeros(len(goal))
+    if not len(c):
+        return scales
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    size = np.diff(np.r_[starts, len(c)])
+    before = np.cumsum(w) - w
+    whole = before - np.repeat(before[starts], size)  # words of the cells with a larger factor
+    rest = np.cumsum((w * f)[::-1])[::-1]
+    rest = rest - np.repeat(np.r_[rest[starts[1:]], 0.0], size)
+    scale = np.maximum(goal[c] - whole, 0.0) / np.maximum(rest, 1e-300)
+    # The first cell of a category that stays at one or less with the ones before it whole.
+    fits = np.flatnonzero(f * scale <= 1 + 1e-15)
+    np.maximum.at(scales, c, 1 / f)  # all whole, where none does
+    first = fits[np.unique(c[fits], return_index=True)[1]]
+    scales[c[first]] = scale[first]
+    return scales
+
+
+def rake_to_total(words: np.ndarray, codes: np.ndarray, targets: Sequence[np.ndarray], total: float) -> np.ndarray:
+    """Factors per cell so that words * min(1, factors) sum to `total` with the target shares in every margin, as far as
+    the words suffice."""
+    if words.sum() <= 0:
+        return np.ones(len(words))
+    haves = [np.bincount(code, words, len(goal)) for code, goal in zip(codes, targets)]
+    goals = [goal_words(have, goal, total) for have, goal in zip(haves, targets)]
+    if not all(goal.sum() > 0 for goal in goals):
+        raise ValueError("a margin's targets name no category that has words")
+    factors = np.ones(len(words))
+    for _ in range(ROUNDS):
+        before, worst = np.minimum(factors, 1.0), 0.0
+        for code, goal in zip(codes, goals):
+            have = np.bincount(code, words * np.minimum(factors, 1.0), len(goal))
+            worst = max(worst, float(np.abs(have - goal).max()) / total)
+            factors = np.clip(factors * _scales(words, factors, code, goal)[code], 0.0, 1e12)
+        if worst < TOLERANCE or np.abs(np.minimum(factors, 1.0) - before).max() < 1e-3 * TOLERANCE:
+            break
+    return factors
+
+
+def share_kept(cells: DataFrame) -> float:
+    """Expected share of the words that stay, from the cells of mix."""
+    sums = cells.agg(F.sum(F.col("words") * F.col("probability")).alias("kept"), F.sum("words").alias("all")).first()
+    return sums["kept"] / sums["all"] if sums["all"] else 0.0
+
+
 def cell_words(docs: DataFrame, margins: Mapping[str, Column], text: str = "text") -> DataFrame:
     """The words of every combination of the margins' values, null as empty, summed in one pass over the texts and stored."""
     values = [F.coalesce(m.cast("string"), F.lit("")).alias(f"v{i}") for i, m in enumerate(margins.values())]
@@ -96,12 +164,13 @@ def mix(
     text: str = "text",
     seed: int = 42,
     rate: float = 1.0,
+    keep: float = KEEP,
     cells: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The sampled documents with all their columns, and the cells: margins, words, factor, probability.
 
-    `margins` maps each margin of `targets` to its expression over `docs`. `rate` scales all probabilities down. `cells` is
-    cell_words of the same documents and margins, if it is there already.
+    `margins` maps each margin of `targets` to its expression over `docs`. `keep` is the share of the words to be kept,
+    `rate` scales all probabilities down. `cells` is cell_words of the same documents and margins, if it is there already.
     """
     names = list(targets)
     limit = int(np.prod([len(targets[m]) + 1 for m in names]))
@@ -125,8 +194,9 @@ def mix(
         named = sum(targets[m].values())
         codes.append(code)
         goals.append(np.array([(1 - rest) * v / named for v in targets[m].values()] + [rest]))
-    factors = rake(words, np.array(codes).reshape(len(names), -1), goals) if found else words
-    chances = rate * factors / factors.max() if len(factors) and factors.max() > 0 else factors
+    codes = np.array(codes).reshape(len(names), -1)
+    factors = rake_to_total(words, codes, goals, keep * words.sum()) if found else words
+    chances = rate * np.minimum(factors, 1.0)
     spark = docs.sparkSession
     rows = [
         (*(r[f"c{i}"] for i in range(len(names))), int(r.w), float(f), float(p)) for r, f, p in zip(found, factors, chances)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markerloom.llm.mixing import OTHER, mix, rake, tempered, text_kind, word_count
+from markerloom.llm.mixing import KEEP, OTHER, mix, rake, rake_to_total, share_kept, tempered, text_kind, word_count
 from markerloom.llm.queries import mixed
 
 
@@ -86,3 +86,24 @@ def test_rate_and_limit(given):
     assert {r.doc_id for r in half.collect()} < {r.doc_id for r in full.collect()}
     with pytest.raises(ValueError):
         mix(docs, {"lang": F.col("lang")}, {"lang": {str(i): 1.0 for i in range(1_000_001)}})
+
+
+def test_one_tiny_cell_does_not_set_the_rate(given):
+    docs = given("documents")
+    tiny = docs.limit(1).selectExpr("-1L doc_id", "'un petit texte de six mots' text", "'fr' lang", "'new' source", "27L n_chars")
+    before, after = (share_kept(mixed(d)[1]) for d in (docs, docs.unionByName(tiny.select(docs.columns))))
+    assert before == pytest.approx(KEEP, abs=1e-6) and after == pytest.approx(before, abs=1e-6)
+
+
+def test_cells_above_one_stay_whole_and_the_rest_is_raked_again():
+    rng = np.random.default_rng(5)
+    codes = np.array([c for c in np.ndindex(6, 4)]).T
+    words = rng.integers(1000, 100_000, 24).astype(float)
+    words[codes[0] == 5] = 2.0
+    goals = [np.full(6, 1 / 6), np.array([0.4, 0.2, 0.2, 0.2])]
+    total = 0.4 * words.sum()
+    chances = np.minimum(rake_to_total(words, codes, goals, total), 1.0)
+    expected = words * chances
+    assert expected.sum() == pytest.approx(total) and chances[codes[0] == 5] == pytest.approx(1.0)
+    assert np.bincount(codes[1], expected) / total == pytest.approx(goals[1], abs=1e-8)
+    assert np.bincount(codes[0], expected)[:5] == pytest.approx((total - 8) / 5)
