@@ -185,13 +185,10 @@ SOURCE_POWER, KIND_POWER = 0.8, 0.9
 def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.text_kind(F.col("text"))}
     cells = mixing.cell_words(docs, margins)
-    shares = {m: mixing.observed_shares(cells, m) for m in ("source", "topic")}
-    targets = {
-        "source": mixing.tempered(shares["source"], SOURCE_POWER),
-        "lang": LANGUAGE_TARGETS,
-        "topic": mixing.tempered(shares["topic"], KIND_POWER),
-    }
-    return mixing.mix(docs, margins, targets, cells=cells)
+    sources, classes = mixing.tempered_targets(cells, "source", SOURCE_POWER)
+    topics = mixing.tempered(mixing.observed_shares(cells, "topic"), KIND_POWER)
+    targets = {"source": sources, "lang": LANGUAGE_TARGETS, "topic": topics}
+    return mixing.mix(docs, margins, targets, cells=cells, classes={} if classes is None else {"source": classes})
 
 
 @query

@@ -1,8 +1,22 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markerloom.llm.mixing import KEEP, OTHER, mix, rake, rake_to_total, share_kept, tempered, text_kind, word_count
+from markerloom.llm.mixing import (
+    KEEP,
+    OTHER,
+    cell_words,
+    mix,
+    rake,
+    rake_to_total,
+    share_kept,
+    tempered,
+    tempered_targets,
+    text_kind,
+    word_count,
+)
 from markerloom.llm.queries import mixed
 
 
@@ -107,3 +121,23 @@ def test_cells_above_one_stay_whole_and_the_rest_is_raked_again():
     assert expected.sum() == pytest.approx(total) and chances[codes[0] == 5] == pytest.approx(1.0)
     assert np.bincount(codes[1], expected) / total == pytest.approx(goals[1], abs=1e-8)
     assert np.bincount(codes[0], expected)[:5] == pytest.approx((total - 8) / 5)
+
+
+def test_every_source_has_its_tempered_target(spark):
+    """1200 sources of 2 to 39 documents, more than have a name among the targets."""
+    rows = [(1200 * i + s, "one two three", f"s{s}") for s in range(1200) for i in range(2 + s * s % 38)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    margins = {"source": F.col("source")}
+    cells = cell_words(docs, margins)
+    targets, classes = tempered_targets(cells, "source", 0.8)
+    sample, table = mix(docs, margins, {"source": targets}, cells=cells, classes={"source": classes})
+    of = {r["value"]: r["class"] for r in classes.collect()}
+    chance = {r.source: r.probability for r in table.collect()}
+    sizes = Counter(r[2] for r in rows)
+    want = tempered({s: n / len(rows) for s, n in sizes.items()}, 0.8)
+    have = {s: n * chance[of.get(s, s)] / (KEEP * len(rows)) for s, n in sizes.items()}
+    assert len(of) == 200 and OTHER not in chance
+    assert have == pytest.approx(want, rel=0.02)
+    hashes = docs.select("doc_id", "source", F.xxhash64(F.lit(42), "doc_id").alias("h")).collect()
+    drawn = {r.doc_id for r in hashes if ((r.h % 2**64) >> 11) / 2**53 < chance[of.get(r.source, r.source)]}
+    assert {r.doc_id for r in sample.collect()} == drawn and sample.columns == docs.columns
