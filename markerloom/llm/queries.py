@@ -13,6 +13,7 @@ from markerloom.llm import (
     language_id,
     line_dedup,
     mixing,
+    ngram_join,
     quality,
     resampling,
     simhash,
@@ -218,3 +219,8 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
