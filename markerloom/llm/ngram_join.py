@@ -11,8 +11,8 @@ n - ceil(4n/5) + 1 rarest shingles, in an order that is the same for all (occurr
 the hash). Of two sets with the similarity, one of those of each is the same, so that no pair is lost; a wrong count only
 changes the order.
 
-Equal sets are one class, however many texts have it. A class is first compared with the smallest of each of its trees; trees that hold
-one component then are done. In the others the largest component is not compared with itself: what lies outside meets it, and
+Equal sets are one class, however many texts have it. A class is first compared with its star, the smallest class of most of its
+trees; trees that hold one component then are done. In the others the largest component is not compared with itself: what lies outside meets it, and
 the rest of its own, in pieces of at most PIECE rows, so the rows that are dealt grow with the tree and not with its square unless many
 texts are outside.
 
@@ -29,28 +29,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from markerloom.llm.common import LOWER, UPPER, slices, stored, utf8
 from markerloom.llm.components import connected_components
 from markerloom.llm.dealing import PIECE, deal
+from markerloom.session import stored_small
 
 SHINGLE = 5
 # A link has OF_WHOLE / PART of the union in common, and so OVERLAP / BOTH of both sizes together.
 OF_WHOLE, PART = 4, 5
 OVERLAP, BOTH = OF_WHOLE, OF_WHOLE + PART
-GROUPS = 64
+GROUPS = 512
 # Entries of the table of occurrences, which every task holds, and of its pieces.
 TABLE, TABLE_PIECE = 1 << 18, 1 << 12
-# Children of a node.
+# Children of a node; trees of no more rows are a leaf.
 FANOUT = 16
+# Partners of a class that meet its set in one place.
+STAR = 64
+# Possible pairs of a piece for each of its rows that are still sent as pairs.
+FEW = 4
 # Pairs of points whose coordinates are compared at a time.
 AT_ONCE = 1 << 14
 
 _U = np.uint64
 _MIX, _STEP = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_COUNT, _FULL = np.dtype("<u2"), (1 << 16) - 1
+_COUNT, _FULL = np.dtype("u1"), 255
 
 
 def ngram_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -87,8 +93,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def may_be(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Whether two points, or anything in two boxes of such upper corners and smallest sizes, may be similar."""
-    bound = np.minimum(a, b)
-    return BOTH * np.where(bound == _FULL, 1 << 40, bound.astype(np.int64)).sum(axis=1) >= OVERLAP * (size_a + size_b)
+    least = np.minimum(a, b)
+    bound = least.sum(axis=1, dtype=np.int64)
+    if (full := least == _FULL).any():
+        bound += full.sum(axis=1) << 40
+    return BOTH * bound >= OVERLAP * (size_a + size_b)
+
+
+def fitting(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be similar if their first common shingle is at these places of their order: what is left
+    from there on has to be enough."""
+    return BOTH * np.minimum(n - at_n, m - at_m) >= OVERLAP * (n + m)
 
 
 class CountTree:
@@ -207,11 +222,20 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(fits & may_be(a, b, n, m)))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _like_their_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (a, part, other, cls, hashes) to the star of their part, which comes before them."""
+    star: np.ndarray | None = None
     for part in slices(batches, 64):
-        sets = zip(part.column("hashes_a"), part.column("hashes_b"))
-        kept = [similar(*(np.frombuffer(x.as_buffer(), _U) for x in both)) for both in sets]
-        yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        left, right = [], []
+        rows = zip(part.column("a").to_pylist(), part.column("other").to_pylist(), part.column("cls").to_pylist(), part.column("hashes"))
+        for a, other, cls, hashes in rows:
+            mine = np.frombuffer(hashes.as_buffer(), _U)
+            if not other:
+                star = mine
+            elif similar(star, mine):
+                left.append(a)
+                right.append(cls)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 _PLACE = ("key", "lo", "hi")
@@ -226,56 +250,91 @@ def _changes(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(out) + 1
 
 
-def _by_piece(fn: Callable[[pa.Table], pa.Table], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """fn of each piece of a tree, of rows that come sorted by piece."""
+def _by_pieces(fn: Callable[[pa.Table], pa.Table], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn of runs of whole pieces of trees, of rows that come sorted by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for part in slices(batches, rows):
             last = [held[-1].slice(held[-1].num_rows - 1)] if held else []
             ends = _changes(pa.Table.from_batches([*last, part])) - len(last)
-            start = 0
-            for end in ends.tolist():
-                piece = pa.Table.from_batches([*held, part.slice(start, end - start)])
-                held, start = [], end
-                yield from fn(piece).to_batches()
-            if part.num_rows > start:
-                held.append(part.slice(start))
+            if len(ends):
+                yield from fn(pa.Table.from_batches([*held, part.slice(0, ends[-1])])).to_batches()
+                held, part = [], part.slice(ends[-1])
+            if part.num_rows:
+                held.append(part)
         if held:
             yield from fn(pa.Table.from_batches(held)).to_batches()
 
     return run
 
 
-def _candidates(piece: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a piece that the bounds leave: across its sides where it has two, of different components."""
-    points, sizes = _points(piece.column("point")), piece.column("n").to_numpy()
-    side, root = piece.column("side").to_numpy(), piece.column("root").to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if len(left) and len(right):
-        found = CountTree(points[left], sizes[left]).pairs(CountTree(points[right], sizes[right]))
-        found = ((left[i], right[j]) for i, j in found)
-    else:
-        found = CountTree(points, sizes).pairs()
-    for i, j in found:
-        apart = root[i] != root[j]
-        if apart.any():
-            yield i[apart], j[apart]
-
-
-def _with_partners(piece: pa.Table) -> pa.Table:
-    """The rows that may be similar to a row of another component."""
-    found = np.zeros(piece.num_rows, bool)
-    if len(np.unique(piece.column("root").to_numpy())) > 1:
-        for i, j in _candidates(piece):
-            found[i] = found[j] = True
-    return piece.filter(pa.array(found))
-
-
-def _links_within(piece: pa.Table) -> pa.Table:
+def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same piece that the bounds leave: of different components, and across the sides of a piece that has two.
+
+    Pieces of one leaf are compared by their points, many pieces at a time; each larger one gets its tree.
+    """
+    points, sizes, place = _points(table.column("point")), table.column("n").to_numpy(), table.column("pos").to_numpy()
+    side, root = table.column("side").to_numpy(), table.column("root").to_numpy()
+    changes = _changes(table)
+    starts, ends = np.r_[0, changes], np.r_[changes, table.num_rows]
+
+    def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (root[i] != root[j]) & fitting(sizes[i], sizes[j], place[i], place[j])
+
+    lengths = ends - starts
+    two = np.repeat(np.maximum.reduceat(side, starts) != np.minimum.reduceat(side, starts), lengths)
+    end_of = np.repeat(np.where(lengths <= FANOUT, ends, 0), lengths)
+    at = np.arange(table.num_rows)
+    for step in range(1, FANOUT):
+        at = at[at + step < end_of[at]]
+        i, j = at, at + step
+        keep = wanted(i, j) & (~two[i] | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), AT_ONCE):
+            a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+            close = may_be(points[a], points[b], sizes[a], sizes[b])
+            yield a[close], b[close]
+    for start, end in zip(starts[lengths > FANOUT].tolist(), ends[lengths > FANOUT].tolist()):
+        rows = np.arange(start, end)
+        if len(np.unique(root[rows])) == 1:
+            continue
+        left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+        if len(left) and len(right):
+            found = CountTree(points[left], sizes[left]).pairs(CountTree(points[right], sizes[right]))
+            found = ((left[i], right[j]) for i, j in found)
+        else:
+            found = ((rows[i], rows[j]) for i, j in CountTree(points[rows], sizes[rows]).pairs())
+        for i, j in found:
+            keep = wanted(i, j)
+            yield i[keep], j[keep]
+
+
+def _open_pairs(table: pa.Table) -> pa.Table:
+    """Of each piece the pairs that the bounds leave, as rows with `partner`; of a piece that has more than FEW for each row
+    the rows that are in any, without one."""
+    cls, none = table.column("cls").to_numpy(), np.zeros(0, np.int64)
+    changes = _changes(table)
+    lengths = np.r_[changes, table.num_rows] - np.r_[0, changes]
+    piece = np.repeat(np.arange(len(lengths)), lengths)
+    found = list(_candidates(table))
+    i, j = (np.concatenate([none, *side]) for side in (zip(*found) if found else ((), ())))
+    many = np.bincount(piece[i], minlength=len(lengths)) > FEW * lengths
+    few = ~many[piece[i]]
+    pairs = np.unique(np.sort(np.c_[cls[i[few]], cls[j[few]]], axis=1), axis=0)
+    dense = np.zeros(table.num_rows, bool)
+    dense[i[~few]] = dense[j[~few]] = True
+    rows = table.filter(pa.array(dense))
+    rows = rows.append_column("partner", pa.nulls(rows.num_rows, pa.int64()))
+    made = {"cls": pa.array(pairs[:, 0]), "partner": pa.array(pairs[:, 1])}
+    columns = [made.get(f.name, pa.nulls(len(pairs), f.type)) for f in rows.schema]
+    return pa.concat_tables([rows, pa.table(columns, schema=rows.schema)])
+
+
+def _links_within(table: pa.Table) -> pa.Table:
     """Verified pairs that join what was apart."""
-    sets, cls = piece.column("hashes"), piece.column("cls").to_numpy()
-    _, first, which = np.unique(piece.column("root").to_numpy(), return_index=True, return_inverse=True)
+    sets, cls = table.column("hashes"), table.column("cls").to_numpy()
+    _, first, which = np.unique(table.column("root").to_numpy(), return_index=True, return_inverse=True)
     up = first[which].tolist()
 
     def top(x: int) -> int:
@@ -285,7 +344,7 @@ def _links_within(piece: pa.Table) -> pa.Table:
         return x
 
     links = []
-    for i, j in _candidates(piece):
+    for i, j in _candidates(table):
         for x, y in zip(i.tolist(), j.tolist()):
             a, b = top(x), top(y)
             if a != b and similar(*(np.frombuffer(sets[z].as_buffer(), _U) for z in (x, y))):
@@ -298,30 +357,49 @@ def _links_within(piece: pa.Table) -> pa.Table:
 def ngram_links(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], piece: int = PIECE) -> DataFrame:
     """Links (a, b) between classes (cls, n, point, keys) of the similarity, enough to connect all that have it.
 
-    `sets_of` gives (cls, hashes) of a table of cls.
+    `sets_of` adds the hashes to a table with cls.
     """
-    keyed = points.select("cls", "n", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("least")).where("members > 1")
-    members = stored(keyed.join(shared, "key"), "ngram-members")
+    keyed = points.select("cls", "n", F.posexplode("keys").alias("pos", "key")).repartition("key")
+    # The smaller set of a pair has its first common shingle in the first ninth, see `fitting`.
+    early = F.lit(BOTH) * (F.col("n") - F.col("pos")) >= F.lit(2 * OVERLAP) * F.col("n")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(early).alias("early"), F.min("cls").alias("least"))
+    shared = shared.where("members > 1 AND early")
+    members = stored(keyed.join(shared.select("key", "least"), "key"), "ngram-members")
     info = points.select("cls", "n", "point")
-    stars = members.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
+
+    # The star of a class is the smallest class of most of its trees; a star of many is dealt to parts.
+    common = members.where("cls <> least").groupBy("cls", "least").agg(F.count("*").alias("trees"))
+    stars = common.groupBy(F.col("cls").alias("b")).agg(F.max_by("least", F.struct("trees", -F.col("least"))).alias("a"))
     stars = stored(_with_ends(stars, info).mapInArrow(_plausible, "a long, b long"), "ngram-stars")
-    sets = stored(sets_of(stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "ngram-sets")
-    links = stored(_with_ends(stars, sets).mapInArrow(_verified, "a long, b long"), "ngram-links")
-    # Trees of two classes are settled.
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar: each b goes where the set of its a is, and an a of many is dealt to parts."""
+        parts = F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts")
+        dealt = pairs.join(pairs.groupBy("a").agg(parts), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+        others = dealt.select("a", "part", F.lit(True).alias("other"), F.col("b").alias("cls"))
+        heads = dealt.select("a", "part", F.lit(False).alias("other"), F.col("a").alias("cls")).distinct()
+        sets = sets_of(heads.unionByName(others)).repartition("a", "part").sortWithinPartitions("a", "part", "other", "cls")
+        return stored(sets.mapInArrow(_like_their_star, "a long, b long"), "ngram-links")
+
+    links = verified(stars)
     roots = connected_components(links).withColumnRenamed("node", "cls")
-    rest = members.where("members > 2").select("key", "cls", "n").join(roots, "cls", "left")
+    rest = members.drop("least").join(roots, "cls", "left")
     rest = stored(rest.withColumn("root", F.coalesce("root", "cls")), "ngram-rest")
 
     def by_piece(rows: DataFrame) -> DataFrame:
         return rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "cls")
 
-    # Only rows with a possible partner take their sets along.
+    # Few pairs are sent to each other, once however many trees they share; where there are many, rows meet in their piece.
     left = by_piece(deal(rest, ["key"], "n", piece).join(info.drop("n"), "cls"))
-    left = stored(left.mapInArrow(_by_piece(_with_partners, AT_ONCE), left.schema), "ngram-open")
-    sets = stored(sets_of(left.select("cls").distinct()), "ngram-open-sets")
-    more = by_piece(left.join(sets, "cls")).mapInArrow(_by_piece(_links_within, 256), "a long, b long")
-    return links.unionByName(more).distinct()
+    schema = T.StructType([*left.schema.fields, T.StructField("partner", T.LongType())])
+    left = stored(left.mapInArrow(_by_pieces(_open_pairs, AT_ONCE), schema), "ngram-open")
+    pairs = left.where("partner IS NOT NULL").select(F.col("cls").alias("a"), F.col("partner").alias("b")).distinct()
+    links = links.unionByName(verified(stored(pairs, "ngram-pairs")))
+    dense = left.where("partner IS NULL").drop("partner")
+    if not dense.isEmpty():
+        more = by_piece(sets_of(dense)).mapInArrow(_by_pieces(_links_within, 256), "a long, b long")
+        links = links.unionByName(more)
+    return links.distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
@@ -335,7 +413,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = stored(classes, "ngram-classes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        return rows.select(F.col("row").alias("cls"), "text").join(wanted, "cls", "left_semi")
+        return rows.select(F.col("row").alias("cls"), "text").join(stored_small(wanted), "cls")
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -346,14 +424,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "point", "keys"])
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = pa.array([ngram_set(t).tobytes() for t in utf8(part.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("cls"), sets], names=["cls", "hashes"])
-
     points = texts_of(classes.select("cls")).mapInArrow(located, "cls long, n long, point binary, keys array<long>")
     points = stored(points, "ngram-points")
-    links = ngram_links(points, lambda wanted: texts_of(wanted).mapInArrow(made, "cls long, hashes binary"), piece)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The table with the hashes of each row's class; a text is read once, however many rows it has."""
+        own = wanted.groupBy("cls").agg(F.collect_list(F.struct(*wanted.columns)).alias("rows"))
+        texts = texts_of(own)
+        schema = f"cls long, hashes binary, rows {dict(own.dtypes)['rows']}"
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, 64):
+                sets = pa.array([ngram_set(t).tobytes() for t in utf8(part.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("cls"), sets, part.column("rows")], names=["cls", "hashes", "rows"])
+
+        found = texts.select("cls", "text", "rows").mapInArrow(made, schema)
+        return found.select("hashes", F.explode("rows").alias("r")).select("r.*", "hashes")
+
+    links = ngram_links(points, sets_of, piece)
     roots = connected_components(links).withColumnRenamed("node", "cls")
     placed = stored(classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "ngram-placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -81,8 +81,9 @@ def test_nothing(nothing):
     assert ngram_join.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("piece", [4, 1024])
-def test_families_in_pieces(spark, piece):
+@pytest.mark.parametrize("piece, few", [(4, 4), (1024, 4), (1024, 0), (1024, 100)])
+def test_families_in_pieces(spark, monkeypatch, piece, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     texts = [t for seed in range(3) for t in family(60, seed)] + family(40, 9, 7) + family(20, 4, 3)
     docs = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(None, texts[0]), (5000, texts[1].upper()), (5001, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
@@ -97,7 +98,10 @@ def test_rarest_of_similar_sets_meet():
         for drop in range(n):
             a, b = np.unique(base[:n]), np.unique(base[drop : n + drop // 2])
             if len(b) and ngram_join.similar(a, b):
-                assert np.intersect1d(ngram_join.rarest(a, table), ngram_join.rarest(b, table)).size
+                x, y = ngram_join.rarest(a, table).tolist(), ngram_join.rarest(b, table).tolist()
+                first = next(i for i, h in enumerate(x) if h in y)
+                places = np.array([first]), np.array([y.index(x[first])])
+                assert ngram_join.fitting(np.array([len(a)]), np.array([len(b)]), *places).all()
 
 
 def test_tree_leaves_every_similar_pair():
@@ -105,7 +109,7 @@ def test_tree_leaves_every_similar_pair():
     for n in (1, 2, 15, 17, 200, 600):
         bases = [rng.integers(0, 2**63, 80, dtype=np.uint64) for _ in range(1 + n // 20)]
         sets = [np.unique(np.r_[bases[rng.integers(len(bases))][rng.integers(0, 20) :], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)]) for _ in range(n)]
-        points = np.frombuffer(b"".join(map(ngram_join.group_counts, sets)), "<u2").reshape(n, -1)
+        points = np.frombuffer(b"".join(map(ngram_join.group_counts, sets)), "u1").reshape(n, -1)
         sizes = np.array([len(x) for x in sets])
         found = set()
         for i, j in ngram_join.CountTree(points, sizes).pairs():
@@ -121,8 +125,8 @@ def test_tree_leaves_every_similar_pair():
 
 
 def test_counts_that_do_not_fit():
-    big = np.full((1, ngram_join.GROUPS), ngram_join._FULL, np.uint16)
-    size = np.array([64 * 70_000])
+    big = np.full((1, ngram_join.GROUPS), ngram_join._FULL, np.uint8)
+    size = np.array([ngram_join.GROUPS * 70_000])
     assert ngram_join.may_be(big, big, size, size).all()
 
 
