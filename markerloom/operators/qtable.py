@@ -168,7 +168,7 @@ def q_table_stats(q: DataFrame, n_states: int | Column, n_actions: int) -> DataF
 # ---- update rule ---------------------------------------------------------
 
 
-def _step(q: Column, action: Column, reward: Column, alpha: float, gamma: float) -> Column:
+def q_step(q: Column, action: Column, reward: Column, alpha: float, gamma: float) -> Column:
     target = lambda x: x + F.lit(alpha) * (reward + F.lit(gamma) * F.array_max(q) - x)
     return F.transform(q, lambda x, i: F.when(i == action, target(x)).otherwise(x))
 
@@ -240,7 +240,7 @@ def _solve_chunks(
         first = dense_rows(q0, n_actions).withColumnRenamed("q", "q0")
         logs = logs.join(first, "state", "left").withColumn("q0", F.coalesce("q0", zero))
     end = F.aggregate(
-        "log", F.col("start"), lambda q, e: _step(q, e["a"], e["r"], alpha, gamma)
+        "log", F.col("start"), lambda q, e: q_step(q, e["a"], e["r"], alpha, gamma)
     )
     before = W.partitionBy("state").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     handed = F.array(
@@ -318,7 +318,7 @@ def td_error(
         error = e["r"] + F.lit(gamma) * F.array_max(q) - F.get(q, e["a"].cast("int"))
         told = F.struct(e["o"].alias(order), error.alias("td_error"))
         return F.struct(
-            _step(q, e["a"], e["r"], alpha, gamma).alias("q"),
+            q_step(q, e["a"], e["r"], alpha, gamma).alias("q"),
             F.array_append(acc["t"], told).alias("t"),
         )
 
@@ -439,7 +439,7 @@ def fold_visits(
         def act(a: Column) -> Column:
             told = F.struct(e["iteration"].alias("iteration"), e["rank"].alias("rank"), a.alias("action"))
             return F.struct(
-                _step(acc["q"], a, F.get(pay, a.cast("int")), p.alpha, p.gamma).alias("q"),
+                q_step(acc["q"], a, F.get(pay, a.cast("int")), p.alpha, p.gamma).alias("q"),
                 F.array_append(acc["t"], told).alias("t"),
             )
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from markerloom.plans.profile import profile_samples
 from markerloom.plans.score import score_new, score_samples
 from markerloom.session import new_path
 from markerloom.sources import tables as T
+from markerloom.sources.commits import newest_commit
 from markerloom.streaming.scoring import read_parts, run_available, stream_score
 from markerloom.streaming.updates import current_table, stream_q_update
 
@@ -178,3 +181,70 @@ def test_stream_waits_for_gaps(spark):
     q = stream_q_update(read_parts(spark, spark.read.parquet(arriving).schema, arriving, 1), path, progress)
     assert {(r["state"], r["action"]): r["q"] for r in q.where("q <> 0").collect()} == {(1, 0): pytest.approx(0.1)}
     assert sorted((r["state"], r["seq"]) for r in current_table(spark, path, "pending").collect()) == [(1, 3), (2, 2)]
+
+
+SCHEMA = "state bigint, seq bigint, action bigint, reward double"
+
+
+def _fed(spark, parts, path, progress, **options):
+    """The parts as one file and one micro-batch each."""
+    arriving = new_path(spark, "arriving")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(arriving)
+    stream = read_parts(spark, spark.read.parquet(arriving).schema, arriving, 1)
+    return stream_q_update(stream, path, progress, **options)
+
+
+@pytest.mark.parametrize("chunk_rows", [7, 65_536])
+def test_stream_of_states_longer_than_a_chunk(spark, chunk_rows):
+    """The same bits whether a state fits in an array or is folded in chunks, in batches that leave gaps."""
+    rng = np.random.default_rng(8)
+    rows = [(s, i + 1, int(rng.integers(0, 9)), float(rng.random())) for s, n in ((1, 60), (2, 5), (3, 30)) for i in range(n)]
+    mixed = [rows[i] for i in rng.permutation(len(rows))]
+    parts = [mixed[i::3] for i in range(3)]
+    q = _fed(spark, parts, new_path(spark, "versions"), new_path(spark, "cp"), chunk_rows=chunk_rows)
+    got = {(r["state"], r["action"]): r["q"] for r in q.collect()}
+    want = {(r["state"], r["action"]): r["q"] for r in Q.q_update(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_of_different_deliveries_the_least_counts(spark):
+    for rows in ([(1, 1, 3, 5.0), (1, 1, 3, 2.0), (1, 1, 4, 1.0)], [(1, 1, 4, 1.0), (1, 1, 3, 2.0), (1, 1, 3, 5.0)]):
+        for chunk_rows in (1, 100):
+            q = _fed(spark, [rows], new_path(spark, "versions"), new_path(spark, "cp"), chunk_rows=chunk_rows)
+            assert {(r["action"], round(r["q"], 9)) for r in q.where("q <> 0").collect()} == {(3, 0.2)}
+
+
+def _bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_bytes_of_a_batch_follow_the_touched_states(spark):
+    """One batch fills the table; of 49 more each touches one state, and writes one bucket."""
+    path, progress = new_path(spark, "versions"), new_path(spark, "cp")
+    parts = [[(s, 1, s % 9, 1.0) for s in range(4000)]] + [[(i * 31, 2, 1, 0.5)] for i in range(49)]
+    _fed(spark, parts, path, progress, buckets=64)
+    number, commit = newest_commit(spark, path)
+    assert number == 49
+    # The first version lost the buckets that were written again.
+    kept = [b for b, v in commit["versions"].items() if v == 0]
+    assert len(kept) >= 64 - 49
+    whole = _bytes(f"{path}/version=0") * 64 / len(os.listdir(f"{path}/version=0"))
+    for n in (48, 49):
+        assert 0 < _bytes(f"{path}/version={n}") < whole / 16
+    assert current_table(spark, path, "applied").where("last = 2").count() == 49
+    assert current_table(spark, path).count() == 9 * 4000
+
+
+def test_a_failed_save_leaves_the_old_tables(spark):
+    path = new_path(spark, "agent")
+    for n in (1, 2, 3):
+        T.save_tables({"q": spark.range(n), "visits": spark.range(n + 10)}, path)
+    bad = spark.range(5).select(F.raise_error(F.lit("stopped")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        T.save_tables({"q": spark.range(99), "visits": bad}, path)
+    assert [T.load_table(spark, path, t).count() for t in ("q", "visits")] == [3, 13]
+    T.save_tables({"q": spark.range(4), "visits": spark.range(14)}, path)
+    assert [T.load_table(spark, path, t).count() for t in ("q", "visits")] == [4, 14]
+    with pytest.raises(FileNotFoundError):
+        T.load_table(spark, new_path(spark, "nothing"), "q")
