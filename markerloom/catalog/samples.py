@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
@@ -37,9 +39,31 @@ def shown(df, keep, names=M):
 # ---- sources -------------------------------------------------------------------
 
 
+def _files(spark, sf):
+    """(path, length) of a folder: the cells of a supplier as files of 100,000 orders each, every tenth file cut short."""
+    folder = new_path(spark, "measurements")
+    rows = _file_rows(spark, sf)
+
+    def put(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                files, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder) + path)
+                files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(inner) as out:
+                    out.write(content.as_buffer())
+            yield batch.select(["path"])
+
+    rows.select("path", "content").mapInArrow(put, "path string").count()
+    return FCS.scan_files(spark, folder)
+
+
+def _place(df):
+    """The path from the folder on."""
+    return df.withColumn("path", F.regexp_extract("path", "/cells/.*$", 0))
+
+
 def _file_rows(spark, sf):
-    """(path, length, content): the cells of a supplier as files of 100,000 orders each,
-    every tenth file cut short."""
+    """(path, content): the bytes of these files."""
     cells = X.cells(spark, sf).withColumn("part", F.floor(F.col("ord") / 100_000).cast("bigint"))
     names = ["IFNa-PE", "IL6", "cd14 APC", "tnfa"]
 
@@ -51,10 +75,10 @@ def _file_rows(spark, sf):
         if (sample + part) % 10 == 0:
             content = content[: whole - 8]
         path = f"/cells/{sample}/{part}.fcs"
-        return pd.DataFrame({"path": [path], "length": [len(content)], "content": [content]})
+        return pd.DataFrame({"path": [path], "content": [content]})
 
     kept = cells.select("sample_id", "part", "ord", "line", *M)
-    return kept.groupBy("sample_id", "part").applyInPandas(encode, "path string, length bigint, content binary")
+    return kept.groupBy("sample_id", "part").applyInPandas(encode, "path string, content binary")
 
 
 table(
@@ -74,7 +98,7 @@ def _f32(names=M) -> str:
 
 @query(f"SELECT path, event, {_f32()} FROM filed WHERE NOT bad", ("filed",))
 def scan_measurements(spark, sf):
-    cells = FCS.decode_measurements(_file_rows(spark, sf), M)
+    cells = _place(FCS.decode_measurements(_files(spark, sf), M))
     return cells.select("path", "event", *[(finite(F.col(c)) + 0.0).alias(c) for c in M])
 
 
@@ -84,7 +108,7 @@ FROM filed GROUP BY path, bad""",
     ("filed",),
 )
 def scan_manifest(spark, sf):
-    files = FCS.scan_manifest(_file_rows(spark, sf), M)
+    files = _place(FCS.scan_manifest(_files(spark, sf), M))
     return files.select("path", "n_events", big(F.col("error").isNotNull()).alias("failed"))
 
 
@@ -93,7 +117,7 @@ def scan_manifest(spark, sf):
     ("filed",),
 )
 def scan_counts(spark, sf):
-    return FCS.manifest_counts(FCS.scan_manifest(_file_rows(spark, sf), M))
+    return FCS.manifest_counts(FCS.scan_manifest(_files(spark, sf), M))
 
 
 @query(
@@ -102,7 +126,7 @@ FROM filed WHERE NOT bad GROUP BY path""",
     ("filed",),
 )
 def load_batch(spark, sf):
-    return shown(FCS.load_batch(_file_rows(spark, sf), M), ["path"])
+    return shown(_place(FCS.load_batch(_files(spark, sf), M)), ["path"])
 
 
 @query("SELECT * FROM labn", ("labn",))

@@ -1,27 +1,36 @@
 """Flow Cytometry Standard files (FCS 2.0 to 3.1 list mode) as cell tables.
 
-A file row is cut into slices of some hundred kilobytes inside the JVM; only the
-slices go to Python, where numpy reads them. The header and text segments decide
+Folders are listed, headers parsed and events read by tasks. The table of files has a row per file, the table of splits a
+row per range of SPLIT_BYTES of events, dealt out anew, so a large file is read by many tasks and no task, nor the driver, holds a file or
+the list of all. A task reads its split in slices, of which numpy makes columns. The header and text segments decide
 the layout first, so unreadable files drop out before any data is touched.
+
+Tasks open files through Arrow's file systems. For stores that only Spark can reach, scan_contents gives files as
+rows, which all functions take as well; there a file has to fit in a row.
 """
 
 from __future__ import annotations
 
 import re
-import urllib.parse
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.functions.scalars import COFACTOR, basename, label_from_name
 from markerloom.operators.cleaning import asinh_transform, clean_values
 from markerloom.operators.markers import resolved_name
+from markerloom.operators.summaries import summarize
+from markerloom.session import checkpointed
 
+# What is decoded at a time, and what one row of the table of splits stands for.
 SLICE_BYTES = 256 * 1024
+SPLIT_BYTES = 32 * 1024 * 1024
 
 _LAYOUT = (
     "error string, n_events bigint, data_begin bigint, event_bytes int, "
@@ -29,13 +38,51 @@ _LAYOUT = (
 )
 
 
-# Largest file that can be a row.
+# Largest file that can be a row of scan_contents.
 LARGEST_FILE = 2_000_000_000
+_NAMES = re.compile(r"[.]fcs$", re.IGNORECASE)
+HEADER = 58
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies directly in each folder: (path, length, folder)."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            files, inner = _opened(path)
+            found = files.get_file_info(fs.FileSelector(inner))
+            for at in range(0, len(found), 10_000):
+                part = [f for f in found[at : at + 10_000] if f.type == fs.FileType.Directory or _NAMES.search(f.base_name)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "path": pa.array([f"{path.rstrip('/')}/{f.base_name}" for f in part], pa.string()),
+                        "length": pa.array([f.size for f in part], pa.int64()),
+                        "folder": pa.array([f.type == fs.FileType.Directory for f in part], pa.bool_()),
+                    }
+                )
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, content) of all .fcs files below a folder, in any case. Whole
-    files are rows; larger ones than LARGEST_FILE and those without bytes have no content."""
+    """(path, length) of all .fcs files below a folder, in any case, of any size. Each level of folders is listed by one
+    job, a folder by one task."""
+    level = spark.createDataFrame([(folder, 0, True)], "path string, length bigint, folder boolean")
+    levels = []
+    while not level.isEmpty():
+        level = checkpointed(level.repartition("path").mapInArrow(_listed, level.schema))
+        levels.append(level.where("NOT folder").select("path", "length"))
+        level = level.where("folder")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def scan_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content) of all .fcs files below a folder, through Spark's own reader. Whole files are rows; larger ones
+    than LARGEST_FILE have no content, and those without bytes are left out."""
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -45,18 +92,7 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None).cast("binary").alias("content")
     fits = found.where(F.col("length") <= LARGEST_FILE).select("path", "length", "content")
     large = found.select("path", "length").where(F.col("length") > LARGEST_FILE).select("path", "length", none)
-    # The source lists files without bytes but makes no rows of them. Its list is on the driver already.
-    listed = [urllib.parse.unquote(p) for p in found.inputFiles()]
-    empty = spark.createDataFrame([(_same_form(p),) for p in listed], "path string")
-    seen = found.select(F.regexp_replace("path", "^file:/+", "/").alias("__path"))
-    missing = F.regexp_replace("path", "^file:/+", "/") == F.col("__path")
-    without = empty.join(seen, missing, "left_anti").select("path", F.lit(0).cast("bigint").alias("length"), none)
-    return fits.unionByName(large).unionByName(without)
-
-
-def _same_form(path: str) -> str:
-    """Local paths as the file source writes them."""
-    return re.sub("^file:/+", "file:/", path)
+    return fits.unionByName(large)
 
 
 def _text_fields(text: bytes) -> dict[str, str]:
@@ -72,7 +108,7 @@ def _layout(head: bytes, text: bytes, length: int, markers: Sequence[str] | None
     """Where and how the events of one file are stored."""
     if length == 0:
         raise ValueError("no bytes")
-    if length > LARGEST_FILE:
+    if head is None and length > LARGEST_FILE:
         raise ValueError(f"{length} bytes are too many for one row")
     if head is None or not head.startswith(b"FCS") or not text:
         raise ValueError("not an FCS file")
@@ -116,24 +152,56 @@ def _layout(head: bytes, text: bytes, length: int, markers: Sequence[str] | None
     }
 
 
+_NO_LAYOUT = dict.fromkeys(("n_events", "data_begin", "event_bytes", "formats", "masks", "names", "picks"))
+
+
+def _layout_row(head: bytes, text: bytes, length: int, markers: Sequence[str] | None) -> dict:
+    try:
+        return _layout(head, text, length, markers)
+    except Exception as e:  # an unreadable file is reported, not fatal
+        return {"error": f"{type(e).__name__}: {e}", **_NO_LAYOUT}
+
+
+def _read_layout(path: str, length: int, markers: Sequence[str] | None) -> dict:
+    """The layout of a file of which only the header and the text segment are read."""
+    try:
+        files, inner = _opened(path)
+        with files.open_input_file(inner) as file:
+            head = file.read_at(min(HEADER, length), 0)
+            first, last = (int(x) if x.strip().isdigit() else 0 for x in (head[10:18], head[18:26]))
+            text = file.read_at(last - first + 1, first) if 0 < first < last < length else b""
+    except OSError as e:
+        return {"error": f"{type(e).__name__}: {e}", **_NO_LAYOUT}
+    return _layout_row(head, text, length, markers)
+
+
+_LAYOUT_ARROW = pa.schema(
+    [("error", pa.string()), ("n_events", pa.int64()), ("data_begin", pa.int64()), ("event_bytes", pa.int32()),
+     ("formats", pa.list_(pa.string())), ("masks", pa.list_(pa.int64())), ("names", pa.list_(pa.string())), ("picks", pa.list_(pa.int32()))]
+)
+
+
 def with_layout(files: DataFrame, markers: Sequence[str] | None = None) -> DataFrame:
-    """Adds filename, error and the data layout to (path, length, content)."""
+    """Adds filename, error and the data layout to (path, length) or (path, length, content)."""
     wanted = None if markers is None else list(markers)
-    nothing = dict.fromkeys(
-        ("n_events", "data_begin", "event_bytes", "formats", "masks", "names", "picks")
-    )
+    named = files.withColumn("filename", basename(F.col("path")))
+    if "content" not in files.columns:
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())
+                rows = pa.RecordBatch.from_pylist([_read_layout(path, n, wanted) for path, n in found], _LAYOUT_ARROW)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *rows.columns], names=[*batch.schema.names, *rows.schema.names])
+
+        kept = named.select("path", "filename", "length").repartition("path")
+        return kept.mapInArrow(read, f"path string, filename string, length bigint, {_LAYOUT}").drop("length")
 
     @F.pandas_udf(_LAYOUT)
     def layout(head: pd.Series, text: pd.Series, length: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h, t, n in zip(head, text, length):
-            try:
-                rows.append(_layout(h, t, n, wanted))
-            except Exception as e:  # an unreadable file is reported, not fatal
-                rows.append({"error": f"{type(e).__name__}: {e}", **nothing})
-        return pd.DataFrame(rows, columns=["error", *nothing])
+        rows = [_layout_row(h, t, n, wanted) for h, t, n in zip(head, text, length)]
+        return pd.DataFrame(rows, columns=["error", *_NO_LAYOUT])
 
-    head = F.substring("content", 1, 58)
+    head = F.substring("content", 1, HEADER)
 
     def offset(at: int):
         return F.trim(F.decode(F.substring("content", at, 8), "US-ASCII")).try_cast("int")
@@ -142,11 +210,7 @@ def with_layout(files: DataFrame, markers: Sequence[str] | None = None) -> DataF
     text = F.when(
         (first > 0) & (last > first), F.substring(F.col("content"), first + 1, last - first + 1)
     )
-    return (
-        files.withColumn("filename", basename(F.col("path")))
-        .withColumn("layout", layout(head, text, F.col("length")))
-        .select("path", "filename", "content", "layout.*")
-    )
+    return named.withColumn("layout", layout(head, text, F.col("length"))).select("path", "filename", "content", "layout.*")
 
 
 def scan_manifest(files: DataFrame, markers: Sequence[str] | None = None) -> DataFrame:
@@ -159,9 +223,21 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count_if(~bad).alias("loaded"), F.count_if(bad).alias("failed"))
 
 
-def _slices(files: DataFrame, markers: Sequence[str] | None, slice_bytes: int) -> DataFrame:
-    """Slices of the readable files; a file without events has one empty slice."""
-    ready = with_layout(files, markers).where(F.col("error").isNull())
+class Slice(NamedTuple):
+    """Neighbouring events of a file, as they are stored."""
+
+    path: str
+    filename: str
+    formats: list[str]
+    masks: list[int]
+    names: list[str]
+    picks: list[int]
+    first_event: int
+    data: bytes
+
+
+def _content_slices(ready: DataFrame, slice_bytes: int) -> DataFrame:
+    """Slices of files that are rows, cut inside the JVM; a file without events has one empty slice."""
     per = F.greatest(F.lit(1), F.floor(F.lit(slice_bytes) / F.col("event_bytes"))).cast("bigint")
     count = F.ceil(F.col("n_events") / per)
 
@@ -179,6 +255,52 @@ def _slices(files: DataFrame, markers: Sequence[str] | None, slice_bytes: int) -
     return ready.select("path", "filename", "formats", "masks", "names", "picks", parts)
 
 
+def splits(ready: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Ranges of events (first_event, events) of files with a layout; a file without events has one empty range."""
+    per = F.greatest(F.lit(1), F.floor(F.lit(split_bytes) / F.col("event_bytes"))).cast("bigint")
+    last = F.greatest(F.ceil(F.col("n_events") / per) - 1, F.lit(0).cast("bigint"))
+    cut = ready.withColumn("first_event", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    cut = cut.withColumn("first_event", F.col("first_event") * per)
+    return cut.withColumn("events", F.least(per, F.col("n_events") - F.col("first_event")))
+
+
+def _read_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[Slice]:
+    """The slices of each split, read one after the other."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            per = max(1, slice_bytes // row["event_bytes"])
+            facts = [row[c] for c in ("path", "filename", "formats", "masks", "names", "picks")]
+            first, end = row["first_event"], row["first_event"] + row["events"]
+            if first == end:
+                yield Slice(*facts, first, b"")
+                continue
+            files, inner = _opened(row["path"])
+            with files.open_input_file(inner) as file:
+                for at in range(first, end, per):
+                    n = min(per, end - at) * row["event_bytes"]
+                    yield Slice(*facts, at, file.read_at(n, row["data_begin"] + at * row["event_bytes"]))
+
+
+def _over_slices(
+    ready: DataFrame,
+    fn: Callable[[Iterator[Slice]], Iterator[pa.RecordBatch]],
+    schema: str,
+    slice_bytes: int,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """fn of the slices that a task has of files with a layout; those of a split follow each other."""
+    if "content" in ready.columns:
+        rows = _content_slices(ready, slice_bytes)
+        return rows.mapInArrow(lambda batches: fn(Slice(*r) for b in batches for r in b.to_pandas().itertuples(index=False)), schema)
+    # Splits are dealt out one by one, those of one file to many tasks.
+    rows = splits(ready, split_bytes).repartition("path", "first_event")
+    return rows.mapInArrow(lambda batches: fn(_read_slices(batches, slice_bytes)), schema)
+
+
+def _readable(files: DataFrame, markers: Sequence[str] | None) -> DataFrame:
+    return with_layout(files, markers).where(F.col("error").isNull()).drop("error")
+
+
 def _columns(row, picks: Sequence[int]) -> tuple[np.ndarray, list[np.ndarray | None]]:
     """Event numbers and one double array for each picked parameter of a slice, None for a pick below 0."""
     kind = np.dtype([(f"f{i}", f) for i, f in enumerate(row.formats)])
@@ -194,42 +316,42 @@ def _columns(row, picks: Sequence[int]) -> tuple[np.ndarray, list[np.ndarray | N
 
 
 def decode_measurements(
-    files: DataFrame, markers: Sequence[str], slice_bytes: int = SLICE_BYTES
+    files: DataFrame, markers: Sequence[str], slice_bytes: int = SLICE_BYTES, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """(path, filename, event, <marker>...): raw values under the logical marker
     names, null where a file lacks a marker. Unreadable files have no rows."""
     markers = list(markers)
+    return _cells(_readable(files, markers), markers, slice_bytes, split_bytes)
+
 
+def _cells(ready: DataFrame, markers: list[str], slice_bytes: int, split_bytes: int) -> DataFrame:
     names = ["path", "filename", "event", *markers]
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pandas().itertuples(index=False):
-                event, values = _columns(row, row.picks)
-                n = len(event)
-                # NaN is a value of the file, null a marker it does not have.
-                picked = [pa.nulls(n, pa.float64()) if x is None else pa.array(x, from_pandas=False) for x in values]
-                same = [pa.array([x] * n, pa.string()) for x in (row.path, row.filename)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(event), *picked], names)
+    def decode(found: Iterator[Slice]) -> Iterator[pa.RecordBatch]:
+        for row in found:
+            event, values = _columns(row, row.picks)
+            n = len(event)
+            # NaN is a value of the file, null a marker it does not have.
+            picked = [pa.nulls(n, pa.float64()) if x is None else pa.array(x, from_pandas=False) for x in values]
+            same = [pa.array([x] * n, pa.string()) for x in (row.path, row.filename)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(event), *picked], names)
 
     schema = "path string, filename string, event bigint, " + ", ".join(f"`{m}` double" for m in markers)
-    return _slices(files, markers, slice_bytes).mapInArrow(decode, schema)
+    return _over_slices(ready, decode, schema, slice_bytes, split_bytes)
 
 
-def decode_long(files: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def decode_long(files: DataFrame, slice_bytes: int = SLICE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, filename, event, channel, value) of all channels, whatever each file has."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                event, values = _columns(row, range(len(row.formats)))
-                for name, x in zip(row.names, values):
-                    yield pd.DataFrame(
-                        {"path": row.path, "filename": row.filename, "event": event, "channel": name, "value": x}
-                    )
+    def decode(found: Iterator[Slice]) -> Iterator[pa.RecordBatch]:
+        for row in found:
+            event, values = _columns(row, range(len(row.formats)))
+            for name, x in zip(row.names, values):
+                same = {"path": row.path, "filename": row.filename, "event": event, "channel": name, "value": x}
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(same, index=range(len(event))), preserve_index=False)
 
     schema = "path string, filename string, event bigint, channel string, value double"
-    return _slices(files, None, slice_bytes).mapInPandas(decode, schema)
+    return _over_slices(_readable(files, None), decode, schema, slice_bytes, split_bytes)
 
 
 def channels(files: DataFrame) -> DataFrame:
@@ -244,16 +366,17 @@ def load_batch(
     method: str = "median",
     transform: bool = True,
     slice_bytes: int = SLICE_BYTES,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """(path, filename, <marker>..., label): scan, transform, clean and summarize.
 
-    The slices of a file follow each other in one task, so each file is summarized
-    where it is read and no cell is shuffled. A task holds the requested markers of
-    one file, which LARGEST_FILE bounds. A file without events has a row of NaN. With "all" the cells are returned.
+    A file of one split is summarized where it is read and no cell of it is shuffled. Files of several splits are read by
+    several tasks and their cells summarized like those of any table, with exact medians from counts.
+    A file without events has a row of NaN. With "all" the cells are returned.
     """
     markers = list(markers)
     if method == "all":
-        cells = decode_measurements(files, markers, slice_bytes)
+        cells = decode_measurements(files, markers, slice_bytes, split_bytes)
         cells = asinh_transform(cells, markers) if transform else cells
         return clean_values(cells, ["path"], markers).drop("event")
     if method not in ("median", "mean"):
@@ -278,7 +401,7 @@ def load_batch(
 
     kind = pa.schema([("path", pa.string()), ("filename", pa.string()), *((m, pa.float64()) for m in markers)])
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reduce(found: Iterator[Slice]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         parts: list = []
 
@@ -286,16 +409,26 @@ def load_batch(
             row = {"path": current[0], "filename": current[1], **summary(parts)}
             return pa.RecordBatch.from_pylist([row], kind)
 
-        for batch in batches:
-            for row in batch.to_pandas().itertuples(index=False):
-                if (row.path, row.filename) != current:
-                    if parts:
-                        yield one()
-                    current, parts = (row.path, row.filename), []
-                parts.append(_columns(row, row.picks)[1])
+        for row in found:
+            if (row.path, row.filename) != current:
+                if parts:
+                    yield one()
+                current, parts = (row.path, row.filename), []
+            parts.append(_columns(row, row.picks)[1])
         if parts:
             yield one()
 
     schema = "path string, filename string, " + ", ".join(f"`{m}` double" for m in markers)
-    out = _slices(files, markers, slice_bytes).mapInArrow(reduce, schema)
-    return out.withColumn("label", label_from_name(F.col("filename")))
+    ready = _readable(files, markers)
+    label = label_from_name(F.col("filename"))
+    if "content" in files.columns:
+        return _over_slices(ready, reduce, schema, slice_bytes).withColumn("label", label)
+    # One row per file.
+    ready = checkpointed(ready)
+    several = F.col("n_events") > F.greatest(F.lit(1), F.floor(F.lit(split_bytes) / F.col("event_bytes")))
+    out = _over_slices(ready.where(~several), reduce, schema, slice_bytes, split_bytes).withColumn("label", label)
+    if ready.where(several).isEmpty():
+        return out
+    cells = _cells(ready.where(several), markers, slice_bytes, split_bytes)
+    cells = asinh_transform(cells, markers) if transform else cells
+    return out.unionByName(summarize(cells, ["path"], markers, method, "filename"))

@@ -110,3 +110,55 @@ def test_empty_and_missing_folder(spark, tmp_path):
     assert FCS.decode_measurements(FCS.scan_files(spark, str(tmp_path)), ["a"]).count() == 0
     with pytest.raises(AnalysisException):
         FCS.scan_files(spark, str(tmp_path / "none")).count()
+
+
+def test_files_of_several_splits(spark, folder):
+    """The same cells and summaries however a file is cut, and from rows that hold the files."""
+    files = FCS.scan_files(spark, str(folder))
+    rows = FCS.scan_contents(spark, str(folder)).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    names = ["IFNa", "CD14"]
+    cells = [sorted(map(str, t.collect())) for t in (
+        FCS.decode_measurements(files, names),
+        FCS.decode_measurements(files, names, slice_bytes=64, split_bytes=1000),
+        FCS.decode_measurements(rows, names),
+    )]
+    assert cells[0] == cells[1] == cells[2]
+    for method in ("median", "mean"):
+        found = [
+            {r["path"]: r for r in t.collect()}
+            for t in (
+                FCS.load_batch(files, names, method),
+                FCS.load_batch(files, names, method, split_bytes=1000),
+                FCS.load_batch(rows, names, method),
+            )
+        ]
+        for other in found[1:]:
+            assert other.keys() == found[0].keys()
+            for path, row in found[0].items():
+                assert other[path]["label"] == row["label"]
+                for m in names:
+                    assert (row[m] is None) == (other[path][m] is None)
+                    assert row[m] is None or np.isclose(row[m], other[path][m], equal_nan=True)
+
+
+def test_a_file_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file: 92,000 events of 24,000 bytes, zeros but for the last one, read by several tasks."""
+    width, events, begin = 3000, 92_000, 200_000
+    fields = {"$BYTEORD": "1,2,3,4", "$DATATYPE": "D", "$MODE": "L", "$PAR": width, "$TOT": events, "$BEGINDATA": begin}
+    for i in range(1, width + 1):
+        fields |= {f"$P{i}B": 64, f"$P{i}N": f"P{i}"}
+    text = ("/" + "".join(f"{k}/{v}/" for k, v in fields.items())).encode()
+    assert 58 + len(text) < begin
+    path = tmp_path / "large_pos.fcs"
+    with open(path, "wb") as out:
+        out.write(("FCS3.1    " + f"{58:8d}{57 + len(text):8d}" + f"{0:8d}" * 4).encode() + text)
+        out.truncate(begin + events * width * 8)
+        out.seek(begin + (events - 1) * width * 8)
+        out.write(np.full(width, 7.5).tobytes())
+    files = FCS.scan_files(spark, str(tmp_path))
+    assert files.first()["length"] > 2 * 10**9
+    assert FCS.scan_manifest(files).first()["n_events"] == events
+    cells = FCS.decode_measurements(files, ["P2"]).withColumn("task", F.spark_partition_id())
+    row = cells.agg(F.count("*").alias("n"), F.sum("P2").alias("s"), F.max_by("event", "P2").alias("at"), F.countDistinct("task").alias("tasks")).first()
+    assert (row["n"], row["s"], row["at"]) == (events, 7.5, events - 1)
+    assert row["tasks"] > 2
