@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
 from markerloom.catalog.base import big, query, r6, rounded, table
+from markerloom.functions.scalars import squared_distance
 from markerloom.operators import clustering as C
 from markerloom.operators import metrics as ME
 from markerloom.operators.cleaning import normalize_label_rows
@@ -173,31 +174,122 @@ def kmeans(spark, sf):
     )
 
 
+# ---- a step of the mixture from given parameters, on the first eight components ----
+
+STEP_DIMS, STEP_K = 8, 3
+# Weights, and the triangular factor of the covariances by its diagonal and the one below.
+STEP_WEIGHTS, STEP_DIAGONAL, STEP_BELOW = (0.5, 0.3, 0.2), 1.25, 0.375
+
+
+def _step_sql() -> None:
+    """z solves L z = x - mean from the first component on."""
+    tables = ["SELECT p.vec_id, p.features AS x, c.cluster, c.center AS m FROM vec p, (SELECT * FROM vctr WHERE k = 3) c"]
+    for i in range(1, STEP_DIMS + 1):
+        before = "" if i == 1 else f" - {STEP_BELOW}::DOUBLE * z{i - 1}"
+        tables.append(f"SELECT *, (x[{i}] - m[{i}]{before}) / {STEP_DIAGONAL}::DOUBLE AS z{i} FROM ({tables[-1]})")
+    square = " + ".join(f"z{i} * z{i}" for i in range(1, STEP_DIMS + 1))
+    weight = "CASE cluster " + " ".join(f"WHEN {c} THEN ln({w}::DOUBLE)" for c, w in enumerate(STEP_WEIGHTS)) + " END"
+    const = f"{STEP_DIMS} * (0.5::DOUBLE * ln(2 * pi()) + ln({STEP_DIAGONAL}::DOUBLE))"
+    table("emlog", f"SELECT vec_id, x, cluster, {weight} - 0.5::DOUBLE * ({square}) - {const} AS d FROM ({tables[-1]})", ("vec", "vctr"))
+    table("emtop", "SELECT vec_id, max(d) AS top FROM emlog GROUP BY 1", ("emlog",))
+    table("emall", "SELECT vec_id, top + ln(sum(exp(d - top))) AS l FROM emlog JOIN emtop USING (vec_id) GROUP BY vec_id, top", ("emlog", "emtop"))
+    table("emr", "SELECT vec_id, x, cluster, exp(d - l) AS r FROM emlog JOIN emall USING (vec_id)", ("emlog", "emall"))
+    table("emn", "SELECT cluster, sum(r) AS n FROM emr GROUP BY 1", ("emr",))
+    table(
+        "emm",
+        f"SELECT cluster, i, sum(r * x[i]) / sum(r) AS m FROM emr, range(1, {STEP_DIMS + 1}) t(i) GROUP BY 1, 2",
+        ("emr",),
+    )
+    table(
+        "emc",
+        f"""SELECT e.cluster, a.i, b.i AS j, sum(r * (x[a.i] - a.m) * (x[b.i] - b.m)) / sum(r) + CASE WHEN a.i = b.i THEN {C.COVARIANCE_FLOOR}::DOUBLE ELSE 0 END AS c
+FROM emr e JOIN emm a ON a.cluster = e.cluster JOIN emm b ON b.cluster = e.cluster AND b.i >= a.i GROUP BY 1, 2, 3""",
+        ("emr", "emm"),
+    )
+
+
+_step_sql()
+
+
+@query(
+    """SELECT c.cluster, c.i - 1 AS i, c.j - 1 AS j, round(n / (SELECT count(*) FROM vec), 6) + 0.0 AS weight, round(m, 6) + 0.0 AS mean,
+  round(c, 5) + 0.0 AS covariance, (SELECT round(sum(l), 4) + 0.0 FROM emall) AS likelihood
+FROM emc c JOIN emm m ON m.cluster = c.cluster AND m.i = c.i JOIN emn n ON n.cluster = c.cluster""",
+    ("emc", "emm", "emn", "emall", "vec"),
+)
+def mixture_step(spark, sf):
+    """One step of expectation maximization from given weights, means and covariances: all parameters and the likelihood."""
+    points = X.vectors(spark, sf).select(V, "features")
+    first = X.first_centers(points, V, [STEP_K]).orderBy("cluster").collect()
+    points = points.withColumn("features", F.slice("features", 1, STEP_DIMS))
+    factor = np.diag([STEP_DIAGONAL] * STEP_DIMS) + np.diag([STEP_BELOW] * (STEP_DIMS - 1), -1)
+    means = np.array([r["center"][:STEP_DIMS] for r in first])
+    given = C.Mixture(np.array(STEP_WEIGHTS), means, np.stack([factor @ factor.T] * STEP_K), math.nan, points.count())
+    m = C.mixture_step(points, given, V)
+    rows = [
+        (c, i, j, float(m.weights[c]), float(m.means[c, i]), float(m.covariances[c, i, j]), m.likelihood)
+        for c in range(STEP_K)
+        for i in range(STEP_DIMS)
+        for j in range(i, STEP_DIMS)
+    ]
+    out = spark.createDataFrame(rows, "cluster bigint, i bigint, j bigint, weight double, mean double, covariance double, likelihood double")
+    return rounded(out, "weight", "mean").withColumns(
+        {"covariance": F.round("covariance", 5) + 0.0, "likelihood": F.round("likelihood", 4) + 0.0}
+    )
+
+
+def _settled(model, step) -> tuple[bool, bool, bool]:
+    """Whether a step leaves weights, means and covariances where they are, up to the tolerance of the fit."""
+    size = [np.trace(c) for c in model.covariances]
+    moved = [float(((a - b) ** 2).sum()) / s for a, b, s in zip(model.means, step.means, size)]
+    other = [float(np.linalg.norm(a - b) / np.linalg.norm(a)) for a, b in zip(model.covariances, step.covariances)]
+    return tuple(bool(x) for x in (np.abs(model.weights - step.weights).max() < 0.02, max(moved) < 0.02, max(other) < 0.15))
+
+
 @query(
-    "SELECT count(*) AS n, 3::BIGINT AS clusters, 0::BIGINT AS wrong_sum, 0::BIGINT AS wrong_choice, true AS same_bic, true AS weights_add_up FROM vec",
+    """SELECT count(*) AS n, 3::BIGINT AS clusters, 0::BIGINT AS wrong_choice, true AS same_bic, true AS weights_settled, true AS means_settled,
+  true AS covariances_settled FROM vec""",
     ("vec",),
 )
 def gaussian_mixture(spark, sf):
-    """Shares of every row add up to one, the largest is the cluster, the mean shares are the weights, and the BIC
-    follows from the rows' likelihoods."""
+    """A step from the fitted parameters moves none of them; the largest share is the cluster; the BIC follows from the
+    likelihood that the step tells."""
     points = X.vectors(spark, sf).select(V, "features")
     clusters, bic, model = C.gaussian_mixture(points, 3, V)
     shares = C.mixture_shares(points, model, V).join(clusters.withColumnRenamed("cluster", "chosen"), V)
-    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
     at = F.array_position("shares", F.array_max("shares")) - 1
-    row = shares.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.abs(total - 1) > 1e-9).alias("wrong_sum"),
-        F.count_if(at != F.col("chosen")).alias("wrong_choice"),
-        F.sum("likelihood").alias("likelihood"),
-        *[F.avg(F.get("shares", F.lit(i))).alias(f"w{i}") for i in range(3)],
-    ).first()
+    row = shares.agg(F.count(F.lit(1)).alias("n"), F.count_if(at != F.col("chosen")).alias("wrong_choice")).first()
+    step = C.mixture_step(points, model, V)
     k, dims = model.means.shape
     free = k * dims + k * dims * (dims + 1) / 2 + k - 1
-    again = -2.0 * row["likelihood"] + free * math.log(row["n"])
-    close = all(abs(row[f"w{i}"] - w) < 0.02 for i, w in enumerate(model.weights))
-    out = [(row["n"], len(model.weights), row["wrong_sum"], row["wrong_choice"], abs(again - bic) <= 1e-6 * abs(bic), close)]
-    return spark.createDataFrame(out, "n bigint, clusters bigint, wrong_sum bigint, wrong_choice bigint, same_bic boolean, weights_add_up boolean")
+    again = -2.0 * step.likelihood + free * math.log(row["n"])
+    out = [(row["n"], len(model.weights), row["wrong_choice"], abs(again - bic) <= 1e-6 * abs(bic), *_settled(model, step))]
+    names = "same_bic boolean, weights_settled boolean, means_settled boolean, covariances_settled boolean"
+    return spark.createDataFrame(out, f"n bigint, clusters bigint, wrong_choice bigint, {names}")
+
+
+def plain_silhouettes(points, clusters, key):
+    """(k, silhouette) from the definition, over the mean distances, which have a query of their own."""
+    cells = cluster_distances(points, clusters, key).join(clusters.withColumnRenamed("cluster", "own"), ["k", key])
+    each = cells.groupBy("k", key).agg(
+        F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean_distance"))).alias("a"),
+        F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean_distance"))).alias("b"),
+    )
+    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.groupBy("k").agg(F.avg(value).alias("silhouette"))
+
+
+def plain_f1(clusters, truth, key):
+    """(k, f1) of the majority label, from the definition."""
+    rows = clusters.join(truth, key).where("truth IS NOT NULL").withColumn("own", (F.col("truth") == "positive").cast("int"))
+    sizes = rows.groupBy("k", "cluster").agg(F.sum("own").alias("p"), F.sum(1 - F.col("own")).alias("q"))
+    # A tie is negative.
+    tp = F.sum(F.when(F.col("p") > F.col("q"), F.col("p")).otherwise(0))
+    fp = F.sum(F.when(F.col("p") > F.col("q"), F.col("q")).otherwise(0))
+    fn = F.sum(F.when(F.col("p") > F.col("q"), 0).otherwise(F.col("p")))
+    score = sizes.groupBy("k").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    whole = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    return score.select("k", F.when(whole > 0, 2.0 * F.col("tp") / whole).otherwise(0.0).alias("f1"))
 
 
 @query(
@@ -206,16 +298,20 @@ FROM vec, (VALUES ('kmeans'), ('gmm')) t(method) GROUP BY 1""",
     ("vec",),
 )
 def cluster_and_evaluate(spark, sf):
-    """Both methods; the report is held against its own clusters."""
+    """Both methods: the silhouette from its definition over the clusters, the inertia around their means, and the BIC of a
+    mixture that a step does not move."""
     points = checkpointed(X.vectors(spark, sf).select(V, "features"))
     out = None
     for method in ("kmeans", "gmm"):
         report, clusters = C.cluster_and_evaluate(points, 4, V, method)
         clusters, row = checkpointed(clusters), report.first()
         sizes = clusters.agg(F.count(F.lit(1)).alias("clustered"), F.countDistinct("cluster").alias("k")).first()
-        direct = silhouette_of(points, clusters, V, 512).first()["silhouette"]
-        spread = C.inertia(points, clusters, V).first()["inertia"]
-        fit = abs(spread - row["fit"]) <= 1e-3 * spread if method == "kmeans" else math.isfinite(row["fit"])
+        direct = plain_silhouettes(points, clusters, V).first()["silhouette"]
+        if method == "kmeans":
+            spread = C.inertia(points, clusters, V).first()["inertia"]
+            fit = abs(spread - row["fit"]) <= 1e-3 * spread
+        else:
+            fit = _same_mixture(points, clusters, row["fit"])
         one = (method, sizes["k"], row["n"], sizes["clustered"], abs(direct - row["silhouette"]) < 1e-9, fit)
         part = spark.createDataFrame(
             [one], "method string, k bigint, n bigint, clustered bigint, same_silhouette boolean, same_fit boolean"
@@ -224,14 +320,23 @@ def cluster_and_evaluate(spark, sf):
     return out
 
 
+def _same_mixture(points, clusters, bic) -> bool:
+    """Whether the mixture that the clusters themselves make is about as likely as the fit claims."""
+    hard = C.mixture_of(points, clusters, V)
+    k, dims = hard.means.shape
+    free = k * dims + k * dims * (dims + 1) / 2 + k - 1
+    again = -2.0 * C.mixture_step(points, hard, V).likelihood + free * math.log(hard.rows)
+    return bool(abs(again - bic) <= 0.01 * abs(bic))
+
+
 @query(
-    """SELECT k, count(*) AS n, k AS clusters, true AS quality_in_range, true AS diagnosis_in_range, k > 2 AS inertia_falls
+    """SELECT k, count(*) AS n, k AS clusters, 0::BIGINT AS wrong_nearest, true AS same_quality, true AS same_diagnosis, k > 2 AS inertia_falls
 FROM vec, range(2, 11) t(k) GROUP BY 1""",
     ("vec",),
 )
 def k_sweep(spark, sf):
-    """A sweep of fitted clusterings over k = 2..10: all rows and clusters, both rewards, and the inertia against the one
-    before."""
+    """A sweep of fitted clusterings over k = 2..10: all rows and clusters, rows nearer to the mean of another cluster than to their own's
+    (beyond the tolerance), both rewards against their definitions over the clusters, and the inertia against the one before."""
     points = checkpointed(X.vectors(spark, sf).select(V, "features"))
     clusters = fit_sweep(points, V, X.KS)
     quality = quality_rewards(points, clusters, V, X.KS).withColumnRenamed("reward", "quality")
@@ -240,13 +345,19 @@ def k_sweep(spark, sf):
     sizes = clusters.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
     spread = C.inertia(points, clusters, V)
     before = spread.select((F.col("k") + 1).alias("k"), F.col("inertia").alias("before"))
-    every = quality.join(diagnosis, "k").join(sizes, "k").join(spread, "k").join(before, "k", "left")
+    means = C.cluster_means(points, clusters, V).select("k", "cluster", "center")
+    near = C.nearest_centroid(points, means, V).withColumnsRenamed({"cluster": "closest", "distance2": "least"})
+    own = clusters.join(points, V).join(F.broadcast(means), ["k", "cluster"]).select("k", V, squared_distance(F.col("features"), F.col("center")).alias("own"))
+    wrong = near.join(own, ["k", V]).groupBy("k").agg(F.count_if(F.sqrt("own") > F.sqrt("least") + 0.05).alias("wrong_nearest"))
+    every = quality.join(diagnosis, "k").join(sizes, "k").join(spread, "k").join(before, "k", "left").join(wrong, "k")
+    every = every.join(plain_silhouettes(points, clusters, V), "k").join(plain_f1(clusters, truth, V), "k")
     return every.select(
         "k",
         "n",
         "clusters",
-        F.col("quality").between(-1, 1).alias("quality_in_range"),
-        F.col("diagnosis").between(0, 1).alias("diagnosis_in_range"),
+        "wrong_nearest",
+        (F.abs(F.col("quality") - F.col("silhouette")) < 1e-9).alias("same_quality"),
+        (F.abs(F.col("diagnosis") - F.col("f1")) < 1e-9).alias("same_diagnosis"),
         F.coalesce(F.col("inertia") < F.col("before"), F.lit(False)).alias("inertia_falls"),
     )
 

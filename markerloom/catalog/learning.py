@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+from dataclasses import fields
+
 from pyspark.sql import functions as F
 
 from markerloom.catalog import fixtures as X
-from markerloom.catalog.base import big, query, rounded, table
+from markerloom.catalog.base import big, query, r6, rounded, table
+from markerloom.catalog.groups import plain_f1, plain_silhouettes
 from markerloom.functions.ordered import numbered
 from markerloom.operators import qtable as Q
 from markerloom.operators import reports as R
 from markerloom.operators.binning import quantile_bins
+from markerloom.operators.cleaning import feature_matrix
 from markerloom.operators.clustering import cluster_lookup as lookup_clusters
 from markerloom.plans import train as TR
 from markerloom.plans.score import score_samples as score
@@ -359,6 +362,17 @@ def score_samples(spark, sf):
 _PICKED = "least({}, (SELECT count(*) FROM {{}}))".format(P.batch)
 
 
+def _plain_rewards(spark, samples, clusters):
+    """(phase, action, plain): silhouettes of phase 1 and F1 scores of phase 2 from their definitions."""
+    one, two = (clusters.where(F.col("phase") == i).drop("phase") for i in (1, 2))
+    first = samples.where("label = 'positive'")
+    points = checkpointed(feature_matrix(first.select(S, *X.MARKERS), S, X.MARKERS)[0])
+    quality = plain_silhouettes(points, one, S).select(F.lit(1).cast("bigint").alias("phase"), "k", F.col("silhouette").alias("plain"))
+    truth = samples.select(S, F.col("label").alias("truth"))
+    diagnosis = plain_f1(two, truth, S).select(F.lit(2).cast("bigint").alias("phase"), "k", F.col("f1").alias("plain"))
+    return quality.unionByName(diagnosis).select("phase", (F.col("k") - P.min_k).cast("bigint").alias("action"), "plain")
+
+
 @query(
     f"""SELECT {P.iterations}::BIGINT AS phase1_iterations, {P.iterations}::BIGINT AS phase2_iterations,
   {P.iterations} * {_PICKED.format("samples WHERE label = 'positive'")} AS phase1_visits,
@@ -368,24 +382,25 @@ _PICKED = "least({}, (SELECT count(*) FROM {{}}))".format(P.batch)
     ("samples", "labeled"),
 )
 def train_full(spark, sf):
-    """Phase 1 on the positive samples, phase 2 on all labeled ones, each on fitted clusterings; the saved agent is read
-    back and held against itself: the log against the visits, one reward per phase and action, states that occur."""
+    """Phase 1 on the positive samples, phase 2 on all labeled ones, each on fitted clusterings; of the saved agent, read back,
+    the log is held against the visits and every reward against its definition over the saved clusterings."""
     samples = checkpointed(X.samples(spark, sf))
     path = new_path(spark, "agent")
     TR.train_full(samples.where("label = 'positive'"), samples, S, X.MARKERS, path, P)
     q, visits, episodes, log = (T.load_table(spark, path, n) for n in ("q", "visits", "episodes", "log"))
     _, done = TR.load_params(spark, path)
     sums = visits.groupBy("phase", "iteration").agg(F.sum("reward").alias("own"), F.avg("reward").alias("mean"))
-    totals = F.sum("own").over(W.partitionBy("phase").orderBy("iteration"))
-    checked = log.join(sums.withColumn("upto", totals), ["phase", "iteration"], "full")
-    agrees = F.least(F.abs(F.col("cumulative_payoff") - F.col("upto")), F.abs(F.col("cumulative_payoff") - F.col("own"))) < 1e-6
-    rewards = visits.groupBy("phase", "action").agg(F.countDistinct("reward").alias("n"))
+    checked = log.join(sums, ["phase", "iteration"], "full")
+    agrees = F.abs(F.col("cumulative_payoff") - F.col("own")) < 1e-6
+    rewards = visits.groupBy("phase", "action").agg(F.min("reward").alias("low"), F.max("reward").alias("high"))
+    rewards = rewards.join(_plain_rewards(spark, samples, T.load_table(spark, path, "clusters")), ["phase", "action"], "left")
+    off = F.greatest(F.abs(F.col("low") - F.col("plain")), F.abs(F.col("high") - F.col("plain"))) < 1e-9
     parts = [
         log.agg(*[F.count_if(F.col("phase") == i).alias(f"phase{i}_iterations") for i in (1, 2)]),
         visits.agg(*[F.count_if(F.col("phase") == i).alias(f"phase{i}_visits") for i in (1, 2)]),
         episodes.agg(F.count(F.lit(1)).alias("episodes")),
         checked.agg(F.count_if(~F.coalesce(agrees, F.lit(False))).alias("wrong_log")),
-        rewards.agg(F.count_if(F.col("n") > 1).alias("wrong_rewards")),
+        rewards.agg(F.count_if(~F.coalesce(off, F.lit(False))).alias("wrong_rewards")),
         q.join(samples, "state", "left_anti").agg(F.count(F.lit(1)).alias("unknown_states")),
     ]
     row = {c: v for part in parts for c, v in part.first().asDict().items()}
@@ -399,8 +414,11 @@ def train_full(spark, sf):
 def _saved(spark, sf) -> str:
     path = new_path(spark, "agent")
     visits = X.event_visits(spark, sf)
-    tables = {"q": X.mean_q(spark, sf), "visits": visits, "episodes": Q.record_episode(visits)}
-    T.save_tables(tables | {"params": TR.params_table(spark, P, P.iterations)}, path)
+    tables = {"q": X.mean_q(spark, sf), "visits": visits, "episodes": Q.record_episode(visits), "log": Q.training_log(visits, P)}
+    tables["params"] = TR.params_table(spark, P, P.iterations)
+    # Another agent is there already, and then replaced.
+    T.save_tables({n: t.limit(1) for n, t in tables.items()}, path)
+    T.save_tables(tables, path)
     return path
 
 
@@ -418,11 +436,42 @@ def save_agent(spark, sf):
     return out
 
 
-@query("SELECT state, action, round(q, 6) + 0.0 AS q, 9 AS n_actions FROM mq", ("mq",))
+_PARAMS = [(f.name, float(getattr(P, f.name))) for f in fields(P) if isinstance(getattr(P, f.name), (int, float))]
+_PARAM_ROWS = ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in [*_PARAMS, ("n_actions", float(P.n_actions)), ("done", float(P.iterations))])
+
+
+@query(
+    f"""SELECT part, a, b, c, d, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (
+SELECT 'q' AS part, state AS a, action AS b, 0::BIGINT AS c, 0::BIGINT AS d, q AS x, 0.0::DOUBLE AS y FROM mq
+UNION ALL SELECT 'visits', phase, iteration, rank, state * 20 + action * 2 + CAST(explored AS BIGINT), reward, 0.0 FROM ev
+UNION ALL SELECT 'episodes', phase, iteration, count(*), 0, sum(reward), 0.0 FROM ev GROUP BY phase, iteration
+UNION ALL SELECT 'log', phase, iteration, action_diversity, 0, cumulative_payoff, average_payoff FROM evlog
+UNION ALL SELECT name, 0, 0, 0, 0, v, 0.0 FROM (VALUES {_PARAM_ROWS}) t(name, v))""",
+    ("mq", "ev", "evlog"),
+)
 def load_agent(spark, sf):
+    """A whole agent, saved twice over another one and read back: q, visits, episodes, log and parameters."""
     path = _saved(spark, sf)
-    n = T.load_table(spark, path, "params").select(big("n_actions")).scalar()
-    return rounded(T.load_table(spark, path, "q"), "q").withColumn("n_actions", n.cast("int"))
+    q, visits, episodes, log, params = (T.load_table(spark, path, n) for n in ("q", "visits", "episodes", "log", "params"))
+    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    spot = F.col("state") * 20 + F.col("action") * 2 + F.col("explored").cast("bigint")
+    names = [n for n, _ in _PARAMS] + ["n_actions", "done"]
+    values = params.select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).cast("double").alias("x")) for n in names])))
+
+    def shaped(df, part, a, b, c, d, x, y=none):
+        kinds = zip("abcd", (a, b, c, d))
+        return df.select(part.alias("part"), *[big(v).alias(k) for k, v in kinds], r6(x).alias("x"), r6(y).alias("y"))
+
+    phase, iteration = F.col("phase"), F.col("iteration")
+    out = shaped(q, F.lit("q"), F.col("state"), F.col("action"), zero, zero, F.col("q"))
+    for more in (
+        shaped(visits, F.lit("visits"), phase, iteration, F.col("rank"), spot, F.col("reward")),
+        shaped(episodes, F.lit("episodes"), phase, iteration, F.col("n_actions"), zero, F.col("total")),
+        shaped(log, F.lit("log"), phase, iteration, F.col("action_diversity"), zero, F.col("cumulative_payoff"), F.col("average_payoff")),
+        shaped(values, F.col("part"), zero, zero, zero, zero, F.col("x")),
+    ):
+        out = out.unionByName(more)
+    return out
 
 
 # ---- report tables -----------------------------------------------------------------------

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -26,7 +25,7 @@ from markerloom.operators.kmeans import (
     nearest,
     partitions,
     prepared,
-    totals,
+    vector_totals,
 )
 
 # Fixed values of the mixture fit: iteration limit, gain per row at which it ends, and what is added to variances.
@@ -210,25 +209,92 @@ class Mixture:
         return float(-2.0 * self.likelihood + free * math.log(self.rows))
 
 
+def log_density(m: Mixture) -> Callable[[np.ndarray], np.ndarray]:
+    """The function that gives (rows, components): log of weight times density. The covariances are factored once, here."""
+    dims = m.means.shape[1]
+    # The inverse of a triangular factor; rows are multiplied by it.
+    inverse = [np.linalg.inv(np.linalg.cholesky(v)) for v in m.covariances]
+    start = [
+        math.log(max(w, 1e-300)) - 0.5 * dims * math.log(2.0 * math.pi) + np.log(np.diag(i)).sum() for w, i in zip(m.weights, inverse)
+    ]
+
+    def density(x: np.ndarray) -> np.ndarray:
+        return np.stack([s - 0.5 * (((x - mean) @ i.T) ** 2).sum(axis=1) for s, mean, i in zip(start, m.means, inverse)], axis=1)
+
+    return density
+
+
 def log_densities(x: np.ndarray, m: Mixture) -> np.ndarray:
-    """(rows, components): log of weight times density."""
-    out = np.empty((len(x), len(m.weights)))
-    for c, (weight, mean, covariance) in enumerate(zip(m.weights, m.means, m.covariances)):
-        low = np.linalg.cholesky(covariance)
-        z = np.linalg.solve(low, (x - mean).T)
-        norm = x.shape[1] * math.log(2.0 * math.pi) + 2.0 * np.log(np.diag(low)).sum()
-        out[:, c] = math.log(max(weight, 1e-300)) - 0.5 * ((z * z).sum(axis=0) + norm)
-    return out
+    return log_density(m)(x)
 
 
-def _responsibilities(x: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray]:
+def _responsibilities(x: np.ndarray, density: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Share of each component in each row, and the rows' log likelihoods."""
-    d = log_densities(x, m)
+    d = density(x)
     top = d.max(axis=1, keepdims=True)
     total = top + np.log(np.exp(d - top).sum(axis=1, keepdims=True))
     return np.exp(d - total), total[:, 0]
 
 
+def _moments(
+    ready: DataFrame, count: int, mid: np.ndarray, k: int, shares: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Per component the weight, the mean and the covariance around it, and the log likelihood, in one job; relative to `mid`.
+
+    A task sends sums, and of the symmetric products the upper triangle.
+    """
+    dims = len(mid)
+    upper = np.triu_indices(dims)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        r, likelihood = shares(x)
+        products = [((x * r[:, c : c + 1]).T @ x)[upper] for c in range(k)]
+        return np.concatenate([[likelihood.sum()], r.sum(axis=0), (r.T @ x).ravel(), *products])
+
+    flat = vector_totals(ready, sums, 1 + k + k * dims + k * len(upper[0]), count, mid)
+    weight, total, packed = np.split(flat[1:], [k, k + k * dims])
+    size = np.maximum(weight, 1e-10)
+    means = total.reshape(k, dims) / size[:, None]
+    spread = np.zeros((k, dims, dims))
+    for c, triangle in enumerate(packed.reshape(k, -1)):
+        spread[c][upper] = triangle
+        spread[c] += np.triu(spread[c], 1).T
+    return size, means, spread / size[:, None, None] - means[:, :, None] * means[:, None, :], float(flat[0])
+
+
+def _stepped(
+    ready: DataFrame, count: int, mid: np.ndarray, k: int, rows: int, shares: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+) -> tuple[Mixture, float]:
+    """The mixture that these shares give, relative to `mid`, and the log likelihood that `shares` tells."""
+    size, means, spread, likelihood = _moments(ready, count, mid, k, shares)
+    return Mixture(size / size.sum(), means, spread + COVARIANCE_FLOOR * np.eye(len(mid)), math.nan, rows), likelihood
+
+
+def mixture_step(points: DataFrame, model: Mixture, key: str) -> Mixture:
+    """One step of expectation maximization; `likelihood` is that of the given parameters. One job."""
+    mid = model.means.mean(axis=0)
+    density = log_density(replace(model, means=model.means - mid))
+    ready, count = prepared(points, key, model.rows), partitions(model.rows)
+    new, likelihood = _stepped(ready, count, mid, len(model.weights), model.rows, lambda x: _responsibilities(x, density))
+    return replace(new, means=new.means + mid, likelihood=likelihood)
+
+
+def mixture_of(points: DataFrame, clusters: DataFrame, key: str) -> Mixture:
+    """The mixture whose components are the clusters(key, cluster), numbered from 0 on; without a likelihood. One job, after
+    the rows were counted."""
+    numbered = points.join(clusters.select(key, "cluster"), key)
+    tagged = numbered.select(key, F.array_append("features", F.col("cluster").cast("double")).alias("features"))
+    facts = tagged.agg(F.count(F.lit(1)).alias("n"), F.max(F.element_at("features", -1)).alias("last"), F.max(F.size("features")).alias("width")).first()
+    rows, k = facts["n"], int(facts["last"]) + 1
+
+    def own(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (x[:, -1:] == np.arange(k)[None, :]).astype("float64"), np.zeros(len(x))
+
+    ready = prepared(tagged, key, rows)
+    new, _ = _stepped(ready, partitions(rows), np.zeros(facts["width"]), k, rows, own)
+    return replace(new, means=new.means[:, :-1], covariances=new.covariances[:, :-1, :-1])
+
+
 def fit_mixture(
     points: DataFrame, k: int, key: str, rows: int, seed: int = SEED, max_iter: int = GMM_ITERATIONS
 ) -> Mixture:
@@ -239,46 +305,26 @@ def fit_mixture(
     try:
         _, start = fit_runs(points, key, [k], rows, seed, restarts=1)[k]
         mid = start.mean(axis=0)
-        dims, count = start.shape[1], partitions(rows)
-
-        def collected(shares) -> tuple[np.ndarray, np.ndarray]:
-            def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                sums, cost = np.zeros((k, dims + dims * dims)), np.zeros(k + 1)
-                for batch in batches:
-                    x = feature_rows(batch) - mid
-                    r, likelihood = shares(x)
-                    cost[:k] += r.sum(axis=0)
-                    cost[k] += likelihood.sum()
-                    for c in range(k):
-                        sums[c] += np.concatenate([r[:, c] @ x, ((x * r[:, c : c + 1]).T @ x).ravel()])
-                total = [*sums.tolist(), np.zeros(sums.shape[1]).tolist()]
-                part = np.full(k + 1, TaskContext.get().partitionId())
-                yield pa.RecordBatch.from_pydict(
-                    {"g": np.arange(k + 1), "part": part, "n": np.zeros(k + 1, "int64"), "cost": cost, "total": total}
-                )
-
-            parts = ready.mapInArrow(add_up, "g bigint, part bigint, n bigint, cost double, total array<double>")
-            _, cost, total = totals(parts, count, (k + 1, dims + dims * dims))
-            return cost, total
+        count = partitions(rows)
 
         def hard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             own, distance = nearest(x, start - mid)
             return (own[:, None] == np.arange(k)[None, :]).astype("float64"), -distance
 
-        cost, total = collected(hard)
-        model, before = None, -math.inf
+        model, _ = _stepped(ready, count, mid, k, rows, hard)
+        before = -math.inf
         for _ in range(max_iter + 1):
-            weight = np.maximum(cost[:k], 1e-10)
-            means = total[:k, :dims] / weight[:, None]
-            products = total[:k, dims:].reshape(k, dims, dims) / weight[:, None, None]
-            spread = products - means[:, :, None] * means[:, None, :] + COVARIANCE_FLOOR * np.eye(dims)
-            model = Mixture(weight / weight.sum(), means, spread, math.nan, rows)
-            now = model
-            cost, total = collected(lambda x: _responsibilities(x, now))
-            model = replace(model, likelihood=float(cost[k]))
-            if abs(model.likelihood - before) / rows < GMM_TOLERANCE:
+            density = log_density(model)
+            new, likelihood = _stepped(ready, count, mid, k, rows, lambda x: _responsibilities(x, density))
+            model = replace(model, likelihood=likelihood)
+            if abs(likelihood - before) / rows < GMM_TOLERANCE:
                 break
-            before = model.likelihood
+            model, before = replace(new, likelihood=likelihood), likelihood
+        else:
+            # The last parameters have not been looked at.
+            density = log_density(model)
+            _, likelihood = _stepped(ready, count, mid, k, rows, lambda x: _responsibilities(x, density))
+            model = replace(model, likelihood=likelihood)
     finally:
         ready.unpersist()
     order = np.lexsort(model.means.T[::-1])
@@ -291,9 +337,11 @@ def mixture_shares(points: DataFrame, model: Mixture, key: str) -> DataFrame:
     """(key, cluster, shares, likelihood): the component with the largest share, all shares, and the row's log
     likelihood."""
 
+    density = log_density(model)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r, likelihood = _responsibilities(feature_rows(batch), model)
+            r, likelihood = _responsibilities(feature_rows(batch), density)
             columns = [batch.column(key), pa.array(r.argmax(axis=1)), pa.array(r.tolist(), pa.list_(pa.float64())), pa.array(likelihood)]
             yield pa.RecordBatch.from_arrays(columns, [key, "cluster", "shares", "likelihood"])
 

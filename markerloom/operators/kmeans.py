@@ -5,16 +5,20 @@ read the matrix once per iteration. Here one job per iteration advances every ru
 that has not converged: tasks assign their rows to the centers of all runs and emit
 sums per center, which Spark adds up. The driver holds the centers only, at most
 sum(ks) x restarts of them.
+
+Starts come from oversampled parallel seeding (Bahmani et al. 2012), for all runs in step: a few jobs draw candidates, one more counts
+the rows of each, and the driver picks the starts among the weighted candidates, of which there are a few for each center.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Seed, limits and tolerance of the fits.
@@ -29,6 +33,9 @@ PARTITION_ROWS = 20_000
 BUSY_PARTITIONS, LEAST_ROWS = 64, 250
 FEW_PARTITIONS = 64
 
+# Seeding: jobs that draw candidates, candidates of each for a center, and updates on the candidates.
+ROUNDS, OVERSAMPLE, CANDIDATE_ITERATIONS = 3, 3, 50
+
 Run = tuple[int, int]  # (k, restart)
 
 
@@ -48,17 +55,21 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     The expanded form rounds, and differently for batches of other shapes; rows whose best two
     are close are compared again by difference.
     """
-    d = squared_distances(x, c)
+    own = nearest_index(x, c, squared_distances(x, c))
+    return own, ((x - c[own]) ** 2).sum(axis=1)
+
+
+def nearest_index(x: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The index of `nearest` from the expanded squared distances."""
     own = d.argmin(axis=1)
-    at = np.arange(len(x))
-    best = d[at, own]
+    best = d[np.arange(len(x)), own]
     scale = 1e-9 * ((x * x).sum(axis=1) + (c * c).sum(axis=1).max(initial=0.0) + 1.0)
     close = np.flatnonzero((d <= (best + scale)[:, None]).sum(axis=1) > 1)
     for s in range(0, len(close), 1024):
         rows = close[s : s + 1024]
         exact = ((x[rows][:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
         own[rows] = exact.argmin(axis=1)
-    return own, ((x - c[own]) ** 2).sum(axis=1)
+    return own
 
 
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -70,81 +81,128 @@ def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype("float64") + 0.5) / 2.0**53
 
 
-def spread_centers(
-    points: DataFrame, runs: Iterable[Run], seed: int, mean: np.ndarray
-) -> dict[Run, np.ndarray]:
-    """k-means++ starts for all runs, one more center per job.
+def _draws(keys: np.ndarray, seed: int, run: Run, turn: int) -> np.ndarray:
+    return _uniform(keys, seed * 1_000_003 + run[0] * 10_007 + run[1] * 101 + turn)
 
-    A row is drawn with probability proportional to its squared distance to the
-    nearest center so far: each row draws an exponential time at that rate, the
-    earliest wins. The draws are keyed by row, so no partitioning changes them.
-    """
-    centers: dict[Run, np.ndarray] = {r: np.empty((0, len(mean))) for r in runs}
-    for turn in range(max(k for k, _ in centers)):
-        open_ = {r: c for r, c in centers.items() if r[0] > turn}
+
+def _times(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Exponential times at these rates: the earliest are a draw in proportion to the rates, without replacement. Rates of 0
+    come last, in the order of their draws."""
+    return np.where(rate > 1e-12, -np.log(u) / np.maximum(rate, 1e-12), 1e300 * (1.0 + u))
+
+
+def candidates(points: DataFrame, runs: Sequence[Run], seed: int, mean: np.ndarray) -> dict[Run, np.ndarray]:
+    """A row, and then ROUNDS times OVERSAMPLE rows for each center, drawn in proportion to the squared distance to the nearest
+    candidate so far; one job a round. The draws are keyed by row, so no partitioning changes them."""
+    found = {r: np.empty((0, len(mean))) for r in runs}
+    for turn in range(ROUNDS + 1):
 
         def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, tuple[float, np.ndarray]] = {}
+            held: list[tuple[int, float, bytes]] = []
             for batch in batches:
                 x = feature_rows(batch) - mean
                 keys = batch.column("h").to_numpy(zero_copy_only=False).view("uint64")
-                for i, (run, c) in enumerate(open_.items()):
-                    u = _uniform(keys, seed * 1_000_003 + run[0] * 10_007 + run[1] * 101 + turn)
+                for i, (run, c) in enumerate(found.items()):
                     rate = np.ones(len(x)) if turn == 0 else squared_distances(x, c).min(axis=1)
-                    # Rows at distance 0 come last, in order of their draw.
-                    time = np.where(rate > 1e-12, -np.log(u) / np.maximum(rate, 1e-12), 1e300 * (1.0 + u))
-                    j = int(time.argmin())
-                    if i not in best or time[j] < best[i][0]:
-                        best[i] = (float(time[j]), x[j].copy())
-            if best:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "run": list(best),
-                        "time": [t for t, _ in best.values()],
-                        "features": [f.tolist() for _, f in best.values()],
-                    }
-                )
-
-        won = points.mapInArrow(race, "run bigint, time double, features array<double>")
-        won = won.groupBy("run").agg(F.min(F.struct("time", "features")).alias("w"))
-        order = list(open_)
-        for row in won.collect():
-            run = order[row["run"]]
-            centers[run] = np.vstack([centers[run], np.array(row["w"]["features"])])
-    return centers
-
-
-def _added(parts: DataFrame, block: int) -> DataFrame:
-    """The sums of `block` neighbouring partitions each, added in the order of the partitions."""
-    width = F.size(F.get("all", F.lit(0))["total"])
-    zero = F.array_repeat(F.lit(0.0), width)
-    total = F.aggregate("all", zero, lambda a, x: F.zip_with(a, x["total"], lambda p, q: p + q))
-    gathered = parts.groupBy("g", F.floor(F.col("part") / F.lit(block)).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("part", "n", "cost", "total"))).alias("all")
-    )
-    return gathered.select(
-        "g",
-        F.col("block").alias("part"),
-        F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n"),
-        F.aggregate("all", F.lit(0.0), lambda a, x: a + x["cost"]).alias("cost"),
-        total.alias("total"),
-    )
-
-
-def totals(parts: DataFrame, count: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, costs and sums per center from rows (g, part, n, cost, total) of `count` partitions.
-
-    Sums of many partitions are added in blocks of FEW_PARTITIONS until few are left, which the driver adds; all in the
-    order of the partitions, so that the last bits are the same in every run.
+                    time = _times(_draws(keys, seed, run, turn), rate)
+                    wanted = 1 if turn == 0 else OVERSAMPLE * run[0]
+                    for j in np.argsort(time, kind="stable")[:wanted].tolist():
+                        held.append((i, float(time[j]), x[j].tobytes()))
+            runs_, times, rows = zip(*held) if held else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs_, pa.int64()), pa.array(times, pa.float64()), pa.array(rows, pa.binary())], names=["run", "time", "row"]
+            )
+
+        drawn = points.mapInArrow(race, "run bigint, time double, row binary")
+        # The limit of each run applies before the shuffle, too.
+        place = F.row_number().over(W.partitionBy("run").orderBy("time", "row"))
+        most = 1 if turn == 0 else OVERSAMPLE * max(k for k, _ in runs)
+        drawn = drawn.withColumn("place", place).where(F.col("place") <= most)
+        order = list(found)
+        for r in sorted(drawn.collect(), key=lambda r: (r["run"], r["place"])):
+            run = order[r["run"]]
+            if turn == 0 or r["place"] <= OVERSAMPLE * run[0]:
+                found[run] = np.vstack([found[run], np.frombuffer(r["row"])])
+    return found
+
+
+def _weighted_starts(c: np.ndarray, weight: np.ndarray, run: Run, seed: int) -> np.ndarray:
+    """k-means++ and updates on weighted candidates."""
+    k = run[0]
+    keys = np.arange(len(c), dtype="uint64")
+    at: list[int] = []
+    for turn in range(k):
+        rate = weight.astype("float64")
+        if at:
+            rate = rate * squared_distances(c, c[at]).min(axis=1)
+            rate[at] = 0.0
+        time = _times(_draws(keys, seed, run, ROUNDS + 1 + turn), rate)
+        time[at] = np.inf
+        at.append(int(time.argmin()))
+    now = c[at]
+    for _ in range(CANDIDATE_ITERATIONS):
+        own = squared_distances(c, now).argmin(axis=1)
+        share = (own[:, None] == np.arange(k)[None, :]) * weight[:, None].astype("float64")
+        size = share.sum(axis=0)
+        new = np.where(size[:, None] > 0, (share.T @ c) / np.maximum(size, 1.0)[:, None], now)
+        if np.array_equal(new, now):
+            break
+        now = new
+    return now
+
+
+def spread_centers(points: DataFrame, runs: Iterable[Run], seed: int, mean: np.ndarray, count: int = 1) -> dict[Run, np.ndarray]:
+    """Starts of all runs, in ROUNDS + 2 jobs, whatever the numbers of centers. `points` has `count` partitions."""
+    found = candidates(points, list(runs), seed, mean)
+
+    def weigh(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(squared_distances(x, c).argmin(axis=1), minlength=len(c)) for c in found.values()]).astype("float64")
+
+    weights = vector_totals(points, weigh, sum(map(len, found.values())), count, mean)
+    starts, at = {}, 0
+    for run, c in found.items():
+        starts[run] = _weighted_starts(c, weights[at : at + len(c)], run, seed)
+        at += len(c)
+    return starts
+
+
+def vector_totals(
+    points: DataFrame, fn: Callable[[np.ndarray], np.ndarray], width: int, count: int, mean: np.ndarray | float = 0.0
+) -> np.ndarray:
+    """The sum over all rows of fn(rows - mean), a vector of `width` numbers, of a matrix in `count` partitions.
+
+    A task sends one vector. Those of many partitions are added in blocks of FEW_PARTITIONS until few are left, which the driver
+    adds; all in the order of the partitions, so that the last bits are the same in every run.
     """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            total += fn(feature_rows(batch) - mean)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"block": [part // FEW_PARTITIONS], "part": [part], "total": [total.tobytes()]})
+
+    def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+        for batch in batches:
+            for b, t in zip(batch.column("block").to_pylist(), batch.column("total").to_pylist()):
+                if b != block and block is not None:
+                    yield pa.RecordBatch.from_pydict({"block": [block // FEW_PARTITIONS], "part": [block], "total": [total.tobytes()]})
+                if b != block:
+                    block, total = b, np.zeros(width)
+                total += np.frombuffer(t)
+        if block is not None:
+            yield pa.RecordBatch.from_pydict({"block": [block // FEW_PARTITIONS], "part": [block], "total": [total.tobytes()]})
+
+    schema = "block bigint, part bigint, total binary"
+    parts = points.mapInArrow(add_up, schema)
     while count > FEW_PARTITIONS:
-        parts, count = _added(parts, FEW_PARTITIONS), -(-count // FEW_PARTITIONS)
-    size, cost, total = np.zeros(shape[0], "int64"), np.zeros(shape[0]), np.zeros(shape)
-    for r in sorted(parts.collect(), key=lambda r: (r["g"], r["part"])):
-        size[r["g"]] += r["n"]
-        cost[r["g"]] += r["cost"]
-        total[r["g"]] += r["total"]
-    return size, cost, total
+        parts = parts.repartition("block").sortWithinPartitions("block", "part").mapInArrow(add_blocks, schema)
+        count = -(-count // FEW_PARTITIONS)
+    out = np.zeros(width)
+    for r in sorted(parts.collect(), key=lambda r: r["part"]):
+        out += np.frombuffer(r["total"])
+    return out
 
 
 def lloyd(
@@ -166,25 +224,23 @@ def lloyd(
         ends = np.cumsum([len(c) for c in now.values()])
         spans = [(int(e) - len(c), int(e)) for e, c in zip(ends, now.values())]
 
-        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            size, cost, total = np.zeros(len(stacked), "int64"), np.zeros(len(stacked)), np.zeros(stacked.shape)
-            for batch in batches:
-                x = feature_rows(batch) - mean
-                d = squared_distances(x, stacked)
-                for a, b in spans:
-                    own = d[:, a:b].argmin(axis=1)
-                    near = d[np.arange(len(x)), a + own]
-                    size[a:b] += np.bincount(own, minlength=b - a)
-                    cost[a:b] += np.bincount(own, weights=near, minlength=b - a)
-                    total[a:b] += (own[:, None] == np.arange(b - a)[None, :]).astype("float64").T @ x
-            part = np.full(len(stacked), TaskContext.get().partitionId())
-            yield pa.RecordBatch.from_pydict(
-                {"g": np.arange(len(stacked)), "part": part, "n": size, "cost": cost, "total": total.tolist()}
-            )
-
-        parts = points.mapInArrow(add_up, "g bigint, part bigint, n bigint, cost double, total array<double>")
-        size, cost, total = totals(parts, count, stacked.shape)
-        means = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], stacked)
+        def sums(x: np.ndarray) -> np.ndarray:
+            d = squared_distances(x, stacked)
+            size, cost, total = np.zeros(len(stacked)), np.zeros(len(stacked)), np.zeros(stacked.shape)
+            for a, b in spans:
+                own = nearest_index(x, stacked[a:b], d[:, a:b])
+                near = ((x - stacked[a:b][own]) ** 2).sum(axis=1) if exact else d[np.arange(len(x)), a + own]
+                size[a:b] = np.bincount(own, minlength=b - a)
+                cost[a:b] = np.bincount(own, weights=near, minlength=b - a)
+                total[a:b] = (own[:, None] == np.arange(b - a)[None, :]).astype("float64").T @ x
+            return np.concatenate([size, cost, total.ravel()])
+
+        # Costs count once a run has stopped.
+        exact = bool(final)
+        flat = vector_totals(points, sums, len(stacked) * (2 + stacked.shape[1]), count, mean)
+        size, cost = flat[: len(stacked)], flat[len(stacked) : 2 * len(stacked)]
+        total = flat[2 * len(stacked) :].reshape(stacked.shape)
+        means = np.where(size[:, None] > 0, total / np.maximum(size, 1.0)[:, None], stacked)
         turn += 1
         moved: dict[Run, np.ndarray] = {}
         for run, (a, b) in zip(now, spans):
@@ -215,21 +271,12 @@ def centered(points: DataFrame, count: int = 1) -> tuple[np.ndarray, float]:
     """Mean per component, and the mean of their variances, of a matrix in `count` partitions."""
     width = len(points.select("features").first()["features"])
 
-    def around(mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, cost, total = 0, 0.0, np.zeros(width)
-            for batch in batches:
-                x = feature_rows(batch) - mean
-                n, cost, total = n + len(x), cost + float((x * x).sum()), total + x.sum(axis=0)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"g": [0], "part": [part], "n": [n], "cost": [cost], "total": [total.tolist()]})
-
-        parts = points.mapInArrow(add_up, "g bigint, part bigint, n bigint, cost double, total array<double>")
-        return totals(parts, count, (1, width))
+    def moments(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x), (x * x).sum()], x.sum(axis=0)])
 
-    n, _, total = around(np.zeros(width))
-    mean = total[0] / n[0]
-    return mean, float(around(mean)[1][0] / n[0] / width)
+    first = vector_totals(points, moments, width + 2, count)
+    mean = first[2:] / first[0]
+    return mean, float(vector_totals(points, moments, width + 2, count, mean)[1] / first[0] / width)
 
 
 def fit_runs(
@@ -246,7 +293,7 @@ def fit_runs(
     try:
         count = partitions(rows)
         mean, variance = centered(ready, count)
-        starts = spread_centers(ready, [(k, r) for k in ks for r in range(restarts)], seed, mean)
+        starts = spread_centers(ready, [(k, r) for k in ks for r in range(restarts)], seed, mean, count)
         fits = lloyd(ready, starts, max_iter, TOLERANCE * variance, mean, count)
     finally:
         ready.unpersist()

@@ -1,8 +1,9 @@
 """Exact Euclidean silhouette, for all cluster counts of a sweep at once.
 
-The mean distance to every cluster needs every distance once. Rows are hashed into
-equal blocks and each pair of blocks is one task-sized group: it computes its
-distances as a matrix, adds them up per row and cluster, and emits only those sums.
+The mean distance to every cluster needs every distance once. Rows are hashed into the points of a finite projective
+plane, and each of its lines is one task-sized group: any two points lie on exactly one line, so every pair of blocks meets
+in one group, while a row is sent to the p + 1 lines of its point only, about the root of the number of blocks. A group
+computes its distances as matrices, adds them up per row and cluster, and emits only those sums.
 Distances do not depend on k, so one pass serves all clusterings.
 """
 
@@ -15,18 +16,51 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows per block. Every row is sent to as many pairs as there are blocks, so blocks
-# grow with the matrix once there are enough pairs to keep a cluster busy.
-BLOCK_ROWS = 2048
-BUSY_BLOCKS = 128
-LARGEST_BLOCK = 65_536
+# Rows per block. Blocks grow with the matrix once there are enough groups to keep a cluster busy, until a
+# group has LARGEST_GROUP rows; from there on the plane grows.
+BLOCK_ROWS = 256
+BUSY_ORDER = 11
+LARGEST_GROUP = 131_072
 # Distances held at a time: 32 MB.
 STRIP_CELLS = 4_194_304
 
 
-def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
-    blocks = min(-(-rows // block_rows), BUSY_BLOCKS)
-    return max(1, blocks, -(-rows // LARGEST_BLOCK))
+def _prime(n: int) -> bool:
+    return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
+
+
+def plane_order(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    """The order p of a plane of p * p + p + 1 blocks: a prime, 1 for a triangle, or 0 for a single block."""
+    blocks = -(-rows // block_rows)
+    if blocks <= 1:
+        return 0
+    p = 1
+    while p * p + p + 1 < blocks and p < BUSY_ORDER or (p + 1) * rows > LARGEST_GROUP * (p * p + p + 1):
+        p += 1
+        while not _prime(p):
+            p += 1
+    return p
+
+
+def lines_of(block: Column, p: int) -> Column:
+    """The lines through a point of the plane, p + 1 of its p * p + p + 1; the last one is the point's home.
+
+    Points are the pairs (x, y), numbered x * p + y, then the slopes m, then the vertical direction. Lines are
+    y = m * x + b, numbered m * p + b, then the verticals by x, then the one of all directions.
+    """
+    if p == 0:
+        return F.array(F.lit(0))
+    zero, last = F.lit(0), F.lit(p - 1)
+    # `sequence` counts down from 0 to -1, but p is 1 at least.
+    each = F.sequence(zero, last)
+    x, y = F.floor(block / p).cast("int"), F.pmod(block, F.lit(p)).cast("int")
+    through = F.transform(each, lambda m: m * p + F.pmod(y - m * x, F.lit(p)))
+    far = F.array(F.lit(p * p + p))
+    return (
+        F.when(block < p * p, F.concat(through, F.array(F.lit(p * p) + x)))
+        .when(block < p * p + p, F.concat(F.transform(each, lambda b: (block - p * p) * p + b), far))
+        .otherwise(F.concat(F.transform(each, lambda c: F.lit(p * p) + c), far))
+    )
 
 
 def _block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,40 +117,32 @@ class _Sweep:
 def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFrame:
     """(key, own, s): the groups of each row and its summed distances to all groups."""
     key, groups = sweep.key, len(sweep.sizes)
-    rows = max(sweep.rows_of(k) for k in sweep.ks)
-    blocks = block_count(rows, block_rows)
-    tagged = points.join(sweep.labels, key).select(
-        F.col(key).alias("id"),
-        "features",
-        "own",
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"),
-    )
-    # A row goes to every pair its block is in; pairs are unordered.
-    other = tagged.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    paired = other.select(
-        "id", "features", "own", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
-    )
+    p = plane_order(max(sweep.rows_of(k) for k in sweep.ks), block_rows)
+    block = F.pmod(F.xxhash64(key), F.lit(p * p + p + 1)).cast("int")
+    tagged = points.join(sweep.labels, key).select(F.col(key).alias("id"), "features", "own", block.alias("b"))
+    # Distances within a block are its home's.
+    placed = tagged.withColumn("lines", lines_of(F.col("b"), p))
+    placed = placed.select("id", "features", "own", "b", F.element_at("lines", -1).alias("home"), F.explode("lines").alias("line"))
 
     def sums_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        sides = [pdf[pdf["b"] == i], pdf[pdf["b"] == j]]
-        if sides[0].empty or sides[1].empty:
-            return pd.DataFrame({"id": pdf["id"].iloc[:0], "own": [], "s": []})
-        x, y = (np.stack(side["features"].to_list()) for side in sides)
-        hot = [_members(side["own"], groups) for side in sides]
-        sums = [np.zeros((len(x), groups)), np.zeros((len(y), groups))]
-        strip = max(1, STRIP_CELLS // len(y))
-        for a in range(0, len(x), strip):
-            d = _block_distances(x[a : a + strip], y)
-            sums[0][a : a + strip] = d @ hot[1]
-            if i != j:
-                sums[1] += d.T @ hot[0][a : a + strip]
-        found = list(zip(sides, sums))[: 1 if i == j else 2]
-        return pd.concat([side[["id", "own"]].assign(s=list(s)) for side, s in found])
+        x, hot = np.stack(pdf["features"].to_list()), _members(pdf["own"], groups)
+        block, sums = pdf["b"].to_numpy(), np.zeros((len(pdf), groups))
+        home = (pdf["home"] == pdf["line"]).to_numpy()
+        blocks = [np.flatnonzero(block == b) for b in np.unique(block)]
+        for n, one in enumerate(blocks):
+            for other in blocks[n + (0 if home[one[0]] else 1) :]:
+                strip = max(1, STRIP_CELLS // len(other))
+                for a in range(0, len(one), strip):
+                    rows = one[a : a + strip]
+                    d = _block_distances(x[rows], x[other])
+                    sums[rows] += d @ hot[other]
+                    if other is not one:
+                        sums[other] += d.T @ hot[rows]
+        return pdf[["id", "own"]].assign(s=list(sums))
 
     id_type = points.schema[key].dataType.simpleString()
     return (
-        paired.groupBy("i", "j")
+        placed.groupBy("line")
         .applyInPandas(sums_of, f"id {id_type}, own array<int>, s array<double>")
         .groupBy(F.col("id").alias(key))
         .agg(

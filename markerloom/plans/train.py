@@ -113,6 +113,10 @@ def _log_tables(visits: DataFrame, p: Q.Learning, done: int = 0) -> dict[str, Da
     return {"visits": visits, "episodes": Q.record_episode(visits), "log": Q.training_log(visits, p, done=done)}
 
 
+def _of_phase(clusters: DataFrame, phase: int) -> DataFrame:
+    return clusters.select(F.lit(phase).cast("bigint").alias("phase"), *clusters.columns)
+
+
 def train_phase1(
     samples: DataFrame,
     key: str,
@@ -122,14 +126,15 @@ def train_phase1(
     quality: str = "silhouette",
 ) -> None:
     """Phase 1 on samples(key, state, markers): their matrix, their clusterings, and the agent saved at `path`: q, visits,
-    episodes, log, params."""
+    episodes, log, clusters, params."""
     if samples.isEmpty():
         raise ValueError("no samples")
     ks = range(p.min_k, p.max_k + 1)
     points, _ = feature_matrix(samples.select(key, *markers), key, markers)
     points = checkpointed(points)
-    q, visits = train_quality(samples, points, fit_sweep(points, key, ks), key, p, quality)
-    tables = {"q": q, **_log_tables(checkpointed(visits), p)}
+    clusters = fit_sweep(points, key, ks)
+    q, visits = train_quality(samples, points, clusters, key, p, quality)
+    tables = {"q": q, **_log_tables(checkpointed(visits), p), "clusters": _of_phase(clusters, 1)}
     save_tables(tables | {"params": params_table(q.sparkSession, p, p.iterations)}, path)
 
 
@@ -151,10 +156,8 @@ def train_phase2(
     points, _ = feature_matrix(labeled.select(key, *markers), key, markers)
     clusters = fit_sweep(checkpointed(points), key, ks)
     q, visits = train_diagnostic(labeled, clusters, key, p, accuracy, load_table(spark, agent, "q"), done)
-    tables = {
-        name: load_table(spark, agent, name).unionByName(table)
-        for name, table in _log_tables(checkpointed(visits), p, done).items()
-    }
+    own = _log_tables(checkpointed(visits), p, done) | {"clusters": _of_phase(clusters, 2)}
+    tables = {name: load_table(spark, agent, name).unionByName(table) for name, table in own.items()}
     save_tables({"q": q, **tables, "params": params_table(spark, p, done + p.iterations)}, path)
 
 

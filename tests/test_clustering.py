@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from markerloom.operators import clustering as C
 from markerloom.operators import kmeans as K
 from markerloom.operators import metrics as ME
-from markerloom.operators.silhouette import block_count, cluster_distances, silhouette
+from markerloom.operators.silhouette import cluster_distances, lines_of, plane_order, silhouette
 
 
 def points_of(spark, x, parts=3):
@@ -69,8 +69,24 @@ def test_string_keys(spark):
     assert cluster_distances(points, clusters, "id", 6).count() == 60
 
 
-def test_blocks_stay_bounded():
-    assert [block_count(n) for n in (1, 2048, 2049, 10**6, 10**8)] == [1, 1, 2, 128, 1526]
+def test_planes_grow_with_the_rows():
+    assert [plane_order(n) for n in (1, 256, 257, 700, 2000, 10**5, 10**6)] == [0, 0, 1, 1, 3, 11, 11]
+    for rows in (10**7, 10**8):
+        p = plane_order(rows)
+        assert (p + 1) * rows <= 131_072 * (p * p + p + 1)
+
+
+@pytest.mark.parametrize("p", [0, 1, 2, 3, 5, 11])
+def test_any_two_blocks_meet_on_one_line(spark, p):
+    """Also a block with itself, at its home; a row has p + 1 copies, 12 at the most until groups are full."""
+    points = spark.range(p * p + p + 1).select(F.col("id").cast("int").alias("b"))
+    found = {r["b"]: r["lines"] for r in points.select("b", lines_of(F.col("b"), p).alias("lines")).collect()}
+    assert all(len(set(lines)) == len(lines) == p + 1 for lines in found.values())
+    assert all(0 <= line <= p * p + p for lines in found.values() for line in lines)
+    for a in found:
+        for b in found:
+            if a != b:
+                assert len(set(found[a]) & set(found[b])) == 1
 
 
 @pytest.mark.parametrize("limit", [10_000, 2])
@@ -183,6 +199,55 @@ def test_gaussian_mixture(spark):
         np.testing.assert_allclose(model.covariances[c], np.cov(own.T, bias=True), atol=2e-2)
 
 
+def test_mixture_step_equals_numpy(spark):
+    x = np.random.default_rng(12).normal(size=(90, 3)) + np.repeat(np.eye(3) * 3, 30, axis=0)
+    weights, means = np.array([0.2, 0.8]), np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 2.0]])
+    covariances = np.stack([np.eye(3) * 2, np.eye(3) + 0.3])
+    given = C.Mixture(weights, means, covariances, np.nan, 90)
+    dense = np.stack(
+        [
+            w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(v), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * v))
+            for w, m, v in zip(weights, means, covariances)
+        ]
+    ).T
+    r = dense / dense.sum(axis=1, keepdims=True)
+    step = C.mixture_step(points_of(spark, x, 5), given, "id")
+    assert step.likelihood == pytest.approx(np.log(dense.sum(axis=1)).sum())
+    np.testing.assert_allclose(step.weights, r.mean(axis=0))
+    for c in range(2):
+        mean = r[:, c] @ x / r[:, c].sum()
+        np.testing.assert_allclose(step.means[c], mean)
+        np.testing.assert_allclose(step.covariances[c], (x - mean).T @ ((x - mean) * r[:, c : c + 1]) / r[:, c].sum() + 1e-6 * np.eye(3))
+
+
+def test_a_wrong_mixture_does_not_settle(spark):
+    from dataclasses import replace
+
+    from markerloom.catalog.groups import _settled
+
+    points = points_of(spark, blobs(150, 3)[0])
+    _, _, model = C.gaussian_mixture(points, 3, "id")
+    assert _settled(model, C.mixture_step(points, model, "id")) == (True, True, True)
+    for wrong in (
+        replace(model, covariances=model.covariances * 1.5),
+        replace(model, means=model.means + 1.0),
+        replace(model, weights=np.array([0.8, 0.1, 0.1])),
+    ):
+        assert not all(_settled(wrong, C.mixture_step(points, wrong, "id")))
+
+
+def test_seeding_needs_few_jobs_and_any_number_of_centers(spark):
+    x, _ = blobs(400, 4)
+    ready = K.prepared(points_of(spark, x, 6), "id", 400)
+    mean = x.mean(axis=0)
+    runs = [(k, r) for k in (2, 7, 40) for r in range(2)]
+    starts = K.spread_centers(ready, runs, 1, mean)
+    for (k, _), c in starts.items():
+        assert c.shape == (k, x.shape[1]) and len(np.unique(c, axis=0)) == k
+    again = K.spread_centers(K.prepared(points_of(spark, x, 3), "id", 400), runs, 1, mean)
+    assert all((again[r] == starts[r]).all() for r in runs)
+
+
 def test_mixture_of_fewer_rows_than_dimensions(spark):
     x = np.random.default_rng(3).normal(size=(12, 30))
     clusters, bic, model = C.gaussian_mixture(points_of(spark, x), 3, "id")
