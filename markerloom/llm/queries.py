@@ -221,6 +221,140 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def _crc_table() -> str:
+    """What the checksum of one byte is, by the rule of its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(str(n))
+    return "[" + ",".join(out) + "]::BIGINT[]"
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text of ASCII characters."""
+    start = "4294967295::BIGINT"
+    codes = f"list_prepend({start}, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT))"
+    step = f"xor(a >> 8, list_extract({_crc_table()}, 1 + (xor(a, b) & 255)))"
+    return f"xor(list_reduce({codes}, lambda a, b: {step}), {start})"
+
+
+def _plus(label: str, cost: int | str, letter: str) -> str:
+    """A label is the cost in nine digits and the audit, so that labels are ordered as texts; null is no way."""
+    return f"(lpad((substr({label}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({label}, 10) || '{letter}')"
+
+
+def _repair_sql() -> str:
+    c = conversations
+    # l0 to l3 are the labels of the states after the rows so far, k0 to k3 with insertions before the next one.
+    inserted = f"""l0 AS k0, l1 AS k1,
+      least(l2, {_plus("l0", c.INSERT, "I")}, {_plus("l1", c.INSERT, "I")}, {_plus("l3", c.INSERT, "I")}) AS k2,
+      least(l3, {_plus("l2", c.INSERT, "I")}, {_plus("l0", 2 * c.INSERT, "II")}, {_plus("l1", 2 * c.INSERT, "II")}) AS k3"""
+    keep = {q: _plus(q, "more", "K") for q in ("k0", "k1", "k2", "k3")}
+    turn = {q: _plus(q, f"{c.REROLE} + more", "R") for q in ("k0", "k1", "k2", "k3")}
+    drop = {q: _plus(q, c.DELETE, "D") for q in ("k0", "k1", "k2", "k3")}
+    to_user = ", ".join(f"CASE WHEN NOT gone AND initial = 'u' THEN {keep[q]} END, CASE WHEN NOT gone THEN {turn[q]} END" for q in ("k0", "k1", "k3"))
+    space = r"\x20\x09-\x0D"
+    return rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fold
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fold = 4 THEN 'user' ELSE role END AS role, i,
+    CASE fold WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM named JOIN (VALUES (1), (2)) copies(i) ON i = 1 OR fold = 3 WHERE fold <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, i) AS rn,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, i) > 1 AS again FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN regexp_extract(text, '([^{space}])[{space}]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+coded AS MATERIALIZED (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN {c.TRUNCATED} ELSE 0 END AS more,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial AS pair FROM judged),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM coded GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS rn, '000000000' AS l0, NULL::VARCHAR AS l1, NULL::VARCHAR AS l2, NULL::VARCHAR AS l3 FROM facts
+  UNION ALL
+  SELECT w.conv_id, w.rn + 1, {drop["k0"]}, least({drop["k1"]}, CASE WHEN NOT gone AND initial = 's' THEN {keep["k0"]} END),
+    least({drop["k2"]}, {to_user}),
+    least({drop["k3"]}, CASE WHEN NOT gone AND initial = 'a' THEN {keep["k2"]} END, CASE WHEN NOT gone THEN {turn["k2"]} END)
+  FROM (SELECT conv_id, rn, {inserted} FROM walk) w JOIN coded c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.rn = w.rn + 1),
+best AS (
+  SELECT conv_id, least(k0, k3) AS label FROM (
+    SELECT w.conv_id, {inserted} FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.rn)),
+letters AS (
+  SELECT conv_id, i, substr(label, 9 + i::INT, 1) AS letter FROM (SELECT *, unnest(range(1, len(label) - 8)) AS i FROM best)),
+edits AS (
+  SELECT *, sum((letter <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS rn,
+    sum((letter <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS place FROM letters),
+repaired AS (
+  SELECT e.conv_id, e.i, letter, place, c.role, CASE WHEN letter = 'I' THEN '' ELSE c.text END AS text,
+    max(CASE WHEN letter = 'K' AND place = 1 AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN coded c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.rn = e.rn WHERE letter <> 'D'),
+written AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS body
+  FROM repaired GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(substr(label, 1, 9)::BIGINT, 0) AS cost,
+  coalesce(substr(label, 10), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+SQL["op11_conversations"] = _repair_sql()
+
+
 @query
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def _resampling_sql() -> str:
+    r = resampling
+    words = "list_filter(regexp_split_to_array(translate(text, '{u}', '{l}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    words = words.format(u="ABCDEFGHIJKLMNOPQRSTUVWXYZ", l="abcdefghijklmnopqrstuvwxyz")
+    byte = "(instr('0123456789ABCDEF', substr(h, 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i, 1)) - 1"
+    start = "4294967295::BIGINT"
+    codes = f"list_prepend({start}, list_transform(range(1, len(h)::BIGINT // 2 + 1), lambda i: ({byte})::BIGINT))"
+    step = f"xor(a >> 8, list_extract({_crc_table()}, 1 + (xor(a, b) & 255)))"
+    runs = " UNION ALL ".join(
+        f"SELECT side, row, array_to_string(words[i:i + {k}], ' ') AS feature FROM (SELECT *, unnest(range(1, len(words)::BIGINT - {k} + 1)) AS i FROM texts)"
+        for k in range(r.WIDTH)
+    )
+    unit = "(('0x' || substr(sha256('{s}:' || coalesce(id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5::DOUBLE)".format(s=r.SEED)
+    return f"""
+WITH texts AS MATERIALIZED (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id AS id, CASE WHEN text IS NULL THEN [] ELSE {words} END AS words FROM documents
+  UNION ALL SELECT 'b', 0, NULL, CASE WHEN text IS NULL THEN [] ELSE {words} END FROM benchmark),
+runs AS MATERIALIZED (SELECT side, row, feature, count(*) AS n FROM ({runs}) GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT feature, xor(list_reduce({codes}, lambda a, b: {step}), {start}) % {r.BUCKETS} AS bucket
+  FROM (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM runs))),
+found AS MATERIALIZED (SELECT side, row, bucket, n FROM runs JOIN hashed USING (feature)),
+totals AS (SELECT coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM found),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM found GROUP BY 1),
+gains AS (
+  SELECT bucket, floor({r.SCALE}::DOUBLE * ln((c.t + 1.0::DOUBLE) * (a.s + {r.BUCKETS}::DOUBLE) / ((c.s + 1.0::DOUBLE) * (a.t + {r.BUCKETS}::DOUBLE))))::BIGINT AS gain
+  FROM counts c, totals a),
+weights AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM found JOIN gains USING (bucket) WHERE side = 'd' GROUP BY 1),
+scores AS (
+  SELECT id, row, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    (coalesce(weight, 0) + floor(-{r.SCALE}::DOUBLE * ln(-ln({unit} / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (row) WHERE side = 'd'),
+able AS (SELECT row, row_number() OVER (ORDER BY score DESC, id NULLS LAST, row) AS place, count(*) OVER () AS n FROM scores WHERE n_words >= {r.MIN_WORDS})
+SELECT id AS doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score,
+  CASE WHEN place <= {r.SHARE[0]} * n // {r.SHARE[1]} THEN place END AS rank
+FROM scores LEFT JOIN able USING (row)
+"""
+
+
+SQL["op13_resampling"] = _resampling_sql()
