@@ -3,8 +3,8 @@
 A byte-level BPE splits a text by a fixed pattern before it merges, and no token reaches over a split. A blank,
 tab or line end after another kind of character always begins a new piece, so a text is cut there into chunks, and
 each distinct chunk is encoded once by the library; the ids of the text are those of its chunks in order.
-Texts with other kinds of white space, where the pattern looks further, and tokenizers of other kinds are encoded
-whole.
+Texts with other kinds of white space, where the pattern looks further, texts with the string of an added token, and tokenizers
+of other kinds are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ _LOADED: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts without adding special tokens; their strings in a text are ordinary text."""
+    """Encodes texts as the library does without adding special tokens. A text that holds the string of an added token, which the
+    library finds before it splits, is encoded whole."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(definition)
-        self._tokenizer.encode_special_tokens = True
         parts = json.loads(definition)
         before = parts.get("pre_tokenizer") or {}
+        added = [t["content"] for t in parts.get("added_tokens") or []]
+        self._added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.chunked = (
             parts.get("normalizer") is None
             and before.get("type") == "ByteLevel"
@@ -74,6 +76,9 @@ class Encoder:
         for c, e in zip(rest, self._whole(rest)):
             self._known[c] = np.array(e.ids, "<u4").tobytes()
 
+    def _in_chunks(self, text: str) -> bool:
+        return self.chunked and not _OTHER_SPACE.search(text) and not self._added.search(text)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self._known) > MEMO:
@@ -82,7 +87,7 @@ class Encoder:
         found: list[np.ndarray | None] = [None] * len(texts)
         split, unknown = {}, set()
         for i, text in enumerate(texts):
-            if self.chunked and not _OTHER_SPACE.search(text):
+            if self._in_chunks(text):
                 chunks = _CHUNK.findall(text)
                 parts = list(map(self._known.get, chunks))
                 if None in parts:
@@ -105,6 +110,9 @@ class Encoder:
             return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self._whole(texts)]
         found = []
         for text, ids in zip(texts, self.ids(texts)):
+            if self._added.search(text):
+                found.append(np.array(self._whole([text])[0].offsets, np.int64).reshape(-1, 2))
+                continue
             ends = np.cumsum(self._bytes[ids])
             spans = np.stack([ends - self._bytes[ids], ends], axis=1)
             if not text.isascii() and len(ids):

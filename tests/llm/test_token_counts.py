@@ -11,7 +11,6 @@ def slow(text, rule):
     """Token counts per line of a text, by its token spans."""
     text = text or ""
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     cuts = [0]
     for i, c in enumerate(text):
         if c == "\n" and (i + 1 == len(text) or text[i + 1] != "\n") and 0 < i + 1 < len(text):

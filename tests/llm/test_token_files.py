@@ -18,9 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +134,14 @@ def test_other_tokenizers_are_encoded_whole():
     library = Tokenizer.from_file(path)
     assert not other.chunked
     assert other.ids(["Some words, and\nmore"])[0].tolist() == library.encode("Some words, and\nmore", add_special_tokens=False).ids
+
+
+def test_strings_of_added_tokens(spark, library, encoder):
+    """As the library has it: the string of an added token is that token."""
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>\u00fcb <|endoftext|><|endoftext|> c", "<|endoftext |>", "plain\ntext"]
+    want = [library.encode(t, add_special_tokens=False) for t in texts]
+    assert [x.tolist() for x in encoder.ids(texts)] == [e.ids for e in want]
+    assert [[tuple(x) for x in s.tolist()] for s in encoder.spans(texts)] == [e.offsets for e in want]
+    rows = list(enumerate(texts))
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())
+    assert got == expected(rows, library)
