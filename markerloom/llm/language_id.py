@@ -20,16 +20,18 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markerloom.llm.common import appended, crc_fold, strings
 
-# Letters of labelled text per language, rows that are looked at for them, and letters that one row may have.
+# Letters of labelled text per language, rows that are looked at for them, and how much of a long text is.
 MAX_LETTERS, MAX_ROWS, MAX_ROW_LETTERS = 40_000, 200, 20_000
 MAX_LANGUAGES = 256
 PIECE = 512
-# Symbols: 0 between words, then the letters of the labelled texts, most frequent first, then any other letter.
+# Symbols with a column of their own in the table of transitions: 0 between words, then the letters of the labelled texts, most
+# frequent first, and any letter that they do not have. The transitions of all rarer letters are looked up by their number.
 ALPHABET = 96
 
 UNKNOWN = "und"
@@ -47,17 +49,18 @@ def letters_of(text: str) -> str:
 def training_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held: int = 0, folds: int = 5
 ) -> dict[str, str]:
-    """Labelled text of each language, of documents outside the held-out fold: whole texts in the order of a hash, up to
-    MAX_LETTERS in all. At most MAX_ROWS rows per language come to the driver.
+    """Labelled text of each language, of documents outside the held-out fold: texts, of long ones the first MAX_ROW_LETTERS
+    characters, in the order of a hash of the id, up to MAX_LETTERS in all. Of rows of one id the least text is taken. At
+    most MAX_ROWS rows per language come to the driver, and of those what MAX_LETTERS may need.
 
-    The hashes are uniform, so a bound on them that follows from the languages' counts leaves a few hundred rows per
+    The hashes are uniform, so a bound on them that follows from the languages' counts of ids leaves a few hundred rows per
     language before any are ranked.
     """
-    rows = docs.where((crc_fold(key, folds) != held) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = docs.where((crc_fold(key, folds) != held) & F.col(lang).isNotNull() & (F.length(text) > 0))
     rows = rows.select(
         F.col(lang).alias("lang"), F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")
-    ).where(F.length("text").between(1, MAX_ROW_LETTERS))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    )
+    counts = rows.groupBy("lang").agg(F.count_distinct("id").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
@@ -66,19 +69,24 @@ def training_texts(
     bounds = {r.lang: least + min((1 << 64) - 1, int((1 << 64) * 2 * MAX_ROWS / r.n)) for r in counts}
     limit = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
     near = rows.where(F.col("h") <= limit[F.col("lang")])
-    ranked = near.orderBy("lang", "h", "id").limit(MAX_LANGUAGES * 4 * MAX_ROWS)
+    near = near.groupBy("lang", "h", "id").agg(F.min(F.substring("text", 1, MAX_ROW_LETTERS)).alias("text"))
+    order = W.partitionBy("lang").orderBy("h", "id")
+    before = F.sum(F.length("text")).over(order) - F.length("text")
+    ranked = near.select("lang", "h", "id", "text", F.row_number().over(order).alias("place"), before.alias("before"))
+    ranked = ranked.where((F.col("place") <= MAX_ROWS) & (F.col("before") < 4 * MAX_LETTERS))
     found: dict[str, list[str]] = {r.lang: [] for r in counts}
     sizes = dict.fromkeys(found, 0)
-    for r in ranked.select("lang", "text").toLocalIterator():
+    for r in ranked.orderBy("lang", "place").select("lang", "text").toLocalIterator():
         body = letters_of(r.text)
-        if body and len(found[r.lang]) < MAX_ROWS and sizes[r.lang] + len(body) <= MAX_LETTERS:
+        if body and sizes[r.lang] + len(body) <= MAX_LETTERS:
             found[r.lang].append(body)
             sizes[r.lang] += len(body)
     return {k: " ".join(v) for k, v in found.items() if v}
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (state, symbol) of the suffix automaton; state 1 is the start, 0 is none."""
+def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton; state 1 is the start, 0 is none: a table (state, symbol) for the symbols below
+    `width`, and rows of state, symbol and next state for the others."""
     most = 2 * len(symbols) + 2
     steps: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
@@ -108,10 +116,14 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
         last = new
     assert len(steps) <= most + 2
     table = np.zeros((len(steps), width), np.int32)
+    rare: list[tuple[int, int, int]] = []
     for state, out in enumerate(steps):
         for s, to in out.items():
-            table[state, s] = to
-    return table
+            if s < width:
+                table[state, s] = to
+            else:
+                rare.append((state, s, to))
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Parser:
@@ -121,20 +133,38 @@ class Parser:
         self.languages = sorted(texts)
         self.weights = np.array([np.log2(max(len(texts[k]), 2)) for k in self.languages])
         letters, counts = np.unique([c for t in texts.values() for c in t if c != " "], return_counts=True)
-        ranked = letters[np.lexsort((letters, -counts))][: ALPHABET - 2]
-        self.width = len(ranked) + 2
-        self.codes = np.full(0x110000, self.width - 1, np.uint8)
+        ranked = letters[np.lexsort((letters, -counts))].tolist()
+        often, rarely = ranked[: ALPHABET - 2], ranked[ALPHABET - 2 :]
+        # The last column is that of letters without transitions.
+        self.width, self.others = len(often) + 2, len(rarely)
+        self.codes = np.full(0x110000, self.width - 1, np.int32)
         self.codes[ord(" ")] = 0
-        for i, c in enumerate(ranked.tolist()):
+        for i, c in enumerate(often):
             self.codes[ord(c)] = i + 1
+        for i, c in enumerate(rarely):
+            self.codes[ord(c)] = self.width + i
         tables, starts, shift = [np.zeros((1, self.width), np.int32)], [], 0
-        for k in self.languages:
-            table = suffix_automaton(self.symbols(texts[k]).tolist(), self.width)[1:]
-            tables.append(np.where(table > 0, table + shift, 0))
+        keys, ends = [], []
+        self.rare_starts = np.zeros((len(self.languages), max(self.others, 1)), np.int64)
+        for n, k in enumerate(self.languages):
+            table, rare = suffix_automaton(self.symbols(texts[k]).tolist(), self.width)
+            tables.append(np.where(table[1:] > 0, table[1:] + shift, 0))
             starts.append(tables[-1][0])
-            shift += len(table)
+            state, letter, to = rare.T
+            keys.append((state + shift) * self.others + letter - self.width)
+            ends.append(to + shift)
+            self.rare_starts[n, letter[state == 1] - self.width] = to[state == 1] + shift
+            shift += len(table) - 1
         self.table = np.concatenate(tables).ravel()
         self.starts = np.concatenate(starts)
+        order = np.argsort(np.concatenate(keys))
+        self.rare_keys, self.rare_ends = np.concatenate(keys)[order], np.concatenate(ends)[order]
+
+    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states of rarer letters, 0 for none."""
+        wanted = state * self.others + letter
+        at = np.minimum(np.searchsorted(self.rare_keys, wanted), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == wanted, self.rare_ends[at], 0)
 
     def symbols(self, letters: str) -> np.ndarray:
         return self.codes[np.frombuffer(letters.encode("utf-32-le"), np.uint32)]
@@ -160,10 +190,16 @@ class Parser:
         for step in range(int(length[0])):
             n = int(np.searchsorted(-length, -step))
             now = flat[begin[:n] + step].astype(np.int64)
-            to = self.table.take(state[:, :n] * self.width + now)
+            column = np.minimum(now, self.width - 1)
+            to = self.table.take(state[:, :n] * self.width + column)
+            start = self.starts.take(root + column)
+            if len(rare := np.flatnonzero(now >= self.width)):
+                letter = now[rare] - self.width
+                to[:, rare] = self._rare(state[:, rare], letter)
+                start[:, rare] = self.rare_starts[:, letter]
             ends = to == 0
             count[:, :n] += ends
-            state[:, :n] = np.where(ends, self.starts.take(root + now), to)
+            state[:, :n] = np.where(ends, start, to)
         np.add.at(total, owner[order], count.T)
         return total
 

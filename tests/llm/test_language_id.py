@@ -31,6 +31,27 @@ def test_phrases_against_brute_force():
     assert found.tolist() == [[slow_phrases(t, train[k]) for k in parser.languages] for t in texts]
 
 
+@pytest.mark.parametrize("alphabet", [3, 6, 96])
+def test_letters_beyond_the_table(monkeypatch, alphabet):
+    """Every letter counts as itself, also the rarer ones of large alphabets."""
+    monkeypatch.setattr(language_id, "ALPHABET", alphabet)
+    rng = np.random.default_rng(4)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    train = {"ja": "".join(rng.choice([*signs[:200], " "], 2000)), "zh": "".join(rng.choice([*signs[100:], " "], 2000))}
+    train = {k: letters_of(v) for k, v in train.items()}
+    parser = Parser(train)
+    texts = [letters_of("".join(rng.choice([*signs, "x", " "], n))) for n in (1, 9, 300, 1200)] + [train["zh"][50:90]]
+    assert parser.phrases(texts).tolist() == [[slow_phrases(t, train[k]) for k in parser.languages] for t in texts]
+
+
+def test_languages_of_long_texts_or_one_id_are_learned(spark):
+    long = "los perros comen mucho y los gatos duermen bien " * 575
+    rows = [(i, long, "es") for i in range(20)] + [(i, f"the dogs eat a lot and the cats sleep well {i}", "en") for i in range(100, 140)]
+    rows += [(7, "die Hunde fressen viel und die Katzen schlafen gut", "de")] * 2000
+    texts = training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert texts.keys() == {"de", "en", "es"} and len(texts["es"]) > 10_000
+
+
 def test_held_out_accuracy(given):
     docs = given("documents")
     rows = {r.doc_id: r for r in identify_languages(docs).collect()}
