@@ -35,6 +35,28 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+def split_frequent(
+    df: DataFrame, keys: Sequence[str], limit: int
+) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """The rows of keys with up to `limit` rows and those of the others, None for a side without any, and the size of the
+    biggest key. One frequent key thus does not decide for all.
+
+    One job counts; the frequent keys, at most one for each `limit` rows, are stored only if there are others too.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    frequent = F.col("__n") > limit
+    found = sizes.agg(F.count_if(frequent).alias("many"), F.count_if(~frequent).alias("few"), F.max("__n").alias("top")).first()
+    if not found["many"]:
+        return df, None, found["top"] or 0
+    if not found["few"]:
+        return None, df, found["top"]
+    hot = stored_small(sizes.where(frequent).select(*[F.col(k).alias(f"__{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"), found["top"]
+
+
 def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in cols:
@@ -116,22 +138,31 @@ def exact_quantiles(
 ) -> DataFrame:
     """(keys, n, q): exact interpolated quantiles of the non-null values per key.
 
-    Keys up to `direct_limit` rows go through `percentile`. Beyond that the ranks
+    Keys up to `direct_limit` rows go through `percentile`. For the others the ranks
     are found by three counting passes, so a key may hold any share of the rows.
     `biggest` is the size of the biggest key where it is known, which saves the
-    counting job. Values must be finite.
+    counting job, and then decides for all keys. Values must be finite.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("v")
     )
     if biggest is None:
-        biggest = largest_group(rows, keys)
-    if biggest <= direct_limit:
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
-        )
+        few, many, _ = split_frequent(rows, keys, direct_limit)
+    else:
+        few, many = (rows, None) if biggest <= direct_limit else (None, rows)
+    parts = [f(t, keys, probs) for f, t in ((_by_percentile, few), (_by_counting, many)) if t is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _by_percentile(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
+    )
+
+
+def _by_counting(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
     found = _select_ranks(rows, keys, probs)
     by_rank = F.map_from_entries(F.collect_list(F.struct("rank", "v")))
     grouped = found.groupBy(*keys).agg(F.first("n").alias("n"), by_rank.alias("m"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.functions.ordered import DIRECT_LIMIT, exact_quantiles, largest_group
+from markerloom.functions.ordered import DIRECT_LIMIT, exact_quantiles, split_frequent
 from markerloom.functions.scalars import finite, label_from_name
 
 
@@ -27,15 +27,22 @@ def sample_medians(
 ) -> DataFrame:
     """(keys, names, medians, and with `sums` n, s_<column> and g_<column>, the finite values' sum and the number of gaps): per key the exact median of the finite values; 0 if there
     are values but none is finite; null if the column holds nulls only, as for a
-    marker the sample does not have. `names` are columns that follow from the keys."""
+    marker the sample does not have. `names` are columns that follow from the keys. Keys with more than `direct_limit` values
+    are counted, the others go through `median`, each row on one of the two ways."""
+    if biggest is None and keys:
+        few, many, top = split_frequent(df, keys, direct_limit // max(1, len(columns)))
+        if few is not None and many is not None:
+            sides = [sample_medians(t, keys, columns, direct_limit, n, names, sums) for t, n in ((few, 0), (many, top))]
+            return sides[0].unionByName(sides[1])
+        biggest = top
+    elif biggest is None:
+        biggest = df.count()
     good = df.select(
         *keys,
         *names,
         *[finite(F.col(c)).alias(c) for c in columns],
         *[F.col(c).isNotNull().alias(f"__{c}") for c in columns],
     )
-    if biggest is None:
-        biggest = largest_group(df, keys)
     seen = [F.max(f"__{c}").alias(f"__{c}") for c in columns]
     carried = [F.first(n).alias(n) for n in names]
     more = []

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from markerloom.functions.ordered import coarse, dense_index, exact_quantiles, running_totals
+from markerloom.functions.ordered import coarse, dense_index, exact_quantiles, running_totals, split_frequent
 
 PROBS = [0.0, 0.2, 0.5, 0.777, 1.0]
 
@@ -71,3 +71,37 @@ def test_dense_index_is_a_numbering(spark, parts):
     first = {r["key"]: r["idx"] for r in rows}
     again = {r["key"]: r["idx"] for r in dense_index(df.repartition(3), "key").collect()}
     assert first == again
+
+
+def test_only_frequent_keys_are_counted(spark):
+    """One key of a third of the rows: it is counted, all others, a null key too, go through percentile."""
+    rng = np.random.default_rng(11)
+    groups = {"hot": rng.normal(size=500), None: rng.normal(size=60)} | {f"k{i}": rng.normal(size=50) for i in range(19)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    few, many, top = split_frequent(df, ["k"], 100)
+    assert top == 500 and many.count() == 500 and few.count() == len(rows) - 500
+    assert {r[0] for r in many.select("k").distinct().collect()} == {"hot"}
+    found = exact_quantiles(df, ["k"], "v", PROBS, direct_limit=100)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "percentile(v" in plan and "map_from_entries" in plan
+    got = {r["k"]: r["q"] for r in found.collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        np.testing.assert_allclose(got[k], np.quantile(v, PROBS), rtol=1e-12)
+    assert split_frequent(df, ["k"], 1000)[1] is None and split_frequent(df, ["k"], 10)[0] is None
+
+
+def test_medians_of_frequent_and_rare_samples(spark):
+    from markerloom.operators.summaries import summarize
+
+    rng = np.random.default_rng(12)
+    rows = [(s, f"{s}_pos", float(a), None if i % 7 == 0 else float(b)) for s, n in ((1, 300), (2, 20), (3, 5)) for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "s bigint, name string, a double, b double").repartition(4)
+    for method in ("median", "mean"):
+        whole = {r["s"]: r for r in summarize(df, ["s"], ["a", "b"], method, "name").collect()}
+        split = {r["s"]: r for r in summarize(df, ["s"], ["a", "b"], method, "name", direct_limit=100).collect()}
+        assert whole.keys() == split.keys() == {1, 2, 3}
+        for s, r in whole.items():
+            assert split[s]["label"] == r["label"] == "positive"
+            assert split[s]["a"] == pytest.approx(r["a"]) and split[s]["b"] == pytest.approx(r["b"])
