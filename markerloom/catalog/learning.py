@@ -19,7 +19,7 @@ from markerloom.plans import train as TR
 from markerloom.plans.score import score_samples as score
 from markerloom.session import checkpointed, new_path
 from markerloom.sources import tables as T
-from markerloom.streaming.scoring import read_parts, run_available
+from markerloom.streaming.scoring import read_parts, run_available, score_with_newest
 from markerloom.streaming.scoring import stream_score as score_stream
 from markerloom.streaming.updates import stream_q_update as update_stream
 
@@ -574,6 +574,28 @@ def stream_score(spark, sf):
     return run_available(out, new_path(spark, "scored"), new_path(spark, "progress"))
 
 
+table("mqworst", "SELECT state, action FROM mqrow QUALIFY row_number() OVER (PARTITION BY state ORDER BY q, action) = 1", ("mqrow",))
+
+
+@query(
+    """SELECT sample_id, s.state, coalesce(p.action, 0) AS action, coalesce(p.action, 0) + 2 AS k, version AS agent_version
+FROM (SELECT *, sample_id % 2 AS version FROM samples) s
+LEFT JOIN (SELECT 0 AS v, * FROM mqpol UNION ALL SELECT 1, * FROM mqworst) p ON p.state = s.state AND p.v = version""",
+    ("samples", "mqpol", "mqworst"),
+)
+def stream_score_versions(spark, sf):
+    """Half of the summaries arrive, then another agent is saved, of the negated table, then the other half."""
+    arriving, agent, path, progress = (new_path(spark, n) for n in ("summaries", "agent", "scored", "progress"))
+    samples = checkpointed(X.samples(spark, sf).select(S, *X.FEATURES))
+    q = X.mean_q(spark, sf)
+    for half, saved in enumerate((q, q.withColumn("q", -F.col("q")))):
+        T.save_tables({"q": saved}, agent)
+        samples.where(F.col(S) % 2 == half).write.mode("append").parquet(arriving)
+        stream = read_parts(spark, samples.schema, arriving)
+        out = score_with_newest(stream, agent, X.BINS, X.FEATURES, path, progress, P)
+    return out.select(S, "state", "action", "k", "agent_version")
+
+
 @query("SELECT state, action, round(q, 6) + 0.0 AS q FROM trlast", ("trlast",))
 def stream_q_update(spark, sf):
     """The transitions arrive in four files that are not in their order, one file a micro-batch."""
