@@ -34,7 +34,7 @@ from xxhash import xxh3_64_intdigest
 
 from markerloom.llm.common import LOWER, UPPER, slices, stored, utf8
 from markerloom.llm.components import connected_components
-from markerloom.llm.dealing import PIECE, deal
+from markerloom.llm.dealing import PIECE, PIECE_SIZE, deal
 from markerloom.session import stored_small
 
 SHINGLE = 5
@@ -48,8 +48,8 @@ TABLE, TABLE_PIECE = 1 << 18, 1 << 12
 FANOUT = 16
 # Partners of a class that meet its set in one place.
 STAR = 64
-# Possible pairs of a piece for each of its rows that are still sent as pairs.
-FEW = 4
+# Possible pairs of a piece for each of its rows that are still sent as pairs, which are much smaller than sets.
+FEW = 64
 # Pairs of points whose coordinates are compared at a time.
 AT_ONCE = 1 << 14
 
@@ -238,6 +238,39 @@ def _like_their_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _linked_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar pairs that join what was apart, of rows (group, cls, partners, hashes) that come sorted by group."""
+    group, sets, partners = None, {}, {}
+    for part in slices(batches, 64):
+        rows = zip(part.column("group").to_pylist(), part.column("cls").to_pylist(), part.column("partners").to_pylist(), part.column("hashes"))
+        for now, cls, others, hashes in rows:
+            if now != group:
+                yield _forest(sets, partners)
+                group, sets, partners = now, {}, {}
+            sets[cls], partners[cls] = np.frombuffer(hashes.as_buffer(), _U), others or []
+    yield _forest(sets, partners)
+
+
+def _forest(sets: dict[int, np.ndarray], partners: dict[int, list[int]]) -> pa.RecordBatch:
+    up = {cls: cls for cls in sets}
+    left, right = [], []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, others in partners.items():
+        for b in sorted(others):
+            x, y = top(a), top(b)
+            if x != y and similar(sets[a], sets[b]):
+                up[max(x, y)] = min(x, y)
+                left.append(a)
+                right.append(b)
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 _PLACE = ("key", "lo", "hi")
 
 
@@ -394,7 +427,20 @@ def ngram_links(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pi
     schema = T.StructType([*left.schema.fields, T.StructField("partner", T.LongType())])
     left = stored(left.mapInArrow(_by_pieces(_open_pairs, AT_ONCE), schema), "ngram-open")
     pairs = left.where("partner IS NOT NULL").select(F.col("cls").alias("a"), F.col("partner").alias("b")).distinct()
-    links = links.unionByName(verified(stored(pairs, "ngram-pairs")))
+    pairs = stored(pairs, "ngram-pairs")
+
+    # Pairs that hang together meet in one place, each set once; where more hang together than fit, each b goes to its a.
+    groups = connected_components(pairs).withColumnsRenamed({"node": "cls", "root": "group"}).join(info.drop("point"), "cls")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    fits = (F.col("c") <= PIECE) & (F.col("s") <= PIECE_SIZE)
+    placed = stored(groups.drop("n").join(sizes.select("group", fits.alias("fits")), "group"), "ngram-groups")
+    partners = pairs.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("partners"))
+    together = placed.where("fits").drop("fits").join(partners, "cls", "left")
+    together = sets_of(together).repartition("group").sortWithinPartitions("group", "cls")
+    links = links.unionByName(stored(together.mapInArrow(_linked_groups, "a long, b long"), "ngram-grouped"))
+    wide = placed.where("NOT fits").select(F.col("cls").alias("a"))
+    if not wide.isEmpty():
+        links = links.unionByName(verified(pairs.join(wide, "a", "left_semi")))
     dense = left.where("partner IS NULL").drop("partner")
     if not dense.isEmpty():
         more = by_piece(sets_of(dense)).mapInArrow(_by_pieces(_links_within, 256), "a long, b long")

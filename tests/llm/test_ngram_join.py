@@ -81,9 +81,11 @@ def test_nothing(nothing):
     assert ngram_join.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("piece, few", [(4, 4), (1024, 4), (1024, 0), (1024, 100)])
-def test_families_in_pieces(spark, monkeypatch, piece, few):
+@pytest.mark.parametrize("piece, few, group", [(4, 4, 9), (1024, 4, 1024), (1024, 0, 1024)])
+def test_families_in_pieces(spark, monkeypatch, piece, few, group):
+    """In small and large pieces, by pairs and by rows, by groups of pairs and by each pair."""
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "PIECE", group)
     texts = [t for seed in range(3) for t in family(60, seed)] + family(40, 9, 7) + family(20, 4, 3)
     docs = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(None, texts[0]), (5000, texts[1].upper()), (5001, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
