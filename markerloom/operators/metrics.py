@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.ordered import running_totals
+from markerloom.operators.regression import FitError, fit_logistic
 from markerloom.session import checkpointed
 
 POSITIVE, NEGATIVE = "positive", "negative"
@@ -103,7 +102,7 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return sums.select("n_pos", "n_neg", F.when(pairs > 0, F.col("wins") / pairs).alias("auc"))
 
 
-class ClassCountError(ValueError):
+class ClassCountError(FitError):
     """The labels do not have two classes."""
 
 
@@ -115,23 +114,10 @@ def importance_and_scores(
     classes = points.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("c")).first()
     if classes["c"] != 2:
         raise ClassCountError("two classes are needed")
-    ready = points.withColumn("vector", array_to_vector("features")).withColumn(
-        "target", F.col(label).cast("double")
-    )
-    model = LogisticRegression(
-        featuresCol="vector",
-        labelCol="target",
-        regParam=1.0 / classes["n"],
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
-        tol=1e-10,
-        family="binomial",
-    ).fit(ready)
-    rows = [(c, abs(float(w))) for c, w in zip(columns, model.coefficients)]
+    model = fit_logistic(points, label, classes["n"])
+    rows = [(c, abs(float(w))) for c, w in zip(columns, model.weights)]
     importance = points.sparkSession.createDataFrame(rows, "feature string, abs_coefficient double")
-    scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
-    return importance, scored.drop("vector", "target", "rawPrediction", "probability", "prediction")
+    return importance, points.withColumn("score", model.score("features"))
 
 
 def top_features(importance: DataFrame, n: int = 3) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.operators import metrics as M
 from markerloom.operators.binning import quantile_bins
 from markerloom.operators.cleaning import join_labels, label_to_binary, numeric_coerce
+from markerloom.operators.regression import FitError
 from markerloom.operators.summaries import to_long
 from markerloom.session import checkpointed
 from markerloom.sources.tables import save_tables
@@ -40,7 +40,7 @@ def discover_bins(
     points = clean.select("filename", "y", F.array(*markers).alias("features"))
     try:
         importance, scored = M.importance_and_scores(points, markers, "y")
-    except (M.ClassCountError, IllegalArgumentException):  # one class only, or a fit that MLlib refuses
+    except FitError:  # one class only, or features that cannot be fitted
         return {
             "bins": bins,
             "feature_importance": None,

@@ -365,3 +365,24 @@ def test_regression_minimizes_the_penalized_loss(spark):
     assert [r["feature"] for r in ME.top_features(importance, 2).collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         ME.importance_and_scores(df.where("y = 1"), ["a", "b", "c"], "y")
+
+
+def test_newton_steps_reach_the_minimum(spark):
+    """Features of very different size and place, and classes that can be separated, in few jobs."""
+    from markerloom.operators.regression import FitError, fit_logistic
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 3)) * [1.0, 100.0, 0.01] + [5.0, 3000.0, 0.0]
+    for y, most in (((x[:, 0] > 5) ^ (rng.random(300) < 0.2), 15), (x[:, 1] > 3000, 25)):
+        y = y.astype(int)
+        rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "features array<double>, y int").repartition(3)
+        fit = fit_logistic(rows, "y", 300)
+        p = 1 / (1 + np.exp(-(x @ fit.weights + fit.intercept)))
+        gradient = np.append(x.T @ (p - y) + fit.weights, (p - y).sum())
+        assert (np.abs(gradient) <= 1e-8 * np.append(np.abs(x).sum(axis=0) + 1, 300)).all()
+        assert fit.jobs <= most
+        got = [r["s"] for r in rows.select("features", fit.score("features").alias("s")).collect()]
+        want = {tuple(a): b for a, b in zip(x.tolist(), p)}
+        assert got == pytest.approx([want[tuple(r["features"])] for r in rows.select("features").collect()])
+    with pytest.raises(FitError):
+        fit_logistic(spark.createDataFrame([([float("nan")], 0), ([1.0], 1)], "features array<double>, y int"), "y", 2)
