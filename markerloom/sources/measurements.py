@@ -48,6 +48,11 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
 
 
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that are small but stand for much work, over all shuffle partitions: a stated number is not coalesced by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What lies directly in each folder: (path, length, folder)."""
     for batch in batches:
@@ -68,10 +73,13 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of all .fcs files below a folder, in any case, of any size. Each level of folders is listed by one
     job, a folder by one task."""
+    files, inner = _opened(folder)
+    if files.get_file_info(inner).type != fs.FileType.Directory:
+        raise FileNotFoundError(folder)
     level = spark.createDataFrame([(folder, 0, True)], "path string, length bigint, folder boolean")
     levels = []
     while not level.isEmpty():
-        level = checkpointed(level.repartition("path").mapInArrow(_listed, level.schema))
+        level = checkpointed(_dealt(level, "path").mapInArrow(_listed, level.schema))
         levels.append(level.where("NOT folder").select("path", "length"))
         level = level.where("folder")
     out = levels[0]
@@ -193,7 +201,7 @@ def with_layout(files: DataFrame, markers: Sequence[str] | None = None) -> DataF
                 rows = pa.RecordBatch.from_pylist([_read_layout(path, n, wanted) for path, n in found], _LAYOUT_ARROW)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *rows.columns], names=[*batch.schema.names, *rows.schema.names])
 
-        kept = named.select("path", "filename", "length").repartition("path")
+        kept = _dealt(named.select("path", "filename", "length"), "path")
         return kept.mapInArrow(read, f"path string, filename string, length bigint, {_LAYOUT}").drop("length")
 
     @F.pandas_udf(_LAYOUT)
@@ -293,7 +301,7 @@ def _over_slices(
         rows = _content_slices(ready, slice_bytes)
         return rows.mapInArrow(lambda batches: fn(Slice(*r) for b in batches for r in b.to_pandas().itertuples(index=False)), schema)
     # Splits are dealt out one by one, those of one file to many tasks.
-    rows = splits(ready, split_bytes).repartition("path", "first_event")
+    rows = _dealt(splits(ready, split_bytes), "path", "first_event")
     return rows.mapInArrow(lambda batches: fn(_read_slices(batches, slice_bytes)), schema)
 
 
@@ -347,8 +355,9 @@ def decode_long(files: DataFrame, slice_bytes: int = SLICE_BYTES, split_bytes: i
         for row in found:
             event, values = _columns(row, range(len(row.formats)))
             for name, x in zip(row.names, values):
-                same = {"path": row.path, "filename": row.filename, "event": event, "channel": name, "value": x}
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(same, index=range(len(event))), preserve_index=False)
+                same = {c: pa.array([v] * len(event), pa.string()) for c, v in (("path", row.path), ("filename", row.filename), ("channel", name))}
+                columns = [same["path"], same["filename"], pa.array(event), same["channel"], pa.array(x, from_pandas=False)]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "filename", "event", "channel", "value"])
 
     schema = "path string, filename string, event bigint, channel string, value double"
     return _over_slices(_readable(files, None), decode, schema, slice_bytes, split_bytes)
