@@ -1,14 +1,14 @@
-"""Near-copies by long SimHash fingerprints: the form of simhash for filtering, which also finds copies that 64 bits at a
-small distance cannot tell.
+"""Near-copies by SimHash, and by longer fingerprints for those that 64 bits at a small distance cannot tell.
 
-A fingerprint has two parts, both of the set of five-word shingles. The first has BLOCKS blocks of 32 bits, each a hash of
+Texts that simhash puts in one component (64-bit fingerprints, joined on pairs of blocks that no link can miss, at its distance) are
+compared, and so are those that share a block of a longer fingerprint. That has two parts, both of the set of five-word shingles. The first has BLOCKS blocks of 32 bits, each a hash of
 PER_BLOCK MinHash values: two texts of Jaccard similarity s share a block with chance 1 - (1 - s**PER_BLOCK)**BLOCKS,
-whatever the edits are, which is over 0.99999 from 0.8 on. The second estimates their similarity: at a cosine c of the
+whatever the edits are, which is over 0.99999 from 0.8 on. The component of simhash counts as one more block. The second estimates their similarity: at a cosine c of the
 shingle sets a bit differs with probability acos(c) / pi. Texts that share a block are sieved by the Hamming distance of
 their second parts, which passes a pair of just 0.8 with chance 0.9998, and what is left is a copy exactly if the
 Jaccard similarity of the shingle sets is 0.8 or more.
 
-Only distinct fingerprints are compared. First each with the smallest of its blocks, then those that are still apart
+Only texts of distinct fingerprints are compared. First each with the smallest of its blocks, then those that are still apart
 within the task that holds the block; only links that join what was apart leave it. A block that more than GROUP texts
 share is dealt to pieces in which its largest component meets the texts outside it, and those each other: no link is lost, no task
 holds more than two parts of a block, and the rows that are dealt grow with the block as long as few are outside.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from markerloom.llm.common import appended, fresh, slices, stored, utf8
 from markerloom.llm.components import connected_components
 from markerloom.llm.dealing import deal
-from markerloom.llm.simhash import _ASCII_LOWER
+from markerloom.llm.simhash import _ASCII_LOWER, fingerprint, fingerprint_links
 
 SHINGLE = 5
 # 64-bit words of the two parts; a block is half a word of the first and holds PER_BLOCK minima.
@@ -228,14 +228,17 @@ def _groupwise(fn: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def near_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def near_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between classes (cls, fp, size) that share a block and are similar, enough to connect all that are.
+    `more` are blocks (cls, v) besides those of the fingerprint.
 
     `sets_of` gives (cls, shingles) of a table of cls. First every class is compared with the smallest of each of its
     blocks, one pair however many blocks are shared; then all that are still apart within a block with each other.
     """
     blocks = F.array(*(F.substring("fp", 1 + BLOCK_BYTES * i, BLOCK_BYTES) for i in range(BLOCKS)))
     keyed = classes.select("cls", F.posexplode(blocks).alias("k", "v"))
+    if more is not None:
+        keyed = keyed.unionByName(more.select("cls", F.lit(BLOCKS).alias("k"), "v"))
     shared = keyed.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1")
     members = stored(keyed.join(shared, ["k", "v"]), "near-members")
     info = classes.select("cls", F.substring("fp", 1 + 8 * FIRST, 8 * SECOND).alias("second"), "size")
@@ -310,20 +313,32 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def simhash_blocks(classes: DataFrame) -> DataFrame:
+    """(cls, v): of classes (cls, print) the component that simhash puts each in, where it holds several, as the 4 bytes of a block."""
+    prints = stored(classes.groupBy("print").agg(F.count("*").alias("n")), "near-prints")
+    roots = connected_components(fingerprint_links(prints.select(F.col("print").alias("fp")))).withColumnRenamed("node", "print")
+    several = prints.join(roots, "print", "left").where("n > 1 OR root IS NOT NULL").select("print", F.coalesce("root", "print").alias("root"))
+    v = F.unhex(F.lpad(F.hex(F.crc32(F.col("root").cast("string").cast("binary"))), 8, "0"))
+    return classes.join(several, "print").select("cls", v.alias("v"))
+
+
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their near-copies: of each group the row with the smallest key stays, one row even
     if the key is repeated; all columns as they came."""
-    fp, size, row = (fresh(name, docs.columns) for name in ("fp", "n_shingles", "row"))
+    fp, size, short, row = (fresh(name, docs.columns) for name in ("fp", "n_shingles", "print", "row"))
 
     def run(part: pa.RecordBatch) -> list[pa.Array]:
-        sets = [shingle_set(t) for t in utf8(part.column(text))]
-        return [pa.array([fingerprint_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+        texts = utf8(part.column(text))
+        sets = [shingle_set(t) for t in texts]
+        prints = pa.array([fingerprint(t) for t in texts], pa.int64())
+        return [pa.array([fingerprint_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), prints]
 
-    printed = appended(docs, [T.StructField(fp, T.BinaryType()), T.StructField(size, T.LongType())], run)
+    fields = [T.StructField(fp, T.BinaryType()), T.StructField(size, T.LongType()), T.StructField(short, T.LongType())]
+    printed = appended(docs, fields, run)
     whole = stored(printed.withColumn(row, F.monotonically_increasing_id()), "near-docs")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row"))
-    firsts = whole.select(F.col(fp).alias("fp"), F.col(size).alias("size"), order.alias("first"))
-    firsts = firsts.groupBy("fp").agg(F.min("first").alias("first"), F.min_by("size", "first").alias("size"))
+    firsts = whole.select(F.col(fp).alias("fp"), F.col(short).alias("print"), F.col(size).alias("size"), order.alias("first"))
+    firsts = firsts.groupBy("fp", "print").agg(F.min("first").alias("first"), F.min_by("size", "first").alias("size"))
     classes = stored(firsts.withColumn("cls", F.col("first.row")), "near-classes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -334,8 +349,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
         return appended(texts, [T.StructField("shingles", T.BinaryType())], made).drop("text")
 
-    roots = connected_components(near_links(classes.select("cls", "fp", "size"), sets_of)).withColumnRenamed("node", "cls")
+    more = stored(simhash_blocks(classes.select("cls", "print")), "near-simhash")
+    roots = connected_components(near_links(classes.select("cls", "fp", "size"), sets_of, more)).withColumnRenamed("node", "cls")
     placed = classes.select("cls", "first").join(roots, "cls", "left")
     grouped = placed.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first"))
     kept = grouped.select(F.col("first.row").alias(row))
-    return whole.join(kept, row, "left_semi").drop(fp, size, row)
+    return whole.join(kept, row, "left_semi").drop(fp, size, short, row)

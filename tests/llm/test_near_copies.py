@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markerloom.llm import near_copies as nc
-from markerloom.llm.near_copies import drop_near_copies, forest, long_fingerprint
+from markerloom.llm.near_copies import drop_near_copies, forest, long_fingerprint, simhash_blocks
 
 WORDS = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "en", "ir", "ost", "um", "ale", "eri", "on")]
 
@@ -178,3 +178,29 @@ def test_links_are_those_of_all_pairs_at_the_similarity(spark, monkeypatch, grou
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     kept = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, r in enumerate(root) if r == i} and between > 50
+
+
+def test_simhash_blocks_are_its_components(spark):
+    a, b = 0x0123456789ABCDEF, -5
+    prints = [(0, a), (1, a ^ 3), (2, a ^ 15), (3, a), (4, b), (5, b), (6, 77)]
+    found = {r.cls: bytes(r.v) for r in simhash_blocks(spark.createDataFrame(prints, "cls long, print long")).collect()}
+    assert found.keys() == {0, 1, 2, 3, 4, 5} and {len(v) for v in found.values()} == {nc.BLOCK_BYTES}
+    assert len({found[i] for i in (0, 1, 2, 3)}) == 1 and found[4] == found[5] != found[0]
+
+
+def test_texts_of_a_simhash_component_are_compared(spark):
+    """Also where they share no block of MinHash values; and only similar ones are linked."""
+    rng = random.Random(4)
+    base = text(rng, 100)
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(["other", *base]), " ".join(text(rng, 100))]
+    sets = [nc.shingle_set(t.encode()) for t in texts]
+    # First parts of which no two blocks are equal.
+    prints = [np.arange(2 * nc.FIRST, dtype="<u4") + 1000 * i for i in range(4)]
+    fps = [bytearray(p.tobytes() + nc.fingerprint_of(x)[8 * nc.FIRST :]) for p, x in zip(prints, sets)]
+    classes = spark.createDataFrame([(i, fp, len(x)) for i, (fp, x) in enumerate(zip(fps, sets))], "cls long, fp binary, size long")
+    shingles = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "cls long, shingles binary")
+    more = spark.createDataFrame([(i, bytearray(b"same")) for i in range(4)], "cls long, v binary")
+    sets_of = lambda wanted: shingles.join(wanted, "cls", "left_semi")
+    assert nc.near_links(classes, sets_of).count() == 0
+    links = {(r.a, r.b) for r in nc.near_links(classes, sets_of, more).collect()}
+    assert {(0, 1), (0, 2)} <= links and not any(3 in x for x in links)
