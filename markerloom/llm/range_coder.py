@@ -66,7 +66,7 @@ class _Model:
     def __init__(self, lanes: int):
         self.lanes = lanes
         # One flat table for both orders: contexts of order 2 of all lanes, then those of order 1.
-        self.table = np.zeros(lanes << (ORDER + 1), np.int64)
+        self.table = np.zeros(lanes << (ORDER + 1), np.int32)
         self.rates = np.tile(_hit_rates(), 2 * lanes)
         self.weights = np.repeat(np.array([[24576], [16384]], np.int64), lanes, axis=1)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -158,7 +158,7 @@ class _Model:
 
 def _matrix(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(b) for b in blocks])
-    table = np.zeros((sizes.max(), len(blocks)), np.int64)
+    table = np.zeros((sizes.max(), len(blocks)), np.uint32)
     for i, b in enumerate(blocks):
         table[: len(b), i] = b
     return table, sizes
@@ -208,7 +208,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 finish(lane)
             model.shrink(active)
             low, span, at, words = low[:active].copy(), span[:active].copy(), at[:active].copy(), words[:active]
-        now = ids[step, :active]
+        now = ids[step, :active].astype(np.int64)
         model.predict()
         by_a = (now == model.guess[0]) & model.known[0]
         by_b = (now == model.guess[1]) & model.known[1] & ~by_a
@@ -241,7 +241,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     at = np.full(lanes, 2, np.int64)
     code = (words[:, 0].astype(_U) << _32) | words[:, 1].astype(_U)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-    ids = np.zeros((int(size[0]), lanes), np.int64)
+    ids = np.zeros((int(size[0]), lanes), np.uint32)
 
     def value(bits: int) -> tuple[np.ndarray, np.ndarray]:
         unit = span >> _U(bits)
@@ -287,7 +287,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         now = np.minimum(now, MAX_ID - 1)
         model.update(now, CLASS_OF[now], step)
         ids[step, :active] = now
-    return [ids[: size[i], i].astype(np.uint32) for i in range(lanes)]
+    return [ids[: size[i], i].copy() for i in range(lanes)]
 
 
 def cut(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:

@@ -43,7 +43,7 @@ DOC_SCHEMA = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _segment(part: int, segment: int, before: int, keys: list[int | None], docs: list[np.ndarray]) -> pa.RecordBatch:
-    blocks = cut(np.concatenate(docs).astype(np.int64), BLOCK)
+    blocks = cut(np.concatenate(docs), BLOCK)
     payloads = encode_blocks(blocks)
     row = {
         "part": part,
@@ -80,8 +80,11 @@ def write_token_files(
                 gathered.append(np.concatenate([ids, last]))
                 held += len(ids) + 1
                 if held >= SEGMENT:
+                    encoder.forget()
                     yield _segment(part, segment, before, keys, gathered)
                     segment, before, held, keys, gathered = segment + 1, before + held, 0, [], []
+        # Workers outlive their tasks; what they remember would lie beside the coder's tables and all later stages.
+        encoder.forget()
         if keys:
             yield _segment(part, segment, before, keys, gathered)
 

@@ -54,6 +54,10 @@ class Encoder:
             size = self._tokenizer.get_vocab_size()
             self._bytes = np.array([len(self._tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
 
+    def forget(self) -> None:
+        """Drop the remembered chunks."""
+        self._known = {}
+
     def _whole(self, texts: list[str]):
         return self._tokenizer.encode_batch(texts, add_special_tokens=False)
 

@@ -1,3 +1,4 @@
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -145,3 +146,24 @@ def test_strings_of_added_tokens(spark, library, encoder):
     rows = list(enumerate(texts))
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())
     assert got == expected(rows, library)
+
+
+def test_a_worker_keeps_no_chunks_after_its_task(encoder):
+    encoder.ids(["some words that are encoded", "and some more"])
+    assert encoder._known
+    encoder.forget()
+    assert not encoder._known and [len(i) for i in encoder.ids(["", "words again"])][0] == 0
+
+
+def test_memory_of_the_coder():
+    blocks = [np.arange(i, i + BLOCK, dtype=np.uint32) % 40_000 for i in range(512)]
+    tracemalloc.start()
+    payloads = encode_blocks(blocks)
+    _, encoding = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    found = decode_blocks(payloads, [BLOCK] * 512)
+    _, decoding = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, found))
+    # Bytes for each id of a segment.
+    assert max(encoding, decoding) < 20 * 512 * BLOCK
