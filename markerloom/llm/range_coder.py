@@ -6,9 +6,10 @@ the mixture of the three,
 
     P(id) = w2 q2 [id = prediction 2] + w1 q1 [id = prediction 1] + (the rest) P0(id),
 
-where q are adaptive hit rates per confidence and the weights w follow the orders' success. It drives a carry-less
-range coder with 64-bit state and 32-bit output words. All arithmetic is on integers, so any machine decodes
-what another has written.
+where q are adaptive hit rates per confidence and the weights w follow the orders' success. Predictions change with every id;
+rates, weights and frequencies follow what was seen at the end of each window. The mixture drives a carry-less
+range coder with 64-bit state and 32-bit output words, in one step for each id. All arithmetic is on integers, or on numbers that
+are exact in doubles, so any machine decodes what another has written.
 
 Blocks are coded side by side: step t codes the t-th id of all blocks with one sequence of array operations. Encoder and decoder
 run the same steps and differ only in whether the id is given or looked up.
@@ -25,12 +26,16 @@ BLOCK = 2048
 MAX_ID = (1 << 16) - 4
 CLASS_BITS, ID_BITS, MIX_BITS = 12, 14, 16
 # Contexts per order and block, as a power of two.
-ORDER = 10
-REBUILD = 32
+ORDER = 9
+# Steps of a window, and steps after which it ends early.
+WINDOW, EARLY = 64, (8, 16, 32)
+# A step is coded in shares of 2**TOTAL_BITS; the rest that order 0 has is never below 2**(CLASS_BITS + ID_BITS + MIX_BITS - TOTAL_BITS).
+TOTAL_BITS = 30
+_SCALE, _SHARE = CLASS_BITS + ID_BITS + MIX_BITS - TOTAL_BITS, TOTAL_BITS - MIX_BITS
 
 _U = np.uint64
 _LOW32 = _U(0xFFFFFFFF)
-_NARROW = _U(1 << 28)
+_NARROW = _U(1 << 32)
 _32 = _U(32)
 
 
@@ -51,13 +56,11 @@ N_CLASSES = len(CLASS_START)
 PLACE_OF = np.arange(MAX_ID) - CLASS_START[CLASS_OF]
 SHIFT_OF = ID_BITS - CLASS_OFFSET_BITS[CLASS_OF]
 
-# How far an order's weight rises with its hits.
-_REACH = np.array([[38000], [22000]], np.int64)
-
-
-def _hit_rates() -> np.ndarray:
-    """Starting hit rate per confidence; a context without prediction has none."""
-    return (np.arange(8) * 8192).astype(np.int64)
+# How far an order's weight rises with its hits, and where it falls without.
+_REACH, _FLOOR = np.array([[36000], [20000]], np.int64), 2048
+# A lane's frequencies are searched in eight groups of eight.
+_WIDE = 64
+_EIGHT = np.dtype("c16")
 
 
 class _Model:
@@ -65,95 +68,123 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        # One flat table for both orders: contexts of order 2 of all lanes, then those of order 1.
-        self.table = np.zeros(lanes << (ORDER + 1), np.int32)
-        self.rates = np.tile(_hit_rates(), 2 * lanes)
+        # One flat table for both orders: contexts of order 2 of all lanes, then those of order 1. An entry is 8 * id + confidence;
+        # without a prediction the id is -1.
+        self.table = np.full(lanes << (ORDER + 1), -8, np.int32)
+        # Hits and uses of each confidence.
+        self.good, self.seen = np.tile(2 * np.arange(8), (2, lanes, 1)), np.full((2, lanes, 8), 16)
         self.weights = np.repeat(np.array([[24576], [16384]], np.int64), lanes, axis=1)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.prev, self.mixed1, self.mixed2 = (np.zeros(lanes, np.int64) for _ in range(3))
         self.counts = np.ones((lanes, N_CLASSES), np.int64)
-        self.cum = np.zeros((lanes, N_CLASSES + 1), np.int64)
+        self.sure_log, self.hit_log = np.zeros((WINDOW, 2, lanes), np.uint8), np.zeros((WINDOW, 2, lanes), bool)
+        self.class_log, self.logged = np.zeros((WINDOW, lanes), np.uint8), 0
         self._place()
-        self.rebuild()
+        self._follow()
 
     def _place(self) -> None:
         """Where the lanes' rows begin in the flat tables."""
         lane = np.arange(2 * self.lanes).reshape(2, self.lanes)
-        self.table_at, self.rate_at = lane << ORDER, lane << 3
-        self.cum_at, self.count_at = lane[0] * (N_CLASSES + 1), lane[0] * N_CLASSES
-
-    def rebuild(self) -> None:
+        self.table_at, self.share_at, self.cum_at = lane << ORDER, lane << 3, lane[0] * (N_CLASSES + 1)
+        # One less, as a search counts the groups that begin before.
+        self.group_at = (lane[0] << 3) - 1
+
+    def _follow(self) -> None:
+        """The shares and frequencies of the next window."""
+        lane, n = np.arange(2 * self.lanes), self.logged
+        if n:
+            at = (lane << 4).reshape(2, -1) + self.sure_log[:n] + (self.hit_log[:n].view(np.uint8) << 3)
+            used = np.bincount(at.ravel(), minlength=32 * self.lanes).reshape(2, self.lanes, 2, 8)
+            hits, used = used[:, :, 1], used.sum(axis=2)
+            self.good += hits
+            self.seen += used
+            full = (self.seen > 255).astype(np.int64)
+            self.good >>= full
+            self.seen >>= full
+            known = used[:, :, 1:].sum(axis=2)
+            self.weights += (known * (_FLOOR - self.weights) + _REACH * hits.sum(axis=2)) >> 6
+            at = lane[: self.lanes] * N_CLASSES + self.class_log[:n]
+            self.counts += 24 * np.bincount(at.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+            self.logged = 0
+        rates = ((2 * self.good + 1) << 15) // (self.seen + 1)
+        shares = (self.weights[:, :, None] * rates) >> MIX_BITS
+        shares[:, :, 0] = 0
+        self.shares = shares.reshape(-1)
         total = np.cumsum(self.counts, axis=1)
         spread = (1 << CLASS_BITS) - N_CLASSES
-        self.cum[:, 1:] = total * spread // total[:, -1:] + np.arange(1, N_CLASSES + 1)
+        cum = np.zeros((self.lanes, N_CLASSES + 1), np.int64)
+        cum[:, 1:] = total * spread // total[:, -1:] + np.arange(1, N_CLASSES + 1)
+        self.cum = cum.reshape(-1)
+        self.bounds = np.full((self.lanes, _WIDE), 0xFFFF, np.uint16)
+        self.bounds[:, : N_CLASSES + 1] = cum
+        self.heads = self.bounds[:, ::8].copy()
 
     def shrink(self, lanes: int) -> None:
         was, self.lanes = self.lanes, lanes
         self.table = self.table.reshape(2, was, -1)[:, :lanes].ravel()
-        self.rates = self.rates.reshape(2, was, -1)[:, :lanes].ravel()
-        self.weights = self.weights[:, :lanes].copy()
-        for name in ("prev1", "prev2", "counts", "cum"):
+        self.shares = self.shares.reshape(2, was, -1)[:, :lanes].ravel()
+        self.cum = self.cum.reshape(was, -1)[:lanes].ravel()
+        for name in ("prev", "mixed1", "mixed2", "counts", "bounds", "heads"):
             setattr(self, name, getattr(self, name)[:lanes].copy())
+        for name in ("good", "seen", "weights"):
+            setattr(self, name, getattr(self, name)[:, :lanes].copy())
+        for name in ("sure_log", "hit_log", "class_log"):
+            setattr(self, name, getattr(self, name)[..., :lanes].copy())
         self._place()
 
     def predict(self) -> None:
         """The two predicted ids, their shares of 2**MIX_BITS (0 without a prediction), and both shares' ends."""
         at = np.empty((2, self.lanes), np.int64)
-        mixed = self.prev1 * 0x9E3779B1
-        np.right_shift(mixed, 7, out=at[1])
-        np.right_shift(mixed + self.prev2 * 0xC2B2AE35, 9, out=at[0])
+        np.right_shift(self.mixed1, 7, out=at[1])
+        np.add(self.mixed1, self.mixed2, out=at[0])
+        at[0] >>= 9
         at &= (1 << ORDER) - 1
         at += self.table_at
-        entry = self.table.take(at)
-        self.at, self.entry, self.sure = at, entry, entry & 7
-        self.guess = entry >> 3
-        self.known = self.sure > 0
-        self.rate_at_now = self.rate_at + self.sure
-        self.rate = self.rates.take(self.rate_at_now)
-        share = self.weights * self.rate
-        share >>= MIX_BITS
-        share *= self.known
+        self.at, self.entry = at, self.table.take(at)
+        self.sure, self.guess = self.entry & 7, self.entry >> 3
+        share = self.shares.take(self.share_at + self.sure)
         # Where both orders predict the same id its share is the sum.
-        same = (self.guess[0] == self.guess[1]) & self.known[0]
-        self.first = share[0] + share[1] * same
-        self.second = share[1] * ~same
-        self.both = self.first + self.second
-
-    def update(self, ids: np.ndarray, classes: np.ndarray, step: int) -> None:
-        hit = self.guess == ids
-        hit &= self.known
-        rate = hit * 64960
-        rate += 512
-        rate -= self.rate
-        rate >>= 5
-        rate *= self.known
-        rate += self.rate
-        self.rates[self.rate_at_now] = rate
-        weight = hit * _REACH
-        weight += 2048
-        weight -= self.weights
-        weight >>= 6
-        weight *= self.known
-        self.weights += weight
-        entry = np.where(self.sure > 1, self.entry - 1, (ids << 3) | 1)
-        self.table[self.at] = np.where(hit, self.entry + (self.sure < 7), entry)
-        self.counts.reshape(-1)[self.count_at + classes] += 24
-        if step % REBUILD == REBUILD - 1:
-            self.rebuild()
-        self.prev2, self.prev1 = self.prev1, ids
-
-    def plain(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class of each id and its interval without predictions, of 2**(CLASS_BITS + ID_BITS)."""
-        classes = CLASS_OF.take(ids)
-        at = self.cum_at + classes
-        cum = self.cum.reshape(-1)
-        begin = cum.take(at)
-        at += 1
-        unit = cum.take(at)
-        unit -= begin
-        unit <<= SHIFT_OF.take(ids)
-        begin <<= ID_BITS
-        begin += PLACE_OF.take(ids) * unit
-        return classes, begin, unit
+        self.both = share[0] + share[1]
+        self.first = np.where(self.guess[0] == self.guess[1], self.both, share[0])
+
+    def update(self, ids: np.ndarray, classes: np.ndarray, hit: np.ndarray, step: int) -> None:
+        """Ids as 32-bit numbers, their classes, and where the predictions were right."""
+        missed = np.where(self.sure > 1, self.entry - 1, (ids << 3) | 1)
+        self.table[self.at] = np.where(hit, self.entry + (self.sure < 7), missed)
+        self.sure_log[self.logged], self.hit_log[self.logged], self.class_log[self.logged] = self.sure, hit, classes
+        self.logged += 1
+        if (step + 1) % WINDOW == 0 or step + 1 in EARLY:
+            self._follow()
+        self.mixed2, self.prev = self.prev * 0xC2B2AE35, ids.astype(np.int64)
+        self.mixed1 = self.prev * 0x9E3779B1
+
+    def plain(self, begin: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An interval of order 0 in what the predictions leave: start and size in 2**TOTAL_BITS."""
+        rest = (1 << MIX_BITS) - self.both
+        start = begin * rest
+        size = unit * rest
+        size += start
+        start >>= _SCALE
+        size >>= _SCALE
+        size -= start
+        start += self.both << _SHARE
+        return start, size
+
+    def classes_at(self, place: np.ndarray) -> np.ndarray:
+        """The last class of each lane that begins at the place or before."""
+        group = np.bitwise_count((self.heads <= place).view(_U)[:, 0]).astype(np.int64)
+        group += self.group_at
+        within = self.bounds.reshape(-1).view(_EIGHT).take(group).view(np.uint16).reshape(-1, 8) <= place
+        group -= self.group_at
+        group <<= 3
+        group += np.bitwise_count(within.view(_U)[:, 0])
+        group -= 9
+        return group
+
+    def predicted(self, start: np.ndarray, size: np.ndarray, by_a: np.ndarray, by_b: np.ndarray) -> None:
+        """Put the intervals of predicted ids, at these places, where those of order 0 are."""
+        start[by_a], size[by_a] = 0, self.first[by_a] << _SHARE
+        first = self.first[by_b]
+        start[by_b], size[by_b] = first << _SHARE, (self.both[by_b] - first) << _SHARE
 
 
 def _matrix(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,29 +205,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     lanes = len(blocks)
     model = _Model(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-    # A code step writes one word at most, and there are two for each id.
+    # A step writes one word at most, and seldom needs as much.
     room = max(64, int(sizes[0]) // 2 + 64)
     words, at = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
     finished: dict[int, bytes] = {}
 
-    step = 0
-
-    def code(start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        nonlocal words
-        unit = span >> _U(bits)
-        np.add(low, start.view(_U) * unit, out=low)
-        np.multiply(size.view(_U), unit, out=span)
-        narrow = np.flatnonzero(span < _NARROW)
-        if len(narrow):
-            begin, width = low[narrow], span[narrow]
-            crosses = ((begin ^ (begin + width - _U(1))) >> _32) != 0
-            width = np.where(crosses, (~begin + _U(1)) & _LOW32, width)
-            if step >= words.shape[1] // 2 - 4 and at.max() + 4 >= words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words[narrow, at[narrow]] = begin >> _32
-            at[narrow] += 1
-            low[narrow], span[narrow] = begin << _32, width << _32
-
     def finish(lane: int) -> None:
         tail = np.array([low[lane] >> _32, low[lane] & _LOW32], "<u4")
         finished[lane] = words[lane, : at[lane]].astype("<u4").tobytes() + tail.tobytes()
@@ -208,25 +221,44 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 finish(lane)
             model.shrink(active)
             low, span, at, words = low[:active].copy(), span[:active].copy(), at[:active].copy(), words[:active]
-        now = ids[step, :active].astype(np.int64)
+        now = ids[step, :active].view(np.int32)
         model.predict()
-        by_a = (now == model.guess[0]) & model.known[0]
-        by_b = (now == model.guess[1]) & model.known[1] & ~by_a
-        plain = ~(by_a | by_b)
-        code(
-            plain * model.both + by_b * model.first,
-            np.where(plain, (1 << MIX_BITS) - model.both, np.where(by_a, model.first, model.second)),
-            MIX_BITS,
-        )
-        classes, start, unit = model.plain(now)
-        # Predicted ids pass this step with the whole range.
-        code(start * plain, np.where(plain, unit, 1 << (CLASS_BITS + ID_BITS)), CLASS_BITS + ID_BITS)
-        model.update(now, classes, step)
+        hit = model.guess == now
+        classes = CLASS_OF.take(now)
+        spot = model.cum_at + classes
+        begin = model.cum.take(spot)
+        spot += 1
+        unit = model.cum.take(spot)
+        unit -= begin
+        unit <<= SHIFT_OF.take(now)
+        begin <<= ID_BITS
+        begin += PLACE_OF.take(now) * unit
+        start, size = model.plain(begin, unit)
+        model.predicted(start, size, np.flatnonzero(hit[0]), np.flatnonzero(hit[1] & ~hit[0]))
+        span >>= _U(TOTAL_BITS)
+        low += start.view(_U) * span
+        span *= size.view(_U)
+        narrow = np.flatnonzero(span < _NARROW)
+        if len(narrow):
+            begin, width, place = low[narrow], span[narrow], at[narrow]
+            crosses = ((begin ^ (begin + width - _U(1))) >> _32) != 0
+            width = np.where(crosses, (~begin + _U(1)) & _LOW32, width)
+            if step >= words.shape[1] - 4 and place.max() + 4 >= words.shape[1]:
+                words = np.concatenate([words, np.zeros_like(words)], axis=1)
+            words.reshape(-1)[narrow * words.shape[1] + place] = begin >> _32
+            at[narrow] = place + 1
+            low[narrow], span[narrow] = begin << _32, width << _32
+        model.update(now, classes, hit, step)
     for lane in range(len(low)):
         finish(lane)
     return [finished[i] for i in range(lanes)]
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of numbers of up to 43 bits with quotients of up to 26 and divisors of up to 26, where doubles are exact."""
+    return (a / b).astype(np.int64)
+
+
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids of every block. Sizes must not grow along the list."""
     if not payloads:
@@ -243,49 +275,55 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
     ids = np.zeros((int(size[0]), lanes), np.uint32)
 
-    def value(bits: int) -> tuple[np.ndarray, np.ndarray]:
-        unit = span >> _U(bits)
-        return unit, np.minimum((code - low) // unit, _U((1 << bits) - 1)).astype(np.int64)
-
-    def take(unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        np.add(low, start.view(_U) * unit, out=low)
-        np.multiply(width.view(_U), unit, out=span)
-        narrow = np.flatnonzero(span < _NARROW)
-        if len(narrow):
-            begin, wide = low[narrow], span[narrow]
-            crosses = ((begin ^ (begin + wide - _U(1))) >> _32) != 0
-            wide = np.where(crosses, (~begin + _U(1)) & _LOW32, wide)
-            low[narrow], span[narrow] = begin << _32, wide << _32
-            spot = np.minimum(at[narrow], longest - 1)
-            code[narrow] = (code[narrow] << _32) | words[narrow, spot].astype(_U)
-            at[narrow] += 1
-
     for step in range(int(size[0])):
         active = int(np.searchsorted(-size, -step))
         if active < len(low):
             model.shrink(active)
             low, span, at, code, words = (x[:active].copy() for x in (low, span, at, code, words))
         model.predict()
-        unit, v = value(MIX_BITS)
-        by_a, plain = v < model.first, v >= model.both
-        take(
-            unit,
-            plain * model.both + (~(plain | by_a)) * model.first,
-            np.where(plain, (1 << MIX_BITS) - model.both, np.where(by_a, model.first, model.second)),
-        )
-        unit, v = value(CLASS_BITS + ID_BITS)
-        classes = (model.cum <= (v >> ID_BITS)[:, None]).sum(axis=1) - 1
-        cum, at_class = model.cum.reshape(-1), model.cum_at + classes
-        begin = cum.take(at_class)
-        each = (cum.take(at_class + 1) - begin) << (ID_BITS - CLASS_OFFSET_BITS.take(classes))
+        span >>= _U(TOTAL_BITS)
+        value = np.minimum((code - low) // span, _U((1 << TOTAL_BITS) - 1)).view(np.int64)
+        share = value >> _SHARE
+        plain = share >= model.both
+        # The last place of order 0 whose interval starts at the value or before.
+        value -= model.both << _SHARE
+        np.maximum(value, 0, out=value)
+        value += 1
+        value <<= _SCALE
+        value -= 1
+        value = _quotient(value, (1 << MIX_BITS) - model.both)
+        classes = model.classes_at((value >> ID_BITS).astype(np.uint16)[:, None])
+        spot = model.cum_at + classes
+        begin = model.cum.take(spot)
+        spot += 1
+        unit = model.cum.take(spot)
+        unit -= begin
+        unit <<= ID_BITS - CLASS_OFFSET_BITS.take(classes)
         begin <<= ID_BITS
-        offset = (v - begin) // each
-        now = np.where(plain, CLASS_START.take(classes) + offset, np.where(by_a, model.guess[0], model.guess[1]))
-        begin += offset * each
-        take(unit, begin * plain, np.where(plain, each, 1 << (CLASS_BITS + ID_BITS)))
+        offset = _quotient(value - begin, unit)
+        begin += offset * unit
+        start, width = model.plain(begin, unit)
+        now = (CLASS_START.take(classes) + offset).astype(np.int32)
+        by = np.flatnonzero(~plain)
+        is_a = share[by] < model.first[by]
+        by_a, by_b = by[is_a], by[~is_a]
+        model.predicted(start, width, by_a, by_b)
+        now[by_a], now[by_b] = model.guess[0][by_a], model.guess[1][by_b]
         # A damaged block may lead anywhere; its checksum tells.
-        now = np.minimum(now, MAX_ID - 1)
-        model.update(now, CLASS_OF[now], step)
+        np.clip(now, 0, MAX_ID - 1, out=now)
+        classes[by] = CLASS_OF[now[by]]
+        low += start.view(_U) * span
+        span *= width.view(_U)
+        narrow = np.flatnonzero(span < _NARROW)
+        if len(narrow):
+            begin, wide, place = low[narrow], span[narrow], at[narrow]
+            crosses = ((begin ^ (begin + wide - _U(1))) >> _32) != 0
+            wide = np.where(crosses, (~begin + _U(1)) & _LOW32, wide)
+            low[narrow], span[narrow] = begin << _32, wide << _32
+            word = words.reshape(-1)[narrow * longest + np.minimum(place, longest - 1)]
+            code[narrow] = (code[narrow] << _32) | word
+            at[narrow] = place + 1
+        model.update(now, classes, model.guess == now, step)
         ids[step, :active] = now
     return [ids[: size[i], i].copy() for i in range(lanes)]
 

@@ -80,11 +80,8 @@ def write_token_files(
                 gathered.append(np.concatenate([ids, last]))
                 held += len(ids) + 1
                 if held >= SEGMENT:
-                    encoder.forget()
                     yield _segment(part, segment, before, keys, gathered)
                     segment, before, held, keys, gathered = segment + 1, before + held, 0, [], []
-        # Workers outlive their tasks; what they remember would lie beside the coder's tables and all later stages.
-        encoder.forget()
         if keys:
             yield _segment(part, segment, before, keys, gathered)
 

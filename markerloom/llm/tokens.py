@@ -2,7 +2,8 @@
 
 A byte-level BPE splits a text by a fixed pattern before it merges, and no token reaches over a split. A blank,
 tab or line end after another kind of character always begins a new piece, so a text is cut there into chunks, and
-each distinct chunk is encoded once by the library; the ids of the text are those of its chunks in order.
+each distinct chunk is encoded once by the library; the ids of the text are those of its chunks in order. Chunks are looked up
+with array operations, many texts at a time: one of up to SHORT bytes is two numbers, its bytes and its length.
 Texts with other kinds of white space, where the pattern looks further, texts with the string of an added token, and tokenizers
 of other kinds are encoded whole.
 """
@@ -15,19 +16,123 @@ import re
 from zlib import crc32
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import SparkContext
 
-# Chunks that a Python worker remembers; beyond that it forgets the longer half, the rarer words.
-MEMO = 400_000
+# Chunks that a Python worker remembers, at some 60 bytes each; beyond that it forgets the longer half, the rarer words.
+MEMO = 1_000_000
+SHORT = 15
 
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE, _ODD = b" \t\n\r", b"\x0b\x0c\x1c\x1d\x1e\x1f"
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(_SPACE)], _KIND[list(_ODD)] = 1, 2
 
-_SPACE = " \t\n\r"
+_U = np.uint64
+# The bytes of a chunk of each length in its two numbers; the last byte is the length.
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)], _U)
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)], _U)
+_LENGTH = np.arange(SHORT + 1, dtype=_U) << _U(56)
 
 _LOADED: dict[int, Encoder] = {}
 
 
+def _starts(buffer: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where chunks start: each text, and each run of white space after something else."""
+    space = _KIND.take(buffer) == 1
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[texts[texts < len(buffer)]] = True
+    return np.flatnonzero(first)
+
+
+class _Chunks:
+    """A hash table of chunks: open places hold the number of an entry, entry 0 is none."""
+
+    def __init__(self):
+        self._place = np.zeros(1 << 12, np.int32)
+        self._low, self._high = np.zeros(1, _U), np.zeros(1, _U)
+        self._first, self._counts = np.zeros(1, np.int64), np.zeros(1, np.int32)
+        self._ids = np.zeros(0, np.uint32)
+        self._n, self._used = 1, 0
+        self._long: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return self._n - 1
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low ^ (high * _U(0xC2B2AE3D27D4EB4F))) * _U(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> _U(32))) * _U(0xBF58476D1CE4E5B9) >> _U(65 - len(self._place).bit_length())).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The entries of short chunks, 0 for unknown ones."""
+        at = self._home(low, high)
+        found = self._place.take(at)
+        other = np.flatnonzero((found != 0) & ((self._low.take(found) != low) | (self._high.take(found) != high)))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & (len(self._place) - 1)
+            here = self._place.take(at)
+            found[other] = here
+            wrong = (here != 0) & ((self._low.take(here) != low[other]) | (self._high.take(here) != high[other]))
+            other, at = other[wrong], at[wrong]
+        return found
+
+    def find_long(self, chunk: bytes) -> int:
+        return self._long.get(chunk, 0)
+
+    def _put(self, entries: np.ndarray) -> None:
+        at = self._home(self._low[entries], self._high[entries])
+        while len(entries):
+            free = self._place[at] == 0
+            self._place[at[free]] = entries[free]
+            lost = self._place[at] != entries
+            entries, at = entries[lost], (at[lost] + 1) & (len(self._place) - 1)
+
+    def _room(self, name: str, used: int, more: int) -> np.ndarray:
+        held = getattr(self, name)
+        if used + more > len(held):
+            held = np.concatenate([held[:used], np.zeros(more + max(used, 1024) // 2, held.dtype)])
+            setattr(self, name, held)
+        return held
+
+    def add(self, low: np.ndarray, high: np.ndarray, chunks: list[bytes], counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New entries for distinct unknown chunks; those without a length in `high` are long and go by their bytes."""
+        n, m = self._n, len(chunks)
+        new = np.arange(n, n + m, dtype=np.int32)
+        ends = np.cumsum(counts)
+        for name, values in (("_low", low), ("_high", high), ("_first", self._used + ends - counts), ("_counts", counts)):
+            self._room(name, n, m)[n : n + m] = values
+        self._room("_ids", self._used, len(ids))[self._used : self._used + len(ids)] = ids
+        self._n, self._used = n + m, self._used + len(ids)
+        short = high >= _LENGTH[1]
+        for i in np.flatnonzero(~short).tolist():
+            self._long[chunks[i]] = n + i
+        if 2 * self._n > len(self._place):
+            self._place = np.zeros(1 << (2 * self._n).bit_length(), np.int32)
+            every = np.arange(1, self._n, dtype=np.int32)
+            self._put(every[self._high[1 : self._n] >= _LENGTH[1]])
+        else:
+            self._put(new[short])
+        return new
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries, in order, and how many each has."""
+        counts = self._counts.take(entries).astype(np.int64)
+        at = np.repeat(self._first.take(entries) - (np.cumsum(counts) - counts), counts)
+        at += np.arange(len(at))
+        return self._ids.take(at), counts
+
+    def shorter_half(self) -> _Chunks:
+        lengths = self._high[1 : self._n] >> _U(56)
+        kept = 1 + np.flatnonzero((lengths < np.median(lengths)) & (lengths > 0))
+        out = _Chunks()
+        if len(kept):
+            ids, counts = self.ids_of(kept)
+            out.add(self._low[kept], self._high[kept], [b""] * len(kept), counts, ids)
+        return out
+
+
 class Encoder:
     """Encodes texts as the library does without adding special tokens. A text that holds the string of an added token, which the
     library finds before it splits, is encoded whole."""
@@ -48,7 +153,7 @@ class Encoder:
             and not before.get("add_prefix_space", True)
             and parts["model"].get("type") == "BPE"
         )
-        self._known: dict[str, bytes] = {}
+        self._known = _Chunks()
         if self.chunked:
             # In a byte-level vocabulary a token has one character for each of its bytes.
             size = self._tokenizer.get_vocab_size()
@@ -56,55 +161,87 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop the remembered chunks."""
-        self._known = {}
+        self._known = _Chunks()
 
     def _whole(self, texts: list[str]):
         return self._tokenizer.encode_batch(texts, add_special_tokens=False)
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode the chunks. Those that begin with white space and end without form one text, whose ids are cut at
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        # Without offsets, which cost the library as much again.
+        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, low: np.ndarray, high: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        """Entries for distinct new chunks. Those that begin with white space and end without form one text, whose ids are cut at
         the chunks' ends by their lengths in bytes."""
-        joined = [c for c in chunks if c[0] in _SPACE and c[-1] not in _SPACE]
+        joins = np.array([c[0] in _SPACE and c[-1] not in _SPACE for c in chunks])
+        order = np.r_[np.flatnonzero(joins), np.flatnonzero(~joins)]
+        joined = [chunks[i] for i in order[: joins.sum()].tolist()]
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if joined:
-            ids = np.array(self._whole(["".join(joined)])[0].ids, np.int64)
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in joined), np.int64, len(joined)))
-            reached = np.cumsum(self._bytes[ids])
+            found = self._plain([b"".join(joined).decode()])[0]
+            ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+            reached = np.cumsum(self._bytes[found])
             cuts = np.searchsorted(reached, ends)
             if not np.array_equal(reached[cuts], ends):
                 raise AssertionError("a token reaches over a chunk's end")
-            raw, start = ids.astype("<u4").tobytes(), 0
-            for c, cut in zip(joined, (4 * (cuts + 1)).tolist()):
-                self._known[c] = raw[start:cut]
-                start = cut
-        rest = [c for c in chunks if c not in self._known]
-        for c, e in zip(rest, self._whole(rest)):
-            self._known[c] = np.array(e.ids, "<u4").tobytes()
+            ids.append(found)
+            counts.append(np.diff(cuts, prepend=-1))
+        rest = self._plain([chunks[i].decode() for i in order[len(joined) :].tolist()])
+        counts.append(np.array([len(x) for x in rest], np.int64))
+        entries = np.zeros(len(chunks), np.int64)
+        entries[order] = self._known.add(low[order], high[order], [chunks[i] for i in order.tolist()], np.concatenate(counts), np.concatenate(ids + rest))
+        return entries
+
+    def _entries(self, data: bytes, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The entry of each chunk of the buffer, which has a few bytes more."""
+        lengths = np.diff(starts, append=len(data))
+        sizes = np.where(lengths <= SHORT, lengths, 0)
+        both = sliding_window_view(buffer, 16)[starts].view("<u8")
+        low, high = both[:, 0] & _LOW.take(sizes), (both[:, 1] & _HIGH.take(sizes)) | _LENGTH.take(sizes)
+        entries = self._known.find(low, high).astype(np.int64)
+        known: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(sizes == 0).tolist():
+            chunk = data[starts[i] : starts[i] + lengths[i]]
+            entries[i] = self._known.find_long(chunk)
+            if not entries[i]:
+                known.setdefault(chunk, []).append(i)
+        new = np.flatnonzero((entries == 0) & (sizes > 0))
+        order = new[np.lexsort((low[new], high[new]))]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+        firsts = np.r_[order[fresh], np.array([x[0] for x in known.values()], np.int64)].astype(np.int64)
+        if len(firsts):
+            chunks = [data[a : a + n] for a, n in zip(starts[firsts].tolist(), lengths[firsts].tolist())]
+            learned = self._learn(low[firsts], high[firsts], chunks)
+            short = int(fresh.sum())
+            entries[order] = learned[:short][np.cumsum(fresh) - 1]
+            for entry, places in zip(learned[short:].tolist(), known.values()):
+                entries[places] = entry
+        return entries
 
     def _in_chunks(self, text: str) -> bool:
-        return self.chunked and not _OTHER_SPACE.search(text) and not self._added.search(text)
+        return self.chunked and not (self._added.search(text) or (not text.isascii() and _OTHER_SPACE.search(text)))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self._known) > MEMO:
-            middle = sorted(map(len, self._known))[len(self._known) // 2]
-            self._known = {c: ids for c, ids in self._known.items() if len(c) < middle}
+            self._known = self._known.shorter_half()
         found: list[np.ndarray | None] = [None] * len(texts)
-        split, unknown = {}, set()
-        for i, text in enumerate(texts):
-            if self._in_chunks(text):
-                chunks = _CHUNK.findall(text)
-                parts = list(map(self._known.get, chunks))
-                if None in parts:
-                    split[i] = chunks
-                    unknown.update(c for c, p in zip(chunks, parts) if p is None)
-                else:
-                    found[i] = np.frombuffer(b"".join(parts), "<u4")
-            else:
-                found[i] = np.array(self._whole([text])[0].ids, np.uint32)
-        if split:
-            self._learn(unknown)
-            for i, chunks in split.items():
-                found[i] = np.frombuffer(b"".join(map(self._known.__getitem__, chunks)), "<u4")
+        split = [i for i, text in enumerate(texts) if self._in_chunks(text)]
+        raw = [texts[i].encode() for i in split]
+        odd = [len(t) != len(t.translate(None, _ODD)) for t in raw]
+        split, raw = ([x for x, other in zip(xs, odd) if not other] for xs in (split, raw))
+        whole = sorted(set(range(len(texts))) - set(split))
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
+            found[i] = ids
+        data = b"".join(raw)
+        buffer = np.frombuffer(data + bytes(16), np.uint8)
+        ends = np.cumsum(np.array([len(t) for t in raw], np.int64))
+        starts = _starts(buffer[: len(data)], np.r_[0, ends[:-1]]) if data else np.zeros(0, np.int64)
+        ids, counts = self._known.ids_of(self._entries(data, buffer, starts))
+        reached = np.r_[0, np.cumsum(counts)][np.searchsorted(starts, ends)].tolist()
+        for i, a, b in zip(split, [0, *reached], reached):
+            found[i] = ids[a:b]
         return found
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:

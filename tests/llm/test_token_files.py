@@ -1,4 +1,5 @@
 import tracemalloc
+from time import process_time
 from zlib import crc32
 
 import numpy as np
@@ -167,3 +168,38 @@ def test_memory_of_the_coder():
     assert all(np.array_equal(a, b) for a, b in zip(blocks, found))
     # Bytes for each id of a segment.
     assert max(encoding, decoding) < 20 * 512 * BLOCK
+
+
+def test_chunks_of_all_lengths(encoder, library, monkeypatch):
+    """Around the length that is two numbers, with null bytes, while the table grows and after its longer half is forgotten."""
+    import markerloom.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 4000)
+    encoder.forget()
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        words = ["".join(rng.choice(list("abc\x00\u00e9."), n)) for n in rng.integers(1, 22, 6000)]
+        values = [" ".join(words[i : i + 40]) for i in range(0, 6000, 40)] + ["a", "a\x00", "a\x00\x00", " " * 14, " " * 15, " " * 16, ""]
+        want = [e.ids for e in library.encode_batch(values, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.ids(values)] == want
+        assert [x.tolist() for x in encoder.ids(values[::-1])] == want[::-1]
+    encoder.forget()
+
+
+def test_known_chunks_cost_little(encoder, library):
+    """Less than a tenth of what the library takes for the whole texts."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeinorst"), n)) for n in rng.integers(2, 11, 3000)]
+    values = [" ".join(rng.choice(words, 500)) for _ in range(400)]
+    want = [e.ids for e in library.encode_batch(values, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.ids(values)] == want
+
+    def seconds(fn):
+        taken = []
+        for _ in range(3):
+            start = process_time()
+            fn()
+            taken.append(process_time() - start)
+        return min(taken)
+
+    assert seconds(lambda: encoder.ids(values)) < seconds(lambda: library.encode_batch(values, add_special_tokens=False)) / 10
