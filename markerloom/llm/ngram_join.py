@@ -22,11 +22,13 @@ A row without an id takes part; the id of a component is the smallest id that is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,11 @@ FEW = 64
 # Pairs of points whose coordinates are compared at a time.
 AT_ONCE = 1 << 14
 
+# Key hashes go by their first bits; the next 32 tell them apart. Two hashes that agree in both are one tree, which only adds pairs to compare.
+BUCKET_BITS, PRINT_BITS = 12, 32
+# Keys that a task deals to buckets at a time.
+DEALT = 1 << 19
+
 _U = np.uint64
 _MIX, _STEP = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -158,8 +165,14 @@ class CountTree:
         return self.levels[min(level, len(self.levels) - 1)]
 
 
+def _packed(point: bytes) -> bytes:
+    """Counts by their frequencies alone, in about half the bytes that a shuffle's own compression needs."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(point) + coder.flush()
+
+
 def _points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), _COUNT).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(zlib.decompress(p, -15, GROUPS) for p in column.to_pylist()), _COUNT).reshape(-1, GROUPS)
 
 
 def _sets_and_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +284,82 @@ def _forest(sets: dict[int, np.ndarray], partners: dict[int, list[int]]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones: the high bytes of small numbers are runs of zeros, which shuffles compress."""
+    return values.view("u1").reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_planes(data: memoryview, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, "u1", n * size).reshape(size, n).T).view(kind)[:, 0]
+
+
+def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of rows (cls, n, keys) by buckets: a row has the keys of many classes with class, size and place, column by column."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column("keys")).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            rows = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), DEALT, side="right")))
+            part, counts = batch.slice(at, rows), lengths[at : at + rows].astype(np.int64)
+            at += rows
+            keys = part.column("keys").flatten().to_numpy().view(_U)
+            owner = np.repeat(np.arange(rows), counts)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+            buckets = (keys >> _U(64 - BUCKET_BITS)).astype(np.uint16)
+            order = np.argsort(buckets, kind="stable")
+            prints = (keys >> _U(64 - BUCKET_BITS - PRINT_BITS)).astype("<u4")[order]
+            cls, n = (part.column(c).to_numpy()[owner[order]] for c in ("cls", "n"))
+            pos, n, buckets = pos[order].astype("<u4"), n.astype("<u4"), buckets[order]
+            ends = np.r_[np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, len(keys)] if len(keys) else []
+            data, start = [], 0
+            for end in map(int, ends):
+                here = slice(start, end)
+                steps = np.diff(cls[here], prepend=0).astype("<i8")
+                data.append(prints[here].tobytes() + _planes(steps) + _planes(n[here]) + _planes(pos[here]))
+                start = end
+            first = np.array(ends, np.int64) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[first].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "keys"])
+
+
+def _in_common(bucket: int, rows: list[pa.Scalar]) -> pa.RecordBatch:
+    """Members (cls, n, pos, key, least) of the keys of a bucket that several classes have, one of them among its first ninth."""
+    columns = []
+    for row in rows:
+        data = memoryview(row.as_buffer())
+        n = len(data) // 20
+        steps = _of_planes(data[4 * n : 12 * n], "<i8", n)
+        columns.append((np.frombuffer(data, "<u4", n), np.cumsum(steps), _of_planes(data[12 * n : 16 * n], "<u4", n), _of_planes(data[16 * n :], "<u4", n)))
+    prints, cls, n, pos = (np.concatenate(c).astype(np.int64) for c in zip(*columns))
+    order = np.argsort(prints, kind="stable")
+    prints, cls, n, pos = (x[order] for x in (prints, cls, n, pos))
+    starts = np.r_[0, np.flatnonzero(prints[1:] != prints[:-1]) + 1]
+    counts = np.diff(starts, append=len(prints))
+    # The smaller set of a pair has its first common shingle in the first ninth, see `fitting`.
+    early = np.logical_or.reduceat(BOTH * (n - pos) >= 2 * OVERLAP * n, starts)
+    kept = np.repeat((counts > 1) & early, counts)
+    least = np.repeat(np.minimum.reduceat(cls, starts), counts)[kept]
+    keys = (bucket << PRINT_BITS) | prints[kept]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cls[kept]), pa.array(n[kept]), pa.array(pos[kept].astype(np.int32)), pa.array(keys), pa.array(least)],
+        names=["cls", "n", "pos", "key", "least"],
+    )
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the keys in common, of rows (bucket, keys) that come sorted by bucket."""
+    bucket, held = None, []
+    for part in slices(batches):
+        for now, keys in zip(part.column("bucket").to_pylist(), part.column("keys")):
+            if now != bucket and held:
+                yield _in_common(bucket, held)
+                held = []
+            bucket = now
+            held.append(keys)
+    if held:
+        yield _in_common(bucket, held)
+
+
 _PLACE = ("key", "lo", "hi")
 
 
@@ -343,6 +432,25 @@ def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i[keep], j[keep]
 
 
+def _with_partner(table: pa.Table) -> pa.Table:
+    """Rows that have a row of their piece to be compared with by sizes and places alone, without points; all rows of large pieces."""
+    sizes, place = table.column("n").to_numpy(), table.column("pos").to_numpy()
+    side, root = table.column("side").to_numpy(), table.column("root").to_numpy()
+    changes = _changes(table)
+    starts, ends = np.r_[0, changes], np.r_[changes, table.num_rows]
+    lengths = ends - starts
+    two = np.repeat(np.maximum.reduceat(side, starts) != np.minimum.reduceat(side, starts), lengths)
+    small = np.repeat(lengths <= FEW, lengths)
+    end_of = np.where(small, np.repeat(ends, lengths), 0)
+    kept, at = ~small, np.arange(table.num_rows)
+    for step in range(1, FEW):
+        i = at = at[at + step < end_of[at]]
+        j = i + step
+        fits = (root[i] != root[j]) & fitting(sizes[i], sizes[j], place[i], place[j]) & (~two[i] | (side[i] != side[j]))
+        kept[i[fits]] = kept[j[fits]] = True
+    return table.filter(pa.array(kept))
+
+
 def _open_pairs(table: pa.Table) -> pa.Table:
     """Of each piece the pairs that the bounds leave, as rows with `partner`; of a piece that has more than FEW for each row
     the rows that are in any, without one."""
@@ -392,12 +500,8 @@ def ngram_links(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pi
 
     `sets_of` adds the hashes to a table with cls.
     """
-    keyed = points.select("cls", "n", F.posexplode("keys").alias("pos", "key")).repartition("key")
-    # The smaller set of a pair has its first common shingle in the first ninth, see `fitting`.
-    early = F.lit(BOTH) * (F.col("n") - F.col("pos")) >= F.lit(2 * OVERLAP) * F.col("n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(early).alias("early"), F.min("cls").alias("least"))
-    shared = shared.where("members > 1 AND early")
-    members = stored(keyed.join(shared.select("key", "least"), "key"), "ngram-members")
+    keyed = points.select("cls", "n", "keys").mapInArrow(_to_buckets, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    members = stored(keyed.mapInArrow(_shared, "cls long, n long, pos int, key long, least long"), "ngram-members")
     info = points.select("cls", "n", "point")
 
     # The star of a class is the smallest class of most of its trees; a star of many is dealt to parts.
@@ -423,7 +527,10 @@ def ngram_links(points: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pi
         return rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "cls")
 
     # Few pairs are sent to each other, once however many trees they share; where there are many, rows meet in their piece.
-    left = by_piece(deal(rest, ["key"], "n", piece).join(info.drop("n"), "cls"))
+    # Points are many times larger than the other columns, so only rows that sizes and places leave a partner get theirs.
+    dealt = by_piece(deal(rest, ["key"], "n", piece))
+    dealt = stored(dealt.mapInArrow(_by_pieces(_with_partner, AT_ONCE), dealt.schema), "ngram-dealt")
+    left = by_piece(dealt.join(info.drop("n"), "cls"))
     schema = T.StructType([*left.schema.fields, T.StructField("partner", T.LongType())])
     left = stored(left.mapInArrow(_by_pieces(_open_pairs, AT_ONCE), schema), "ngram-open")
     pairs = left.where("partner IS NOT NULL").select(F.col("cls").alias("a"), F.col("partner").alias("b")).distinct()
@@ -465,7 +572,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for part in slices(batches):
             sets = [ngram_set(t) for t in utf8(part.column("text"))]
             columns = [
-                part.column("cls"), pa.array([len(x) for x in sets], pa.int64()), pa.array([group_counts(x) for x in sets], pa.binary()),
+                part.column("cls"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_packed(group_counts(x)) for x in sets], pa.binary()),
                 pa.array([rarest(x, table.value).view(np.int64) for x in sets], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "point", "keys"])

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,72 @@ def test_dealing_brings_all_apart_together(spark):
 def test_dealing_one_outlier_grows_with_the_rows(spark, n):
     rows = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("cls"), F.least("id", F.lit(1)).alias("root"), F.lit(1).alias("n"))
     assert deal(rows, ["key"], "n").count() <= n + n // 1024 + 2
+
+
+def keyed_classes(rng, n):
+    """(cls, n, keys) whose keys are shared by some, places beyond 255 and 65,535 among them."""
+    common = rng.integers(-(2**63), 2**63, 300)
+    out = []
+    for cls in range(n):
+        keys = rng.integers(-(2**63), 2**63, 70_000 if cls == 5 else rng.integers(0, 40))
+        spots = rng.integers(0, len(keys), 4) if len(keys) else []
+        keys[spots] = rng.choice(common, len(spots), replace=False)
+        out.append((int(cls * 7 + (cls % 3 << 33)), 5 * len(keys) + 2, keys.tolist()))
+    return out
+
+
+@pytest.mark.parametrize("dealt", [1, 100, 1 << 19])
+def test_keys_in_common(monkeypatch, dealt):
+    monkeypatch.setattr(ngram_join, "DEALT", dealt)
+    rows = keyed_classes(np.random.default_rng(5), 400)
+    where = {}
+    for cls, n, keys in rows:
+        for pos, key in enumerate(keys):
+            where.setdefault(key, []).append((cls, n, pos))
+    want = set()
+    for members in where.values():
+        if len(members) > 1 and any(9 * (n - pos) >= 8 * n for _, n, pos in members):
+            want |= {(*m, min(c for c, *_ in members)) for m in members}
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 150]), kinds)], names=["cls", "n", "keys"]) for i in range(0, 400, 150)]
+    dealt_rows = pa.Table.from_batches(list(ngram_join._to_buckets(iter(batches)))).sort_by("bucket")
+    found = pa.Table.from_batches(list(ngram_join._shared(iter(dealt_rows.to_batches())))).to_pylist()
+    assert {(r["cls"], r["n"], r["pos"], r["least"]) for r in found} == want and len(found) == len(want)
+    assert {len({r["least"] for r in found if r["key"] == k}) for k in {r["key"] for r in found}} == {1}
+
+
+def test_bytes_that_are_shuffled():
+    """A row of a shuffle had 20 bytes for each key, and 240 for a point."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(200, 800), dtype=np.uint64)) for _ in range(3000)]
+    keys = [x[: len(x) // 5].view(np.int64) for x in sets]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(3000)), pa.array([len(x) for x in sets]), pa.array(keys, pa.list_(pa.int64()))], names=["cls", "n", "keys"]
+    )
+    data = b"".join(b"".join(b.column("keys").to_pylist()) for b in ngram_join._to_buckets(iter([batch])))
+    assert len(pa.compress(data, "lz4", asbytes=True)) < 12 * sum(map(len, keys))
+    points = [ngram_join._packed(ngram_join.group_counts(x)) for x in sets]
+    assert sum(map(len, points)) < 180 * len(points)
+    assert ngram_join._points(pa.array(points)).tobytes() == b"".join(map(ngram_join.group_counts, sets))
+
+
+def test_rows_with_a_partner():
+    """Pieces of one and two sides, small ones and one too large to look at."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for key in range(120):
+        many = 100 if key == 60 else int(rng.integers(1, 9))
+        two = bool(rng.integers(0, 2))
+        rows += [(key, 0, 0, int(two and rng.integers(0, 2)), c, int(rng.integers(1, 4)), int(rng.integers(40, 80)), int(rng.integers(0, 14))) for c in range(many)]
+    names = ["key", "lo", "hi", "side", "cls", "root", "n", "pos"]
+    table = pa.table(dict(zip(names, zip(*rows))))
+    got = {(r["key"], r["cls"]) for r in ngram_join._with_partner(table).to_pylist()}
+    want = set()
+    for a in rows:
+        mine = [b for b in rows if b[0] == a[0]]
+        two = len({b[3] for b in mine}) > 1
+        for b in mine:
+            fits = 9 * min(a[6] - a[7], b[6] - b[7]) >= 4 * (a[6] + b[6])
+            if len(mine) > ngram_join.FEW or (a[4] != b[4] and a[5] != b[5] and fits and (not two or a[3] != b[3])):
+                want.add((a[0], a[4]))
+    assert got == want and len(got) < len(rows)
