@@ -1,15 +1,14 @@
 """Adaptive context-mixing range coder for token ids, in blocks that start from nothing.
 
-Every block has its own model. Order 2 and order 1 each predict one id, the last one seen in a hashed context, with a
-confidence; order 0 gives every id a probability through adaptive frequencies of id classes. The distribution of the next id is
-the mixture of the three,
+Every block has its own model. Order 2 and order 1 each predict one id, the last one seen in a hashed context; order 0 gives
+every id a probability through adaptive frequencies of id classes. The distribution of the next id is the mixture of the three,
 
-    P(id) = w2 q2 [id = prediction 2] + w1 q1 [id = prediction 1] + (the rest) P0(id),
+    P(id) = w2 [id = prediction 2] + w1 [id = prediction 1] + (the rest) P0(id),
 
-where q are adaptive hit rates per confidence and the weights w follow the orders' success. Predictions change with every id;
-rates, weights and frequencies follow what was seen at the end of each window. The mixture drives a carry-less
-range coder with 64-bit state and 32-bit output words, in one step for each id. All arithmetic is on integers, or on numbers that
-are exact in doubles, so any machine decodes what another has written.
+where the weights w are adaptive hit rates for each state: how many ids before were predicted, whether order 2 predicts, whether
+both agree. Predictions change with every id; weights follow what was seen, and frequencies the ids that order 0 coded, at the end
+of each window. The mixture drives a carry-less range coder with 64-bit state and 32-bit output words, in one step for each id.
+All arithmetic is on integers, or on numbers that are exact in doubles, so any machine decodes what another has written.
 
 Blocks are coded side by side: step t codes the t-th id of all blocks with one sequence of array operations. Encoder and decoder
 run the same steps and differ only in whether the id is given or looked up.
@@ -24,19 +23,23 @@ import numpy as np
 BLOCK = 2048
 # Ids must be below this; classes of ids have sizes that are powers of two.
 MAX_ID = (1 << 16) - 4
-CLASS_BITS, ID_BITS, MIX_BITS = 12, 14, 16
+# Bits of a weight, of a class's frequency, and of a place in a class: together a step's share.
+MIX_BITS, CLASS_BITS, ID_BITS = 8, 10, 13
 # Contexts per order and block, as a power of two.
 ORDER = 9
 # Steps of a window, and steps after which it ends early.
-WINDOW, EARLY = 64, (8, 16, 32)
-# A step is coded in shares of 2**TOTAL_BITS; the rest that order 0 has is never below 2**(CLASS_BITS + ID_BITS + MIX_BITS - TOTAL_BITS).
-TOTAL_BITS = 30
-_SCALE, _SHARE = CLASS_BITS + ID_BITS + MIX_BITS - TOTAL_BITS, TOTAL_BITS - MIX_BITS
-
-_U = np.uint64
-_LOW32 = _U(0xFFFFFFFF)
+WINDOW, EARLY = 256, (16, 64, 128)
+# Uses of a state after which its counts are halved.
+_FULL = 255
+# Blocks turned into columns at once.
+_TURNED = 16
+
+_U, _I = np.uint64, np.uint32
+_LOW32, _32 = _U(0xFFFFFFFF), _U(32)
 _NARROW = _U(1 << 32)
-_32 = _U(32)
+_PLAIN, _TOTAL = _I(CLASS_BITS + ID_BITS), _U(MIX_BITS + CLASS_BITS + ID_BITS)
+# In a table of predictions: none.
+_NONE = (1 << 16) - 1
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,286 +49,240 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of = ((power - 2) * 4 + (x >> np.maximum(power - 2, 0)) - 4).astype(np.int64)
     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     sizes = np.diff(np.r_[first, MAX_ID])
-    bits = np.ceil(np.log2(sizes)).astype(np.int64)
-    return of, first, bits
+    return of, first, np.ceil(np.log2(sizes)).astype(np.int64)
 
 
 CLASS_OF, CLASS_START, CLASS_OFFSET_BITS = _classes()
 N_CLASSES = len(CLASS_START)
-# Place of every id in its class, and how far its share is widened to ID_BITS.
-PLACE_OF = np.arange(MAX_ID) - CLASS_START[CLASS_OF]
-SHIFT_OF = ID_BITS - CLASS_OFFSET_BITS[CLASS_OF]
+_START = CLASS_START.astype(_I)
+# Class of every id, and its place there above.
+_PLACES = (CLASS_OF | (np.arange(MAX_ID) - CLASS_START[CLASS_OF]) << 8).astype(_I)
 
-# How far an order's weight rises with its hits, and where it falls without.
-_REACH, _FLOOR = np.array([[36000], [20000]], np.int64), 2048
-# A lane's frequencies are searched in eight groups of eight.
-_WIDE = 64
-_EIGHT = np.dtype("c16")
+# States: up to three ids predicted before, whether order 2 predicts, and whether both predict the same.
+STATES = 16
+_RUN, _HAS, _SAME = np.arange(STATES) >> 2, np.arange(STATES) >> 1 & 1, np.arange(STATES) & 1
+# What is counted before anything was seen: none was right, order 2 was, only order 1 was.
+_BEFORE = np.stack([np.full(STATES, 12), _HAS * (1 + _SAME) * (1 + 2 * _RUN), (1 - _SAME) * (1 + _RUN)])
 
 
 class _Model:
     """State of `lanes` blocks at the same step. Axis 0 of the paired arrays is order 2, then order 1."""
 
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        # One flat table for both orders: contexts of order 2 of all lanes, then those of order 1. An entry is 8 * id + confidence;
-        # without a prediction the id is -1.
-        self.table = np.full(lanes << (ORDER + 1), -8, np.int32)
-        # Hits and uses of each confidence.
-        self.good, self.seen = np.tile(2 * np.arange(8), (2, lanes, 1)), np.full((2, lanes, 8), 16)
-        self.weights = np.repeat(np.array([[24576], [16384]], np.int64), lanes, axis=1)
-        self.prev, self.mixed1, self.mixed2 = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.counts = np.ones((lanes, N_CLASSES), np.int64)
-        self.sure_log, self.hit_log = np.zeros((WINDOW, 2, lanes), np.uint8), np.zeros((WINDOW, 2, lanes), bool)
-        self.class_log, self.logged = np.zeros((WINDOW, lanes), np.uint8), 0
-        self._place()
+    def __init__(self, lanes: int, lookup: bool):
+        self.lanes, self.lookup = lanes, lookup
+        # One flat table: contexts of order 2 of all lanes, then those of order 1.
+        self.table = np.full(lanes << (ORDER + 1), _NONE, np.uint16)
+        self.at = np.arange(2 * lanes).reshape(2, lanes) << ORDER
+        self.table_at = self.at.copy()
+        self.guess, self.mixed, self.run = np.empty((2, lanes), np.uint16), np.zeros(lanes, _I), np.zeros(lanes, np.uint8)
+        lane = np.arange(lanes)
+        self.state_at, self.log_at = lane * STATES, lane * (3 * STATES)
+        self.class_at, self.count_at, self.slot_at = lane * N_CLASSES, lane * (N_CLASSES + 1), lane << CLASS_BITS
+        self.seen = np.tile(_BEFORE, (lanes, 1, 1))
+        # The last one counts ids that order 0 has not coded, and is not used.
+        self.counts = np.ones((lanes, N_CLASSES + 1), np.int64)
+        self.log, self.class_log = np.zeros((2, WINDOW, lanes), np.uint8)
+        self.logged = 0
         self._follow()
 
-    def _place(self) -> None:
-        """Where the lanes' rows begin in the flat tables."""
-        lane = np.arange(2 * self.lanes).reshape(2, self.lanes)
-        self.table_at, self.share_at, self.cum_at = lane << ORDER, lane << 3, lane[0] * (N_CLASSES + 1)
-        # One less, as a search counts the groups that begin before.
-        self.group_at = (lane[0] << 3) - 1
-
     def _follow(self) -> None:
-        """The shares and frequencies of the next window."""
-        lane, n = np.arange(2 * self.lanes), self.logged
-        if n:
-            at = (lane << 4).reshape(2, -1) + self.sure_log[:n] + (self.hit_log[:n].view(np.uint8) << 3)
-            used = np.bincount(at.ravel(), minlength=32 * self.lanes).reshape(2, self.lanes, 2, 8)
-            hits, used = used[:, :, 1], used.sum(axis=2)
-            self.good += hits
-            self.seen += used
-            full = (self.seen > 255).astype(np.int64)
-            self.good >>= full
-            self.seen >>= full
-            known = used[:, :, 1:].sum(axis=2)
-            self.weights += (known * (_FLOOR - self.weights) + _REACH * hits.sum(axis=2)) >> 6
-            at = lane[: self.lanes] * N_CLASSES + self.class_log[:n]
+        """The weights and frequencies of the next window."""
+        if self.logged:
+            at = self.log[: self.logged] + self.log_at
+            self.seen += np.bincount(at.ravel(), minlength=self.seen.size).reshape(self.seen.shape)
+            self.seen >>= self.seen.sum(axis=1, keepdims=True) > _FULL
+            np.add(self.class_log[: self.logged], self.count_at, out=at)
             self.counts += 24 * np.bincount(at.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
             self.logged = 0
-        rates = ((2 * self.good + 1) << 15) // (self.seen + 1)
-        shares = (self.weights[:, :, None] * rates) >> MIX_BITS
-        shares[:, :, 0] = 0
-        self.shares = shares.reshape(-1)
-        total = np.cumsum(self.counts, axis=1)
-        spread = (1 << CLASS_BITS) - N_CLASSES
-        cum = np.zeros((self.lanes, N_CLASSES + 1), np.int64)
-        cum[:, 1:] = total * spread // total[:, -1:] + np.arange(1, N_CLASSES + 1)
-        self.cum = cum.reshape(-1)
-        self.bounds = np.full((self.lanes, _WIDE), 0xFFFF, np.uint16)
-        self.bounds[:, : N_CLASSES + 1] = cum
-        self.heads = self.bounds[:, ::8].copy()
-
-    def shrink(self, lanes: int) -> None:
-        was, self.lanes = self.lanes, lanes
-        self.table = self.table.reshape(2, was, -1)[:, :lanes].ravel()
-        self.shares = self.shares.reshape(2, was, -1)[:, :lanes].ravel()
-        self.cum = self.cum.reshape(was, -1)[:lanes].ravel()
-        for name in ("prev", "mixed1", "mixed2", "counts", "bounds", "heads"):
-            setattr(self, name, getattr(self, name)[:lanes].copy())
-        for name in ("good", "seen", "weights"):
-            setattr(self, name, getattr(self, name)[:, :lanes].copy())
-        for name in ("sure_log", "hit_log", "class_log"):
-            setattr(self, name, getattr(self, name)[..., :lanes].copy())
-        self._place()
+        # Weights leave order 0 some share, and have some where a prediction can be right.
+        uses, most = self.seen.sum(axis=1), (1 << MIX_BITS) - 4
+        two = (self.seen[:, 1] * most / uses).astype(_I) + _HAS.astype(_I)
+        one = (self.seen[:, 2] * most / uses).astype(_I) + (1 - _SAME).astype(_I)
+        # A state's share of order 0, and that of order 2 above.
+        self.shares = ((1 << MIX_BITS) - two - one | two << _I(16)).reshape(-1)
+        total = np.cumsum(self.counts[:, :-1], axis=1)
+        ends = (total * ((1 << CLASS_BITS) - N_CLASSES) / total[:, -1:]).astype(np.int64)
+        ends += np.arange(1, N_CLASSES + 1)
+        sizes = np.diff(ends, axis=1, prepend=0)
+        # Where a class begins, and the share of each of its ids above.
+        units = (sizes << (ID_BITS - CLASS_OFFSET_BITS)) << 32
+        units |= (ends - sizes) << ID_BITS
+        self.units = units.reshape(-1)
+        if self.lookup:
+            self.slots = np.repeat(np.tile(np.arange(N_CLASSES, dtype=np.uint8), self.lanes), sizes.ravel())
 
     def predict(self) -> None:
-        """The two predicted ids, their shares of 2**MIX_BITS (0 without a prediction), and both shares' ends."""
-        at = np.empty((2, self.lanes), np.int64)
-        np.right_shift(self.mixed1, 7, out=at[1])
-        np.add(self.mixed1, self.mixed2, out=at[0])
-        at[0] >>= 9
-        at &= (1 << ORDER) - 1
-        at += self.table_at
-        self.at, self.entry = at, self.table.take(at)
-        self.sure, self.guess = self.entry & 7, self.entry >> 3
-        share = self.shares.take(self.share_at + self.sure)
-        # Where both orders predict the same id its share is the sum.
-        self.both = share[0] + share[1]
-        self.first = np.where(self.guess[0] == self.guess[1], self.both, share[0])
-
-    def update(self, ids: np.ndarray, classes: np.ndarray, hit: np.ndarray, step: int) -> None:
-        """Ids as 32-bit numbers, their classes, and where the predictions were right."""
-        missed = np.where(self.sure > 1, self.entry - 1, (ids << 3) | 1)
-        self.table[self.at] = np.where(hit, self.entry + (self.sure < 7), missed)
-        self.sure_log[self.logged], self.hit_log[self.logged], self.class_log[self.logged] = self.sure, hit, classes
+        """The two predicted ids, the share of order 0 in 2**MIX_BITS, and where it ends in a step's share."""
+        self.table.take(self.at, out=self.guess, mode="clip")
+        state = (self.guess[0] != _NONE).view(np.uint8) << 1
+        state |= self.guess[0] == self.guess[1]
+        state |= self.run
+        self.state = state
+        self.share = self.shares.take(state + self.state_at, mode="clip")
+        self.rest = self.share & _I(0xFFFF)
+        self.limit = self.rest << _PLAIN
+
+    def plain(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and share of an id of these classes in order 0."""
+        units = self.units.take(classes + self.class_at, mode="clip")
+        return units.astype(_I), (units >> 32).astype(_I)
+
+    def predicted(self, start: np.ndarray, size: np.ndarray, by_2: np.ndarray, by_1: np.ndarray) -> None:
+        """Put the intervals of predicted ids, in these lanes, where those of order 0 are: order 2, then order 1, behind order 0."""
+        start[by_2], size[by_2] = self.limit[by_2], (self.share[by_2] >> _I(16)) << _PLAIN
+        begin = self.limit[by_1] + ((self.share[by_1] >> _I(16)) << _PLAIN)
+        start[by_1], size[by_1] = begin, _I(1 << int(_TOTAL)) - begin
+
+    def update(self, now: np.ndarray, classes: np.ndarray, by_2: np.ndarray, by_1: np.ndarray, step: int, steps: int) -> None:
+        """The ids of this step, their classes, the lanes where order 2 was right, and where only order 1 was."""
+        log, class_log = self.log[self.logged], self.class_log[self.logged]
+        log[:], class_log[:] = self.state, classes
+        log[by_2] += STATES
+        log[by_1] += 2 * STATES
+        by = np.concatenate([by_2, by_1])
+        class_log[by] = N_CLASSES
+        run = np.minimum(self.run[by] + 4, 12)
+        self.run = np.zeros(self.lanes, np.uint8)
+        self.run[by] = run
+        self.table[self.at] = now
+        mixed = now.astype(_I)
+        mixed *= _I(0x9E3779B1)
+        self.mixed += mixed
+        np.right_shift(self.mixed, _I(32 - ORDER), out=self.at[0], casting="unsafe")
+        np.right_shift(mixed, _I(32 - ORDER), out=self.at[1], casting="unsafe")
+        self.at += self.table_at
+        mixed *= _I(0xC2B2AE35)
+        self.mixed = mixed
         self.logged += 1
-        if (step + 1) % WINDOW == 0 or step + 1 in EARLY:
+        if step + 1 < steps and ((step + 1) % WINDOW == 0 or step + 1 in EARLY):
             self._follow()
-        self.mixed2, self.prev = self.prev * 0xC2B2AE35, ids.astype(np.int64)
-        self.mixed1 = self.prev * 0x9E3779B1
-
-    def plain(self, begin: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An interval of order 0 in what the predictions leave: start and size in 2**TOTAL_BITS."""
-        rest = (1 << MIX_BITS) - self.both
-        start = begin * rest
-        size = unit * rest
-        size += start
-        start >>= _SCALE
-        size >>= _SCALE
-        size -= start
-        start += self.both << _SHARE
-        return start, size
-
-    def classes_at(self, place: np.ndarray) -> np.ndarray:
-        """The last class of each lane that begins at the place or before."""
-        group = np.bitwise_count((self.heads <= place).view(_U)[:, 0]).astype(np.int64)
-        group += self.group_at
-        within = self.bounds.reshape(-1).view(_EIGHT).take(group).view(np.uint16).reshape(-1, 8) <= place
-        group -= self.group_at
-        group <<= 3
-        group += np.bitwise_count(within.view(_U)[:, 0])
-        group -= 9
-        return group
-
-    def predicted(self, start: np.ndarray, size: np.ndarray, by_a: np.ndarray, by_b: np.ndarray) -> None:
-        """Put the intervals of predicted ids, at these places, where those of order 0 are."""
-        start[by_a], size[by_a] = 0, self.first[by_a] << _SHARE
-        first = self.first[by_b]
-        start[by_b], size[by_b] = first << _SHARE, (self.both[by_b] - first) << _SHARE
-
-
-def _matrix(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(b) for b in blocks])
-    table = np.zeros((sizes.max(), len(blocks)), np.uint32)
-    for i, b in enumerate(blocks):
-        table[: len(b), i] = b
-    return table, sizes
+
+
+def _narrowed(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """What is left of narrow spans before their first word goes: none reaches over a change of that word."""
+    last = low + span
+    last -= _U(1)
+    last ^= low
+    crosses = (last > _LOW32).nonzero()[0]
+    span[crosses] = (~low[crosses] + _U(1)) & _LOW32
+    return span
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The payload of every block. Blocks must not grow in length along the list."""
     if not blocks:
         return []
-    ids, sizes = _matrix(blocks)
-    if ids.max(initial=0) >= MAX_ID:
+    lanes, sizes = len(blocks), [len(b) for b in blocks]
+    if max(int(b.max(initial=0)) for b in blocks) >= MAX_ID:
         raise ValueError(f"ids must be below {MAX_ID}")
-    lanes = len(blocks)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-    # A step writes one word at most, and seldom needs as much.
-    room = max(64, int(sizes[0]) // 2 + 64)
-    words, at = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
-    finished: dict[int, bytes] = {}
-
-    def finish(lane: int) -> None:
-        tail = np.array([low[lane] >> _32, low[lane] & _LOW32], "<u4")
-        finished[lane] = words[lane, : at[lane]].astype("<u4").tobytes() + tail.tobytes()
-
-    for step in range(int(sizes[0])):
-        active = int(np.searchsorted(-sizes, -step))
-        if active < len(low):
-            for lane in range(active, len(low)):
-                finish(lane)
-            model.shrink(active)
-            low, span, at, words = low[:active].copy(), span[:active].copy(), at[:active].copy(), words[:active]
-        now = ids[step, :active].view(np.int32)
+    # Lanes that have ended go on with zeros, which nobody reads.
+    ids = np.zeros((sizes[0], lanes), np.uint16)
+    for i in range(0, lanes, _TURNED):
+        some = blocks[i : i + _TURNED]
+        if len(some[-1]) == sizes[0]:
+            ids[:, i : i + len(some)] = np.stack(some, axis=1)
+        else:
+            for k, b in enumerate(some):
+                ids[: len(b), i + k] = b
+    model = _Model(lanes, lookup=False)
+    low, span, active = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U), lanes
+    # The words that steps write and their lanes, and the last two words of each lane.
+    words, of, tails = [], [], np.zeros(lanes, _U)
+    kind = np.min_scalar_type(lanes)
+
+    for step in range(sizes[0]):
+        if sizes[active - 1] <= step:
+            ended, active = active, next(i for i in range(active, 0, -1) if sizes[i - 1] > step)
+            tails[active:ended] = low[active:ended]
+        now = ids[step]
         model.predict()
         hit = model.guess == now
-        classes = CLASS_OF.take(now)
-        spot = model.cum_at + classes
-        begin = model.cum.take(spot)
-        spot += 1
-        unit = model.cum.take(spot)
-        unit -= begin
-        unit <<= SHIFT_OF.take(now)
-        begin <<= ID_BITS
-        begin += PLACE_OF.take(now) * unit
-        start, size = model.plain(begin, unit)
-        model.predicted(start, size, np.flatnonzero(hit[0]), np.flatnonzero(hit[1] & ~hit[0]))
-        span >>= _U(TOTAL_BITS)
-        low += start.view(_U) * span
-        span *= size.view(_U)
-        narrow = np.flatnonzero(span < _NARROW)
+        by_2, by_1 = hit[0].nonzero()[0], (hit[1] > hit[0]).nonzero()[0]
+        place = _PLACES.take(now)
+        classes = place.astype(np.uint8)
+        place >>= _I(8)
+        start, size = model.plain(classes)
+        place *= size
+        start += place
+        start *= model.rest
+        size *= model.rest
+        model.predicted(start, size, by_2, by_1)
+        span >>= _TOTAL
+        low += start * span
+        span *= size
+        narrow = (span[:active] < _NARROW).nonzero()[0]
         if len(narrow):
-            begin, width, place = low[narrow], span[narrow], at[narrow]
-            crosses = ((begin ^ (begin + width - _U(1))) >> _32) != 0
-            width = np.where(crosses, (~begin + _U(1)) & _LOW32, width)
-            if step >= words.shape[1] - 4 and place.max() + 4 >= words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words.reshape(-1)[narrow * words.shape[1] + place] = begin >> _32
-            at[narrow] = place + 1
+            begin = low[narrow]
+            width = _narrowed(begin, span[narrow])
+            words.append((begin >> _32).astype("<u4"))
+            of.append(narrow.astype(kind))
             low[narrow], span[narrow] = begin << _32, width << _32
-        model.update(now, classes, hit, step)
-    for lane in range(len(low)):
-        finish(lane)
-    return [finished[i] for i in range(lanes)]
+        model.update(now, classes, by_2, by_1, step, sizes[0])
+    tails[:active] = low[:active]
+    words += [(tails >> _32).astype("<u4"), (tails & _LOW32).astype("<u4")]
+    of = np.concatenate([*of, np.arange(lanes, dtype=kind), np.arange(lanes, dtype=kind)])
+    words = np.concatenate(words)[np.argsort(of, kind="stable")]
+    ends = np.cumsum(np.bincount(of, minlength=lanes)).tolist()
+    return [words[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a // b of numbers of up to 43 bits with quotients of up to 26 and divisors of up to 26, where doubles are exact."""
-    return (a / b).astype(np.int64)
+    """a // b of 32-bit numbers, where doubles are exact."""
+    return (a / b).astype(_I)
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids of every block. Sizes must not grow along the list."""
     if not payloads:
         return []
-    size = np.array(sizes)
-    lanes = len(payloads)
-    model = _Model(lanes)
+    lanes, steps = len(payloads), int(sizes[0])
+    model = _Model(lanes, lookup=True)
     longest = max(len(p) for p in payloads) // 4 + 4
     words = np.zeros((lanes, longest), np.uint32)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-    at = np.full(lanes, 2, np.int64)
     code = (words[:, 0].astype(_U) << _32) | words[:, 1].astype(_U)
+    words, at = words.reshape(-1), np.arange(lanes) * longest + 2
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-    ids = np.zeros((int(size[0]), lanes), np.uint32)
+    ids = np.zeros((steps, lanes), np.uint16)
 
-    for step in range(int(size[0])):
-        active = int(np.searchsorted(-size, -step))
-        if active < len(low):
-            model.shrink(active)
-            low, span, at, code, words = (x[:active].copy() for x in (low, span, at, code, words))
+    # A damaged block and one that has ended may lead anywhere, so places are clipped; its checksum tells.
+    for step in range(steps):
         model.predict()
-        span >>= _U(TOTAL_BITS)
-        value = np.minimum((code - low) // span, _U((1 << TOTAL_BITS) - 1)).view(np.int64)
-        share = value >> _SHARE
-        plain = share >= model.both
-        # The last place of order 0 whose interval starts at the value or before.
-        value -= model.both << _SHARE
-        np.maximum(value, 0, out=value)
-        value += 1
-        value <<= _SCALE
-        value -= 1
-        value = _quotient(value, (1 << MIX_BITS) - model.both)
-        classes = model.classes_at((value >> ID_BITS).astype(np.uint16)[:, None])
-        spot = model.cum_at + classes
-        begin = model.cum.take(spot)
-        spot += 1
-        unit = model.cum.take(spot)
-        unit -= begin
-        unit <<= ID_BITS - CLASS_OFFSET_BITS.take(classes)
-        begin <<= ID_BITS
-        offset = _quotient(value - begin, unit)
-        begin += offset * unit
-        start, width = model.plain(begin, unit)
-        now = (CLASS_START.take(classes) + offset).astype(np.int32)
-        by = np.flatnonzero(~plain)
-        is_a = share[by] < model.first[by]
-        by_a, by_b = by[is_a], by[~is_a]
-        model.predicted(start, width, by_a, by_b)
-        now[by_a], now[by_b] = model.guess[0][by_a], model.guess[1][by_b]
-        # A damaged block may lead anywhere; its checksum tells.
-        np.clip(now, 0, MAX_ID - 1, out=now)
-        classes[by] = CLASS_OF[now[by]]
-        low += start.view(_U) * span
-        span *= width.view(_U)
-        narrow = np.flatnonzero(span < _NARROW)
+        span >>= _TOTAL
+        value = code - low
+        with np.errstate(divide="ignore"):
+            value //= span
+        value = value.astype(_I)
+        by = (value >= model.limit).nonzero()[0]
+        # The place in order 0, of which each has `rest` values.
+        place = _quotient(value, model.rest)
+        classes = model.slots.take((place >> _I(ID_BITS)) + model.slot_at, mode="clip")
+        start, size = model.plain(classes)
+        place -= start
+        offset = _quotient(place, size)
+        now = ids[step]
+        np.add(_START.take(classes), offset, out=now, casting="unsafe")
+        offset *= size
+        start += offset
+        start *= model.rest
+        size *= model.rest
+        is_2 = value[by] - model.limit[by] < (model.share[by] >> _I(16)) << _PLAIN
+        by_2, by_1 = by[is_2], by[~is_2]
+        model.predicted(start, size, by_2, by_1)
+        now[by_2], now[by_1] = model.guess[0][by_2], model.guess[1][by_1]
+        low += start * span
+        span *= size
+        narrow = (span < _NARROW).nonzero()[0]
         if len(narrow):
-            begin, wide, place = low[narrow], span[narrow], at[narrow]
-            crosses = ((begin ^ (begin + wide - _U(1))) >> _32) != 0
-            wide = np.where(crosses, (~begin + _U(1)) & _LOW32, wide)
-            low[narrow], span[narrow] = begin << _32, wide << _32
-            word = words.reshape(-1)[narrow * longest + np.minimum(place, longest - 1)]
-            code[narrow] = (code[narrow] << _32) | word
-            at[narrow] = place + 1
-        model.update(now, classes, model.guess == now, step)
-        ids[step, :active] = now
-    return [ids[: size[i], i].copy() for i in range(lanes)]
+            begin, from_ = low[narrow], at[narrow]
+            width = _narrowed(begin, span[narrow])
+            low[narrow], span[narrow] = begin << _32, width << _32
+            code[narrow] = (code[narrow] << _32) | words.take(from_, mode="clip")
+            at[narrow] = from_ + 1
+        model.update(now, classes, by_2, by_1, step, steps)
+    columns = (c for i in range(0, lanes, _TURNED) for c in ids[:, i : i + _TURNED].T.astype(np.uint32, order="C"))
+    return [c[:n] for c, n in zip(columns, sizes)]
 
 
 def cut(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
@@ -334,4 +291,4 @@ def cut(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
 
 def checksum(ids: np.ndarray) -> int:
     """crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return crc32(ids.astype("<u4").tobytes())
+    return crc32(ids.astype("<u4", copy=False).tobytes())

@@ -1,9 +1,10 @@
 """Ids and character spans of whole texts, with the vocabulary of a tokenizers file.
 
 A byte-level BPE splits a text by a fixed pattern before it merges, and no token reaches over a split. A blank,
-tab or line end after another kind of character always begins a new piece, so a text is cut there into chunks, and
-each distinct chunk is encoded once by the library; the ids of the text are those of its chunks in order. Chunks are looked up
-with array operations, many texts at a time: one of up to SHORT bytes is two numbers, its bytes and its length.
+tab or line end after another kind of character always begins a new piece, and so does an ASCII sign after an ASCII letter or
+digit, so a text is cut there into chunks, and each distinct chunk is encoded once by the library; the ids of the text are those
+of its chunks in order. Chunks are looked up with array operations, many texts at a time: one of up to SHORT bytes is two
+numbers, its bytes and its length.
 Texts with other kinds of white space, where the pattern looks further, texts with the string of an added token, and tokenizers
 of other kinds are encoded whole.
 """
@@ -22,11 +23,11 @@ from pyspark import SparkContext
 # Chunks that a Python worker remembers, at some 60 bytes each; beyond that it forgets the longer half, the rarer words.
 MEMO = 1_000_000
 SHORT = 15
+# Words that the library remembers, for texts that are encoded whole; its own default.
+LIBRARY_MEMO = 10_000
 
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACE, _ODD = b" \t\n\r", b"\x0b\x0c\x1c\x1d\x1e\x1f"
-_KIND = np.zeros(256, np.uint8)
-_KIND[list(_SPACE)], _KIND[list(_ODD)] = 1, 2
+_ODD = b"\x0b\x0c\x1c\x1d\x1e\x1f"
 
 _U = np.uint64
 # The bytes of a chunk of each length in its two numbers; the last byte is the length.
@@ -37,11 +38,17 @@ _LENGTH = np.arange(SHORT + 1, dtype=_U) << _U(56)
 _LOADED: dict[int, Encoder] = {}
 
 
+def _spaces(buffer: np.ndarray) -> np.ndarray:
+    return (buffer == 32) | (buffer == 9) | (buffer == 10) | (buffer == 13)
+
+
 def _starts(buffer: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Where chunks start: each text, and each run of white space after something else."""
-    space = _KIND.take(buffer) == 1
-    first = space.copy()
-    first[1:] &= ~space[:-1]
+    """Where chunks start: each text, each run of white space after something else, and each ASCII sign after a letter or digit."""
+    space = _spaces(buffer)
+    word = ((buffer | 32) - np.uint8(97) < 26) | (buffer - np.uint8(48) < 10)
+    first = (buffer > 32) & (buffer < 127) & ~word
+    first[1:] &= word[:-1]
+    first[1:] |= space[1:] & ~space[:-1]
     first[texts[texts < len(buffer)]] = True
     return np.flatnonzero(first)
 
@@ -96,9 +103,9 @@ class _Chunks:
             setattr(self, name, held)
         return held
 
-    def add(self, low: np.ndarray, high: np.ndarray, chunks: list[bytes], counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """New entries for distinct unknown chunks; those without a length in `high` are long and go by their bytes."""
-        n, m = self._n, len(chunks)
+    def add(self, low: np.ndarray, high: np.ndarray, long: list[bytes], counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New entries for unknown chunks; those without a length in `high` are long and go by their bytes."""
+        n, m = self._n, len(low)
         new = np.arange(n, n + m, dtype=np.int32)
         ends = np.cumsum(counts)
         for name, values in (("_low", low), ("_high", high), ("_first", self._used + ends - counts), ("_counts", counts)):
@@ -106,8 +113,7 @@ class _Chunks:
         self._room("_ids", self._used, len(ids))[self._used : self._used + len(ids)] = ids
         self._n, self._used = n + m, self._used + len(ids)
         short = high >= _LENGTH[1]
-        for i in np.flatnonzero(~short).tolist():
-            self._long[chunks[i]] = n + i
+        self._long.update(zip(long, new[~short].tolist()))
         if 2 * self._n > len(self._place):
             self._place = np.zeros(1 << (2 * self._n).bit_length(), np.int32)
             every = np.arange(1, self._n, dtype=np.int32)
@@ -129,7 +135,7 @@ class _Chunks:
         out = _Chunks()
         if len(kept):
             ids, counts = self.ids_of(kept)
-            out.add(self._low[kept], self._high[kept], [b""] * len(kept), counts, ids)
+            out.add(self._low[kept], self._high[kept], [], counts, ids)
         return out
 
 
@@ -163,6 +169,12 @@ class Encoder:
         """Drop the remembered chunks."""
         self._known = _Chunks()
 
+    def _remember(self, words: int) -> None:
+        """How many words the library remembers the ids of."""
+        resize = getattr(self._tokenizer.model, "_resize_cache", None)
+        if resize is not None:
+            resize(words)
+
     def _whole(self, texts: list[str]):
         return self._tokenizer.encode_batch(texts, add_special_tokens=False)
 
@@ -170,26 +182,33 @@ class Encoder:
         # Without offsets, which cost the library as much again.
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, low: np.ndarray, high: np.ndarray, chunks: list[bytes]) -> np.ndarray:
-        """Entries for distinct new chunks. Those that begin with white space and end without form one text, whose ids are cut at
+    def _learn(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entries for new chunks. Those that begin with white space and end without form one text, whose ids are cut at
         the chunks' ends by their lengths in bytes."""
-        joins = np.array([c[0] in _SPACE and c[-1] not in _SPACE for c in chunks])
+        joins = _spaces(buffer[starts]) & ~_spaces(buffer[starts + lengths - 1])
         order = np.r_[np.flatnonzero(joins), np.flatnonzero(~joins)]
-        joined = [chunks[i] for i in order[: joins.sum()].tolist()]
+        starts, lengths, joined = starts[order], lengths[order], int(joins.sum())
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if joined:
-            found = self._plain([b"".join(joined).decode()])[0]
-            ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+            ends = np.cumsum(lengths[:joined])
+            at = np.repeat(starts[:joined] - (ends - lengths[:joined]), lengths[:joined])
+            at += np.arange(len(at))
+            # None of these comes again, so the library need not remember them.
+            self._remember(0)
+            found = self._plain([buffer.take(at).tobytes().decode()])[0]
+            self._remember(LIBRARY_MEMO)
             reached = np.cumsum(self._bytes[found])
             cuts = np.searchsorted(reached, ends)
             if not np.array_equal(reached[cuts], ends):
                 raise AssertionError("a token reaches over a chunk's end")
             ids.append(found)
             counts.append(np.diff(cuts, prepend=-1))
-        rest = self._plain([chunks[i].decode() for i in order[len(joined) :].tolist()])
+        rest = self._plain([buffer[a : a + n].tobytes().decode() for a, n in zip(starts[joined:].tolist(), lengths[joined:].tolist())])
         counts.append(np.array([len(x) for x in rest], np.int64))
-        entries = np.zeros(len(chunks), np.int64)
-        entries[order] = self._known.add(low[order], high[order], [chunks[i] for i in order.tolist()], np.concatenate(counts), np.concatenate(ids + rest))
+        long = np.flatnonzero(lengths > SHORT)
+        chunks = [buffer[a : a + n].tobytes() for a, n in zip(starts[long].tolist(), lengths[long].tolist())]
+        entries = np.zeros(len(order), np.int64)
+        entries[order] = self._known.add(low[order], high[order], chunks, np.concatenate(counts), np.concatenate(ids + rest))
         return entries
 
     def _entries(self, data: bytes, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -206,13 +225,13 @@ class Encoder:
             if not entries[i]:
                 known.setdefault(chunk, []).append(i)
         new = np.flatnonzero((entries == 0) & (sizes > 0))
-        order = new[np.lexsort((low[new], high[new]))]
+        # Equal ones side by side; by a rare chance others come between, and a chunk gets two entries.
+        order = new[np.argsort(low[new] * _U(0x9E3779B97F4A7C15) ^ high[new] * _U(0xC2B2AE3D27D4EB4F))]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
         firsts = np.r_[order[fresh], np.array([x[0] for x in known.values()], np.int64)].astype(np.int64)
         if len(firsts):
-            chunks = [data[a : a + n] for a, n in zip(starts[firsts].tolist(), lengths[firsts].tolist())]
-            learned = self._learn(low[firsts], high[firsts], chunks)
+            learned = self._learn(buffer, starts[firsts], lengths[firsts], low[firsts], high[firsts])
             short = int(fresh.sum())
             entries[order] = learned[:short][np.cumsum(fresh) - 1]
             for entry, places in zip(learned[short:].tolist(), known.values()):

@@ -203,3 +203,14 @@ def test_known_chunks_cost_little(encoder, library):
         return min(taken)
 
     assert seconds(lambda: encoder.ids(values)) < seconds(lambda: library.encode_batch(values, add_special_tokens=False)) / 10
+
+
+def test_a_word_is_learned_once_whatever_sign_follows(encoder, library):
+    encoder.forget()
+    words = [" hewhand", " thorest", " 4711", " Blee"]
+    values = ["".join(w + sign for w in words) for sign in ("", ",", ".", "!?", ")\n", "'s", "'re-")]
+    want = [e.ids for e in library.encode_batch(values, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.ids(values)] == want
+    # The words, and the signs with what follows up to a blank.
+    assert len(encoder._known) <= len(words) + 12
+    encoder.forget()
