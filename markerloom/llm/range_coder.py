@@ -28,7 +28,7 @@ MIX_BITS, CLASS_BITS, ID_BITS = 8, 10, 13
 # Contexts per order and block, as a power of two.
 ORDER = 9
 # Steps of a window, and steps after which it ends early.
-WINDOW, EARLY = 256, (16, 64, 128)
+WINDOW, EARLY = 512, (16, 64, 128, 256)
 # Uses of a state after which its counts are halved.
 _FULL = 255
 # Blocks turned into columns at once.
@@ -62,7 +62,7 @@ _PLACES = (CLASS_OF | (np.arange(MAX_ID) - CLASS_START[CLASS_OF]) << 8).astype(_
 STATES = 16
 _RUN, _HAS, _SAME = np.arange(STATES) >> 2, np.arange(STATES) >> 1 & 1, np.arange(STATES) & 1
 # What is counted before anything was seen: none was right, order 2 was, only order 1 was.
-_BEFORE = np.stack([np.full(STATES, 12), _HAS * (1 + _SAME) * (1 + 2 * _RUN), (1 - _SAME) * (1 + _RUN)])
+_BEFORE = np.stack([np.full(STATES, 12), _HAS * (1 + _SAME) * (1 + 2 * _RUN), (1 - _SAME) * (1 + _RUN)]).astype(np.int32)
 
 
 class _Model:
@@ -80,7 +80,7 @@ class _Model:
         self.class_at, self.count_at, self.slot_at = lane * N_CLASSES, lane * (N_CLASSES + 1), lane << CLASS_BITS
         self.seen = np.tile(_BEFORE, (lanes, 1, 1))
         # The last one counts ids that order 0 has not coded, and is not used.
-        self.counts = np.ones((lanes, N_CLASSES + 1), np.int64)
+        self.counts = np.ones((lanes, N_CLASSES + 1))
         self.log, self.class_log = np.zeros((2, WINDOW, lanes), np.uint8)
         self.logged = 0
         self._follow()
@@ -89,24 +89,29 @@ class _Model:
         """The weights and frequencies of the next window."""
         if self.logged:
             at = self.log[: self.logged] + self.log_at
-            self.seen += np.bincount(at.ravel(), minlength=self.seen.size).reshape(self.seen.shape)
-            self.seen >>= self.seen.sum(axis=1, keepdims=True) > _FULL
+            self.seen += np.bincount(at.ravel(), minlength=self.seen.size).reshape(self.seen.shape).astype(np.int32)
+            self.seen >>= (self.seen[:, :1] + self.seen[:, 1:2] + self.seen[:, 2:] > _FULL).view(np.uint8)
             np.add(self.class_log[: self.logged], self.count_at, out=at)
-            self.counts += 24 * np.bincount(at.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+            self.counts += 24.0 * np.bincount(at.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
             self.logged = 0
         # Weights leave order 0 some share, and have some where a prediction can be right.
-        uses, most = self.seen.sum(axis=1), (1 << MIX_BITS) - 4
-        two = (self.seen[:, 1] * most / uses).astype(_I) + _HAS.astype(_I)
-        one = (self.seen[:, 2] * most / uses).astype(_I) + (1 - _SAME).astype(_I)
+        none, two, one = self.seen[:, 0], self.seen[:, 1], self.seen[:, 2]
+        uses, most = none + two + one, (1 << MIX_BITS) - 4
+        two = (two * most / uses).astype(_I) + _HAS.astype(_I)
+        one = (one * most / uses).astype(_I) + (1 - _SAME).astype(_I)
         # A state's share of order 0, and that of order 2 above.
         self.shares = ((1 << MIX_BITS) - two - one | two << _I(16)).reshape(-1)
         total = np.cumsum(self.counts[:, :-1], axis=1)
-        ends = (total * ((1 << CLASS_BITS) - N_CLASSES) / total[:, -1:]).astype(np.int64)
+        total *= (1 << CLASS_BITS) - N_CLASSES
+        total /= total[:, -1:] / ((1 << CLASS_BITS) - N_CLASSES)
+        ends = total.astype(np.int64)
         ends += np.arange(1, N_CLASSES + 1)
         sizes = np.diff(ends, axis=1, prepend=0)
         # Where a class begins, and the share of each of its ids above.
-        units = (sizes << (ID_BITS - CLASS_OFFSET_BITS)) << 32
-        units |= (ends - sizes) << ID_BITS
+        units = sizes << (32 + ID_BITS - CLASS_OFFSET_BITS)
+        ends -= sizes
+        ends <<= ID_BITS
+        units |= ends
         self.units = units.reshape(-1)
         if self.lookup:
             self.slots = np.repeat(np.tile(np.arange(N_CLASSES, dtype=np.uint8), self.lanes), sizes.ravel())
@@ -186,9 +191,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 ids[: len(b), i + k] = b
     model = _Model(lanes, lookup=False)
     low, span, active = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U), lanes
-    # The words that steps write and their lanes, and the last two words of each lane.
-    words, of, tails = [], [], np.zeros(lanes, _U)
-    kind = np.min_scalar_type(lanes)
+    # The words of all lanes side by side, the place of the next one, and the last two of each lane. A step writes one word at most,
+    # and seldom needs as much.
+    words, at, tails = np.zeros((max(64, sizes[0] // 2 + 64), lanes), "<u4"), np.arange(lanes), np.zeros(lanes, _U)
 
     for step in range(sizes[0]):
         if sizes[active - 1] <= step:
@@ -214,16 +219,19 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(narrow):
             begin = low[narrow]
             width = _narrowed(begin, span[narrow])
-            words.append((begin >> _32).astype("<u4"))
-            of.append(narrow.astype(kind))
+            place = at[narrow]
+            if step >= len(words) - 4 and place.max() // lanes >= len(words) - 4:
+                words = np.concatenate([words, np.zeros_like(words)])
+            words.reshape(-1)[place] = begin >> _32
+            at[narrow] = place + lanes
             low[narrow], span[narrow] = begin << _32, width << _32
         model.update(now, classes, by_2, by_1, step, sizes[0])
     tails[:active] = low[:active]
-    words += [(tails >> _32).astype("<u4"), (tails & _LOW32).astype("<u4")]
-    of = np.concatenate([*of, np.arange(lanes, dtype=kind), np.arange(lanes, dtype=kind)])
-    words = np.concatenate(words)[np.argsort(of, kind="stable")]
-    ends = np.cumsum(np.bincount(of, minlength=lanes)).tolist()
-    return [words[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+    words.reshape(-1)[at] = tails >> _32
+    words.reshape(-1)[at + lanes] = tails & _LOW32
+    counts = (at // lanes + 2).tolist()
+    columns = (c for i in range(0, lanes, _TURNED) for c in np.ascontiguousarray(words[:, i : i + _TURNED].T))
+    return [c[:n].tobytes() for c, n in zip(columns, counts)]
 
 
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:

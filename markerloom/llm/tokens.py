@@ -35,6 +35,11 @@ _LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)], _U)
 _HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)], _U)
 _LENGTH = np.arange(SHORT + 1, dtype=_U) << _U(56)
 
+# The sign of every byte in a byte-level vocabulary.
+_SIGNS = np.arange(256, dtype="<u4")
+_OTHER = [*range(33), *range(127, 161), 173]
+_SIGNS[_OTHER] = 256 + np.arange(len(_OTHER))
+
 _LOADED: dict[int, Encoder] = {}
 
 
@@ -53,6 +58,28 @@ def _starts(buffer: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, in order, and where each range begins among them."""
+    ends = np.cumsum(lengths)
+    firsts = ends - lengths
+    at = np.repeat(starts - firsts, lengths)
+    at += np.arange(len(at))
+    return at, firsts
+
+
+def _words(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which chunks are a blank and letters, ASCII or of two bytes from C3 on, and so one piece of the pattern."""
+    at, firsts = _ranges(starts, lengths)
+    if not len(at):
+        return np.zeros(0, bool)
+    some = buffer.take(at)
+    after = np.zeros(len(some), bool)
+    after[1:] = some[:-1] == 0xC3
+    letter = ((some | 32) - np.uint8(97) < 26) | (some == 0xC3) | (after & (some != 0x97) & (some != 0xB7))
+    letter[firsts] = some[firsts] == 32
+    return np.logical_and.reduceat(letter, firsts) & (lengths > 1)
+
+
 class _Chunks:
     """A hash table of chunks: open places hold the number of an entry, entry 0 is none."""
 
@@ -146,6 +173,7 @@ class Encoder:
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._tokenizer = Tokenizer.from_str(definition)
         parts = json.loads(definition)
@@ -163,6 +191,9 @@ class Encoder:
         if self.chunked:
             # In a byte-level vocabulary a token has one character for each of its bytes.
             size = self._tokenizer.get_vocab_size()
+            # Splits at blanks alone, for texts that are pieces of the pattern in signs.
+            self._words = Tokenizer(self._tokenizer.model)
+            self._words.pre_tokenizer = WhitespaceSplit()
             self._bytes = np.array([len(self._tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
 
     def forget(self) -> None:
@@ -182,33 +213,46 @@ class Encoder:
         # Without offsets, which cost the library as much again.
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Entries for new chunks. Those that begin with white space and end without form one text, whose ids are cut at
-        the chunks' ends by their lengths in bytes."""
-        joins = _spaces(buffer[starts]) & ~_spaces(buffer[starts + lengths - 1])
-        order = np.r_[np.flatnonzero(joins), np.flatnonzero(~joins)]
-        starts, lengths, joined = starts[order], lengths[order], int(joins.sum())
+    def _joined(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of chunks that begin with white space and end without, and how many each has: first those of `words`, then the
+        others. Each kind forms one text, whose ids are cut at the chunks' ends by their lengths in bytes."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        if joined:
-            ends = np.cumsum(lengths[:joined])
-            at = np.repeat(starts[:joined] - (ends - lengths[:joined]), lengths[:joined])
-            at += np.arange(len(at))
-            # None of these comes again, so the library need not remember them.
-            self._remember(0)
-            found = self._plain([buffer.take(at).tobytes().decode()])[0]
-            self._remember(LIBRARY_MEMO)
-            reached = np.cumsum(self._bytes[found])
+        # None of these comes again, so the library need not remember them.
+        self._remember(0)
+        for whole, some in ((True, words), (False, ~words)):
+            begins, sizes = starts[some], lengths[some]
+            if not len(begins):
+                continue
+            if whole:
+                at, firsts = _ranges(begins - 1, sizes + 1)
+                signs = _SIGNS.take(buffer.take(at, mode="clip"))
+                signs[firsts] = ord("\n")
+                text, by = signs.tobytes().decode("utf-32-le"), self._words
+            else:
+                text, by = buffer.take(_ranges(begins, sizes)[0]).tobytes().decode(), self._tokenizer
+            found = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends, reached = np.cumsum(sizes), np.cumsum(self._bytes[found])
             cuts = np.searchsorted(reached, ends)
             if not np.array_equal(reached[cuts], ends):
                 raise AssertionError("a token reaches over a chunk's end")
             ids.append(found)
             counts.append(np.diff(cuts, prepend=-1))
+        self._remember(LIBRARY_MEMO)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entries for new chunks."""
+        joins = _spaces(buffer[starts]) & ~_spaces(buffer[starts + lengths - 1])
+        words = joins & _words(buffer, starts, lengths)
+        order = np.argsort(~joins * np.int8(2) + (joins & ~words), kind="stable")
+        starts, lengths, joined = starts[order], lengths[order], int(joins.sum())
+        ids, counts = self._joined(buffer, starts[:joined], lengths[:joined], words[order[:joined]])
         rest = self._plain([buffer[a : a + n].tobytes().decode() for a, n in zip(starts[joined:].tolist(), lengths[joined:].tolist())])
-        counts.append(np.array([len(x) for x in rest], np.int64))
+        counts = np.concatenate([counts, np.array([len(x) for x in rest], np.int64)])
         long = np.flatnonzero(lengths > SHORT)
         chunks = [buffer[a : a + n].tobytes() for a, n in zip(starts[long].tolist(), lengths[long].tolist())]
         entries = np.zeros(len(order), np.int64)
-        entries[order] = self._known.add(low[order], high[order], chunks, np.concatenate(counts), np.concatenate(ids + rest))
+        entries[order] = self._known.add(low[order], high[order], chunks, counts, np.concatenate([ids, *rest]))
         return entries
 
     def _entries(self, data: bytes, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
