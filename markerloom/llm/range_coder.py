@@ -26,7 +26,7 @@ MAX_ID = (1 << 16) - 4
 # Bits of a weight, of a class's frequency, and of a place in a class: together a step's share.
 MIX_BITS, CLASS_BITS, ID_BITS = 8, 10, 13
 # Contexts per order and block, as a power of two.
-ORDER = 9
+ORDER = 8
 # Steps of a window, and steps after which it ends early.
 WINDOW, EARLY = 512, (16, 64, 128, 256)
 # Uses of a state after which its counts are halved.
@@ -132,19 +132,20 @@ class _Model:
         units = self.units.take(classes + self.class_at, mode="clip")
         return units.astype(_I), (units >> 32).astype(_I)
 
-    def predicted(self, start: np.ndarray, size: np.ndarray, by_2: np.ndarray, by_1: np.ndarray) -> None:
-        """Put the intervals of predicted ids, in these lanes, where those of order 0 are: order 2, then order 1, behind order 0."""
-        start[by_2], size[by_2] = self.limit[by_2], (self.share[by_2] >> _I(16)) << _PLAIN
-        begin = self.limit[by_1] + ((self.share[by_1] >> _I(16)) << _PLAIN)
-        start[by_1], size[by_1] = begin, _I(1 << int(_TOTAL)) - begin
-
-    def update(self, now: np.ndarray, classes: np.ndarray, by_2: np.ndarray, by_1: np.ndarray, step: int, steps: int) -> None:
-        """The ids of this step, their classes, the lanes where order 2 was right, and where only order 1 was."""
+    def predicted(self, start: np.ndarray, size: np.ndarray, by: np.ndarray, two: np.ndarray, is_2: np.ndarray) -> None:
+        """Put the intervals of predicted ids where those of order 0 are, in the lanes `by`: that of order 2, whose size is `two`,
+        lies behind order 0, then comes that of order 1."""
+        begin = self.limit[by]
+        left = _I(1 << int(_TOTAL)) - begin - two
+        size[by] = np.where(is_2, two, left)
+        two[is_2] = 0
+        start[by] = begin + two
+
+    def update(self, now: np.ndarray, classes: np.ndarray, by: np.ndarray, is_2: np.ndarray, step: int, steps: int) -> None:
+        """The ids of this step, their classes, the lanes where a prediction was right, and where that was order 2."""
         log, class_log = self.log[self.logged], self.class_log[self.logged]
         log[:], class_log[:] = self.state, classes
-        log[by_2] += STATES
-        log[by_1] += 2 * STATES
-        by = np.concatenate([by_2, by_1])
+        log[by] += np.uint8(2 * STATES) - is_2 * np.uint8(STATES)
         class_log[by] = N_CLASSES
         run = np.minimum(self.run[by] + 4, 12)
         self.run = np.zeros(self.lanes, np.uint8)
@@ -202,7 +203,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         now = ids[step]
         model.predict()
         hit = model.guess == now
-        by_2, by_1 = hit[0].nonzero()[0], (hit[1] > hit[0]).nonzero()[0]
+        by = (hit[0] | hit[1]).nonzero()[0]
+        is_2 = hit[0][by]
         place = _PLACES.take(now)
         classes = place.astype(np.uint8)
         place >>= _I(8)
@@ -211,7 +213,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         start += place
         start *= model.rest
         size *= model.rest
-        model.predicted(start, size, by_2, by_1)
+        model.predicted(start, size, by, (model.share[by] >> _I(16)) << _PLAIN, is_2)
         span >>= _TOTAL
         low += start * span
         span *= size
@@ -225,7 +227,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             words.reshape(-1)[place] = begin >> _32
             at[narrow] = place + lanes
             low[narrow], span[narrow] = begin << _32, width << _32
-        model.update(now, classes, by_2, by_1, step, sizes[0])
+        model.update(now, classes, by, is_2, step, sizes[0])
     tails[:active] = low[:active]
     words.reshape(-1)[at] = tails >> _32
     words.reshape(-1)[at + lanes] = tails & _LOW32
@@ -255,40 +257,40 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     ids = np.zeros((steps, lanes), np.uint16)
 
     # A damaged block and one that has ended may lead anywhere, so places are clipped; its checksum tells.
-    for step in range(steps):
-        model.predict()
-        span >>= _TOTAL
-        value = code - low
-        with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore"):
+        for step in range(steps):
+            model.predict()
+            span >>= _TOTAL
+            value = code - low
             value //= span
-        value = value.astype(_I)
-        by = (value >= model.limit).nonzero()[0]
-        # The place in order 0, of which each has `rest` values.
-        place = _quotient(value, model.rest)
-        classes = model.slots.take((place >> _I(ID_BITS)) + model.slot_at, mode="clip")
-        start, size = model.plain(classes)
-        place -= start
-        offset = _quotient(place, size)
-        now = ids[step]
-        np.add(_START.take(classes), offset, out=now, casting="unsafe")
-        offset *= size
-        start += offset
-        start *= model.rest
-        size *= model.rest
-        is_2 = value[by] - model.limit[by] < (model.share[by] >> _I(16)) << _PLAIN
-        by_2, by_1 = by[is_2], by[~is_2]
-        model.predicted(start, size, by_2, by_1)
-        now[by_2], now[by_1] = model.guess[0][by_2], model.guess[1][by_1]
-        low += start * span
-        span *= size
-        narrow = (span < _NARROW).nonzero()[0]
-        if len(narrow):
-            begin, from_ = low[narrow], at[narrow]
-            width = _narrowed(begin, span[narrow])
-            low[narrow], span[narrow] = begin << _32, width << _32
-            code[narrow] = (code[narrow] << _32) | words.take(from_, mode="clip")
-            at[narrow] = from_ + 1
-        model.update(now, classes, by_2, by_1, step, steps)
+            value = value.astype(_I)
+            by = (value >= model.limit).nonzero()[0]
+            # The place in order 0, of which each has `rest` values.
+            place = _quotient(value, model.rest)
+            classes = model.slots.take((place >> _I(ID_BITS)) + model.slot_at, mode="clip")
+            start, size = model.plain(classes)
+            place -= start
+            offset = _quotient(place, size)
+            now = ids[step]
+            np.add(_START.take(classes), offset, out=now, casting="unsafe")
+            offset *= size
+            start += offset
+            start *= model.rest
+            size *= model.rest
+            two = (model.share[by] >> _I(16)) << _PLAIN
+            is_2 = value[by] - model.limit[by] < two
+            model.predicted(start, size, by, two, is_2)
+            now[by] = np.where(is_2, model.guess[0][by], model.guess[1][by])
+            low += start * span
+            span *= size
+            narrow = (span < _NARROW).nonzero()[0]
+            if len(narrow):
+                begin, from_ = low[narrow], at[narrow]
+                width = _narrowed(begin, span[narrow])
+                low[narrow], span[narrow] = begin << _32, width << _32
+                code[narrow] = (code[narrow] << _32) | words.take(from_, mode="clip")
+                at[narrow] = from_ + 1
+            model.update(now, classes, by, is_2, step, steps)
     columns = (c for i in range(0, lanes, _TURNED) for c in ids[:, i : i + _TURNED].T.astype(np.uint32, order="C"))
     return [c[:n] for c, n in zip(columns, sizes)]
 

@@ -179,7 +179,7 @@ class Encoder:
         parts = json.loads(definition)
         before = parts.get("pre_tokenizer") or {}
         added = [t["content"] for t in parts.get("added_tokens") or []]
-        self._added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
+        self._added = added
         self.chunked = (
             parts.get("normalizer") is None
             and before.get("type") == "ByteLevel"
@@ -282,8 +282,11 @@ class Encoder:
                 entries[places] = entry
         return entries
 
+    def _has_added(self, text: str) -> bool:
+        return any(a in text for a in self._added)
+
     def _in_chunks(self, text: str) -> bool:
-        return self.chunked and not (self._added.search(text) or (not text.isascii() and _OTHER_SPACE.search(text)))
+        return self.chunked and not (self._has_added(text) or (not text.isascii() and _OTHER_SPACE.search(text)))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -314,7 +317,7 @@ class Encoder:
             return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in self._whole(texts)]
         found = []
         for text, ids in zip(texts, self.ids(texts)):
-            if self._added.search(text):
+            if self._has_added(text):
                 found.append(np.array(self._whole([text])[0].offsets, np.int64).reshape(-1, 2))
                 continue
             ends = np.cumsum(self._bytes[ids])
