@@ -31,6 +31,8 @@ from markerloom.session import checkpointed
 # What is decoded at a time, and what one row of the table of splits stands for.
 SLICE_BYTES = 256 * 1024
 SPLIT_BYTES = 32 * 1024 * 1024
+# Rows that tasks send on together, of however many files or folders.
+BATCH_ROWS = 10_000
 
 _LAYOUT = (
     "error string, n_events bigint, data_begin bigint, event_bytes int, "
@@ -55,19 +57,23 @@ def _dealt(df: DataFrame, *columns: str) -> DataFrame:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What lies directly in each folder: (path, length, folder)."""
+    found: tuple[list, list, list] = ([], [], [])
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.int64(), pa.bool_()))], ["path", "length", "folder"])
+
     for batch in batches:
         for path in batch.column("path").to_pylist():
             files, inner = _opened(path)
-            found = files.get_file_info(fs.FileSelector(inner))
-            for at in range(0, len(found), 10_000):
-                part = [f for f in found[at : at + 10_000] if f.type == fs.FileType.Directory or _NAMES.search(f.base_name)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "path": pa.array([f"{path.rstrip('/')}/{f.base_name}" for f in part], pa.string()),
-                        "length": pa.array([f.size for f in part], pa.int64()),
-                        "folder": pa.array([f.type == fs.FileType.Directory for f in part], pa.bool_()),
-                    }
-                )
+            for f in files.get_file_info(fs.FileSelector(inner)):
+                folder = f.type == fs.FileType.Directory
+                if folder or _NAMES.search(f.base_name):
+                    for column, value in zip(found, (f"{path.rstrip('/')}/{f.base_name}", f.size, folder)):
+                        column.append(value)
+                if len(found[0]) >= BATCH_ROWS:
+                    yield rows()
+                    found = ([], [], [])
+    yield rows()
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -161,3 +161,42 @@ def test_a_file_beyond_two_gigabytes(spark, tmp_path):
     row = cells.agg(F.count("*").alias("n"), F.sum("P2").alias("s"), F.max_by("event", "P2").alias("at"), F.countDistinct("task").alias("tasks")).first()
     assert (row["n"], row["s"], row["at"]) == (events, 7.5, events - 1)
     assert row["tasks"] > 2
+
+
+def test_folders_are_listed_in_common_batches(tmp_path):
+    """Tasks send one batch for many folders, not one each."""
+    import pyarrow as pa
+
+    for i in range(40):
+        put(tmp_path, f"{i}/a.fcs", b"FCS")
+        put(tmp_path, f"{i}/b.txt", b"ignored")
+    folders = pa.RecordBatch.from_pydict({"path": [f"{tmp_path}/{i}" for i in range(40)]})
+    found = list(FCS._listed(iter([folders])))
+    assert len(found) == 1
+    assert found[0].column("path").to_pylist() == [f"{tmp_path}/{i}/a.fcs" for i in range(40)]
+    assert found[0].column("length").to_pylist() == [3] * 40 and not any(found[0].column("folder").to_pylist())
+
+
+def test_cells_of_a_file_from_rows_in_any_order():
+    """Files come apart at their keys, whatever batches cut them, also where two files have one hash; nulls are keys and last in the order."""
+    import pyarrow as pa
+
+    from markerloom.catalog import samples
+
+    rng = np.random.default_rng(3)
+    rows = [(int(s) if s else None, int(o) if o else None, int(n) if n else None, *map(float, rng.random(4))) for s, o, n in rng.integers(0, 6, (400, 3))]
+    part = lambda r: None if r[1] is None else r[1] // 2
+    key = lambda r: (r[0], part(r))
+    h = {k: i // 2 for i, k in enumerate(sorted({key(r) for r in rows}, key=str))}
+    rows.sort(key=lambda r: h[key(r)])
+    names = ["h", "sample_id", "part", "ord", "line", *samples.M]
+    kinds = [pa.int64()] * 5 + [pa.float64()] * 4
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*[(h[key(r)], r[0], part(r), *r[1:]) for r in rows]), kinds)]
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] is None, r[2] or 0, r[6])):
+        want.setdefault(key(r), []).append(r[3:])
+    for size in (1, 7, 400):
+        got = list(samples._files_of(whole.slice(a, size) for a in range(0, 400, size)))
+        assert len(got) == len(want)
+        assert {(s, p): [tuple(v) for v in x.tolist()] for s, p, x in got} == want
