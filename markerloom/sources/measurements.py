@@ -341,14 +341,33 @@ def decode_measurements(
 def _cells(ready: DataFrame, markers: list[str], slice_bytes: int, split_bytes: int) -> DataFrame:
     names = ["path", "filename", "event", *markers]
 
+    def joined(held: list[tuple[Slice, np.ndarray, list[np.ndarray | None]]]) -> pa.RecordBatch:
+        sizes = [len(event) for _, event, _ in held]
+        whose = pa.array(np.repeat(np.arange(len(held)), sizes))
+        same = [pa.array([getattr(row, c) for row, _, _ in held], pa.string()).take(whose) for c in ("path", "filename")]
+        event = pa.array(np.concatenate([event for _, event, _ in held]))
+        # NaN is a value of the file, null a marker it does not have.
+        picked = []
+        for i in range(len(markers)):
+            parts = [values[i] for _, _, values in held]
+            if all(x is not None for x in parts):
+                picked.append(pa.array(np.concatenate(parts), from_pandas=False))
+            else:
+                picked.append(pa.concat_arrays([pa.nulls(n, pa.float64()) if x is None else pa.array(x, from_pandas=False) for x, n in zip(parts, sizes)]))
+        return pa.RecordBatch.from_arrays([*same, event, *picked], names)
+
     def decode(found: Iterator[Slice]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        count = 0
         for row in found:
             event, values = _columns(row, row.picks)
-            n = len(event)
-            # NaN is a value of the file, null a marker it does not have.
-            picked = [pa.nulls(n, pa.float64()) if x is None else pa.array(x, from_pandas=False) for x in values]
-            same = [pa.array([x] * n, pa.string()) for x in (row.path, row.filename)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(event), *picked], names)
+            held.append((row._replace(data=b""), event, values))
+            count += len(event)
+            if count >= BATCH_ROWS or len(held) >= BATCH_ROWS:
+                yield joined(held)
+                held, count = [], 0
+        if held:
+            yield joined(held)
 
     schema = "path string, filename string, event bigint, " + ", ".join(f"`{m}` double" for m in markers)
     return _over_slices(ready, decode, schema, slice_bytes, split_bytes)
