@@ -438,19 +438,23 @@ def load_batch(
     def reduce(found: Iterator[Slice]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         parts: list = []
+        done: list[dict] = []
 
-        def one() -> pa.RecordBatch:
-            row = {"path": current[0], "filename": current[1], **summary(parts)}
-            return pa.RecordBatch.from_pylist([row], kind)
+        def one() -> dict:
+            return {"path": current[0], "filename": current[1], **summary(parts)}
 
         for row in found:
             if (row.path, row.filename) != current:
                 if parts:
-                    yield one()
+                    done.append(one())
+                if len(done) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(done, kind)
+                    done = []
                 current, parts = (row.path, row.filename), []
             parts.append(_columns(row, row.picks)[1])
         if parts:
-            yield one()
+            done.append(one())
+        yield pa.RecordBatch.from_pylist(done, kind)
 
     schema = "path string, filename string, " + ", ".join(f"`{m}` double" for m in markers)
     ready = _readable(files, markers)

@@ -177,6 +177,41 @@ def test_folders_are_listed_in_common_batches(tmp_path):
     assert found[0].column("length").to_pylist() == [3] * 40 and not any(found[0].column("folder").to_pylist())
 
 
+def test_many_small_files_in_common_batches(spark, tmp_path, monkeypatch):
+    """Cells and summaries do not depend on how many files a task sends together; a file without events or without a marker is between others."""
+    for i in range(30):
+        names = ["IFNa-PE", "CD14 APC"] if i % 3 else ["IFNa-PE", "x"]
+        put(tmp_path, f"{i}.fcs", encode_fcs(names, VALUES[10 * i : 10 * i + i % 4, :2]))
+    files = FCS.scan_files(spark, str(tmp_path))
+    sent = FCS._over_slices
+    batches = spark.sparkContext.accumulator(0)
+
+    def counted(ready, fn, schema, *rest):
+        def run(found):
+            for batch in fn(found):
+                batches.add(1)
+                yield batch
+
+        return sent(ready, run, schema, *rest)
+
+    monkeypatch.setattr(FCS, "_over_slices", counted)
+    cells = FCS.decode_measurements(files, ["ifna", "cd14"]).collect()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < batches.value <= tasks
+    assert len(cells) == sum(i % 4 for i in range(30))
+    for r in cells:
+        i = int(r["filename"].split(".")[0])
+        want = VALUES[10 * i + r["event"], :2].astype("f4").astype(float).tolist()
+        assert [r["ifna"], r["cd14"]] == [want[0], want[1] if i % 3 else None]
+    batches.value = 0
+    rows = {int(r["filename"].split(".")[0]): r for r in FCS.load_batch(files, ["ifna", "cd14"], transform=False).collect()}
+    assert 0 < batches.value <= tasks and len(rows) == 30
+    for i, r in rows.items():
+        want = np.median(VALUES[10 * i : 10 * i + i % 4, :2].astype("f4").astype(float), axis=0) if i % 4 else np.full(2, np.nan)
+        assert np.isclose(r["ifna"], want[0], equal_nan=True) and (r["cd14"] is None) == (i % 3 == 0)
+        assert i % 3 == 0 or np.isclose(r["cd14"], want[1], equal_nan=True)
+
+
 def test_cells_of_a_file_from_rows_in_any_order():
     """Files come apart at their keys, whatever batches cut them, also where two files have one hash; nulls are keys and last in the order."""
     import pyarrow as pa
