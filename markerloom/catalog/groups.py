@@ -14,7 +14,7 @@ from markerloom.operators import clustering as C
 from markerloom.operators import metrics as ME
 from markerloom.operators.cleaning import normalize_label_rows
 from markerloom.operators.kmeans import centered, centers_table, lloyd, prepared
-from markerloom.operators.silhouette import cluster_distances
+from markerloom.operators.silhouette import cluster_distances, distance_sums
 from markerloom.operators.silhouette import silhouette as silhouette_of
 from markerloom.plans.discover import discover_bins, save_discovery
 from markerloom.plans.train import diagnostic_rewards, fit_sweep, quality_rewards
@@ -268,9 +268,9 @@ def gaussian_mixture(spark, sf):
     return spark.createDataFrame(out, f"n bigint, clusters bigint, wrong_choice bigint, {names}")
 
 
-def plain_silhouettes(points, clusters, key):
+def plain_silhouettes(points, clusters, key, sums=None):
     """(k, silhouette) from the definition, over the mean distances, which have a query of their own."""
-    cells = cluster_distances(points, clusters, key).join(clusters.withColumnRenamed("cluster", "own"), ["k", key])
+    cells = cluster_distances(points, clusters, key, sums=sums).join(clusters.withColumnRenamed("cluster", "own"), ["k", key])
     each = cells.groupBy("k", key).agg(
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean_distance"))).alias("a"),
         F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean_distance"))).alias("b"),
@@ -339,7 +339,9 @@ def k_sweep(spark, sf):
     (beyond the tolerance), both rewards against their definitions over the clusters, and the inertia against the one before."""
     points = checkpointed(X.vectors(spark, sf).select(V, "features"))
     clusters = fit_sweep(points, V, X.KS)
-    quality = quality_rewards(points, clusters, V, X.KS).withColumnRenamed("reward", "quality")
+    # All pairs are gone through once for the rewards and the definition.
+    sums = checkpointed(distance_sums(points, clusters, V))
+    quality = quality_rewards(points, clusters, V, X.KS, sums=sums).withColumnRenamed("reward", "quality")
     truth = X.vector_truth(spark, sf)
     diagnosis = diagnostic_rewards(clusters, truth, V, X.KS).withColumnRenamed("reward", "diagnosis")
     sizes = clusters.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
@@ -350,7 +352,7 @@ def k_sweep(spark, sf):
     own = clusters.join(points, V).join(F.broadcast(means), ["k", "cluster"]).select("k", V, squared_distance(F.col("features"), F.col("center")).alias("own"))
     wrong = near.join(own, ["k", V]).groupBy("k").agg(F.count_if(F.sqrt("own") > F.sqrt("least") + 0.05).alias("wrong_nearest"))
     every = quality.join(diagnosis, "k").join(sizes, "k").join(spread, "k").join(before, "k", "left").join(wrong, "k")
-    every = every.join(plain_silhouettes(points, clusters, V), "k").join(plain_f1(clusters, truth, V), "k")
+    every = every.join(plain_silhouettes(points, clusters, V, sums), "k").join(plain_f1(clusters, truth, V), "k")
     return every.select(
         "k",
         "n",

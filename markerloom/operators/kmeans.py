@@ -13,6 +13,7 @@ the rows of each, and the driver picks the starts among the weighted candidates,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ TOLERANCE = 1e-4
 # Rows per partition of the matrix once there are enough partitions to keep a small cluster busy, and of
 # fewer rows before. Up to FEW_PARTITIONS send their sums to the driver: 64 times a few hundred centers.
 PARTITION_ROWS = 20_000
-BUSY_PARTITIONS, LEAST_ROWS = 64, 250
+BUSY_PARTITIONS, LEAST_ROWS = 32, 2_000
 FEW_PARTITIONS = 64
+# Rows that are held against the centers of all runs at a time, so that the distances stay in a core's cache.
+STRIP_ROWS = 512
 
 # Seeding: jobs that draw candidates, candidates of each for a center, and updates on the candidates.
 ROUNDS, OVERSAMPLE, CANDIDATE_ITERATIONS = 3, 3, 50
@@ -72,6 +75,24 @@ def nearest_index(x: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return own
 
 
+def nearest_marks(x: np.ndarray, c: np.ndarray, d: np.ndarray, k: int, out: np.ndarray) -> None:
+    """Writes 1 into `out` where a center is the nearest of its run to a row, as `nearest` has it, and 0 elsewhere.
+
+    `c` has the k centers of each of some runs, `d` a row of expanded squared distances for each, with or without the rows' own squares.
+    """
+    runs = len(c) // k
+    d, marks = d.reshape(runs, k, len(x)), out.reshape(runs, k, len(x))
+    scale = 1e-9 * ((x * x).sum(axis=1)[None, :] + (c * c).sum(axis=1).reshape(runs, k).max(axis=1)[:, None] + 1.0)
+    marks[...] = d <= (d.min(axis=1) + scale)[:, None, :]
+    close = marks.sum(axis=1) > 1.0
+    for run in np.flatnonzero(close.any(axis=1)).tolist():
+        found, at = np.flatnonzero(close[run]), c[run * k : run * k + k]
+        for s in range(0, len(found), 1024):
+            rows = found[s : s + 1024]
+            exact = ((x[rows][:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+            marks[run][:, rows] = exact.argmin(axis=1)[None, :] == np.arange(k)[:, None]
+
+
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys and a salt (splitmix64 finalizer)."""
     z = keys + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
@@ -224,19 +245,29 @@ def lloyd(
         ends = np.cumsum([len(c) for c in now.values()])
         spans = [(int(e) - len(c), int(e)) for e, c in zip(ends, now.values())]
 
+        # Runs of as many centers that follow each other; costs count once a run has stopped.
+        parts = [(k, list(part)) for k, part in groupby(spans, lambda s: s[1] - s[0])]
+        alike = [(k, part[0][0], part[-1][1]) for k, part in parts]
+        stopped = [s for s, r in zip(spans, now) if r in final]
+        # Distances but for the rows' own squares, which change no order, by one product.
+        weighed = np.hstack([-2.0 * stacked, (stacked * stacked).sum(axis=1)[:, None]])
+
         def sums(x: np.ndarray) -> np.ndarray:
-            d = squared_distances(x, stacked)
             size, cost, total = np.zeros(len(stacked)), np.zeros(len(stacked)), np.zeros(stacked.shape)
-            for a, b in spans:
-                own = nearest_index(x, stacked[a:b], d[:, a:b])
-                near = ((x - stacked[a:b][own]) ** 2).sum(axis=1) if exact else d[np.arange(len(x)), a + own]
-                size[a:b] = np.bincount(own, minlength=b - a)
-                cost[a:b] = np.bincount(own, weights=near, minlength=b - a)
-                total[a:b] = (own[:, None] == np.arange(b - a)[None, :]).astype("float64").T @ x
+            for s in range(0, len(x), STRIP_ROWS):
+                rows = x[s : s + STRIP_ROWS]
+                d = weighed @ np.hstack([rows, np.ones((len(rows), 1))]).T
+                marks = np.empty(d.shape)
+                for k, a, b in alike:
+                    nearest_marks(rows, stacked[a:b], d[a:b], k, marks[a:b])
+                for a, b in stopped:
+                    own = marks[a:b].argmax(axis=0)
+                    near = ((rows - stacked[a:b][own]) ** 2).sum(axis=1)
+                    cost[a:b] += np.bincount(own, weights=near, minlength=b - a)
+                size += marks.sum(axis=1)
+                total += marks @ rows
             return np.concatenate([size, cost, total.ravel()])
 
-        # Costs count once a run has stopped.
-        exact = bool(final)
         flat = vector_totals(points, sums, len(stacked) * (2 + stacked.shape[1]), count, mean)
         size, cost = flat[: len(stacked)], flat[len(stacked) : 2 * len(stacked)]
         total = flat[2 * len(stacked) :].reshape(stacked.shape)

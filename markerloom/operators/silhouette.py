@@ -153,11 +153,17 @@ def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFra
     )
 
 
+def distance_sums(points: DataFrame, clusters: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The summed distances of each row to every cluster, the one pass over all pairs, for both functions below: a caller of both stores
+    them and hands them on."""
+    return _distance_sums(points, _Sweep(clusters, key), block_rows)
+
+
 def cluster_distances(
-    points: DataFrame, clusters: DataFrame, key: str, block_rows: int = BLOCK_ROWS
+    points: DataFrame, clusters: DataFrame, key: str, block_rows: int = BLOCK_ROWS, sums: DataFrame | None = None
 ) -> DataFrame:
     """(k, key, cluster, n, mean_distance): mean distance of each row to the members
-    of each cluster; the row itself does not count in its own cluster."""
+    of each cluster; the row itself does not count in its own cluster. `sums` are the distance_sums of the same rows and clusters."""
     sweep = _Sweep(clusters, key)
     groups = F.array(
         *[
@@ -175,15 +181,15 @@ def cluster_distances(
             F.when(others > 0, F.get("s", g) / others).alias("mean_distance"),
         )
 
-    sums = _distance_sums(points, sweep, block_rows)
+    sums = _distance_sums(points, sweep, block_rows) if sums is None else sums
     return sums.select(key, F.inline(F.transform(groups, cell)))
 
 
 def silhouette(
-    points: DataFrame, clusters: DataFrame, key: str, block_rows: int = BLOCK_ROWS
+    points: DataFrame, clusters: DataFrame, key: str, block_rows: int = BLOCK_ROWS, sums: DataFrame | None = None
 ) -> DataFrame:
     """(k, silhouette): mean over all rows that have a cluster for this k; 0 with fewer than two clusters
-    or no more such rows than clusters. Rows alone in their cluster score 0."""
+    or no more such rows than clusters. Rows alone in their cluster score 0. `sums` are the distance_sums of the same rows and clusters."""
     sweep = _Sweep(clusters, key)
     runs = F.array(
         *[
@@ -211,7 +217,7 @@ def silhouette(
             near.alias("b"),
         )
 
-    sums = _distance_sums(points, sweep, block_rows)
+    sums = _distance_sums(points, sweep, block_rows) if sums is None else sums
     top = F.greatest("a", "b")
     width = F.when(F.col("a").isNull() | F.col("b").isNull() | ~F.col("defined") | (top == 0), 0.0)
     return (

@@ -44,12 +44,13 @@ def quality_rewards(
     key: str,
     ks: Sequence[int],
     quality: str = "silhouette",
+    sums: DataFrame | None = None,
 ) -> DataFrame:
-    """(k, reward): the silhouette, or minus the inertia scaled down."""
+    """(k, reward): the silhouette, or minus the inertia scaled down. `sums`: see silhouette."""
     if quality not in QUALITIES:
         raise ValueError(f"unknown quality measure: {quality}")
     if quality == "silhouette":
-        scored = silhouette(points, clusters, key).select("k", F.col("silhouette").alias("reward"))
+        scored = silhouette(points, clusters, key, sums=sums).select("k", F.col("silhouette").alias("reward"))
     else:
         scored = C.inertia(points, clusters, key).select(
             "k", (-F.col("inertia") / F.lit(INERTIA_SCALE)).alias("reward")

@@ -386,3 +386,38 @@ def test_newton_steps_reach_the_minimum(spark):
         assert got == pytest.approx([want[tuple(r["features"])] for r in rows.select("features").collect()])
     with pytest.raises(FitError):
         fit_logistic(spark.createDataFrame([([float("nan")], 0), ([1.0], 1)], "features array<double>, y int"), "y", 2)
+
+
+def test_nearest_marks_of_runs_side_by_side():
+    """The same centers as `nearest` for every run, at ties the first and only one."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (300, 4)).astype("float64")
+    for k in (1, 2, 5):
+        c = rng.integers(0, 3, (3 * k, 4)).astype("float64")
+        d = -2.0 * c @ x.T + (c * c).sum(axis=1)[:, None]
+        marks = np.full(d.shape, 7.0)
+        K.nearest_marks(x, c, d, k, marks)
+        for run in range(3):
+            own, _ = K.nearest(x, c[run * k : run * k + k])
+            assert np.array_equal(marks[run * k : run * k + k], own[None, :] == np.arange(k)[:, None])
+
+
+def test_small_matrices_have_few_tasks():
+    """A task costs more than the updates of some thousand rows."""
+    assert K.partitions(2_000) == 1 and K.partitions(12_800) == 6
+    assert K.partitions(600_000) == 32 and K.partitions(6_000_000) == 300
+
+
+def test_sums_of_one_pass_serve_both(spark, monkeypatch):
+    import markerloom.operators.silhouette as S
+
+    x = np.random.default_rng(9).normal(size=(40, 3))
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    clusters = spark.createDataFrame([(k, i, i % k) for k in (2, 3) for i in range(40)], "k long, id long, cluster long")
+    apart = [sorted(map(tuple, f(points, clusters, "id").collect())) for f in (S.silhouette, S.cluster_distances)]
+    sums = S.distance_sums(points, clusters, "id").persist()
+    monkeypatch.setattr(S, "_distance_sums", None)
+    for f, want in zip((S.silhouette, S.cluster_distances), apart):
+        got = sorted(map(tuple, f(points, clusters, "id", sums=sums).collect()))
+        assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=1e-12)
+    sums.unpersist()
