@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 256
 BUSY_ORDER = 11
 LARGEST_GROUP = 131_072
-# Distances held at a time: 32 MB.
-STRIP_CELLS = 4_194_304
+# Distances held at a time: 2 MB, about a core's cache.
+STRIP_CELLS = 262_144
 
 
 def _prime(n: int) -> bool:
@@ -68,13 +68,15 @@ def _block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     mid = a.mean(axis=0)
     a, b = a - mid, b - mid
     na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    scale = na[:, None] + nb[None, :]
-    d2 = scale - 2.0 * (a @ b.T)
-    i, j = np.nonzero(d2 <= 1e-4 * scale)
-    for s in range(0, len(i), 65536):
-        p, q = i[s : s + 65536], j[s : s + 65536]
-        d2[p, q] = ((a[p] - b[q]) ** 2).sum(axis=1)
-    return np.sqrt(d2)
+    # Squares and products by one matrix product.
+    d2 = np.hstack([-2.0 * a, na[:, None], np.ones((len(a), 1))]) @ np.hstack([b, np.ones((len(b), 1)), nb[:, None]]).T
+    # Whether any rows can be near is seen from one number.
+    if d2.size and not d2.min() > 1e-4 * (na.max() + nb.max()):
+        i, j = np.nonzero(d2 <= 1e-4 * (na[:, None] + nb[None, :]))
+        for s in range(0, len(i), 65536):
+            p, q = i[s : s + 65536], j[s : s + 65536]
+            d2[p, q] = ((a[p] - b[q]) ** 2).sum(axis=1)
+    return np.sqrt(d2, out=d2)
 
 
 def _members(labels: pd.Series, groups: int) -> np.ndarray:
@@ -131,13 +133,17 @@ def _distance_sums(points: DataFrame, sweep: _Sweep, block_rows: int) -> DataFra
         blocks = [np.flatnonzero(block == b) for b in np.unique(block)]
         for n, one in enumerate(blocks):
             for other in blocks[n + (0 if home[one[0]] else 1) :]:
-                strip = max(1, STRIP_CELLS // len(other))
-                for a in range(0, len(one), strip):
-                    rows = one[a : a + strip]
-                    d = _block_distances(x[rows], x[other])
-                    sums[rows] += d @ hot[other]
-                    if other is not one:
-                        sums[other] += d.T @ hot[rows]
+                # Strips of both sides, so that they fit whatever the blocks' sizes.
+                wide = max(1, min(len(other), int(STRIP_CELLS**0.5)))
+                strip = max(1, STRIP_CELLS // wide)
+                for c in range(0, len(other), wide):
+                    columns = other[c : c + wide]
+                    for a in range(0, len(one), strip):
+                        rows = one[a : a + strip]
+                        d = _block_distances(x[rows], x[columns])
+                        sums[rows] += d @ hot[columns]
+                        if other is not one:
+                            sums[columns] += d.T @ hot[rows]
         return pdf[["id", "own"]].assign(s=list(sums))
 
     id_type = points.schema[key].dataType.simpleString()

@@ -421,3 +421,14 @@ def test_sums_of_one_pass_serve_both(spark, monkeypatch):
         got = sorted(map(tuple, f(points, clusters, "id", sums=sums).collect()))
         assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=1e-12)
     sums.unpersist()
+
+
+def test_strips_of_near_and_equal_rows(monkeypatch):
+    """Distances of far, near and equal rows in the same strip."""
+    import markerloom.operators.silhouette as S
+
+    rng = np.random.default_rng(10)
+    a = rng.normal(size=(30, 5)) + 1000.0
+    b = np.vstack([a[:10], a[10:20] + 1e-7, rng.normal(size=(10, 5))])
+    want = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    assert np.allclose(S._block_distances(a, b), want, rtol=1e-9, atol=0.0)
